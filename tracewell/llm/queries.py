@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracewell.llm import fingerprints, mixing
+from tracewell.llm import fingerprints, mixing, packing
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
 }
 
 ORACLES = {
