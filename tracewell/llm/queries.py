@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracewell.llm import fingerprints, mixing, packing, token_store
+from tracewell.llm import fingerprints, mixing, packing, token_store, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op10_token_store": token_store.op10_token_store,
 }
 
