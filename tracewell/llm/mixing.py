@@ -1,7 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Documents get a 48-bit hash of their key. Tokens are summed by (source, hash bucket); the bucket in which a source's
-budget ends is refined twice, so three small histograms find the threshold and a filter applies it: nothing is sorted.
+budget ends is refined three times, so four small histograms find the threshold and a filter applies it: nothing is sorted.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null key hashes as the
 empty string; repeated keys share a hash and are taken together; an empty table gives no rows; columns other than the
@@ -18,7 +18,7 @@ from tracewell.llm.common import materialize
 from tracewell.session import table
 
 WORD = r"[^\x20\x09-\x0D]+"
-LEVELS, LEVEL_BITS = 3, 16
+LEVELS, LEVEL_BITS = 4, 12
 
 
 def word_count(text: Column) -> Column:
