@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import fingerprints, mixing, near_duplicates, packing, token_store, toxicity
+from tracewell.llm import fingerprints, mixing, near_duplicates, packing, repeats, token_store, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
     "op10_token_store": token_store.op10_token_store,
 }
 
 ORACLES = {
     "op1_fingerprints": fingerprints.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
+    "op9_suffix_array_dedup": repeats.ORACLE,
 }
