@@ -61,25 +61,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], ceiling: int) -> DataFra
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[int, ...] = (5, 2, 1),
-    ceiling: int = 3,
-    key: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-) -> DataFrame:
-    """Per document: key, source, size, source_size, target of its source, taken (size x the times it is repeated)."""
-    sized = materialize(
-        docs.select(
-            F.col(key).alias("doc_id"),
-            F.col(source).alias("source"),
-            F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("key"),
-            word_count(F.col(text)).alias("size"),
-            hash48(F.col(key)).alias("hash"),
-        ),
-        "sized",
-    )
+def source_key(source: Column) -> Column:
+    """A key that is never null: a null source is a source of its own."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    return docs.select(
+        F.col(key).alias("doc_id"), F.col(source).alias("source"), source_key(F.col(source)).alias("key"),
+        word_count(F.col(text)).alias("size"), hash48(F.col(key)).alias("hash"),
+    )
+
+
+def plan_mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3) -> DataFrame:
+    """Per source: key, source_size, target, and `times` and `cut`: documents with a hash below cut go in once more than times."""
     sums = sized.groupBy("key").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
     plan = targets(sums, weights, ceiling)
     plan = plan.withColumn("times", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)))
@@ -89,11 +84,34 @@ def mix_sources(
         edge = materialize(refine(sized, edge, 48 - LEVEL_BITS * (level + 1)), f"edge{level}")
     # The last cell holds one hash; it is taken if that brings the source nearer to its target.
     nearer = (F.col("before") + F.col("cell")) - F.col("budget") < F.col("budget") - F.col("before")
-    cut = edge.select("key", "source_size", "target", "times", (F.col("prefix") + F.coalesce(nearer, F.lit(False)).cast("long")).alias("cut"))
-    return sized.join(cut, "key").select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("times") + (F.col("hash") < F.col("cut")).cast("long"))).cast("long").alias("taken"),
-    )
+    return edge.select("key", "source_size", "target", "times", (F.col("prefix") + F.coalesce(nearer, F.lit(False)).cast("long")).alias("cut"))
+
+
+def repeats_of(hash_: Column) -> Column:
+    return (F.col("times") + (hash_ < F.col("cut")).cast("long")).cast("long")
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    ceiling: int = 3,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """Per document: key, source, size, source_size, target of its source, taken (size x the times it is repeated)."""
+    sized = materialize(measure(docs, key, text, source), "sized")
+    mixed = sized.join(plan_mix(sized, weights, ceiling), "key")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats_of(F.col("hash"))).alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs, each row as often as the mix takes it; rows without words stay as they are."""
+    sized = materialize(measure(docs, key, text, source), "sized")
+    plan = plan_mix(sized, weights, ceiling).select(F.col("key").alias("mix_key"), "times", "cut")
+    rows = docs.withColumn("mix_key", source_key(F.col(source))).join(plan, "mix_key")
+    times = F.when(word_count(F.col(text)) == 0, F.lit(1)).otherwise(repeats_of(hash48(F.col(key))))
+    return rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 
 
 def refine(sized: DataFrame, edge: DataFrame, shift: int) -> DataFrame:

@@ -166,6 +166,12 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("node", "words").mapInArrow(run, "node long, elements array<int>, weights array<int>")
 
 
+def identity(key: Column, text: Column) -> tuple[Column, Column]:
+    """(node, digest) of a document: its key, or a negative number made from its text, and the MD5 of its text."""
+    body = F.coalesce(text, F.lit(""))
+    return F.coalesce(key.cast("long"), F.lit(-1) - F.shiftrightunsigned(F.xxhash64(body), 2)), F.unhex(F.md5(body))
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -176,9 +182,24 @@ def near_duplicates(
     rows: int = ROWS,
 ) -> DataFrame:
     """doc_id, class_id (the smallest key of its class), class_size of every document."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = F.coalesce(F.col(key).cast("long"), F.lit(-1) - F.shiftrightunsigned(F.xxhash64(body), 2))
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), own.alias("node"), F.unhex(F.md5(body)).alias("digest"), body.alias("text"))
+    grouped = classes_of(docs, key, text, k, threshold, count, rows)
+    classes = grouped.groupBy("text_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return grouped.join(classes, "text_node").select("doc_id", "class_id", "class_size")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near duplicates: of each class the row with the smallest key stays, a null key only if all are null."""
+    node, digest = identity(F.col(key), F.col(text))
+    kept = classes_of(docs, key, text).groupBy("text_node").agg(F.min(F.struct(F.col("doc_id").isNull(), "node", "digest")).alias("kept"))
+    kept = kept.select(F.col("kept.node").alias("kept_node"), F.col("kept.digest").alias("kept_digest"))
+    rows = docs.withColumns({"kept_node": node, "kept_digest": digest})
+    return rows.join(kept, ["kept_node", "kept_digest"], "left_semi").dropDuplicates(["kept_node", "kept_digest"]).drop("kept_node", "kept_digest")
+
+
+def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, count: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, node, digest, text_node (the class) of every document."""
+    node, digest = identity(F.col(key), F.col(text))
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), node.alias("node"), digest.alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     worded = lambda df: df.withColumn("words", word_hashes(F.col("text"))).drop("text")
     signed = materialize(sign_documents(worded(plain), k, count, rows), "signed")
     # One node for each text: the smallest of its documents.
@@ -221,8 +242,7 @@ def near_duplicates(
     if labels is not None:
         grouped = grouped.join(labels.select(F.col("node").alias("text_node"), "component"), "text_node", "left")
         grouped = grouped.withColumn("text_node", F.coalesce("component", "text_node"))
-    classes = grouped.groupBy("text_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return grouped.join(classes, "text_node").select("doc_id", "class_id", "class_size")
+    return grouped.select("doc_id", "node", "digest", "text_node")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

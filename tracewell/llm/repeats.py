@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import materialize, partitions
@@ -266,11 +266,14 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 _dealt = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(parts, notes): the documents dealt into parts, and each part's copies and removed spans (see `cut`)."""
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(parts, notes): the documents dealt into parts, and each part's copies and removed spans (see `cut`).
+
+    carry: further columns of docs that the parts keep.
+    """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), body.alias("body"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), body.alias("body"), *carry)
     ids = rows.select("key", F.md5("body").alias("digest"), F.octet_length("body").alias("n"))
     size = ids.agg(F.sum("n")).first()[0] or 0
     parts_n = max(partitions(spark), -(-size // PART_BYTES))
@@ -278,7 +281,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     earliest = ids.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     copies = materialize(ids.where(F.col("n") >= length).join(earliest, "digest").where("key > first").select("key").distinct(), "copies")
     copy_notes = copies.select(part_of(F.col("key")).alias("part"), F.lit(COPY).alias("kind"), "key", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("payload"))
-    parts = rows.select(part_of(F.col("key")).alias("part"), "doc_id", "key", F.xxhash64("body").alias("tag"), "body")
+    parts = rows.select(part_of(F.col("key")).alias("part"), "doc_id", "key", F.xxhash64("body").alias("tag"), "body", *carry)
 
     def deal_anchors(part: pa.Table, side: pa.Table) -> pa.Table:
         if not part.num_rows:
@@ -359,9 +362,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
 
 def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, spans array<struct<start, stop>> (removed byte runs), kept binary."""
+    """doc_id, n_bytes, spans array<struct<start, stop>> (removed byte runs), kept binary, and the carried columns."""
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", span_type), ("kept", pa.binary())])
+    carried = [f for f in parts.schema if f.name not in ("part", "doc_id", "key", "tag", "body")]
 
     def apply(part: pa.Table, side: pa.Table) -> pa.Table:
         copies = {r["key"] for r in notes_of(side, COPY)}
@@ -384,9 +388,24 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept.append(text[at:lo])
                 at = hi
             out.append((doc, len(text), [{"start": lo, "stop": hi} for lo, hi in runs], b"".join([*kept, text[at:]])))
-        return _rows(out, schema)
+        result = _rows(out, schema)
+        for f in carried:
+            result = result.append_column(f.name, part.column(f.name))
+        return result
+
+    out_type = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
+    out_type = ", ".join([out_type, *(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)])
+    return parts.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(apply, out_type)
+
+
+def decode(kept: Column) -> Column:
+    """The text of kept bytes; the rest of a character that a span cut in two goes with it."""
+
+    @F.pandas_udf("string")
+    def whole(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v.decode("utf-8", "ignore"))
 
-    return parts.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(apply, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    return whole(kept)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
