@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracewell.llm import fingerprints, mixing, near_duplicates, packing, repeats, token_store, toxicity
+from tracewell.llm import fingerprints, mixing, near_duplicates, neighbours, packing, repeats, token_store, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_posting_lists": neighbours.op2_posting_lists,
     "op3_minhash_near_dedup": near_duplicates.op3_minhash_near_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
