@@ -29,11 +29,11 @@ from tracewell.llm.common import materialize, partitions
 from tracewell.session import table
 
 #: Vectors that the fit reads at most, centroids at most, and sampled vectors to a centroid.
-SAMPLE, CENTROIDS, PER_CENTROID = 40_000, 2048, 24
+SAMPLE, CENTROIDS, PER_CENTROID = 40_000, 2048, 40
 #: Lists that hold a vector at most, and how much farther than the nearest such a list's centroid may be.
 REPLICAS, REPLICA_RATIO = 4, 1.15
 #: Lists that a query reads, and how much farther than the nearest their centroids may be.
-LEAST, PROBES, PROBE_RATIO = 48, 96, 1.35
+LEAST, PROBES, PROBE_RATIO = 32, 128, 1.35
 BLOCK = 2048
 
 
@@ -47,7 +47,7 @@ class Index:
     norm: float
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, norm: float, most: int = CENTROIDS, per: int = PER_CENTROID, degree: int = 24, rounds: int = 8) -> Index:
+    def fit(cls, vectors: np.ndarray, norm: float, most: int = CENTROIDS, per: int = PER_CENTROID, degree: int = 24, rounds: int = 5) -> Index:
         x = lift(vectors, norm)
         rng = np.random.default_rng(11)
         k = max(1, min(most, len(x) // per))
