@@ -1,25 +1,39 @@
 """Token ids of whole texts, by the tokenizers library, inside tasks.
 
-Both vocabularies cut a text into pieces that never reach across white space before they merge anything, so the ids of a
-text are those of its white-space chunks in a row. Chunks are encoded by the library once and remembered in a bounded
-table per Python worker; texts with control characters on which Python's and the library's idea of white space differ
-are encoded whole.
+Both vocabularies cut a text into pieces before they merge anything, so the ids of a text are those of its pieces in a
+row. Pieces are encoded by the library once and remembered in a bounded table per Python worker. A text of Latin-1
+characters is cut as the vocabulary cuts it; any other at white space, and the library cuts the rest; a text with control
+characters on which Python's and the library's idea of white space differ is a single piece.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
-#: Most chunks that a worker remembers; it starts afresh beyond.
-REMEMBER = 300_000
+#: Most pieces that a worker remembers, and characters of one call that it does so for; it starts afresh beyond.
+REMEMBER, LONGEST = 500_000, 20_000_000
 _ODD = re.compile("[\x1c-\x1f]")
+# Letters and numbers of Latin-1, and the contractions that both vocabularies keep apart.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_WORD_PIECE = re.compile(rf"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+_BYTE_PIECE = re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _BYTE_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _encoders: dict[str, "Encoder"] = {}
 
 
+class Numbers(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class Encoder:
     """Encodes lists of texts to arrays of uint32 ids."""
 
@@ -29,29 +43,41 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.drops_space = self.library.normalizer is not None
-        self.known: dict[str, bytes] = {}
+        self.by_word = self.library.normalizer is not None  # lower case, white space dropped
+        self.numbers, self.coded = Numbers(), []
 
-    def chunks(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str]:
+        if not (text.isascii() or _latin(text)):
+            return [text] if _ODD.search(text) else text.split() if self.by_word else _BYTE_CHUNK.findall(text)
         if _ODD.search(text):
             return [text]
-        return text.split() if self.drops_space else _BYTE_CHUNK.findall(text)
+        return _WORD_PIECE.findall(text.lower()) if self.by_word else _BYTE_PIECE.findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.chunks(t) for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        new = list({c for chunks in cut for c in chunks if c not in self.known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, chunks)), "<u4") for chunks in cut]
-        for c in new:  # whole texts are not worth remembering
-            if len(c) > 200:
-                del self.known[c]
-        return out
+        if len(self.numbers) > REMEMBER or sum(map(len, texts)) > LONGEST:
+            self.numbers, self.coded = Numbers(), []
+        number = self.numbers.__getitem__
+        cut = [list(map(number, self.pieces(t))) for t in texts]
+        if len(self.numbers) > len(self.coded):
+            new = list(islice(self.numbers, len(self.coded), None))
+            for i in range(0, len(new), 4096):
+                self._learn(new[i : i + 4096])
+        get = self.coded.__getitem__
+        return [np.frombuffer(b"".join(map(get, numbers)), "<u4") for numbers in cut]
+
+    def _learn(self, pieces: list[str]) -> None:
+        coded = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(coded.ids, "<u4").tobytes()
+        ends = (4 * np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(1, len(pieces) + 1))).tolist()
+        self.coded += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def encoder(path: str) -> Encoder:
