@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import fingerprints, mixing, near_duplicates, neighbours, packing, repeats, token_store, toxicity
+from tracewell.llm import fingerprints, mixing, near_duplicates, neighbours, packing, pages, repeats, token_store, toxicity, transcripts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_transcript_roles": transcripts.op7_transcript_roles,
+    "op8_host_suffix_extraction": pages.op8_host_suffix_extraction,
     "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
     "op10_token_store": token_store.op10_token_store,
 }

@@ -242,11 +242,11 @@ def documents_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], n
     return key[order], tag[order], [texts[i] for i in order], order
 
 
-def distinct_documents(part: pa.Table, copies: set[int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Documents that aren't copies of earlier texts, in a fixed order."""
-    key, tag, texts, _ = documents_of(part)
+def distinct_documents(part: pa.Table, copies: set[int]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """key, tag, text and group of documents that aren't copies of earlier texts, in a fixed order."""
+    key, tag, texts, order = documents_of(part)
     kept = [i for i, k in enumerate(key.tolist()) if k not in copies]
-    return key[kept], tag[kept], [texts[i] for i in kept]
+    return key[kept], tag[kept], [texts[i] for i in kept], part.column("group").to_numpy()[order][kept].view(np.uint64)
 
 
 def notes_of(side: pa.Table, kind: int) -> list[dict]:
@@ -266,29 +266,34 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 _dealt = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), group: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(parts, notes): the documents dealt into parts, and each part's copies and removed spans (see `cut`).
 
-    carry: further columns of docs that the parts keep.
+    carry: further columns of docs that the parts keep. With a group, strings only match within one value of that column,
+    and a string in documents of different keys is removed from all of them.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), body.alias("body"), *carry)
+    group_hash = F.lit(0).cast("long") if group is None else F.xxhash64(group)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), body.alias("body"), group_hash.alias("group"), *carry)
     ids = rows.select("key", F.md5("body").alias("digest"), F.octet_length("body").alias("n"))
     size = ids.agg(F.sum("n")).first()[0] or 0
     parts_n = max(partitions(spark), -(-size // PART_BYTES))
     part_of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts_n)).cast("int")
     earliest = ids.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    if group is not None:
+        earliest = earliest.where("false")  # every copy testifies
     copies = materialize(ids.where(F.col("n") >= length).join(earliest, "digest").where("key > first").select("key").distinct(), "copies")
     copy_notes = copies.select(part_of(F.col("key")).alias("part"), F.lit(COPY).alias("kind"), "key", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("payload"))
-    parts = rows.select(part_of(F.col("key")).alias("part"), "doc_id", "key", F.xxhash64("body").alias("tag"), "body", *carry)
+    parts = rows.select(part_of(F.col("key")).alias("part"), "doc_id", "key", F.xxhash64("body").alias("tag"), "body", "group", *carry)
 
     def deal_anchors(part: pa.Table, side: pa.Table) -> pa.Table:
         if not part.num_rows:
             return _rows([], _dealt)
         number = part.column("part")[0].as_py()
-        _, _, texts = distinct_documents(part, {r["key"] for r in notes_of(side, COPY)})
-        h = anchors(texts, length)[3]
+        _, _, texts, groups = distinct_documents(part, {r["key"] for r in notes_of(side, COPY)})
+        owner, _, _, h = anchors(texts, length)
+        h = h ^ groups[owner]
         bucket = (scramble(h) % np.uint64(parts_n)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(parts_n + 1))
@@ -305,8 +310,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         if not part.num_rows:
             return _rows([], _dealt)
         number = part.column("part")[0].as_py()
-        keys, tags, texts = distinct_documents(part, {r["key"] for r in notes_of(side, COPY)})
+        keys, tags, texts, groups = distinct_documents(part, {r["key"] for r in notes_of(side, COPY)})
         owner, first, count, h = anchors(texts, length)
+        h = h ^ groups[owner]
         bucket = (scramble(h) % np.uint64(parts_n)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(parts_n + 1))
@@ -330,16 +336,23 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             for hash_, lo, hi in zip(head[0].tolist(), (ends - head[4] - length + 1).tolist(), ends.tolist(), strict=True):
                 where.append(known.setdefault((hash_, payload[at + lo : at + hi]), len(known)))
         head, where = np.hstack(heads), np.array(where)
-        least = np.full(len(known), NO_KEY)
-        np.minimum.at(least, where, head[1])
         strings = list(known)
         order = np.array(sorted(range(len(strings)), key=lambda i: strings[i][0]))
-        found = least_keys([strings[i][1] for i in order], np.array([strings[i][0] for i in order]), least[order], length)
         count = head[4]
-        mine = [None] * len(known)
-        for i, f in zip(order.tolist(), found, strict=True):
-            mine[i] = f
-        taken = np.concatenate([mine[i] for i in where.tolist()]) < np.repeat(head[1], count)
+
+        def least_of(keys: np.ndarray) -> np.ndarray:
+            """For every window: the smallest of `keys` among the documents that hold it."""
+            least = np.full(len(known), NO_KEY)
+            np.minimum.at(least, where, keys)
+            found = least_keys([strings[i][1] for i in order], np.array([strings[i][0] for i in order]), least[order], length)
+            mine = [None] * len(known)
+            for i, f in zip(order.tolist(), found, strict=True):
+                mine[i] = f
+            return np.concatenate([mine[i] for i in where.tolist()])
+
+        taken = least_of(head[1]) < np.repeat(head[1], count)
+        if group is not None:
+            taken |= least_of(-head[1]) < np.repeat(-head[1], count)
         member = np.repeat(np.arange(len(count)), count)
         window = np.arange(len(taken)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(head[3], count)
         t = np.flatnonzero(taken)
@@ -365,7 +378,7 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans array<struct<start, stop>> (removed byte runs), kept binary, and the carried columns."""
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", span_type), ("kept", pa.binary())])
-    carried = [f for f in parts.schema if f.name not in ("part", "doc_id", "key", "tag", "body")]
+    carried = [f for f in parts.schema if f.name not in ("part", "doc_id", "key", "tag", "body", "group")]
 
     def apply(part: pa.Table, side: pa.Table) -> pa.Table:
         copies = {r["key"] for r in notes_of(side, COPY)}
@@ -398,6 +411,11 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH) -> DataFrame:
     return parts.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(apply, out_type)
 
 
+def shared_spans(docs: DataFrame, key: str, text: str, group: str, length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_bytes, spans, kept and the carried columns: spans that documents of different keys in one group share."""
+    return cut(*repeated_spans(docs, key, text, length, carry, group), length).withColumnRenamed("doc_id", key)
+
+
 def decode(kept: Column) -> Column:
     """The text of kept bytes; the rest of a character that a span cut in two goes with it."""
 
