@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tracewell.plans import catalog
+from tracewell.plans import catalog, evidence, sequences
 
-QUERIES = {**catalog.QUERIES}
-ORACLES = {**catalog.ORACLES}
+MODULES = (catalog, evidence, sequences)
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
