@@ -7,9 +7,10 @@ register, so a document costs about m log m arrivals, whatever its length. Two r
 Jaccard of the two multisets. Bands of registers make buckets; a pair of different texts in a bucket is linked if its
 exact probability Jaccard is at least the threshold, and classes are the connected components of links and equal texts.
 
-Within a bucket every member is held against a first pivot, then, where the bucket still spans several classes, against
-the next 8, 64, ... pivots, until one class is left or every pair of different classes has been held against each other.
-Each round is linear in the members; pairs inside a class are never made. No partner, candidate or bucket is capped.
+Within a bucket every member is held against a pivot, the member with the most bucket mates. Members of buckets that
+then still span several classes are joined on the rarest shingles, by a rule that loses no pair that can be linked. So
+the pairs of a large bucket are never all made, pairs inside a class are not made at all, and no partner, candidate or
+bucket is capped.
 
 Defined cases: a null text counts as the empty text, and empty texts are copies of each other; equal keys are one
 document; a null key gets a class (its class_id is the smallest key in it, null if there is none); an empty table gives
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import materialize
@@ -116,6 +116,38 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(sum(n / np.maximum(p / x, q / y).sum() for (x, y), n in zip(ratio.T, many, strict=True)))
 
 
+def prefix_pairs(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that share one of their rarest shingles. open_: node, class.
+
+    With weights scaled to 1, the probability Jaccard is at most the weight of the common shingles. So if it reaches the
+    threshold, the rarest common shingle is, on either side, among the rarest ones whose weight exceeds 1 - threshold: no
+    pair that can be linked is lost. Where it is the rarest common one, the weights x and y before it are not common, and
+    the similarity is at most (1 - x)(1 - y) / (1 - xy); pairs for which that is too small aren't made. Shingles that only
+    one class has among its rarest make no pairs.
+    """
+    own = sets.join(open_, "node").select("node", "class", F.explode(F.arrays_zip("elements", "weights")).alias("s"))
+    own = own.select("node", "class", F.col("s.elements").alias("shingle"), F.col("s.weights").alias("weight"))
+    common = own.groupBy("shingle").agg(F.count("*").alias("holders"))
+    ranked = own.join(common, "shingle").groupBy("node", "class").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle", "weight"))).alias("by_rarity"))
+    total = F.aggregate("by_rarity", F.lit(0).cast("long"), lambda n, s: n + s["weight"])
+    # Weight before each shingle; it is kept while that is not over 1 - threshold of all.
+    running = F.aggregate(
+        "by_rarity",
+        F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<shingle: int, before: bigint>>").alias("kept")),
+        lambda run, s: F.struct(
+            (run["n"] + s["weight"]).alias("n"),
+            F.when(run["n"] <= (1 - threshold) * F.col("total") + 1e-9, F.array_append(run["kept"], F.struct(s["shingle"].alias("shingle"), run["n"].alias("before")))).otherwise(run["kept"]).alias("kept"),
+        ),
+    )
+    prefix = ranked.withColumn("total", total).select("node", "class", "total", F.explode(running["kept"]).alias("s"))
+    prefix = materialize(prefix.select("node", "class", F.col("s.shingle").alias("shingle"), (F.col("s.before") / F.col("total")).alias("before")), "prefix")
+    several = prefix.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("shingle")
+    prefix = prefix.join(several, "shingle", "left_semi")
+    a, b = (prefix.select("shingle", F.col("node").alias(n), F.col("class").alias(f"class_{n}"), F.col("before").alias(f"before_{n}")) for n in ("a", "b"))
+    near = f"(1 - before_a) * (1 - before_b) >= {threshold} * (1 - before_a * before_b) - 1e-9"
+    return a.join(b, "shingle").where(f"a < b AND class_a != class_b AND {near}").select("a", "b").distinct()
+
+
 def sign_documents(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
     """docs (doc_id, node, digest, words) with `bands` in place of words; without words there are none."""
 
@@ -205,43 +237,32 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     # One node for each text: the smallest of its documents.
     texts = materialize(signed.groupBy("digest").agg(F.min("node").alias("text_node"), F.first("bands").alias("bands")), "texts")
     nodes = texts.select(F.col("text_node").alias("node"), F.explode("bands").alias("bucket"))
-    shared = nodes.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = materialize(nodes.join(shared.select("bucket"), "bucket").distinct(), "members")
+    shared = nodes.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("mates")).where("least < most")
+    held_in = materialize(nodes.join(shared.select("bucket", "mates"), "bucket"), "held")
+    # A node with many bucket mates is the likeliest to be near them all: it makes the best pivot.
+    degrees = held_in.groupBy("node").agg((-F.sum("mates")).alias("degree"))
+    members = materialize(held_in.select("bucket", "node").join(degrees, "node").select("bucket", "node", F.struct("degree", "node").alias("place")), "members")
     asked = members.select("node").distinct()
     wanted = texts.select("digest", F.col("text_node").alias("node")).join(asked, "node", "left_semi")
     sets = materialize(shingle_sets(worded(plain.join(wanted, ["digest", "node"]).dropDuplicates(["node"])), k), "sets")
-    links = tested = labels = None
-    first, last = 1, 1
-    while True:
-        current = members if labels is None else members.join(labels, "node", "left")
-        current = current.withColumn("class", F.coalesce("component", "node") if labels is not None else F.col("node"))
-        spread = current.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"))
-        spread = spread.where((F.col("lo") < F.col("hi")) & (F.col("n") > first))
-        if first == 1:  # the first pivot needs no order within the bucket
-            pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"))
-            pairs = members.join(pivots, "bucket").where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            active = current.join(spread.select("bucket"), "bucket")
-            active = materialize(active.withColumn("nth", F.row_number().over(W.partitionBy("bucket").orderBy("node"))), "active")
-            pivots = active.where(F.col("nth").between(first, last)).select("bucket", F.col("node").alias("pivot"), F.col("class").alias("pivot_class"), F.col("nth").alias("at"))
-            held = active.join(pivots, "bucket").where("nth > at AND class != pivot_class")
-            pairs = held.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = materialize(verify(pairs, sets, threshold), "verified")
-        tested = found if tested is None else materialize(tested.union(found), "tested")
-        new = found.where("linked").select("a", "b")
-        if new.limit(1).count():
-            links = new if links is None else links.union(new)
-            labels = components(links)
-        first, last = last + 1, last + 8 * (last if last > 1 else 1)
-        left = members.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")) if labels is not None else members.withColumn("class", F.col("node"))
-        left = left.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"))
-        if not left.where((F.col("lo") < F.col("hi")) & (F.col("n") > first)).limit(1).count():
-            break
+    # First every member of a bucket is held against its pivot.
+    pivots = members.groupBy("bucket").agg(F.min("place").alias("first")).select("bucket", F.col("first.node").alias("pivot"))
+    pairs = members.join(pivots, "bucket").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    found = materialize(verify(pairs, sets, threshold), "verified")
+    links = found.where("linked").select("a", "b")
+    labels = components(links)
+    # Then members of buckets that still span several classes are joined by the shingles they must share.
+    classed = members.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    spread = classed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
+    open_ = materialize(classed.join(spread, "bucket", "left_semi").select("node", "class").distinct(), "open")
+    if open_.limit(1).count():
+        pairs = prefix_pairs(open_, sets, threshold).join(found.select("a", "b"), ["a", "b"], "left_anti")
+        more = materialize(verify(pairs, sets, threshold), "verified").where("linked").select("a", "b")
+        if more.limit(1).count():
+            labels = components(links.union(more))
     grouped = signed.select("doc_id", "node", "digest").join(texts.select("digest", "text_node"), "digest")
-    if labels is not None:
-        grouped = grouped.join(labels.select(F.col("node").alias("text_node"), "component"), "text_node", "left")
-        grouped = grouped.withColumn("text_node", F.coalesce("component", "text_node"))
+    grouped = grouped.join(labels.select(F.col("node").alias("text_node"), "component"), "text_node", "left")
+    grouped = grouped.withColumn("text_node", F.coalesce("component", "text_node"))
     return grouped.select("doc_id", "node", "digest", "text_node")
 
 
