@@ -246,9 +246,10 @@ def learnable() -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Field | None:
     """A field from at most `sample` labelled documents of each class; None unless both classes occur."""
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learnable())
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(known, "doc_id")
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
-    taken = [r for y in (0, 1) for r in rows.where(F.col("toxic") == y).orderBy("h", "text").limit(sample).select("text", "toxic").collect()]
+    each = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
+    few = docs.sparkSession.createDataFrame([r for e in each for r in e.collect()], known.schema)  # at most 2 x `sample` rows
+    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(few), "doc_id")
+    taken = sorted(rows.select("text", "toxic").collect())
     if len({r["toxic"] for r in taken}) < 2:
         return None
     return train([(r["text"], r["toxic"]) for r in taken])
