@@ -61,10 +61,9 @@ def optimal_match(a: DataFrame, b: DataFrame, stratum: list[str], time: str, key
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, y = (d.sort_values([time, key], kind="stable").reset_index(drop=True) for d in (left, right))
         pairs = match_times(x[time].to_numpy(float), y[time].to_numpy(float), tolerance) if len(x) and len(y) else []
-        i, j = [p[0] for p in pairs], [p[1] for p in pairs]
-        out = {c: x[c].to_numpy()[i] if len(x) else [] for c in stratum}
-        lag = y[time].to_numpy(float)[j] - x[time].to_numpy(float)[i] if pairs else []
-        return pd.DataFrame(out | {"a_key": x[key].to_numpy()[i] if pairs else [], "b_key": y[key].to_numpy()[j] if pairs else [], "lag": lag})
+        i, j = (np.array([p[n] for p in pairs], int) for n in (0, 1))
+        x, y = x.iloc[i].reset_index(drop=True), y.iloc[j].reset_index(drop=True)
+        return pd.DataFrame({**{c: x[c] for c in stratum}, "a_key": x[key], "b_key": y[key], "lag": y[time].astype(float) - x[time].astype(float)})
 
     return a.groupBy(*stratum).cogroup(b.groupBy(*stratum)).applyInPandas(run, schema)
 
