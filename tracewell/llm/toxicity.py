@@ -155,8 +155,8 @@ class Tagger:
         return np.split(out, ends[:-1])
 
 
-def toxic_affixes(docs: list[tuple[str, int]], least_z: float = 3.3, least: float = 2.0) -> set[str]:
-    """Affixes that toxic documents hold far more often than clean ones (log odds, and log odds over its deviation)."""
+def toxic_affixes(docs: list[tuple[str, int]], least_gain: float = 9.0, least: float = 2.0) -> set[str]:
+    """Affixes that toxic documents hold far more often than clean ones: by log odds, and by log likelihood ratio."""
     counts = (Counter(), Counter())
     for text, toxic in docs:
         counts[toxic].update({a for w in {t.lower() for t in TOKEN.findall(text) if t not in ENDS} for a in affixes(w)})
@@ -166,7 +166,9 @@ def toxic_affixes(docs: list[tuple[str, int]], least_z: float = 3.3, least: floa
     for a, c1 in counts[1].items():
         c0 = counts[0][a]
         odds = np.log((c1 + 0.5) / (n1 + 1) / ((c0 + 0.5) / (n0 + 1)))
-        if odds >= least and odds / np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5)) >= least_z:
+        share = n1 / len(docs)
+        gain = c1 * np.log(c1 / ((c1 + c0) * share)) + (c0 * np.log(c0 / ((c1 + c0) * (1 - share))) if c0 else 0.0)
+        if odds >= least and gain >= least_gain:
             out.add(a)
     return out
 
