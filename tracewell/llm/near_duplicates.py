@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialize
+from tracewell.llm.common import bounded_batches, materialize
 from tracewell.llm.graph import components
 from tracewell.session import table
 
@@ -153,8 +153,8 @@ def sign_documents(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 words = pa.concat_arrays([batch.column("words")])
                 owner, element, weight = shingles(words, k)
                 sign = signatures(owner, element, weight, batch.num_rows, count * rows)
@@ -230,6 +230,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, node, digest, text_node (the class) of every document."""
+    bounded_batches(docs.sparkSession)
     node, digest = identity(F.col(key), F.col(text))
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), node.alias("node"), digest.alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     worded = lambda df: df.withColumn("words", word_hashes(F.col("text"))).drop("text")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialize, partitions
+from tracewell.llm.common import bounded_batches, materialize, partitions
 from tracewell.llm.tokens import encoder, vocabulary
 from tracewell.session import table
 
@@ -29,6 +29,7 @@ END_ID = 1
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from tracewell.session import table
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes of text in a part, and windows that one sort takes at most (names must fit 21 bits).
-PART_BYTES, SORT_WINDOWS = 24_000_000, 500_000
+PART_BYTES, SORT_WINDOWS = 16_000_000, 250_000
 PAD = b"\0" * 64
 NO_KEY = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -61,7 +61,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
     at = 0
     while at < len(texts):
         upto, size = at, 0
-        while upto < len(texts) and (upto == at or size + len(texts[upto]) < 4_000_000):
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1_000_000):
             size += len(texts[upto])
             upto += 1
         for k, x in enumerate(_anchors(texts[at:upto], length)):

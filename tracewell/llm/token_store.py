@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import new_path, partitions
+from tracewell.llm.common import bounded_batches, new_path, partitions
 from tracewell.llm.tokens import encoder, vocabulary
 from tracewell.session import table
 
@@ -162,6 +162,7 @@ class TokenStore:
         whole shard.
         """
         spark = docs.sparkSession
+        bounded_batches(spark)
         folder = folder or new_path(spark, "tokens")
         rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
         by_key = F.col("key").asc_nulls_first()

@@ -15,7 +15,7 @@ from itertools import islice
 import numpy as np
 
 #: Most pieces that a worker remembers, and characters of one call that it does so for; it starts afresh beyond.
-REMEMBER, LONGEST = 500_000, 20_000_000
+REMEMBER, LONGEST = 400_000, 20_000_000
 _ODD = re.compile("[\x1c-\x1f]")
 # Letters and numbers of Latin-1, and the contractions that both vocabularies keep apart.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"

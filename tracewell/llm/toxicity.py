@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import bounded_batches
 from tracewell.session import table
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
@@ -36,7 +37,7 @@ BITS = 18
 #: Documents of each class that a fit reads at most, and characters of each of them.
 SAMPLE, SAMPLE_CHARS = 2000, 10_000
 #: Word types a worker remembers at most; it starts afresh beyond.
-REMEMBER = 200_000
+REMEMBER = 120_000
 THRESHOLD = 0.7
 
 
@@ -263,6 +264,7 @@ RESULTS = "score double, toxic_tokens array<struct<offset: int, length: int, p:
 def score(docs: DataFrame, field: Field | None, text: str = "text", spans: bool = True) -> DataFrame:
     """docs with `score` and `toxic_tokens` (offset and length in code points, marginal) of tokens likelier toxic than not."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     kept = [c for c in docs.columns if c not in ("score", "toxic_tokens")]
     shared = spark.sparkContext.broadcast(field)  # the weights: 2 ** BITS numbers, whatever the data
     span_type = pa.list_(pa.struct([("offset", pa.int32()), ("length", pa.int32()), ("p", pa.float64())]))
@@ -271,8 +273,8 @@ def score(docs: DataFrame, field: Field | None, text: str = "text", spans: bool
         field = shared.value
         tagger = Tagger(field) if field is not None else None
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
                 texts = [t or "" for t in batch.column(text).to_pylist()]
                 found = tagger.marginals(texts) if tagger else [np.zeros(0)] * len(texts)
                 scores = field.scores(found, None) if tagger else np.zeros(len(texts))
