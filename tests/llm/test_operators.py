@@ -105,6 +105,31 @@ def test_near_duplicates(docs, rows, nothing):
     assert near_duplicates.near_duplicates(nothing).count() == 0 and near_duplicates.keep_one(nothing).count() == 0
 
 
+def test_a_large_group_of_edited_copies(spark):
+    """Most pairs are a little below the threshold, so buckets span several classes and the prefix join decides."""
+    rng = np.random.default_rng(12)
+    base, data = words(rng, 150).split(), []
+    for i in range(90):
+        w = list(base)
+        for at in rng.integers(0, 150, 1 + i % 6):
+            w[at] = f"x{rng.integers(1 << 40)}"
+        data.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(146)} for _, t in data]
+    parent = list(range(90))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b in range(90):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(90)}
+
+
 def test_signatures_estimate_the_probability_jaccard():
     rng = np.random.default_rng(5)
     a = {int(x): int(w) for x, w in zip(rng.integers(1, 1 << 62, 120), rng.integers(1, 4, 120))}

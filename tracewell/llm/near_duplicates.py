@@ -139,13 +139,15 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFra
             F.when(run["n"] <= (1 - threshold) * F.col("total") + 1e-9, F.array_append(run["kept"], F.struct(s["shingle"].alias("shingle"), run["n"].alias("before")))).otherwise(run["kept"]).alias("kept"),
         ),
     )
-    prefix = ranked.withColumn("total", total).select("node", "class", "total", F.explode(running["kept"]).alias("s"))
-    prefix = materialize(prefix.select("node", "class", F.col("s.shingle").alias("shingle"), (F.col("s.before") / F.col("total")).alias("before")), "prefix")
+    kept = materialize(ranked.withColumn("total", total).select("node", "class", "total", running["kept"].alias("kept")), "prefix")
+    prefix = kept.select("node", "class", "total", F.transform("kept", lambda s: s["shingle"]).alias("rare"), F.explode("kept").alias("s"))
+    prefix = prefix.select("node", "class", "rare", F.col("s.shingle").alias("shingle"), (F.col("s.before") / F.col("total")).alias("before"))
     several = prefix.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("shingle")
     prefix = prefix.join(several, "shingle", "left_semi")
-    a, b = (prefix.select("shingle", F.col("node").alias(n), F.col("class").alias(f"class_{n}"), F.col("before").alias(f"before_{n}")) for n in ("a", "b"))
+    own = lambda n: prefix.select("shingle", F.col("node").alias(n), F.col("class").alias(f"class_{n}"), F.col("before").alias(f"before_{n}"), F.col("rare").alias(f"rare_{n}"))
     near = f"(1 - before_a) * (1 - before_b) >= {threshold} * (1 - before_a * before_b) - 1e-9"
-    return a.join(b, "shingle").where(f"a < b AND class_a != class_b AND {near}").select("a", "b").distinct()
+    rarest = "element_at(array_intersect(rare_a, rare_b), 1) = shingle"  # each pair is made once
+    return own("a").join(own("b"), "shingle").where(f"a < b AND class_a != class_b AND {near} AND {rarest}").select("a", "b").distinct()
 
 
 def sign_documents(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
