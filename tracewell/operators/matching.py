@@ -58,14 +58,18 @@ def optimal_match(a: DataFrame, b: DataFrame, stratum: list[str], time: str, key
     fields = {f.name: f.dataType.simpleString() for f in a.schema}
     schema = ", ".join([*(f"{c} {fields[c]}" for c in stratum), f"a_key {fields[key]}", f"b_key {fields[key]}", "lag double"])
 
+    # The sides may come from one table: without names of its own, the right one loses columns to pruning.
+    b, names = b.toDF(*(f"b_{c}" for c in b.columns)), b.columns
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.set_axis(names, axis=1)
         x, y = (d.sort_values([time, key], kind="stable").reset_index(drop=True) for d in (left, right))
         pairs = match_times(x[time].to_numpy(float), y[time].to_numpy(float), tolerance) if len(x) and len(y) else []
         i, j = (np.array([p[n] for p in pairs], int) for n in (0, 1))
         x, y = x.iloc[i].reset_index(drop=True), y.iloc[j].reset_index(drop=True)
         return pd.DataFrame({**{c: x[c] for c in stratum}, "a_key": x[key], "b_key": y[key], "lag": y[time].astype(float) - x[time].astype(float)})
 
-    return a.groupBy(*stratum).cogroup(b.groupBy(*stratum)).applyInPandas(run, schema)
+    return a.groupBy(*stratum).cogroup(b.groupBy(*(f"b_{c}" for c in stratum))).applyInPandas(run, schema)
 
 
 def suppress(index: np.ndarray, score: np.ndarray, separation: float) -> np.ndarray:

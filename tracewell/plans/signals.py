@@ -145,6 +145,16 @@ def q_optimal_match(spark: SparkSession, sf: str) -> DataFrame:
     return optimal_match(a, b, ["user_id"], "t", "event_id", 7200.0)
 
 
+def q_pooled_f1(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks, views and their one-to-one matches of each user, summed by variant; its SQL pairs counts without times."""
+    variant = (F.col("user_id") % 10).alias("variant")
+    kinds = [F.when(F.col("event_type") == kind, 1).otherwise(0).alias(name) for kind, name in (("click", "na"), ("view", "nb"))]
+    sides = table(spark, sf, "events").select(variant, *kinds, F.lit(0).alias("matched"))
+    pairs = q_optimal_match(spark, sf).select(variant, F.lit(0).alias("na"), F.lit(0).alias("nb"), F.lit(1).alias("matched"))
+    sums = sides.unionByName(pairs).groupBy("variant").agg(*(F.sum(c).alias(c) for c in ("na", "nb", "matched")))
+    return sums.withColumn("f1", F.round(2.0 * F.col("matched") / F.nullif(F.col("na") + F.col("nb"), F.lit(0)), 9))
+
+
 def q_shard_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Files of a source, in blocks of 4096 names, into shards of at most 20,000 units."""
     files = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / 4096).alias("block"), "doc_id", (F.col("n_chars") + 512).alias("size"))
@@ -162,7 +172,7 @@ def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     return model.transform(fitted).select("vec_id", "label", "code")
 
 
-NAMES = "q_filter_zero_phase q_periodogram q_savgol q_resample q_view_features q_phase_surrogate q_landmarks q_bootstrap_ci q_timing_null q_ami q_nms_peaks q_optimal_match q_shard_plan q_tokenize"
+NAMES = "q_filter_zero_phase q_periodogram q_savgol q_resample q_view_features q_phase_surrogate q_landmarks q_bootstrap_ci q_timing_null q_ami q_nms_peaks q_optimal_match q_pooled_f1 q_shard_plan q_tokenize"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 ORACLES = {
     "q_nms_peaks": "WITH RECURSIVE m AS ("
