@@ -58,3 +58,38 @@ def test_pooled_f1_counts_matches_in_time(spark, tmp_path):
     assert {v: (r.na, r.nb, r.matched) for v, r in got.items()} == {v: tuple(w) for v, w in want.items()}
     assert all(abs(r.f1 - 2 * r.matched / (r.na + r.nb)) < 1e-8 for r in got.values())
     assert sum(r.matched for r in got.values()) < sum(min(map(len, times[u])) for u in times)
+
+
+def test_lineage_edges_link_whole_texts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    say = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 60, n))
+    items = [(i, say(int(rng.integers(1, 30)))) for i in range(12)] + [(12, "solo"), (13, "two words"), (14, "only three here"), (15, ""), (16, None)]
+    docs = [(i, say(int(rng.integers(1, 200)))) for i in range(40)]
+    for i in range(20):
+        docs.append((100 + i, f"{say(60)}\n{items[i % 15][1]}{['', '.', 'x y', ' z'][i % 4]}"))
+    docs += [(200, f"pre{items[3][1]}post {items[5][1]}"), (201, items[4][1][:-1]), (202, None), (203, ""), (204, "a two  words b"), (205, items[9][1])]
+    want = {d: min(found) for d, t in docs if (found := [i for i, x in items if x and t and x in t])}
+    got = run(spark, tmp_path, "q_lineage_edges", documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
+    assert {r.child: r.parent for r in got} == want and len(got) == len(want) and {r.relation for r in got} == {"reads"}
+
+
+def test_lineage_closure_walks_from_every_document(spark, tmp_path):
+    keys = [0, 1, 2, 3, 399, 400, 5000, 6560, 6561, 3**39, 2**63 - 1]
+    want = {}
+    for k in keys[1:]:
+        way, at = [], k
+        while at > 0:
+            at //= 3
+            way.append(at)
+        want[k] = (len(way), len(way), 0)
+    got = run(spark, tmp_path, "q_lineage_closure", documents=([(k, "t") for k in keys], "doc_id long, text string"))
+    assert {r.child: (r.depth, r.ancestors, r.root) for r in got} == want
+
+
+def test_domain_completion_counts_all_orders(spark, tmp_path):
+    orders = [(i, i, "FO"[i % 2], f"{i % 3}-P", float(i)) for i in range(1000) if i % 6 != 5]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_totalprice double"
+    got = run(spark, tmp_path, "q_domain_completion", orders=(orders, schema))
+    want = {(s, f"{p}-P"): sum(o[2] == s and o[3] == f"{p}-P" for o in orders) for s in "FO" for p in range(3)}
+    assert {(r.o_orderstatus, r.o_orderpriority): r.n for r in got} == want and 0 in want.values()
+    assert all((r.reason is None) == (r.n > 0) for r in got)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tracewell.plans.sql import both
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.plans.sql import both, query
+from tracewell.session import table
 
 TEXTS = {
     # Totals with unknown sums kept unknown, and a sum of nothing made 0 where the catalogue says so.
@@ -108,4 +112,45 @@ SELECT c_mktsegment AS acquisition, count(*) AS people, @count_if(n IS NULL) AS
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS b FROM orders GROUP BY o_custkey) AS o ON c_custkey = o_custkey GROUP BY c_mktsegment""",
     "q_seed_arithmetic": "SELECT event_id, 9009 + user_id * 1000003 + event_id * 17 AS seed FROM events",
 }
+#: The whole job of queries whose text above, which stays their registered SQL, holds a cut.
+WHOLE = {
+    "q_domain_completion": """
+WITH k AS (SELECT DISTINCT o_orderstatus FROM orders), p AS (SELECT DISTINCT o_orderpriority FROM orders),
+n AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority)
+SELECT k.o_orderstatus, p.o_orderpriority, coalesce(n.n, 0) AS n, CASE WHEN n.n IS NULL THEN 'MODEL_OR_EVENT_RESULT_MISSING' END AS reason
+FROM k CROSS JOIN p LEFT JOIN n ON n.o_orderstatus = k.o_orderstatus AND n.o_orderpriority = p.o_orderpriority""",
+    # A key has at most 40 digits in base 3, so 40 steps reach the root from any; 0 is the root and has no ancestors.
+    "q_lineage_closure": """
+WITH a AS (SELECT doc_id AS child, aggregate(sequence(1, 40), array(doc_id), (a, i) -> CASE WHEN element_at(a, -1) > 0 THEN concat(a, array(element_at(a, -1) div 3L)) ELSE a END) AS way FROM documents WHERE doc_id > 0)
+SELECT child, max(size(way) - 1) AS depth, sum(size(way) - 1) AS ancestors, min(array_min(way)) AS root FROM a GROUP BY child""",
+}
+
+
+def q_lineage_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that contain a benchmark text whole, with the first such text.
+
+    A text's words without its first and last, which may be parts of longer words in a document, stand there as words.
+    Windows of up to four of them are joined by hash, and the pairs found are verified on the texts.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    items = table(spark, sf, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("item"))
+    words = F.split("item", r"\s+")
+    inner = F.least(F.lit(4), F.size(words) - 2)
+    keys = items.where(inner > 0).select("item_id", inner.alias("width"), F.xxhash64(F.slice(words, F.lit(2), inner)).alias("key"))
+
+    def windows(w):
+        last = F.size(w) - F.col("width") + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(w, i, F.col("width"))))).otherwise(F.array().cast("array<bigint>"))
+
+    wide = docs.where("text IS NOT NULL").crossJoin(F.broadcast(keys.select("width").distinct()))  # four rows at most
+    split = F.transform(F.array(F.split("text", r"\s+")), windows)  # bound once: a column would be split anew for each window
+    found = wide.select("doc_id", "width", F.explode(F.array_distinct(F.flatten(split))).alias("key"))
+    pairs = found.join(keys, ["width", "key"]).select(F.col("doc_id").alias("child"), "item_id").distinct()
+    near = pairs.join(items, "item_id").join(docs, F.col("child").eqNullSafe(F.col("doc_id")))
+    short = docs.join(items.where(inner < 1), F.contains("text", "item")).select(F.col("doc_id").alias("child"), "item_id")
+    every = near.where(F.contains("text", "item")).select("child", "item_id").unionByName(short)
+    return every.groupBy("child").agg(F.min("item_id").alias("parent")).select("child", "parent", F.lit("reads").alias("relation"))
+
+
 QUERIES, ORACLES = both(TEXTS)
+QUERIES |= {k: query(v) for k, v in WHOLE.items()} | {"q_lineage_edges": q_lineage_edges}
