@@ -1,11 +1,13 @@
 """Queries that cover all rows, on small tables against brute force."""
 
+import math
 import os
 from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
 
+from tracewell.operators import kernels
 from tracewell.plans import registry
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -93,3 +95,30 @@ def test_domain_completion_counts_all_orders(spark, tmp_path):
     want = {(s, f"{p}-P"): sum(o[2] == s and o[3] == f"{p}-P" for o in orders) for s in "FO" for p in range(3)}
     assert {(r.o_orderstatus, r.o_orderpriority): r.n for r in got} == want and 0 in want.values()
     assert all((r.reason is None) == (r.n > 0) for r in got)
+
+
+def test_ami_uses_the_counts_of_a_large_table(spark, tmp_path):
+    counts = np.array([[15000, 40, 3, 900], [60, 9000, 1, 2], [5, 300, 8, 1]])
+    rows = [(i, None, j, f"k{a}", 0.0, None) for a, row in enumerate(counts) for j, n in enumerate(row) for i in range(n)]
+    n, x, y = int(counts.sum()), counts.sum(1).tolist(), counts.sum(0).tolist()
+    log = lambda k: math.lgamma(k + 1)
+    expected = 0.0
+    for a in x:
+        for b in y:
+            for k in range(max(1, a + b - n), min(a, b) + 1):
+                chance = log(a) + log(b) + log(n - a) + log(n - b) - log(n) - log(k) - log(a - k) - log(b - k) - log(n - a - b + k)
+                expected += k / n * math.log(n * k / (a * b)) * math.exp(chance)
+    entropy = lambda v: -sum(t / n * math.log(t / n) for t in v)
+    mutual = sum(c / n * math.log(n * c / (x[i] * y[j])) for (i, j), c in np.ndenumerate(counts))
+    want = (mutual - expected) / ((entropy(x) + entropy(y)) / 2 - expected)
+    assert n > 20_000
+    assert abs(run(spark, tmp_path, "q_ami", events=(rows, EVENTS))[0].ami - want) < 1e-9
+
+
+def test_chance_information_in_chunks():
+    for x, y, n in ((1, 1, 2), (5, 3, 8), (40, 70, 100), (700, 20, 900), (2, 900, 900), (1200, 1100, 2000)):
+        want = 0.0
+        for k in range(max(1, x + y - n), min(x, y) + 1):
+            want += k / n * math.log(n * k / (x * y)) * (math.comb(x, k) * math.comb(n - x, y - k) / math.comb(n, y))
+        for chunk in (7, 1 << 20):
+            assert abs(kernels.chance_information(x, y, n, chunk) - want) < 1e-12

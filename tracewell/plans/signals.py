@@ -129,9 +129,18 @@ def contingency(spark: SparkSession, sf: str) -> np.ndarray:
 
 def q_ami(spark: SparkSession, sf: str) -> DataFrame:
     counts = contingency(spark, sf)
-    # The chance term sums over cells whose counts may be large: it works on the table, never on rows.
-    scaled = counts if counts.sum() < 20_000 else np.maximum(1, counts * 20_000 // counts.sum())
-    return spark.createDataFrame([(kernels.adjusted_mutual_information(scaled),)], "ami double")
+    n, rows, columns = int(counts.sum()), counts.sum(1).tolist(), counts.sum(0).tolist()
+    if n < 2:
+        return spark.createDataFrame([(None,)], "ami double")
+
+    # The chance term sums over all counts that a cell may have, so each task takes cells of the table.
+    def work(batches):
+        for batch in batches:
+            yield pd.DataFrame({"expected": [kernels.chance_information(x, y, n) for x, y in zip(batch["x"].tolist(), batch["y"].tolist(), strict=True)]})
+
+    cells = spark.createDataFrame([(x, y) for x in rows for y in columns], "x long, y long").repartition(len(rows) * len(columns))
+    expected = cells.mapInPandas(work, "expected double").agg(F.sum("expected")).first()[0]
+    return spark.createDataFrame([(kernels.adjusted_mutual_information(counts, expected),)], "ami double")
 
 
 def q_nms_peaks(spark: SparkSession, sf: str) -> DataFrame:
