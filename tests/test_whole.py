@@ -1,5 +1,6 @@
 """Queries that cover all rows, on small tables against brute force."""
 
+import itertools
 import math
 import os
 from collections import defaultdict
@@ -122,3 +123,51 @@ def test_chance_information_in_chunks():
             want += k / n * math.log(n * k / (x * y)) * (math.comb(x, k) * math.comb(n - x, y - k) / math.comb(n, y))
         for chunk in (7, 1 << 20):
             assert abs(kernels.chance_information(x, y, n, chunk) - want) < 1e-12
+
+
+def by_user(rows):
+    own = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        own[r[2]].append(r)
+    return own
+
+
+def test_signflip_takes_all_users(spark, tmp_path):
+    rows = events(900, 260, 2)
+    effect = {u: np.mean([r[4] for r in own]) - 50 for u, own in by_user(rows).items()}
+    want = {}
+    for g in range(25):
+        users = sorted(u for u in effect if u % 25 == g)
+        for at in range(0, len(users), 6):
+            x = np.array([effect[u] for u in users[at : at + 6]])
+            signs = np.array(list(itertools.product([1, -1], repeat=len(x))))
+            want[g, at // 6] = (len(x), float((abs(signs @ x) >= abs(x.sum()) - 1e-12).mean()) if len(x) > 1 else None)
+    got = run(spark, tmp_path, "q_signflip", events=(rows, EVENTS))
+    assert {(r.g, r.block): (r.people, r.p_value and round(r.p_value, 8)) for r in got} == {k: (n, p and round(p, 8)) for k, (n, p) in want.items()}
+    assert sum(r.people for r in got) == len(effect) > 150
+
+
+def test_blocks_and_bins_cover_all_events(spark, tmp_path):
+    rows = events(700, 3, 6) + [(900, datetime(2024, 1, 5), 7, "view", 5.0, '{"k": 5}')]
+    rows += [(901 + i, datetime(2024, 1, 5 + i), 8, "view", 5.0, '{"k": %d}' % i) for i in range(2)]
+    own = by_user(rows)
+    shifts, stats, bins = {}, {}, {}
+    for u, es in own.items():
+        for at in range(0, len(es), 27):
+            a, b = np.array([e[4] for e in es[at : at + 27]]), np.array([float(e[5][6:-1]) for e in es[at : at + 27]])
+            rho = [np.corrcoef(a, np.roll(b, -s))[0, 1] for s in range(len(a))] if len(set(a)) > 1 else [None]
+            above = sum(r >= rho[0] - 1e-12 for r in rho[1:])
+            shifts[u, at // 27] = (len(a), above, (1 + above) / len(a) if rho[0] is not None else None)
+        for at in range(0, len(es), 60):
+            v = sorted(e[4] for e in es[at : at + 60])
+            stats[u, at // 60] = (len(v), v[2], v[29], v[57], None) if len(v) == 60 else (len(v), None, None, None, "NOT_ESTIMABLE")
+        for k in range(-(-len(es) // 20)):
+            for kind in ["click", "view", "error", "purchase", "signup"]:
+                bins[u, kind, k] = sum(e[3] == kind for e in es[20 * k : 20 * k + 20])
+    got = run(spark, tmp_path, "q_cyclic_shift_null", events=(rows, EVENTS))
+    assert {(r.user_id, r.block): (r.n, r.above) for r in got} == {k: v[:2] for k, v in shifts.items()}
+    assert all(r.p_value == shifts[r.user_id, r.block][2] or abs(r.p_value - shifts[r.user_id, r.block][2]) < 1e-5 for r in got)
+    got = run(spark, tmp_path, "q_order_stats", events=(rows, EVENTS))
+    assert {(r.user_id, r.block): (r.n, r.low, r.middle, r.high, r.reason) for r in got} == stats
+    got = run(spark, tmp_path, "q_event_bins", events=(rows, EVENTS))
+    assert {(r.user_id, r.event_type, r.bin): r.n for r in got} == bins and sum(r.n for r in got) == len(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.plans.sql import both
+from tracewell.plans.sql import both, query
 
 #: Recordings as sequences with a row number and seconds since the first event of the table's first day.
 E = "e AS (SELECT user_id, event_id, event_type, value, @us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
@@ -135,4 +135,13 @@ SELECT user_id, k, CASE WHEN n0 = 3 AND n1 = 3 THEN round(abs(post - pre), 9) EN
        CASE WHEN n0 = 3 AND n1 = 3 THEN round(path / (@float(t1 - t0) / 1000000), 9) END AS speed, CASE WHEN n0 = 3 AND n1 = 3 THEN round(abs(last_v - pre), 9) END AS return_distance,
        CASE WHEN n0 = 3 AND n1 = 3 AND b1 <> b0 AND last_v <> a0 THEN round(acos(greatest(-1.0, least(1.0, sign(b1 - b0) * sign(last_v - a0)))), 9) END AS turning_angle FROM p""",
 }
+#: The whole job where the text above, which stays the registered SQL, drops rows: bins up to each recording's last one.
+WHOLE = {
+    "q_event_bins": f"""
+WITH {E}, u AS (SELECT user_id, @idiv((max(k) - 1) / 20.0) + 1 AS bins FROM e GROUP BY user_id),
+grid AS (SELECT user_id, event_type, bin FROM (SELECT user_id, @numbers(bins) AS bin FROM u) AS b CROSS JOIN (SELECT DISTINCT event_type FROM e) AS t),
+c AS (SELECT user_id, event_type, @idiv((k - 1) / 20.0) AS bin, count(*) AS n FROM e GROUP BY user_id, event_type, @idiv((k - 1) / 20.0))
+SELECT g.user_id, g.event_type, @long(g.bin) AS bin, coalesce(c.n, 0) AS n FROM grid g LEFT JOIN c ON c.user_id = g.user_id AND c.event_type = g.event_type AND c.bin = g.bin""",
+}
 QUERIES, ORACLES = both(TEXTS)
+QUERIES |= {k: query(v) for k, v in WHOLE.items()}

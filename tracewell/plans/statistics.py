@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.plans.sql import MACROS, both
+from tracewell.plans.sql import MACROS, both, query
 
 MACROS["dot"] = ("aggregate(zip_with(%s, (p, q) -> CAST(p AS double) * q), CAST(0 AS double), (s, v) -> s + v)", "list_inner_product(%s)")
 MACROS["vec"] = ("transform(%s, v -> CAST(v AS double))", "CAST(%s AS double[])")
@@ -71,4 +71,29 @@ SELECT user_id % 10 AS variant, sum(na) AS na, sum(nb) AS nb, sum(matched) AS ma
 WITH {V}, c AS (SELECT label AS code, min(vec_id) AS vec_id FROM v GROUP BY label), d AS (SELECT v.vec_id, c.code, round(@dot(v.x, v.x) - 2 * @dot(v.x, w.x) + @dot(w.x, w.x), 9) AS far FROM v CROSS JOIN c JOIN v w ON w.vec_id = c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY far, code) AS r FROM d) SELECT vec_id, code FROM r WHERE r = 1""",
 }
+#: The whole job of queries whose text above, which stays their registered SQL, caps rows: blocks that cover all of them.
+WHOLE = {
+    # A block's shifts are as many as its events; a block whose profiles have no correlation has no p value.
+    "q_cyclic_shift_null": """
+WITH e AS (SELECT user_id, value, @float(@json(props, '$.k')) AS other, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events),
+p AS (SELECT user_id, @idiv(r / 27.0) AS block, r % 27 AS k, value AS a, other AS b, count(*) OVER (PARTITION BY user_id, @idiv(r / 27.0)) AS n FROM e),
+s AS (SELECT p.user_id, p.block, p.n, p.k, p.a, shift FROM (SELECT *, @numbers(n) AS shift FROM p) AS p),
+c AS (SELECT s.user_id, s.block, s.shift, max(s.n) AS n, covar_pop(s.a, q.b) / nullif(stddev_pop(CASE WHEN q.b IS NOT NULL THEN s.a END) * stddev_pop(CASE WHEN s.a IS NOT NULL THEN q.b END), 0) AS rho FROM s JOIN p q ON q.user_id = s.user_id AND q.block = s.block AND q.k = (s.k + s.shift) % s.n GROUP BY s.user_id, s.block, s.shift),
+o AS (SELECT user_id, block, max(CASE WHEN shift = 0 THEN rho END) AS observed FROM c GROUP BY user_id, block)
+SELECT c.user_id, c.block, max(c.n) AS n, round(max(o.observed), 6) AS observed, @count_if(shift > 0 AND rho >= observed - 1e-12) AS above,
+       CASE WHEN max(o.observed) IS NOT NULL THEN round(@float(1 + @count_if(shift > 0 AND rho >= observed - 1e-12)) / max(c.n), 6) END AS p_value
+FROM c JOIN o ON o.user_id = c.user_id AND o.block = c.block GROUP BY c.user_id, c.block""",
+    "q_signflip": """
+WITH x AS (SELECT user_id % 25 AS g, row_number() OVER (PARTITION BY user_id % 25 ORDER BY user_id) - 1 AS r, avg(value) - 50 AS effect FROM events GROUP BY user_id),
+f AS (SELECT g, @idiv(r / 6.0) AS block, r % 6 AS k, effect FROM x), s AS (SELECT f.*, assignment FROM (SELECT *, @numbers(64) AS assignment FROM f) AS f),
+t AS (SELECT g, block, assignment, sum(effect * CASE WHEN @idiv(assignment / power(2, k)) % 2 = 1 THEN -1 ELSE 1 END) AS total, sum(effect) AS observed, count(*) AS n FROM s GROUP BY g, block, assignment)
+SELECT g, block, max(n) AS people, CASE WHEN max(n) >= 2 THEN round(@float(@count_if(abs(total) >= abs(observed) - 1e-12)) / count(*), 9) END AS p_value,
+       CASE WHEN max(n) >= 2 THEN round(least(1.0, 4 * @float(@count_if(abs(total) >= abs(observed) - 1e-12)) / count(*)), 9) END AS p_bonferroni FROM t GROUP BY g, block""",
+    "q_order_stats": f"""
+WITH {E}, b AS (SELECT user_id, @idiv((k - 1) / 60.0) AS block, event_id, value FROM e),
+s AS (SELECT user_id, block, value, row_number() OVER (PARTITION BY user_id, block ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY user_id, block) AS n FROM b)
+SELECT user_id, block, max(n) AS n, max(CASE WHEN r = 3 AND n = 60 THEN value END) AS low, max(CASE WHEN r = 30 AND n = 60 THEN value END) AS middle, max(CASE WHEN r = 58 AND n = 60 THEN value END) AS high,
+       CASE WHEN max(n) < 60 THEN 'NOT_ESTIMABLE' END AS reason FROM s GROUP BY user_id, block""",
+}
 QUERIES, ORACLES = both(TEXTS)
+QUERIES |= {k: query(v) for k, v in WHOLE.items()}
