@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
+from tracewell.llm import repeats
 from tracewell.operators import kernels
 from tracewell.plans import registry
 
@@ -171,3 +172,25 @@ def test_blocks_and_bins_cover_all_events(spark, tmp_path):
     assert {(r.user_id, r.block): (r.n, r.low, r.middle, r.high, r.reason) for r in got} == stats
     got = run(spark, tmp_path, "q_event_bins", events=(rows, EVENTS))
     assert {(r.user_id, r.event_type, r.bin): r.n for r in got} == bins and sum(r.n for r in got) == len(rows)
+
+
+def test_copies_are_texts_not_keys(spark):
+    rng = np.random.default_rng(7)
+    say = lambda n: " ".join(f"x{i}" for i in rng.integers(0, 10**6, n))
+    first, passage = say(30), say(20)
+    docs = [(1, first), (None, first), (None, say(30)), (None, f"{say(10)} {passage}"), (5, first), (5, f"{say(9)} {passage} {say(9)}"), (5, first)]
+    docs += [(6, f"{passage} {say(5)}"), (None, "short"), (7, say(25))]
+    order = lambda k: (1 << 63) - 1 if k is None else k
+    least = {}
+    for k, text in docs:
+        for s in range(len(text) - 49):
+            least[text[s : s + 50]] = min(order(k), least.get(text[s : s + 50], 1 << 64))
+    want = []
+    for k, text in docs:
+        gone = np.zeros(len(text), bool)
+        for s in range(len(text) - 49):
+            if least[text[s : s + 50]] < order(k):
+                gone[s : s + 50] = True
+        want.append((str(k), "".join(c for c, g in zip(text, gone) if not g)))
+    got = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), bytes(r.kept).decode()) for r in got) == sorted(want)

@@ -242,10 +242,10 @@ def documents_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], n
     return key[order], tag[order], [texts[i] for i in order], order
 
 
-def distinct_documents(part: pa.Table, copies: set[int]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def distinct_documents(part: pa.Table, copies: set[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """key, tag, text and group of documents that aren't copies of earlier texts, in a fixed order."""
     key, tag, texts, order = documents_of(part)
-    kept = [i for i, k in enumerate(key.tolist()) if k not in copies]
+    kept = [i for i, which in enumerate(zip(key.tolist(), tag.tolist(), strict=True)) if which not in copies]
     return key[kept], tag[kept], [texts[i] for i in kept], part.column("group").to_numpy()[order][kept].view(np.uint64)
 
 
@@ -253,9 +253,14 @@ def notes_of(side: pa.Table, kind: int) -> list[dict]:
     return [r for r in side.to_pylist() if r["kind"] == kind]
 
 
+def copies_of(side: pa.Table) -> set[tuple[int, int]]:
+    """(key, tag) of the copies: keys may be null or repeat, so a key alone doesn't name a text."""
+    return {(r["key"], r["tag"]) for r in notes_of(side, COPY)}
+
+
 COPY, MARKS, SPANS = 0, 1, 2
-NOTE = "part int, kind int, key long, bucket int, payload binary"
-_note_schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
+NOTE = "part int, kind int, key long, tag long, bucket int, payload binary"
+_note_schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("tag", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -276,22 +281,22 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     group_hash = F.lit(0).cast("long") if group is None else F.xxhash64(group)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), body.alias("body"), group_hash.alias("group"), *carry)
-    ids = rows.select("key", F.md5("body").alias("digest"), F.octet_length("body").alias("n"))
+    ids = rows.select("key", F.xxhash64("body").alias("tag"), F.md5("body").alias("digest"), F.octet_length("body").alias("n"))
     size = ids.agg(F.sum("n")).first()[0] or 0
     parts_n = max(partitions(spark), -(-size // PART_BYTES))
     part_of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts_n)).cast("int")
     earliest = ids.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     if group is not None:
         earliest = earliest.where("false")  # every copy testifies
-    copies = materialize(ids.where(F.col("n") >= length).join(earliest, "digest").where("key > first").select("key").distinct(), "copies")
-    copy_notes = copies.select(part_of(F.col("key")).alias("part"), F.lit(COPY).alias("kind"), "key", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("payload"))
+    copies = materialize(ids.where(F.col("n") >= length).join(earliest, "digest").where("key > first").select("key", "tag").distinct(), "copies")
+    copy_notes = copies.select(part_of(F.col("key")).alias("part"), F.lit(COPY).alias("kind"), "key", "tag", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("payload"))
     parts = rows.select(part_of(F.col("key")).alias("part"), "doc_id", "key", F.xxhash64("body").alias("tag"), "body", "group", *carry)
 
     def deal_anchors(part: pa.Table, side: pa.Table) -> pa.Table:
         if not part.num_rows:
             return _rows([], _dealt)
         number = part.column("part")[0].as_py()
-        _, _, texts, groups = distinct_documents(part, {r["key"] for r in notes_of(side, COPY)})
+        _, _, texts, groups = distinct_documents(part, copies_of(side))
         owner, _, _, h = anchors(texts, length)
         h = h ^ groups[owner]
         bucket = (scramble(h) % np.uint64(parts_n)).astype(np.int64)
@@ -304,13 +309,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         every = [np.frombuffer(r["payload"], np.uint64) for r in rows_]
         _, where, many = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
         marks = np.split(many[where] > 1, np.cumsum([len(x) for x in every])[:-1])
-        return _rows([(r["part"], MARKS, 0, r["bucket"], np.packbits(m).tobytes()) for r, m in zip(rows_, marks, strict=True)], _note_schema)
+        return _rows([(r["part"], MARKS, 0, 0, r["bucket"], np.packbits(m).tobytes()) for r, m in zip(rows_, marks, strict=True)], _note_schema)
 
     def deal_contexts(part: pa.Table, side: pa.Table) -> pa.Table:
         if not part.num_rows:
             return _rows([], _dealt)
         number = part.column("part")[0].as_py()
-        keys, tags, texts, groups = distinct_documents(part, {r["key"] for r in notes_of(side, COPY)})
+        keys, tags, texts, groups = distinct_documents(part, copies_of(side))
         owner, first, count, h = anchors(texts, length)
         h = h ^ groups[owner]
         bucket = (scramble(h) % np.uint64(parts_n)).astype(np.int64)
@@ -363,7 +368,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         hi = t[np.append(np.flatnonzero(new)[1:] - 1, len(t) - 1)]
         spans = np.stack([head[1, member[lo]], head[2, member[lo]], window[lo], window[hi] + length])
         source = dealt.column("part").to_numpy()[head[5, member[lo]]]
-        return _rows([(int(p), SPANS, 0, 0, np.ascontiguousarray(spans[:, source == p]).tobytes()) for p in np.unique(source)], _note_schema)
+        return _rows([(int(p), SPANS, 0, 0, 0, np.ascontiguousarray(spans[:, source == p]).tobytes()) for p in np.unique(source)], _note_schema)
 
     dealt_schema = "bucket int, part int, payload binary"
     by_part = lambda df: df.groupBy("part")
@@ -381,7 +386,7 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH) -> DataFrame:
     carried = [f for f in parts.schema if f.name not in ("part", "doc_id", "key", "tag", "body", "group")]
 
     def apply(part: pa.Table, side: pa.Table) -> pa.Table:
-        copies = {r["key"] for r in notes_of(side, COPY)}
+        copies = copies_of(side)
         found = [np.frombuffer(r["payload"], np.int64).reshape(4, -1) for r in notes_of(side, SPANS)]
         spans = np.hstack(found) if found else np.zeros((4, 0), np.int64)
         spans = spans[:, np.lexsort((spans[2], spans[1], spans[0]))]
@@ -395,7 +400,7 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH) -> DataFrame:
         out = []
         columns = (part.column(c).to_pylist() for c in ("doc_id", "key", "tag", "body"))
         for doc, k, t, text in zip(*columns, strict=True):
-            runs = [[0, len(text)]] if k in copies and len(text) >= length else own.get((k, t), [])
+            runs = [[0, len(text)]] if (k, t) in copies and len(text) >= length else own.get((k, t), [])
             kept, at = [], 0
             for lo, hi in runs:
                 kept.append(text[at:lo])
