@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
-from tracewell.llm import repeats
+from tracewell.llm import repeats, toxicity
 from tracewell.operators import kernels
 from tracewell.plans import registry
 
@@ -194,3 +194,20 @@ def test_copies_are_texts_not_keys(spark):
         want.append((str(k), "".join(c for c, g in zip(text, gone) if not g)))
     got = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), bytes(r.kept).decode()) for r in got) == sorted(want)
+
+
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    rng = np.random.default_rng(14)
+    say = lambda n: [f"{a}{b}{c}" for a, b, c in zip(rng.choice(list("bcdfg"), n), rng.choice(["ola", "emi", "uta"], n), rng.choice(["ren", "sto", "vil"], n))]
+    data, labels = [], []
+    for i in range(150):
+        w = say(1600)
+        if i % 3 == 0:
+            w[1500:1500] = ["grumbol", "fizzard"]
+        data.append((i, ". ".join(" ".join(w[j : j + 9]) for j in range(0, len(w), 9))))
+        labels.append((i, 1, int(i % 3 == 0)))
+    assert min(t.find("grumbol") for _, t in data if "grumbol" in t) > 10_000
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    field = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, field).collect()}
+    assert all((got[i] >= 0.7) == toxic for i, _, toxic in labels)

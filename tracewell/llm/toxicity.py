@@ -1,9 +1,11 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals give scores and offsets.
 
-Training reads a bounded sample of labelled documents (at most `sample` of each class, by hash of the key). Labels are
-per document, so tokens get theirs from contrast: in a toxic document, a token is toxic if its word, its beginning or its
-ending occurs in toxic documents far more often than in clean ones. The field is fitted on chains with such tokens and as
-many without, and a logistic curve over what the marginals of a document add up to is fitted on the sample's documents.
+Training reads the whole texts of a bounded sample of labelled documents (at most `sample` of each class, by hash of the
+key) in tasks. Labels are per document, so tokens get theirs from contrast: in a toxic document, a token is toxic if its
+word, its beginning or its ending occurs in toxic documents far more often than in clean ones. The field is fitted on at
+most CHAINS chains of up to 16 words, drawn by hash from all of the sample's: up to half with such tokens, and up to twice
+as many without, or a quarter of CHAINS if that is more. A logistic curve over what the marginals of a document add up to
+is fitted on the sample's documents, scored whole; the driver gets two numbers and the label of each.
 
 Scoring reads every whole text: chains are sentences, forward-backward runs over all chains of a batch at once, and a
 document's score comes from the sum and the maximum of its tokens' marginals. Labels, language, source and key are never
@@ -16,6 +18,7 @@ the documents are kept, except that the names of the results replace them.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -28,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches
+from tracewell.llm.common import bounded_batches, materialize
 from tracewell.session import table
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
 BITS = 18
-#: Documents of each class that a fit reads at most, and characters of each of them.
-SAMPLE, SAMPLE_CHARS = 2000, 10_000
+#: Documents of each class that a fit reads at most, and chains of them that the field is fitted on at most.
+SAMPLE, CHAINS = 2000, 8000
 #: Word types a worker remembers at most; it starts afresh beyond.
 REMEMBER = 120_000
 THRESHOLD = 0.7
@@ -156,40 +159,68 @@ class Tagger:
         return np.split(out, ends[:-1])
 
 
-def toxic_affixes(docs: list[tuple[str, int]], least_gain: float = 9.0, least: float = 2.0) -> set[str]:
-    """Affixes that toxic documents hold far more often than clean ones: by log odds, and by log likelihood ratio."""
+def count_affixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each affix: the clean and the toxic documents that hold it."""
     counts = (Counter(), Counter())
-    for text, toxic in docs:
-        counts[toxic].update({a for w in {t.lower() for t in TOKEN.findall(text) if t not in ENDS} for a in affixes(w)})
-    n1 = sum(y for _, y in docs)
-    n0 = len(docs) - n1
-    out = set()
-    for a, c1 in counts[1].items():
-        c0 = counts[0][a]
-        odds = np.log((c1 + 0.5) / (n1 + 1) / ((c0 + 0.5) / (n0 + 1)))
-        share = n1 / len(docs)
-        gain = c1 * np.log(c1 / ((c1 + c0) * share)) + (c0 * np.log(c0 / ((c1 + c0) * (1 - share))) if c0 else 0.0)
-        if odds >= least and gain >= least_gain:
-            out.add(a)
-    return out
-
-
-def train(docs: list[tuple[str, int]], rounds: int = 50, length: int = 16, most_chains: int = 8000, ridge: float = 1e-4) -> Field:
-    """Fit the field and the curve on (text, label) pairs."""
-    marks = toxic_affixes(docs)
-    tagged: list[tuple[list[str], list[int]]] = []
-    plain: list[tuple[list[str], list[int]]] = []
-    for text, toxic in docs:
-        for one in chains(text):
-            words = [w.lower() for w in one]
-            for at in range(0, len(words), length):
-                part = words[at : at + length]
-                tags = [int(toxic and any(a in marks for a in affixes(w))) for w in part]
-                (tagged if any(tags) else plain).append((part, tags))
-    rng = np.random.default_rng(7)
-    pick = lambda xs, k: [xs[i] for i in np.sort(rng.permutation(len(xs))[:k])]
-    used = pick(tagged, most_chains // 2)
-    used += pick(plain, max(most_chains // 4, min(most_chains - len(used), 2 * len(used))))
+    for batch in batches:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            counts[toxic].update({a for w in {t.lower() for t in TOKEN.findall(text) if t not in ENDS} for a in affixes(w)})
+    names = list(counts[0].keys() | counts[1].keys())
+    yield pa.record_batch([pa.array(names, pa.string()), *(pa.array([c[a] for a in names], pa.int64()) for c in counts)], names=["affix", "c0", "c1"])
+
+
+def toxic_affixes(texts: DataFrame, n0: int, n1: int, least_gain: float = 9.0, least: float = 2.0) -> frozenset[str]:
+    """Affixes that toxic documents hold far more often than clean ones: by log odds, and by log likelihood ratio."""
+    counts = texts.select("text", "toxic").mapInArrow(count_affixes, "affix string, c0 long, c1 long")
+    counts = counts.groupBy("affix").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c1 > 0")
+    c0, c1, share = F.col("c0"), F.col("c1"), n1 / (n0 + n1)
+    odds = F.log((c1 + 0.5) / (n1 + 1) / ((c0 + 0.5) / (n0 + 1)))
+    gain = c1 * F.log(c1 / ((c1 + c0) * share)) + F.when(c0 > 0, c0 * F.log(c0 / ((c1 + c0) * (1 - share)))).otherwise(0.0)
+    return frozenset(r["affix"] for r in counts.where((odds >= least) & (gain >= least_gain)).select("affix").collect())
+
+
+def draw_chains(texts: DataFrame, marks: frozenset[str], length: int = 16, most: int = CHAINS) -> list[tuple[list[str], list[int]]]:
+    """At most `most` (words, tags) from all places of the texts, by hash: those with toxic tokens, then those without."""
+    schema = pa.schema([("tagged", pa.int32()), ("rank", pa.int64()), ("words", pa.list_(pa.string())), ("tags", pa.list_(pa.int32()))])
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        kept: tuple[list, list] = ([], [])  # of each kind, the first `most` by rank
+        for batch in batches:
+            for key, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
+                place = 0
+                for one in chains(text):
+                    words = [w.lower() for w in one]
+                    for at in range(0, len(words), length):
+                        part = words[at : at + length]
+                        if toxic:
+                            for w in part:
+                                if w not in known:
+                                    known[w] = int(any(a in shared.value for a in affixes(w)))
+                        tags = [known[w] if toxic else 0 for w in part]
+                        rank = int.from_bytes(hashlib.blake2b(f"{key} {place}".encode(), digest_size=8).digest(), "big", signed=True)
+                        kept[any(tags)].append((rank, part, tags))
+                        place += 1
+                for own in kept:
+                    if len(own) > 2 * most:
+                        own.sort()
+                        del own[most:]
+                if len(known) > REMEMBER:
+                    known = {}
+        rows = [(kind, *r) for kind, own in enumerate(kept) for r in sorted(own)[:most]]
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    drawn = materialize(texts.mapInArrow(run, "tagged int, rank long, words array<string>, tags array<int>"), "chains")
+    pick = lambda kind, k: drawn.where(F.col("tagged") == kind).orderBy("rank", "words").limit(k).collect()
+    used = pick(1, most // 2)
+    used += pick(0, max(most // 4, min(most - len(used), 2 * len(used))))
+    return [(r["words"], r["tags"]) for r in used]
+
+
+def train(used: list[tuple[list[str], list[int]]], rounds: int = 50, ridge: float = 1e-4) -> Field:
+    """Fit the field, without its curve, on chains of words and tags."""
     weights, move = np.zeros(1 << BITS), np.zeros((2, 2))
     if used:
         n = np.array([len(p) for p, _ in used])
@@ -219,12 +250,24 @@ def train(docs: list[tuple[str, int]], rounds: int = 50, length: int = 16, most_
             step_m += m * m
             weights += 0.5 * g / np.sqrt(step_w)
             move += 0.2 * m / np.sqrt(step_m)
-    field = Field(weights, move, np.zeros(3))
-    tagger = Tagger(field)
-    found = [p for i in range(0, len(docs), 200) for p in tagger.marginals([t for t, _ in docs[i : i + 200]])]
-    x, y = summary(found), np.array([t for _, t in docs], float)
-    field.curve = logistic(x, y)
-    return field
+    return Field(weights, move, np.zeros(3))
+
+
+def fit_curve(field: Field, texts: DataFrame) -> np.ndarray:
+    """The curve over documents: a task scores whole texts, the driver gets (sum, maximum, label) of each."""
+    shared = texts.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                x = summary(tagger.marginals(batch.column("text").to_pylist()))
+                yield pa.record_batch([pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column("toxic")], names=["total", "most", "toxic"])
+
+    found = sorted(texts.select("text", "toxic").mapInArrow(run, "total double, most double, toxic int").collect())
+    x, y = (np.array([[1.0, r["total"], r["most"]] for r in found]), np.array([r["toxic"] for r in found], float))
+    return logistic(x, y)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
@@ -246,16 +289,19 @@ def learnable() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Field | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
     """A field from at most `sample` labelled documents of each class; None unless both classes occur."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learnable())
     each = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     few = docs.sparkSession.createDataFrame([r for e in each for r in e.collect()], known.schema)  # at most 2 x `sample` rows
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(few), "doc_id")
-    taken = sorted(rows.select("text", "toxic").collect())
-    if len({r["toxic"] for r in taken}) < 2:
+    texts = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id"), "labelled")
+    n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if len(n) < 2:
         return None
-    return train([(r["text"], r["toxic"]) for r in taken])
+    field = train(draw_chains(texts, toxic_affixes(texts, n[0], n[1])))
+    field.curve = fit_curve(field, texts)
+    return field
 
 
 RESULTS = "score double, toxic_tokens array<struct<offset: int, length: int, p: double>>"
