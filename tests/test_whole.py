@@ -7,6 +7,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 
 from tracewell.llm import repeats, toxicity
 from tracewell.operators import kernels
@@ -211,3 +212,11 @@ def test_toxicity_learns_from_the_end_of_long_texts(spark):
     field = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     got = {r.doc_id: r.score for r in toxicity.score(docs, field).collect()}
     assert all((got[i] >= 0.7) == toxic for i, _, toxic in labels)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_streams_write_their_result_to_files(spark):
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    for name in ("q_stream_session", "q_stream_tumbling"):
+        got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert sum(r.n for r in got.collect()) == n and got.inputFiles()
