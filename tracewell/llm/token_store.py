@@ -2,9 +2,11 @@
 
 A store is a folder on shared storage. Shard k holds the documents of the k-th range of keys, ascending:
 `shard-k.bin` is the raw ids of its documents, one after another, little-endian, two bytes each where the vocabulary
-allows and four otherwise; `shard-k.idx` is a NumPy archive with the documents' keys and offsets and the index. The index
-maps a key to a slot without collisions (levels of bit arrays; a key's slot is the rank of its bit), and the slot holds a
-fingerprint of the key and its first document, so access by key takes constant time and unknown keys are refused.
+allows and four otherwise; `shard-k.idx` holds the documents' keys and offsets and the index, as arrays of 8-byte numbers
+at places that its head names. The index maps a key to a slot without collisions (levels of bit arrays; a key's slot is
+the rank of its bit), and the slot holds a fingerprint of the key and its first document. So access to one key takes a
+few reads of a few bytes, whatever the size of the shard (`Shard.probe`), and unknown keys are refused. The number of
+shards follows the bytes of text, so that a shard and its index stay small beside a task's memory.
 
 Defined cases: a null text gives the end id alone; null keys come first and are not indexed by key; repeated keys lie side
 by side, ordered by text, and share a slot; an empty table gives a store without shards; other columns are ignored.
@@ -24,20 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches, new_path, partitions
+from tracewell.llm.common import bounded_batches, new_path, partitions, scramble
 from tracewell.llm.tokens import encoder, vocabulary
 from tracewell.session import table
 
 BLOCK = 1 << 20
+#: Bytes of text in a shard, about, and keys of one shard from which a lookup reads its whole index.
+SHARD_BYTES, MANY = 64 << 20, 256
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of 64-bit keys."""
     with np.errstate(over="ignore"):
-        x = keys.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        return scramble(keys.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
 class PerfectHash:
@@ -105,20 +106,56 @@ class Shard:
         return cls(uri, width, null_keys, keys, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), hashed, prints, start)
 
     def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(
-            out, head=np.array([self.width, self.null_keys]), keys=self.keys, offsets=self.offsets, sizes=self.table.sizes,
-            words=self.table.words, ranks=self.table.ranks, fingerprints=self.fingerprints, first=self.first,
-        )
-        return out.getvalue()
+        """The head (width, null keys, sizes of the arrays), then the arrays, all of 8-byte numbers."""
+        arrays = [self.table.sizes, self.keys, self.offsets, self.table.words, self.table.ranks, self.fingerprints, self.first]
+        head = np.array([self.width, self.null_keys, *map(len, arrays)], np.int64)
+        return b"".join(a.astype("<u8" if a.dtype.kind == "u" else "<i8").tobytes() for a in (head, *arrays))
+
+    HEAD = 9
 
     @classmethod
     def open(cls, uri: str) -> Shard:
+        """The whole index, for many keys or a scan."""
+        store, path = fs.FileSystem.from_uri(f"{uri}.idx")
+        with store.open_input_stream(path) as f:
+            raw = np.frombuffer(f.read(), "<i8")
+        ends = cls.HEAD + np.cumsum(raw[2 : cls.HEAD])
+        sizes, keys, offsets, words, ranks, prints, first = np.split(raw[cls.HEAD :], ends[:-1] - cls.HEAD)
+        return cls(uri, int(raw[0]), int(raw[1]), keys, offsets, PerfectHash(sizes, words.view("<u8"), ranks), prints.view("<u8"), first)
+
+    @classmethod
+    def probe(cls, uri: str, key: int) -> np.ndarray | None:
+        """The ids of the first document of one key, by reads of constant size; None for a key that the shard doesn't hold."""
         store, path = fs.FileSystem.from_uri(f"{uri}.idx")
-        with store.open_input_stream(path) as f, np.load(io.BytesIO(f.read()), allow_pickle=False) as z:
-            head = z["head"]
-            hashed = PerfectHash(z["sizes"], z["words"], z["ranks"])
-            return cls(uri, int(head[0]), int(head[1]), z["keys"], z["offsets"], hashed, z["fingerprints"], z["first"])
+        with store.open_input_file(path) as f:
+
+            def numbers(place: int, n: int = 1) -> np.ndarray:
+                f.seek(8 * int(place))
+                return np.frombuffer(f.read(8 * n), "<i8")
+
+            head = numbers(0, cls.HEAD)
+            sizes_at, keys_at, offsets_at, words_at, ranks_at, prints_at, first_at = (cls.HEAD + np.cumsum(head[2:]) - head[2:]).tolist()
+            own, start = np.array([key], np.int64).view(np.uint64), 0
+            for level, size in enumerate(numbers(sizes_at, int(head[2]))):
+                bit = int(mix(own, level)[0]) % int(size)
+                word = int(numbers(words_at + start + bit // 64).view("<u8")[0])
+                if word >> bit % 64 & 1:
+                    slot = int(numbers(ranks_at + start + bit // 64)[0]) + (word & (1 << bit % 64) - 1).bit_count()
+                    break
+                start += int(size) // 64
+            else:
+                return None
+            if int(numbers(prints_at + slot).view("<u8")[0]) != int(mix(own, PerfectHash.FINGERPRINT)[0]) & 0xFFFFFFFF:
+                return None
+            document = int(numbers(first_at + slot)[0])
+            if int(numbers(keys_at + document)[0]) != key:
+                return None
+            lo, hi = numbers(offsets_at + document, 2).tolist()
+        width = int(head[0])
+        store, path = fs.FileSystem.from_uri(f"{uri}.bin")
+        with store.open_input_file(path) as f:
+            f.seek(lo * width)
+            return np.frombuffer(f.read((hi - lo) * width), f"<u{width}").astype("<u4")
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The first document of each key; -1 for keys that the shard doesn't hold."""
@@ -166,7 +203,8 @@ class TokenStore:
         folder = folder or new_path(spark, "tokens")
         rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
         by_key = F.col("key").asc_nulls_first()
-        rows = rows.repartitionByRange(partitions(spark), by_key).sortWithinPartitions(by_key, F.col("text").asc_nulls_first())
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        rows = rows.repartitionByRange(max(partitions(spark), -(-size // SHARD_BYTES)), by_key).sortWithinPartitions(by_key, F.col("text").asc_nulls_first())
 
         def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             enc = encoder(path)
@@ -249,11 +287,15 @@ class TokenStore:
                 asked = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
                 at = np.searchsorted(lows, asked, side="right") - 1
                 for i in np.unique(at[at >= 0]):
-                    shard = opened.setdefault(i, Shard.open(f"{folder}/shard-{bounds[i][2]:06d}"))
-                    some = asked[at == i]
-                    found = shard.find(some)
-                    ids = list(shard.ids(found[found >= 0]))
-                    yield pa.record_batch([pa.array(some[found >= 0]), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                    uri, some = f"{folder}/shard-{bounds[i][2]:06d}", asked[at == i]
+                    if len(some) < MANY and i not in opened:
+                        each = [(k, Shard.probe(uri, k)) for k in some.tolist()]
+                        some, ids = [k for k, x in each if x is not None], [x for _, x in each if x is not None]
+                    else:
+                        opened = opened if i in opened else {i: Shard.open(uri)}  # one index at a time
+                        found = opened[i].find(some)
+                        some, ids = some[found >= 0], list(opened[i].ids(found[found >= 0]))
+                    yield pa.record_batch([pa.array(some, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
         return keys.select(F.col(key).cast("long").alias("doc_id")).mapInArrow(fetch, "doc_id long, ids array<int>")
 

@@ -1,22 +1,23 @@
 """Token ids of whole texts, by the tokenizers library, inside tasks.
 
 Both vocabularies cut a text into pieces before they merge anything, so the ids of a text are those of its pieces in a
-row. Pieces are encoded by the library once and remembered in a bounded table per Python worker. A text of Latin-1
-characters is cut as the vocabulary cuts it; any other at white space, and the library cuts the rest; a text with control
-characters on which Python's and the library's idea of white space differ is a single piece.
+row. Pieces are coded by the library's model once and remembered in a bounded table per Python worker. A text of Latin-1
+characters is cut as the vocabulary cuts it; any other at white space, and the library cuts the rest. A text that may hold
+a special token, or control characters on which Python's and the library's idea of white space differ, goes to the library
+whole, so ids are always those of `encode(text, add_special_tokens=False)` of the unchanged tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from collections.abc import Callable
 
 import numpy as np
 
-#: Most pieces that a worker remembers, and characters of one call that it does so for; it starts afresh beyond.
-REMEMBER, LONGEST = 400_000, 20_000_000
-_ODD = re.compile("[\x1c-\x1f]")
+#: Most pieces that a worker remembers of each kind; it starts afresh beyond.
+REMEMBER = 400_000
+_WHOLE = re.compile(r"[\x1c-\x1f]|<\|")  # both vocabularies' special tokens begin with <|
 # Letters and numbers of Latin-1, and the contractions that both vocabularies keep apart.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -26,12 +27,22 @@ _BYTE_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _encoders: dict[str, "Encoder"] = {}
 
 
-class Numbers(dict):
-    """Numbers pieces in the order in which they are first asked for."""
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 256)} - {173}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        return n
+
+class Coded(dict):
+    """Ids of pieces, as bytes; a piece is coded when it is first asked for."""
+
+    def __init__(self, code: Callable[[str], list[int]]):
+        self.code = code
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = np.array(self.code(piece), "<u4").tobytes()
+        return ids
 
 
 class Encoder:
@@ -42,34 +53,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.by_word = self.library.normalizer is not None  # lower case, white space dropped
-        self.numbers, self.coded = Numbers(), []
-
-    def pieces(self, text: str) -> list[str]:
-        if not (text.isascii() or _latin(text)):
-            return [text] if _ODD.search(text) else text.split() if self.by_word else _BYTE_CHUNK.findall(text)
-        if _ODD.search(text):
-            return [text]
-        return _WORD_PIECE.findall(text.lower()) if self.by_word else _BYTE_PIECE.findall(text)
+        letters, model = byte_letters(), self.library.model
+        self.whole = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        self.pieces = Coded(lambda piece: [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))])
+        self.chunks = Coded(self.whole)
+
+    def _coded(self, text: str) -> bytes:
+        if _WHOLE.search(text):
+            return np.array(self.whole(text), "<u4").tobytes()
+        if text.isascii() or _latin(text):
+            cut = _WORD_PIECE.findall(text.lower()) if self.by_word else _BYTE_PIECE.findall(text)
+            return b"".join(map(self.pieces.__getitem__, cut))
+        return b"".join(map(self.chunks.__getitem__, text.split() if self.by_word else _BYTE_CHUNK.findall(text)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > REMEMBER or sum(map(len, texts)) > LONGEST:
-            self.numbers, self.coded = Numbers(), []
-        number = self.numbers.__getitem__
-        cut = [list(map(number, self.pieces(t))) for t in texts]
-        if len(self.numbers) > len(self.coded):
-            new = list(islice(self.numbers, len(self.coded), None))
-            for i in range(0, len(new), 4096):
-                self._learn(new[i : i + 4096])
-        get = self.coded.__getitem__
-        return [np.frombuffer(b"".join(map(get, numbers)), "<u4") for numbers in cut]
-
-    def _learn(self, pieces: list[str]) -> None:
-        coded = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(coded.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(1, len(pieces) + 1))).tolist()
-        self.coded += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for table in (self.pieces, self.chunks):
+            if len(table) > REMEMBER:
+                table.clear()
+        return [np.frombuffer(self._coded(t), "<u4") for t in texts]
 
 
 def _latin(text: str) -> bool:
