@@ -141,36 +141,84 @@ def test_signatures_estimate_the_probability_jaccard():
     assert abs((sign[0] == sign[1]).mean() - near_duplicates.probability_jaccard(*pair)) < 0.04
 
 
-def test_repeats(docs, rows, nothing):
-    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+def cut_by_force(rows):
+    """(doc_id, text) -> kept bytes, for every row."""
+    last = (1 << 63) - 1
     first = {}
-    for k, text, *_ in sorted(rows):
+    for k, text in rows:
         raw = (text or "").encode()
         for s in range(len(raw) - 49):
-            first.setdefault(raw[s : s + 50], k)
-    for k, text, *_ in rows:
+            w = raw[s : s + 50]
+            first[w] = min(first.get(w, last), last if k is None else k)
+    out = []
+    for k, text in rows:
         raw = (text or "").encode()
         gone = np.zeros(len(raw), bool)
         for s in range(len(raw) - 49):
-            if first[raw[s : s + 50]] < k:
+            if first[raw[s : s + 50]] < (last if k is None else k):
                 gone[s : s + 50] = True
-        assert bytes(got[k].kept) == bytes(b for b, g in zip(raw, gone) if not g), k
+        out.append((-1 if k is None else k, len(raw), bytes(b for b, g in zip(raw, gone) if not g)))
+    return sorted(out)
+
+
+def cut_by_operator(df):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, bytes(r.kept)) for r in repeats.remove_repeats(df).collect())
+
+
+def test_repeats(docs, rows, nothing):
+    assert cut_by_operator(docs) == cut_by_force([r[:2] for r in rows])
     assert repeats.remove_repeats(nothing).count() == 0
 
 
-def test_windows_that_are_too_many_for_one_sort(monkeypatch):
+A, B, C = (f"{c} is a text of more than fifty bytes that repeats only where a test says that it does, {c * 9}." for c in "abc")
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(3, A), (5, A)],  # a part of copies alone
+        [(3, A), (5, A), (5, B)],  # equal keys, unlike texts
+        [(3, A), (None, A), (None, B), (None, C), (None, C)],  # null keys
+        [(3, A), (3, A), (3, A + B), (7, B)],  # repeated rows
+        [(None, A + B), (None, B + A), (None, None), (4, ""), (5, None)],
+        [(1, A + B), (2, C + A), (3, B + C + A), (4, A), (5, B), (6, A[:49]), (7, A[1:51] + "é")],
+        [(9, A * 3), (2, A + A[:60]), (4, A)],  # a text that repeats itself
+        [(k, f"{k} {A} {k * k} {B}" if k % 3 else f"{A} {k} {C}") for k in range(60)],  # passages that many share
+    ],
+)
+def test_repeats_by_awkward_keys(spark, rows):
+    df = spark.createDataFrame([(k, t, 1, "g", b"x") for k, t in rows], "doc_id long, text string, part int, `group` string, body binary")
+    assert cut_by_operator(df) == cut_by_force(rows)
+
+
+def test_repeats_within_a_group(spark):
+    rows = [(1, "h", f"one {A}"), (2, "h", f"two {A}"), (3, "g", f"three {A}"), (4, "g", "0123456789 " * 12), (5, "h", C), (6, "h", C), (7, None, A)]
+    df = spark.createDataFrame(rows, "page_id long, host string, stream string")
+    got = {r.page_id: bytes(r.kept).decode() for r in repeats.shared_spans(df, "page_id", "stream", "host").collect()}
+    assert got == {1: "one", 2: "two", 3: f"three {A}", 4: "0123456789 " * 12, 5: "", 6: "", 7: A}
+
+
+@pytest.mark.parametrize("most", [250_000, 50])
+def test_windows_by_force(monkeypatch, most):
+    """Contexts of one and of several anchors, also where one anchor's windows are too many for one sort."""
+    monkeypatch.setattr(repeats, "SORT_WINDOWS", most)
     rng = np.random.default_rng(9)
-    contexts = list({bytes(rng.integers(97, 99, 60).astype(np.uint8)) for _ in range(40)}) + [b"a" * 60]
-    keys = np.arange(len(contexts))
-    whole = repeats.least_keys(contexts, np.zeros(len(contexts), np.int64), keys)
-    monkeypatch.setattr(repeats, "SORT_WINDOWS", 50)
-    split = repeats.least_keys(contexts, np.zeros(len(contexts), np.int64), keys)
-    first = {}
-    for k, c in enumerate(contexts):
-        for s in range(11):
-            first.setdefault(c[s : s + 50], k)
-    want = [[first[c[s : s + 50]] for s in range(11)] for c in contexts]
-    assert [x.tolist() for x in whole] == want and [x.tolist() for x in split] == want
+    contexts = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in rng.integers(50, 84, 40)] + [b"a" * 60, b"a" * 70, b"a" * 60]
+    contexts += contexts[3:9]
+    keys, anchor = np.arange(len(contexts))[::-1].copy(), np.array([len(c) % 3 for c in contexts], np.uint64)
+    holders = {}
+    for k, a, c in zip(keys.tolist(), anchor.tolist(), contexts):
+        for s in range(len(c) - 49):
+            holders.setdefault((a, c[s : s + 50]), []).append(k)
+    for both in (True, False):
+        if not both:  # one anchor: equal windows always have equal ones
+            anchor, holders = anchor * 0, {(0, w): [k for a in range(3) for k in holders.get((a, w), [])] for _, w in holders}
+        want = set()
+        for i, (k, a, c) in enumerate(zip(keys.tolist(), anchor.tolist(), contexts)):
+            want |= {(i, s) for s in range(len(c) - 49) if min(x := holders[a, c[s : s + 50]]) < k or both and max(x) > k}
+        count = np.array([len(c) - 49 for c in contexts])
+        found = repeats.taken_spans(np.frombuffer(b"".join(contexts), np.uint8), count, anchor, keys, keys, both)
+        assert {(i, s) for i, lo, n in zip(*(x.tolist() for x in found)) for s in range(lo, lo + n)} == want
 
 
 def test_packing(docs, rows, nothing):

@@ -7,23 +7,26 @@ Only suffixes that can have an equal prefix elsewhere need sorting, and only the
 1. Every `length`-byte window has an anchor, the smallest hash among its 16-byte strings, so equal windows have equal
    anchors at equal places. Anchors (about one for 18 bytes) are dealt by hash, and those that occur once drop out.
 2. The windows of the other anchors are dealt by anchor hash, as contexts (runs of windows with one anchor). Equal
-   contexts are collapsed to the smallest key. So each task sorts a part of the suffixes that no other part can match.
+   contexts are collapsed to the smallest key, in each part before they are dealt and again before they are sorted: so a
+   passage that a third of all documents share is one context of each part, and no task meets all its copies. Each task
+   sorts a part of the suffixes that no other part can match.
 3. The difference-cover sort: positions that are 1 or 2 modulo 3 are sampled; sampled triples of letters (6 bytes each)
    are sorted and named; names recur on triples of names 15 apart, after which they rank 48 bytes; the remaining
    suffixes are merged through the rank of the sampled position one or two further on.
 4. Adjacent prefixes are compared; a run of equal ones is a repeated string, and its smallest key keeps it.
 5. Spans go back to the documents' own partitions, where the text is cut.
 
-The text is shuffled once, and each use reads that exchange; whole copies of an earlier text need no sorting.
+The text is shuffled once, and each use reads that exchange; whole copies of an earlier text need no sorting. A part's
+hashes are dealt as one blob for each bucket, so blobs number parts times buckets: PART_BYTES should grow with the memory
+of a core, so that parts stay below some ten thousands (at 16 MB, 100 GB of text make 40 million blobs).
 
 Defined cases: a null text counts as the empty text; a null key counts as larger than all others; documents with equal
-keys take nothing from each other; texts shorter than `length` bytes are kept; an empty table gives no rows; other
-columns are ignored.
+keys (null ones too) take nothing from each other; repeated rows lose the same bytes; texts shorter than `length` bytes
+are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 
 import numpy as np
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialize, partitions
+from tracewell.llm.common import bounded_batches, materialize, partitions, scramble
 from tracewell.session import table
 
 LENGTH, ANCHOR = 50, 16
@@ -41,13 +44,7 @@ PART_BYTES, SORT_WINDOWS = 16_000_000, 250_000
 PAD = b"\0" * 64
 NO_KEY = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
-
-
-def scramble(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_NONE = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
 
 
 def loads(buffer: bytes, kind: str, n: int) -> np.ndarray:
@@ -61,13 +58,13 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
     at = 0
     while at < len(texts):
         upto, size = at, 0
-        while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1_000_000):
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) < 500_000):
             size += len(texts[upto])
             upto += 1
         for k, x in enumerate(_anchors(texts[at:upto], length)):
             out[k].append(x + at if k == 0 else x)
         at = upto
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+    return tuple(np.concatenate(x) if x else e for x, e in zip(out, _NONE, strict=True))
 
 
 def _anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -75,16 +72,15 @@ def _anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     n = np.array([len(t) for t in texts], np.int64)
     start, size = np.cumsum(n) - n, len(buffer) - len(PAD)
     width = length - ANCHOR + 1
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     if size < length:
-        return none
+        return _NONE
     word = loads(buffer, "<u8", size + 8)
     with np.errstate(over="ignore"):
         h = scramble(scramble(word[:size] * np.uint64(0x9E3779B97F4A7C15)) + word[8 : size + 8])
     owner = np.repeat(np.arange(len(n)), n)
     s = np.flatnonzero(np.arange(size) + length <= (start + n)[owner])
     if not len(s):
-        return none
+        return _NONE
     if size > int(_PLACE):  # one text that is too long to pack places beside hashes
         place = _least_places(h, width)[s]
     else:
@@ -181,72 +177,146 @@ def sort_prefixes(buffer: bytes, start: np.ndarray, count: np.ndarray, length: i
     return order, np.cumsum(new)
 
 
-def least_keys(contexts: list[bytes], anchor: np.ndarray, key: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each distinct context (sorted by anchor): the smallest key among all equal windows, for each of its windows."""
-    out: list[np.ndarray] = []
-    count = np.array([len(c) - length + 1 for c in contexts], np.int64)
-    change = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])).tolist() + [len(anchor)]
-    lo = 0
-    for i in range(1, len(change)):
-        windows = int(count[change[lo] : change[i]].sum())
-        if i + 1 < len(change) and windows + int(count[change[i] : change[i + 1]].sum()) <= SORT_WINDOWS:
-            continue
-        a, b, lo = change[lo], change[i], i
-        if windows <= SORT_WINDOWS:
-            out += _least_keys(contexts[a:b], count[a:b], key[a:b], length)
-        else:
-            out += _least_keys_split(contexts[a:b], count[a:b], key[a:b], length)
-    return out
+def strings_at(buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The strings of `buffer` that start at `start`, one after another."""
+    return buffer[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-def _least_keys(contexts: list[bytes], count: np.ndarray, key: np.ndarray, length: int) -> list[np.ndarray]:
-    buffer = b"".join(contexts) + PAD
-    size = count + length - 1
-    start = np.cumsum(size) - size
-    order, run = sort_prefixes(buffer, start, count, length)
-    keys = np.zeros(len(buffer), np.int64)
-    keys[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())] = np.repeat(key, count)
-    first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-    least = np.minimum.reduceat(keys[order], first)
-    keys[order] = least[run]
-    return [keys[s : s + n] for s, n in zip(start, count, strict=True)]
-
-
-def _least_keys_split(contexts: list[bytes], count: np.ndarray, key: np.ndarray, length: int) -> list[np.ndarray]:
-    """The same for contexts of one anchor that are too many for one sort: windows are dealt by their hash, then sorted."""
-    buffer = b"".join(contexts) + PAD
-    size = count + length - 1
-    start = np.cumsum(size) - size
-    place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+def collapse(buffer: bytes, start: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(representatives, representative of each string): strings are put together only if they are equal.
+
+    buffer ends with PAD. Strings that a hash sets side by side are compared byte by byte.
+    """
     word = loads(buffer, "<u8", len(buffer) - 8)
-    h = np.zeros(len(place), np.uint64)
+    at = [np.minimum(k, size - 8) for k in range(0, int(size.max()), 8)]  # eight bytes each, the last ones of the string
+    h = scramble(anchor ^ size.astype(np.uint64))
+    for k in at:
+        with np.errstate(over="ignore"):
+            h = scramble(h * np.uint64(0x9E3779B97F4A7C15) + word[start + k])
+    order = np.argsort(h, kind="stable")
+    new = np.append(True, h[order[1:]] != h[order[:-1]])
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    same = (size[order] == size[head]) & (anchor[order] == anchor[head])
+    for k in at:
+        same &= word[start[order] + k[order]] == word[start[head] + k[head]]
+    first = np.empty(len(order), np.int64)
+    first[order] = np.where(same, head, order)
+    chosen, place = np.unique(first, return_inverse=True)
+    return chosen, place
+
+
+def extreme_keys(
+    buffer: np.ndarray, start: np.ndarray, count: np.ndarray, least: np.ndarray, most: np.ndarray, label: np.ndarray | None, length: int = LENGTH
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of contexts: the smallest `least` and the largest `most` among all equal windows.
+
+    Context i holds count[i] windows, the first at start[i]; with labels, windows of unlike labels aren't equal. Returns
+    also where each context's windows begin. Contexts with more windows than one sort takes have them dealt by their hash
+    first.
+    """
+    begin = np.cumsum(count) - count
+    window = np.repeat(start - begin, count) + np.arange(count.sum())
+    lo, hi = np.repeat(least, count), np.repeat(most, count)
+    apart = None if label is None else np.repeat(label, count)
+    if len(window) <= SORT_WINDOWS:
+        size = count + length - 1
+        packed = strings_at(buffer, start, size).tobytes() + PAD
+        own = np.cumsum(size) - size
+        order, run = sort_prefixes(packed, own, count, length)
+        place = np.zeros(len(packed), np.int64)
+        place[np.repeat(own - begin, count) + np.arange(len(window))] = np.arange(len(window))
+        _spread_extremes(place[order], run, lo, hi, apart)
+        return lo, hi, begin
+    word = loads(buffer.tobytes() + PAD, "<u8", len(buffer) + 8)
+    h = np.zeros(len(window), np.uint64)
     for k in (*range(0, length - 8, 8), length - 8):
         with np.errstate(over="ignore"):
-            h = scramble(h * np.uint64(0x9E3779B97F4A7C15) + word[place + k])
-    keys = np.repeat(key, count)
-    shares = (h % np.uint64(2 * len(place) // SORT_WINDOWS + 1)).astype(np.int64)
+            h = scramble(h * np.uint64(0x9E3779B97F4A7C15) + word[window + k])
+    shares = (h % np.uint64(2 * len(window) // SORT_WINDOWS + 1)).astype(np.int64)
     for share in range(int(shares.max()) + 1):
         own = np.flatnonzero(shares == share)
-        parts = [buffer[p : p + length] for p in place[own].tolist()]
-        found = _least_keys(parts, np.ones(len(parts), np.int64), keys[own], length)
-        keys[own] = np.concatenate(found) if found else keys[own]
-    return np.split(keys, np.cumsum(count)[:-1])
-
-
-def documents_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """key, tag and text of a part's documents in a fixed order, and that order."""
-    key = part.column("key").to_numpy()
-    tag = part.column("tag").to_numpy()
-    order = np.lexsort((tag, key))
-    texts = part.column("body").to_pylist()
-    return key[order], tag[order], [texts[i] for i in order], order
+        one = np.ones(len(own), np.int64)
+        packed = strings_at(buffer, window[own], one * length).tobytes() + PAD
+        order, run = sort_prefixes(packed, np.arange(len(own)) * length, one, length)
+        _spread_extremes(own[order // length], run, lo, hi, apart)
+    return lo, hi, begin
+
+
+def _spread_extremes(order: np.ndarray, run: np.ndarray, lo: np.ndarray, hi: np.ndarray, apart: np.ndarray | None) -> None:
+    """Give every window of a run (and one label) the smallest lo and the largest hi of the run."""
+    if not len(order):
+        return
+    new = np.append(True, run[1:] != run[:-1])
+    if apart is not None:
+        within = np.lexsort((apart[order], run))
+        order, run = order[within], run[within]
+        new = np.append(True, (run[1:] != run[:-1]) | (apart[order[1:]] != apart[order[:-1]]))
+    first, run = np.flatnonzero(new), np.cumsum(new) - 1
+    lo[order], hi[order] = np.minimum.reduceat(lo[order], first)[run], np.maximum.reduceat(hi[order], first)[run]
+
+
+def taken_spans(
+    buffer: np.ndarray, head: np.ndarray, anchor: np.ndarray, least: np.ndarray, most: np.ndarray, both: bool, length: int = LENGTH
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first taken window, windows) of each run of windows that a key below its `least` also has (both: another).
+
+    The contexts' strings stand in `buffer` one after another; head: the number of their windows; least, most: the
+    smallest and largest keys of documents that hold them. A sort takes whole anchors.
+    """
+    size = head + length - 1
+    start = np.cumsum(size) - size
+    order = np.argsort(anchor, kind="stable")
+    change = np.append(np.flatnonzero(np.append(True, anchor[order[1:]] != anchor[order[:-1]])), len(order))
+    upto = np.cumsum(head[order])
+    out: list[tuple[np.ndarray, ...]] = []
+    at = 0
+    while at < len(change) - 1:
+        before = upto[change[at] - 1] if change[at] else 0
+        end = max(at + 1, int(np.searchsorted(upto[change[1:] - 1], before + SORT_WINDOWS, side="right")))
+        own = order[change[at] : change[end]]
+        at = end
+        packed = strings_at(buffer, start[own], size[own])
+        place = np.cumsum(size[own]) - size[own]
+        chosen, which = collapse(packed.tobytes() + PAD, place, size[own], anchor[own])
+        low, high = np.full(len(chosen), NO_KEY), np.full(len(chosen), -NO_KEY)
+        np.minimum.at(low, which, least[own])
+        np.maximum.at(high, which, most[own])
+        # An anchor is made from its windows alone, unless a group is mixed in.
+        lo, hi, begin = extreme_keys(packed, place[chosen], head[own][chosen], low, high, anchor[own][chosen] if both else None, length)
+        for part in range(0, len(own), 20_000):
+            some = own[part : part + 20_000]
+            n = head[some]
+            member = np.repeat(np.arange(len(some)), n)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            window = begin[which[part : part + 20_000]][member] + nth
+            mine = least[some][member]
+            taken = (lo[window] < mine) | (hi[window] > mine) if both else lo[window] < mine
+            t = np.flatnonzero(taken)
+            if len(t):
+                new = np.append(True, (member[t[1:]] != member[t[:-1]]) | (t[1:] != t[:-1] + 1))
+                begun = np.flatnonzero(new)
+                out.append((some[member[t[begun]]], nth[t[begun]], np.diff(np.append(begun, len(t)))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def places_of(part: pa.Table, copies: set[tuple[int, int]]) -> tuple[list[int], dict[tuple[int, int], int]]:
+    """Rows of a part's documents that aren't copies of earlier texts, in a fixed order, and the place of each (key, tag) in it.
+
+    Repeated rows are one document; so their order doesn't matter.
+    """
+    rows: dict[tuple[int, int], int] = {}
+    for i, which in enumerate(zip(part.column("key").to_pylist(), part.column("tag").to_pylist(), strict=True)):
+        if which not in copies:
+            rows.setdefault(which, i)
+    order = sorted(rows)
+    return [rows[which] for which in order], {which: n for n, which in enumerate(order)}
 
 
-def distinct_documents(part: pa.Table, copies: set[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """key, tag, text and group of documents that aren't copies of earlier texts, in a fixed order."""
-    key, tag, texts, order = documents_of(part)
-    kept = [i for i, which in enumerate(zip(key.tolist(), tag.tolist(), strict=True)) if which not in copies]
-    return key[kept], tag[kept], [texts[i] for i in kept], part.column("group").to_numpy()[order][kept].view(np.uint64)
+def distinct_documents(part: pa.Table, copies: set[tuple[int, int]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """key, text and group of these documents."""
+    rows, _ = places_of(part, copies)
+    body = part.column("body")
+    return part.column("key").to_numpy()[rows], [body[i].as_py() for i in rows], part.column("group").to_numpy()[rows].view(np.uint64)
 
 
 def notes_of(side: pa.Table, kind: int) -> list[dict]:
@@ -278,97 +348,133 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     and a string in documents of different keys is removed from all of them.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     group_hash = F.lit(0).cast("long") if group is None else F.xxhash64(group)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), body.alias("body"), group_hash.alias("group"), *carry)
     ids = rows.select("key", F.xxhash64("body").alias("tag"), F.md5("body").alias("digest"), F.octet_length("body").alias("n"))
-    size = ids.agg(F.sum("n")).first()[0] or 0
+    weights = [F.octet_length("body")]
+    for f in rows.select(*carry).schema:  # parts are sized by all bytes that they hold
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary", "array"):
+            weights.append(F.coalesce(F.octet_length(F.to_json(f.name) if kind == "array" else f.name), F.lit(0)))
+    size = rows.agg(*(F.sum(w) for w in weights)).first()
+    size = sum(x or 0 for x in size)
     parts_n = max(partitions(spark), -(-size // PART_BYTES))
-    part_of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts_n)).cast("int")
+    part_of = lambda: F.pmod(F.xxhash64("key", "tag"), F.lit(parts_n)).cast("int")
     earliest = ids.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     if group is not None:
         earliest = earliest.where("false")  # every copy testifies
+    earliest = materialize(earliest.drop("copies"), "earliest")  # so the join has exchanges of its own, and can split a hot digest
     copies = materialize(ids.where(F.col("n") >= length).join(earliest, "digest").where("key > first").select("key", "tag").distinct(), "copies")
-    copy_notes = copies.select(part_of(F.col("key")).alias("part"), F.lit(COPY).alias("kind"), "key", "tag", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("payload"))
-    parts = rows.select(part_of(F.col("key")).alias("part"), "doc_id", "key", F.xxhash64("body").alias("tag"), "body", "group", *carry)
+    copy_notes = copies.select(part_of().alias("part"), F.lit(COPY).alias("kind"), "key", "tag", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("payload"))
+    parts = rows.withColumn("tag", F.xxhash64("body")).select(part_of().alias("part"), "doc_id", "key", "tag", "body", "group", *carry)
+
+    def hashes_of(part: pa.Table, side: pa.Table) -> tuple:
+        """Of a part: keys, texts, and its anchors by bucket and hash: (owner, first, count, hash), distinct ones, cuts by bucket."""
+        keys, texts, groups = distinct_documents(part, copies_of(side))
+        owner, first, count, h = anchors(texts, length)
+        h = h ^ groups[owner]
+        bucket = (scramble(h) % np.uint64(parts_n)).astype(np.int64)
+        order = np.lexsort((h, bucket))
+        owner, first, count, h, bucket = (x[order] for x in (owner, first, count, h, bucket))
+        heads = np.flatnonzero(np.append(len(h) > 0, h[1:] != h[:-1]))
+        return keys, texts, owner, first, count, h, heads, np.searchsorted(bucket[heads], np.arange(parts_n + 1))
 
     def deal_anchors(part: pa.Table, side: pa.Table) -> pa.Table:
+        """For each bucket: the part's distinct hashes, and a bit for those that several of its documents hold."""
         if not part.num_rows:
             return _rows([], _dealt)
         number = part.column("part")[0].as_py()
-        _, _, texts, groups = distinct_documents(part, copies_of(side))
-        owner, _, _, h = anchors(texts, length)
-        h = h ^ groups[owner]
-        bucket = (scramble(h) % np.uint64(parts_n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(parts_n + 1))
-        return _rows([(b, number, h[order[cuts[b] : cuts[b + 1]]].tobytes()) for b in range(parts_n) if cuts[b] < cuts[b + 1]], _dealt)
+        _, _, owner, _, _, h, heads, cuts = hashes_of(part, side)
+        several = np.maximum.reduceat(owner, heads) > np.minimum.reduceat(owner, heads) if len(heads) else np.zeros(0, bool)
+        own = h[heads]
+        return _rows([(b, number, own[lo:hi].tobytes() + np.packbits(several[lo:hi]).tobytes()) for b, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if lo < hi], _dealt)
 
     def mark_repeated(dealt: pa.Table) -> pa.Table:
+        """For each part: a bit for each of its hashes that several documents hold."""
         rows_ = dealt.to_pylist()
-        every = [np.frombuffer(r["payload"], np.uint64) for r in rows_]
-        _, where, many = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-        marks = np.split(many[where] > 1, np.cumsum([len(x) for x in every])[:-1])
-        return _rows([(r["part"], MARKS, 0, 0, r["bucket"], np.packbits(m).tobytes()) for r, m in zip(rows_, marks, strict=True)], _note_schema)
+        sizes = [len(r["payload"]) * 8 // 65 for r in rows_]  # n hashes take 8 n bytes and ceil(n / 8) more
+        every = np.concatenate([np.frombuffer(r["payload"], np.uint64, n) for r, n in zip(rows_, sizes, strict=True)])
+        several = np.concatenate([np.unpackbits(np.frombuffer(r["payload"], np.uint8, offset=8 * n), count=n) for r, n in zip(rows_, sizes, strict=True)]).astype(bool)
+        order = np.argsort(every, kind="stable")
+        equal = every[order[1:]] == every[order[:-1]]
+        several[order[1:][equal]] = several[order[:-1][equal]] = True
+        first = np.flatnonzero(np.append(True, ~equal))
+        some = np.logical_or.reduceat(several[order], first)
+        several[order] = some[np.cumsum(np.append(True, ~equal)) - 1]
+        marks = np.split(several, np.cumsum(sizes)[:-1])
+        return _rows([(r["part"], MARKS, 0, 0, r["bucket"], np.packbits(m).tobytes()) for r, m in zip(rows_, marks, strict=True) if m.any()], _note_schema)
 
     def deal_contexts(part: pa.Table, side: pa.Table) -> pa.Table:
+        """For each bucket: distinct contexts of repeated hashes with their extreme keys, and the places that hold them."""
         if not part.num_rows:
             return _rows([], _dealt)
         number = part.column("part")[0].as_py()
-        keys, tags, texts, groups = distinct_documents(part, copies_of(side))
-        owner, first, count, h = anchors(texts, length)
-        h = h ^ groups[owner]
-        bucket = (scramble(h) % np.uint64(parts_n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(parts_n + 1))
+        keys, texts, owner, first, count, h, heads, cuts = hashes_of(part, side)
+        ends = np.append(heads[1:], len(h))
+        lengths = np.array([len(t) for t in texts], np.int64)
+        origin = np.cumsum(lengths) - lengths
+        buffer = np.frombuffer(b"".join(texts) + PAD, np.uint8)
+        del texts
         out = []
         for r in notes_of(side, MARKS):
-            own = order[cuts[r["bucket"]] : cuts[r["bucket"] + 1]]
-            own = own[np.unpackbits(np.frombuffer(r["payload"], np.uint8), count=len(own)).astype(bool)]
-            if len(own):
-                heads = np.stack([h[own].view(np.int64), keys[owner[own]], tags[owner[own]], first[own], count[own]])
-                strings = b"".join([texts[o][f : f + n + length - 1] for o, f, n in zip(owner[own].tolist(), first[own].tolist(), count[own].tolist(), strict=True)])
-                out.append((r["bucket"], number, struct.pack("<q", len(own)) + heads.tobytes() + strings))
+            lo, hi = cuts[r["bucket"]], cuts[r["bucket"] + 1]
+            marked = lo + np.flatnonzero(np.unpackbits(np.frombuffer(r["payload"], np.uint8), count=hi - lo))
+            many = ends[marked] - heads[marked]
+            own = np.repeat(heads[marked] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            start, size, key = origin[owner[own]] + first[own], count[own] + length - 1, keys[owner[own]]
+            chosen, which = collapse(strings_at(buffer, start, size).tobytes() + PAD, np.cumsum(size) - size, size, h[own])
+            least, most = np.full(len(chosen), NO_KEY), np.full(len(chosen), -NO_KEY)
+            np.minimum.at(least, which, key)
+            np.maximum.at(most, which, key)
+            covered = key > least[which] if group is None else (least < most)[which]  # by this part's own documents
+            kept = own[chosen]
+            columns = [h[kept], least, most, count[kept].astype("u1"), which.astype("<i4"), owner[own].astype("<i4"), first[own].astype("<i4"), np.packbits(covered)]
+            strings = strings_at(buffer, start[chosen], size[chosen])
+            out.append((r["bucket"], number, struct.pack("<qq", len(chosen), len(own)) + b"".join(x.tobytes() for x in (*columns, strings))))
         return _rows(out, _dealt)
 
     def sort_bucket(dealt: pa.Table) -> pa.Table:
-        heads, where, known = [], [], {}
-        for i, payload in enumerate(dealt.column("payload").to_pylist()):
-            n = struct.unpack_from("<q", payload)[0]
-            head = np.frombuffer(payload, np.int64, 5 * n, 8).reshape(5, n)
-            at, ends = 8 + 40 * n, np.cumsum(head[4] + length - 1)
-            heads.append(np.vstack([head, np.full((1, n), i)]))
-            for hash_, lo, hi in zip(head[0].tolist(), (ends - head[4] - length + 1).tolist(), ends.tolist(), strict=True):
-                where.append(known.setdefault((hash_, payload[at + lo : at + hi]), len(known)))
-        head, where = np.hstack(heads), np.array(where)
-        strings = list(known)
-        order = np.array(sorted(range(len(strings)), key=lambda i: strings[i][0]))
-        count = head[4]
-
-        def least_of(keys: np.ndarray) -> np.ndarray:
-            """For every window: the smallest of `keys` among the documents that hold it."""
-            least = np.full(len(known), NO_KEY)
-            np.minimum.at(least, where, keys)
-            found = least_keys([strings[i][1] for i in order], np.array([strings[i][0] for i in order]), least[order], length)
-            mine = [None] * len(known)
-            for i, f in zip(order.tolist(), found, strict=True):
-                mine[i] = f
-            return np.concatenate([mine[i] for i in where.tolist()])
-
-        taken = least_of(head[1]) < np.repeat(head[1], count)
-        if group is not None:
-            taken |= least_of(-head[1]) < np.repeat(-head[1], count)
-        member = np.repeat(np.arange(len(count)), count)
-        window = np.arange(len(taken)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(head[3], count)
-        t = np.flatnonzero(taken)
-        if not len(t):
-            return _rows([], _note_schema)
-        new = np.append(True, (member[t[1:]] != member[t[:-1]]) | (t[1:] != t[:-1] + 1))
-        lo = t[new]
-        hi = t[np.append(np.flatnonzero(new)[1:] - 1, len(t) - 1)]
-        spans = np.stack([head[1, member[lo]], head[2, member[lo]], window[lo], window[hi] + length])
-        source = dealt.column("part").to_numpy()[head[5, member[lo]]]
-        return _rows([(int(p), SPANS, 0, 0, 0, np.ascontiguousarray(spans[:, source == p]).tobytes()) for p in np.unique(source)], _note_schema)
+        """For each part: spans (document, start, stop) whose windows another document also holds."""
+        kinds = ("<u8", "<i8", "<i8", "u1")
+        contexts: list[list[np.ndarray]] = [[], [], [], [], []]
+        members = []
+        payloads = dealt.column("payload")
+        for i in range(len(payloads)):
+            raw = payloads[i].as_buffer()
+            n, m = struct.unpack_from("<qq", raw)
+            at = 16
+            for column, kind in zip(contexts, kinds, strict=False):
+                column.append(np.frombuffer(raw, kind, n, at))
+                at += column[-1].nbytes
+            member = np.frombuffer(raw, "<i4", 3 * m, at).reshape(3, m)
+            at += member.nbytes
+            covered = np.unpackbits(np.frombuffer(raw, np.uint8, -(-m // 8), at), count=m).astype(bool)
+            contexts[4].append(np.frombuffer(raw, np.uint8, offset=at + -(-m // 8)))
+            members.append((member, covered))
+        number = dealt.column("part").to_numpy()
+        base = np.cumsum([len(x) for x in contexts[0]]) - [len(x) for x in contexts[0]]
+        h, least, most, count, buffer = (np.concatenate(x) for x in contexts)
+        count = count.astype(np.int64)
+        context, lo, n = taken_spans(buffer, count, h, least, most, group is not None, length)
+        order = np.argsort(context, kind="stable")
+        context, lo, n = context[order], lo[order], n[order]
+        found: list[tuple] = []
+        for part, begin, (member, covered) in zip(number.tolist(), base.tolist(), members, strict=True):
+            which, owner, first = (x.astype(np.int64) for x in member)
+            which += begin
+            from_, to = (np.searchsorted(context, which, side=side) for side in ("left", "right"))
+            own = np.repeat(np.arange(len(which)), np.where(covered, 0, to - from_))
+            nth = np.arange(len(own)) - np.searchsorted(own, own)
+            at = from_[own] + nth
+            whole = np.flatnonzero(covered)
+            starts = np.concatenate([first[own] + lo[at], first[whole]])
+            stops = np.concatenate([first[own] + lo[at] + n[at], first[whole] + count[which[whole]]]) + length - 1
+            if len(starts):
+                spans = np.stack([np.concatenate([owner[own], owner[whole]]), starts, stops]).astype("<i4")
+                found.append((part, SPANS, 0, 0, 0, spans.tobytes()))
+        return _rows(found, _note_schema)
 
     dealt_schema = "bucket int, part int, payload binary"
     by_part = lambda df: df.groupBy("part")
@@ -386,21 +492,25 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH) -> DataFrame:
     carried = [f for f in parts.schema if f.name not in ("part", "doc_id", "key", "tag", "body", "group")]
 
     def apply(part: pa.Table, side: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return _rows([], schema)
         copies = copies_of(side)
-        found = [np.frombuffer(r["payload"], np.int64).reshape(4, -1) for r in notes_of(side, SPANS)]
-        spans = np.hstack(found) if found else np.zeros((4, 0), np.int64)
-        spans = spans[:, np.lexsort((spans[2], spans[1], spans[0]))]
-        own: dict[tuple[int, int], list[list[int]]] = {}
-        for k, t, lo, hi in spans.T.tolist():
-            runs = own.setdefault((k, t), [])
-            if runs and lo <= runs[-1][1]:
-                runs[-1][1] = max(hi, runs[-1][1])
-            else:
-                runs.append([lo, hi])
+        found = [np.frombuffer(r["payload"], "<i4").reshape(3, -1).astype(np.int64) for r in notes_of(side, SPANS)]
+        spans = np.hstack(found) if found else np.zeros((3, 0), np.int64)
+        spans = spans[:, np.lexsort((spans[1], spans[0]))]
+        own: dict[int, list[list[int]]] = {}
+        if spans.shape[1]:  # spans of a document that touch become one
+            reach = np.maximum.accumulate(spans[2] + (spans[0] << 32)) - (spans[0] << 32)
+            new = np.append(True, (spans[0, 1:] != spans[0, :-1]) | (spans[1, 1:] > reach[:-1]))
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], spans.shape[1]) - 1
+            for d, lo, hi in zip(spans[0, first].tolist(), spans[1, first].tolist(), reach[last].tolist(), strict=True):
+                own.setdefault(d, []).append([lo, hi])
+        _, place = places_of(part, copies)
         out = []
         columns = (part.column(c).to_pylist() for c in ("doc_id", "key", "tag", "body"))
         for doc, k, t, text in zip(*columns, strict=True):
-            runs = [[0, len(text)]] if (k, t) in copies and len(text) >= length else own.get((k, t), [])
+            runs = own.get(place[k, t], []) if (k, t) in place else [[0, len(text)]]
             kept, at = [], 0
             for lo, hi in runs:
                 kept.append(text[at:lo])
