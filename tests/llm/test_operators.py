@@ -130,6 +130,17 @@ def test_a_large_group_of_edited_copies(spark):
     assert got == {i: find(i) for i in range(90)}
 
 
+def test_near_duplicates_by_awkward_keys(spark):
+    """Keys say nothing about texts: equal keys may have unlike ones, and null keys any."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (1, "another"), (2, text), (None, text), (None, "alone"), (None, "alone"), (7, None), (8, " "), (9, "")]
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, class string, first int")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in near_duplicates.near_duplicates(df).collect())
+    assert got == [(0, 0, 2), (0, 0, 2), (0, 1, 4), (1, 1, 1), (1, 1, 4), (1, 1, 4), (2, 1, 4), (7, 7, 2), (8, 8, 1), (9, 7, 2)]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in near_duplicates.keep_one(df).collect())
+    assert kept == [(0, "alone"), (1, "another"), (1, text), (7, ""), (8, " ")]
+
+
 def test_signatures_estimate_the_probability_jaccard():
     rng = np.random.default_rng(5)
     a = {int(x): int(w) for x, w in zip(rng.integers(1, 1 << 62, 120), rng.integers(1, 4, 120))}

@@ -8,13 +8,16 @@ Jaccard of the two multisets. Bands of registers make buckets; a pair of differe
 exact probability Jaccard is at least the threshold, and classes are the connected components of links and equal texts.
 
 Within a bucket every member is held against a pivot, the member with the most bucket mates. Members of buckets that
-then still span several classes are joined on the rarest shingles, by a rule that loses no pair that can be linked. So
-the pairs of a large bucket are never all made, pairs inside a class are not made at all, and no partner, candidate or
-bucket is capped.
+then still span several classes are joined on the rarest shingles, by a rule that loses no pair that can be linked: in
+rounds, in which each node meets one, then two, then four more members of each other class that shares a shingle, those
+first that can be nearest; classes that a round links meet no more. So the pairs of a large bucket are never all made,
+pairs inside a class are not made at all, and no partner, candidate or bucket is capped.
 
-Defined cases: a null text counts as the empty text, and empty texts are copies of each other; equal keys are one
-document; a null key gets a class (its class_id is the smallest key in it, null if there is none); an empty table gives
-no rows; other columns are ignored.
+A node is a distinct text, named by its MD5; so copies are one node however many there are.
+
+Defined cases: a null text counts as the empty text, and empty texts are copies of each other; rows with equal keys and
+unlike texts are documents of their own; a null key gets a class (its class_id is the smallest key in it, null if there is
+none); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches, materialize
+from tracewell.llm.common import bounded_batches, materialize, scramble
 from tracewell.llm.graph import components
 from tracewell.session import table
 
@@ -34,13 +38,6 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 8
 _M = 0xFFFFFFFFFFFFFFFF
 
 
-def scramble(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(text: Column) -> Column:
     """array<long>: a hash of each word."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -116,14 +113,12 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(sum(n / np.maximum(p / x, q / y).sum() for (x, y), n in zip(ratio.T, many, strict=True)))
 
 
-def prefix_pairs(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes that share one of their rarest shingles. open_: node, class.
+def prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """node, shingle, before, nth: the rarest shingles of nodes. open_: node, class.
 
     With weights scaled to 1, the probability Jaccard is at most the weight of the common shingles. So if it reaches the
     threshold, the rarest common shingle is, on either side, among the rarest ones whose weight exceeds 1 - threshold: no
-    pair that can be linked is lost. Where it is the rarest common one, the weights x and y before it are not common, and
-    the similarity is at most (1 - x)(1 - y) / (1 - xy); pairs for which that is too small aren't made. Shingles that only
-    one class has among its rarest make no pairs.
+    pair that can be linked is lost. before: the weight of the rarer ones; nth: place by it among a class's holders.
     """
     own = sets.join(open_, "node").select("node", "class", F.explode(F.arrays_zip("elements", "weights")).alias("s"))
     own = own.select("node", "class", F.col("s.elements").alias("shingle"), F.col("s.weights").alias("weight"))
@@ -133,25 +128,55 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     # Weight before each shingle; it is kept while that is not over 1 - threshold of all.
     running = F.aggregate(
         "by_rarity",
-        F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<shingle: int, before: bigint>>").alias("kept")),
+        F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<shingle: bigint, before: bigint>>").alias("kept")),
         lambda run, s: F.struct(
             (run["n"] + s["weight"]).alias("n"),
             F.when(run["n"] <= (1 - threshold) * F.col("total") + 1e-9, F.array_append(run["kept"], F.struct(s["shingle"].alias("shingle"), run["n"].alias("before")))).otherwise(run["kept"]).alias("kept"),
         ),
     )
-    kept = materialize(ranked.withColumn("total", total).select("node", "class", "total", running["kept"].alias("kept")), "prefix")
-    prefix = kept.select("node", "class", "total", F.transform("kept", lambda s: s["shingle"]).alias("rare"), F.explode("kept").alias("s"))
-    prefix = prefix.select("node", "class", "rare", F.col("s.shingle").alias("shingle"), (F.col("s.before") / F.col("total")).alias("before"))
+    kept = ranked.withColumn("total", total).select("node", "class", "total", running["kept"].alias("kept"))
+    prefix = kept.select("node", "class", "total", F.explode("kept").alias("s"))
+    prefix = prefix.select("node", "class", F.col("s.shingle").alias("shingle"), (F.col("s.before") / F.col("total")).alias("before"))
+    prefix = materialize(prefix, "prefix")
     several = prefix.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("shingle")
-    prefix = prefix.join(several, "shingle", "left_semi")
-    own = lambda n: prefix.select("shingle", F.col("node").alias(n), F.col("class").alias(f"class_{n}"), F.col("before").alias(f"before_{n}"), F.col("rare").alias(f"rare_{n}"))
-    near = f"(1 - before_a) * (1 - before_b) >= {threshold} * (1 - before_a * before_b) - 1e-9"
-    rarest = "element_at(array_intersect(rare_a, rare_b), 1) = shingle"  # each pair is made once
-    return own("a").join(own("b"), "shingle").where(f"a < b AND class_a != class_b AND {near} AND {rarest}").select("a", "b").distinct()
+    order = W.partitionBy("shingle", "class").orderBy("before", "node")
+    return prefix.join(several, "shingle", "left_semi").select("node", "shingle", "before", (F.row_number().over(order) - 1).alias("nth"))
+
+
+def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold: float) -> list[DataFrame]:
+    """Links (a, b) between classes of open nodes that share a prefix shingle, as tables. done: pairs that were verified.
+
+    A round takes, of each class at each shingle, the next holders by the weight before it, twice as many as the round
+    before, and makes pairs of them with the nodes of other classes. Where the shingle is the rarest common one, the
+    weights x and y before it are not common, so the similarity is at most (1 - x)(1 - y) / (1 - xy): pairs for which that
+    is too small aren't made.
+    """
+    rows, found = materialize(prefixes(open_, sets, threshold), "prefixes"), []
+    near = f"(1 - a_before) * (1 - b_before) >= {threshold} * (1 - a_before * b_before) - 1e-9"
+    lo, classes = 0, open_
+    while True:
+        classed = rows.join(classes, "node")
+        several = classed.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.max("nth").alias("last")).where("least < most")
+        live = materialize(classed.join(several.select("shingle", "last"), "shingle"), "live")
+        if not live.where(F.col("last") >= lo).limit(1).count():
+            return found
+        side = lambda n: live.select("shingle", F.col("node").alias(n), F.col("class").alias(f"{n}_class"), F.col("before").alias(f"{n}_before"), F.col("nth").alias(f"{n}_nth"))
+        heads = side("b").where(F.col("b_nth").between(lo, 2 * lo))
+        pairs = side("a").join(heads, "shingle").where(f"a_class != b_class AND {near}")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_class", "b_class").alias("one"), F.greatest("a_class", "b_class").alias("other")).distinct()
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        linked = verify(pairs.select("a", "b"), sets, threshold).where("linked").select("a", "b")
+        links = materialize(linked.join(pairs, ["a", "b"]).select("a", "b", "one", "other"), "links")
+        if links.limit(1).count():
+            found.append(links.select("a", "b"))
+            merged = components(links.select(F.col("one").alias("a"), F.col("other").alias("b")))
+            classes = classes.join(merged.withColumnRenamed("node", "class"), "class", "left")
+            classes = materialize(classes.select("node", F.coalesce("component", "class").alias("class")), "classes")
+        lo = 2 * lo + 1
 
 
 def sign_documents(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
-    """docs (doc_id, node, digest, words) with `bands` in place of words; without words there are none."""
+    """docs (doc_id, digest, words) with `bands` in place of words; without words there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -165,9 +190,9 @@ def sign_documents(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
                 some[owner] = True
                 offsets = np.concatenate([[0], np.cumsum(some * count)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))
-                yield pa.record_batch([batch.column("doc_id"), batch.column("node"), batch.column("digest"), lists], names=["doc_id", "node", "digest", "bands"])
+                yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), lists], names=["doc_id", "digest", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, digest binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -179,31 +204,23 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             linked = []
             for row in zip(*(batch.column(c) for c in ("ea", "wa", "eb", "wb")), strict=True):
                 ea, wa, eb, wb = (x.values.to_numpy(zero_copy_only=False) for x in row)
-                linked.append(probability_jaccard((ea, wa), (eb, wb)) >= threshold)
+                linked.append(probability_jaccard((ea.view(np.uint64), wa), (eb.view(np.uint64), wb)) >= threshold)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs (node, words) as node, elements (sorted), weights."""
+    """docs (node, words) as node, elements (sorted as unsigned numbers), weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, element, weight = shingles(pa.concat_arrays([batch.column("words")]), k)
             offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
-            value = (element >> np.uint64(32)).astype(np.uint32).view(np.int32)  # 32 bits tell the shingles of two texts apart
-            order = np.lexsort((value, owner))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (value, weight.astype(np.int32))]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (element.view(np.int64), weight.astype(np.int32))]
             yield pa.record_batch([batch.column("node"), *lists], names=["node", "elements", "weights"])
 
-    return docs.select("node", "words").mapInArrow(run, "node long, elements array<int>, weights array<int>")
-
-
-def identity(key: Column, text: Column) -> tuple[Column, Column]:
-    """(node, digest) of a document: its key, or a negative number made from its text, and the MD5 of its text."""
-    body = F.coalesce(text, F.lit(""))
-    return F.coalesce(key.cast("long"), F.lit(-1) - F.shiftrightunsigned(F.xxhash64(body), 2)), F.unhex(F.md5(body))
+    return docs.select("node", "words").mapInArrow(run, "node binary, elements array<long>, weights array<int>")
 
 
 def near_duplicates(
@@ -217,37 +234,44 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, class_id (the smallest key of its class), class_size of every document."""
     grouped = classes_of(docs, key, text, k, threshold, count, rows)
-    classes = grouped.groupBy("text_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return grouped.join(classes, "text_node").select("doc_id", "class_id", "class_size")
+    # Written, so that the join has exchanges of its own and can split a class that holds a large part of all rows.
+    classes = materialize(grouped.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    return grouped.join(classes, "class").select("doc_id", "class_id", "class_size")
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near duplicates: of each class the row with the smallest key stays, a null key only if all are null."""
-    node, digest = identity(F.col(key), F.col(text))
-    kept = classes_of(docs, key, text).groupBy("text_node").agg(F.min(F.struct(F.col("doc_id").isNull(), "node", "digest")).alias("kept"))
-    kept = kept.select(F.col("kept.node").alias("kept_node"), F.col("kept.digest").alias("kept_digest"))
-    rows = docs.withColumns({"kept_node": node, "kept_digest": digest})
-    return rows.join(kept, ["kept_node", "kept_digest"], "left_semi").dropDuplicates(["kept_node", "kept_digest"]).drop("kept_node", "kept_digest")
+    kept = classes_of(docs, key, text).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("kept"))
+    kept = kept.select(F.col("kept.digest").alias("kept_digest"), F.col("kept.doc_id").alias("kept_key"))
+    rows = docs.withColumn("kept_digest", digest_of(F.col(text)))
+    same = (rows["kept_digest"] == kept["kept_digest"]) & rows[key].cast("long").eqNullSafe(kept["kept_key"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["kept_digest"]).drop("kept_digest")
 
 
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, count: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node, digest, text_node (the class) of every document."""
+    """doc_id, digest, class (the smallest digest of its class) of every document."""
     bounded_batches(docs.sparkSession)
-    node, digest = identity(F.col(key), F.col(text))
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), node.alias("node"), digest.alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), digest_of(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     worded = lambda df: df.withColumn("words", word_hashes(F.col("text"))).drop("text")
     signed = materialize(sign_documents(worded(plain), k, count, rows), "signed")
-    # One node for each text: the smallest of its documents.
-    texts = materialize(signed.groupBy("digest").agg(F.min("node").alias("text_node"), F.first("bands").alias("bands")), "texts")
-    nodes = texts.select(F.col("text_node").alias("node"), F.explode("bands").alias("bucket"))
+    # A text is read again where its smallest key stands, once for all its copies.
+    first = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first")
+    texts = materialize(signed.groupBy("digest").agg(F.first("bands").alias("bands"), first), "texts")
+    nodes = texts.select(F.col("digest").alias("node"), F.explode("bands").alias("bucket"))
     shared = nodes.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("mates")).where("least < most")
     held_in = materialize(nodes.join(shared.select("bucket", "mates"), "bucket"), "held")
     # A node with many bucket mates is the likeliest to be near them all: it makes the best pivot.
     degrees = held_in.groupBy("node").agg((-F.sum("mates")).alias("degree"))
     members = materialize(held_in.select("bucket", "node").join(degrees, "node").select("bucket", "node", F.struct("degree", "node").alias("place")), "members")
-    asked = members.select("node").distinct()
-    wanted = texts.select("digest", F.col("text_node").alias("node")).join(asked, "node", "left_semi")
-    sets = materialize(shingle_sets(worded(plain.join(wanted, ["digest", "node"]).dropDuplicates(["node"])), k), "sets")
+    asked = members.select(F.col("node").alias("digest")).distinct()
+    wanted = texts.select("digest", "first").join(asked, "digest", "left_semi")
+    keyed = plain.select("digest", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("first"), "text")
+    once = keyed.join(wanted, ["digest", "first"]).dropDuplicates(["digest", "first"])
+    sets = materialize(shingle_sets(worded(once.select(F.col("digest").alias("node"), "text")), k), "sets")
     # First every member of a bucket is held against its pivot.
     pivots = members.groupBy("bucket").agg(F.min("place").alias("first")).select("bucket", F.col("first.node").alias("pivot"))
     pairs = members.join(pivots, "bucket").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
@@ -259,14 +283,13 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     spread = classed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
     open_ = materialize(classed.join(spread, "bucket", "left_semi").select("node", "class").distinct(), "open")
     if open_.limit(1).count():
-        pairs = prefix_pairs(open_, sets, threshold).join(found.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialize(verify(pairs, sets, threshold), "verified").where("linked").select("a", "b")
-        if more.limit(1).count():
-            labels = components(links.union(more))
-    grouped = signed.select("doc_id", "node", "digest").join(texts.select("digest", "text_node"), "digest")
-    grouped = grouped.join(labels.select(F.col("node").alias("text_node"), "component"), "text_node", "left")
-    grouped = grouped.withColumn("text_node", F.coalesce("component", "text_node"))
-    return grouped.select("doc_id", "node", "digest", "text_node")
+        more = link_classes(open_, sets, found.select("a", "b"), threshold)
+        for m in more:
+            links = links.union(m)
+        if more:
+            labels = components(links)
+    grouped = signed.select("doc_id", "digest").join(labels.select(F.col("node").alias("digest"), "component"), "digest", "left")
+    return materialize(grouped.select("doc_id", "digest", F.coalesce("component", "digest").alias("class")), "grouped")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
