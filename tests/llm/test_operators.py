@@ -1,6 +1,7 @@
 """The corpus operators on small tables with the awkward cases: nulls, empty and long texts, ties, clashing names."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -386,17 +387,53 @@ def test_transcripts(spark):
     assert all(r.rendered.startswith(f"<|{r.role}|>\n") for r in got)
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    rng = np.random.default_rng(7)
+    n = len(transcripts.STATES)
+    model = {"emit": rng.normal(size=(n, transcripts.SEEN)), "move": rng.normal(size=(n, n)), "start": rng.normal(size=n)}
+    seen = rng.integers(0, transcripts.SEEN, 5)
+
+    def score(path, before):
+        total = model["start"][path[0]] if before is None else model["move"][before, path[0]]
+        return total + sum(model["emit"][s, o] for s, o in zip(path, seen)) + sum(model["move"][a, b] for a, b in zip(path, path[1:]))
+
+    paths = list(itertools.product(range(n), repeat=5))
+    for before, last in ((None, None), (2, None), (None, 3), (1, 4)):
+        best = max((p for p in paths if last is None or p[-1] == last), key=lambda p: score(p, before))
+        assert tuple(transcripts.viterbi(seen, model, before, last)) == best
+    ends = transcripts.between(seen, model)
+    assert np.allclose(ends, [[max(score(p, b) for p in paths if p[-1] == e) for e in range(n)] for b in range(n)])
+    assert np.allclose(transcripts.onward(seen, model), [max(score(p, None) for p in paths if p[-1] == e) for e in range(n)])
+
+
 def test_pieces_of_a_long_transcript_decode_as_the_whole(spark, monkeypatch):
-    data = [(1, t, ["user", "assistant"][t % 2], "short?" if t % 2 == 0 else "a longer answer " * 9) for t in range(40)]
+    data = [(1, t, ["user", "assistant"][t % 2], "short?" if t % 2 == 0 else "a longer answer " * 9 + "\nand more" * (t % 7)) for t in range(40)]
+    data.append((2, 0, "user", "\n".join(f"line {i}" for i in range(50))))  # one text, longer than a piece
     raw = transcripts.raw_transcripts(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
-    whole = sorted((r.pos, r.role, r.text) for r in transcripts.recover(raw, raw).collect())
-    monkeypatch.setattr(transcripts, "PIECE", 8)
-    lines = transcripts.lines_of(raw, "conv_id", "turn", "raw")
-    monkeypatch.setattr(transcripts, "PIECE", 2048)
-    model = transcripts.fit(transcripts.lines_of(raw, "conv_id", "turn", "raw", "role").withColumn("first", F.col("sub") == F.min("sub").over(transcripts.W.partitionBy("conv", "pos"))))
-    monkeypatch.setattr(transcripts, "PIECE", 8)
-    cut = sorted((r.pos, r.role, r.text) for r in transcripts.turns(transcripts.decode(lines, model)).collect())
-    assert cut == whole
+    model = transcripts.fit(transcripts.lines_of(raw, "conv_id", "turn", "raw", "role").withColumn("first", F.col("sub") == 0))
+    got = []
+    for piece in (2048, 8):
+        monkeypatch.setattr(transcripts, "PIECE", piece)
+        decoded = transcripts.decode(transcripts.lines_of(raw, "conv_id", "turn", "raw"), model)
+        got.append(sorted((r.conv, r.turn, r.pos, r.role, r.text) for r in transcripts.turns(decoded).collect()))
+        if piece == 8:
+            assert decoded.groupBy("conv", "piece").count().agg(F.max("count")).first()[0] <= 8
+    assert got[0] == got[1]
+
+
+def test_transcripts_with_awkward_rows(spark):
+    rows = [(1, 0, "user", "User: hi"), (1, 1, "assistant", None), (1, 1, None, ""), (1, None, "user", "User: first"), (2, 0, "user", "User: hi"), (2, 0, "user", "User: hi")]
+    rows += [(None, 0, "user", "User: alone"), (None, 0, "assistant", "Assistant: alone too"), (None, 5, "user", None), (4, 0, "assistant", "word " * 9000)]
+    table = spark.createDataFrame([(*r, "c", 1, "l") for r in rows], "conv_id long, turn long, role string, raw string, conv string, state int, line string")
+    got = transcripts.recover(table, table).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.conv, r.turn)):
+        found.setdefault(r.conv, []).append(r.text)
+    alone = {c: t for c, t in found.items() if c not in ("1", "2", "4")}
+    assert found["1"][:2] == ["first", "hi"] and found["2"] == ["hi", "hi"] and found["4"] == [("word " * 9000).strip()]
+    assert sorted(alone.values()) == [[""], ["alone"], ["alone too"]]
+    assert transcripts.recover(table.limit(0), table).count() == 0
+    assert transcripts.recover(table, table.limit(0)).count() > 0  # without labels: no role is likelier
 
 
 def test_pipeline(spark, tmp_path, rows):

@@ -5,13 +5,15 @@ stands before it, a length class and whether it ends with a question mark. Hidde
 later line). Transitions and emissions are counted over labelled transcripts, all of them, with one added to each count.
 Viterbi gives the states; a first-line state, a change of role or a marker begins a turn, and markers are cut from it.
 
-Long transcripts are decoded in pieces of `PIECE` lines: a piece's best scores between any two states are a matrix, the
-matrices of a transcript give the states at the seams, and each piece is then decoded between its seams. So no task holds
-more than a piece of a transcript's lines, and the result is that of decoding it whole.
-
-Defined cases: a null or empty text is one empty line; a null role in labelled rows is not counted; rows with a null
-transcript key form one transcript; equal rows stand next to each other; an empty table gives no rows; other columns are
-ignored.
+Long transcripts are decoded in pieces of about `PIECE` lines (blank ones counted; lines at one place of a text stay
+together): a piece's best scores between any two states are a matrix, the matrices of a transcript give the states at the
+seams, and each piece is then decoded between its seams. Turns are numbered piece by piece too. So a task holds a piece's
+lines, a turn's lines, or a transcript's matrices (36 numbers for a piece), and the result is that of decoding it whole.
+
+Defined cases: a null or empty text is one empty line; a null role in labelled rows is not counted; a row with a null
+transcript key is a transcript of its own (rows with equal texts are one); a null position comes first; rows at one
+position have their lines by number, then by text, so repeated rows interleave; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,20 +54,27 @@ def without_marker(line: Column) -> Column:
     return F.regexp_replace(line, marker_pattern("|".join(MARKERS.values())), "")
 
 
+def conversation(key: Column, text: Column) -> Column:
+    """The name of a row's transcript; a row without a key is a transcript of its own, as nothing ties it to others."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def lines_of(transcripts: DataFrame, key: str, position: str, text: str, *keep: str) -> DataFrame:
     """conv, pos, sub (line within the text), line, seen (what the line shows, as one number), and kept columns.
 
     Blank lines are not lines of their own; the line after one shows it.
     """
-    cut = F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    rows = transcripts.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("conv"), F.col(position).alias("pos"), *keep, cut.alias("sub", "line"), F.col(text).alias("whole"))
     blank = lambda c: F.trim(c) == ""
-    earlier = F.get(F.split(F.coalesce("whole", F.lit("")), "\n"), F.col("sub") - 1)
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    before = F.concat(F.array(F.lit("-")), lines)  # each line beside the one before it; the last has none after it
+    cut = F.posexplode(F.arrays_zip(lines.alias("line"), before.alias("before")))
+    rows = transcripts.select(conversation(F.col(key), F.col(text)).alias("conv"), F.coalesce(F.col(position).cast("long"), F.lit(-1)).alias("pos"), *keep, cut.alias("sub", "both"))
+    rows = rows.select("conv", "pos", *keep, "sub", F.col("both.line").alias("line"), F.col("both.before").alias("before")).where("line IS NOT NULL")
     rows = rows.where(~blank(F.col("line")) | (F.col("sub") == 0))
     size = F.char_length("line")
     length = F.when(size < 40, 0).when(size < 120, 1).when(size < 320, 2).when(size < 900, 3).otherwise(4)
-    seen = ((marker(F.col("line")) * 2 + F.coalesce(blank(earlier), F.lit(False)).cast("int")) * 5 + length) * 2 + F.rtrim("line").endswith("?").cast("int")
-    return rows.withColumn("seen", seen.cast("int")).drop("whole")
+    seen = ((marker(F.col("line")) * 2 + F.coalesce(blank(F.col("before")), F.lit(False)).cast("int")) * 5 + length) * 2 + F.rtrim("line").endswith("?").cast("int")
+    return rows.withColumn("seen", seen.cast("int")).drop("before")
 
 
 SEEN = 4 * 2 * 5 * 2
@@ -88,8 +97,8 @@ def fit(lines: DataFrame) -> dict[str, np.ndarray]:
     emit = np.ones((len(STATES), SEEN))
     for r in known.groupBy("state", "seen").count().collect():
         emit[r["state"], r["seen"]] += r["count"]
-    # A transcript's piece ends its own counts; the seams are few.
-    order = W.partitionBy("conv", F.floor(F.col("pos") / PIECE)).orderBy("pos", "sub")
+    # Moves are counted within blocks of texts; the seams are few.
+    order = W.partitionBy("conv", F.floor(F.col("pos") / PIECE)).orderBy("pos", "sub", "seen")
     moves = known.withColumn("before", F.lag("state").over(order))
     move, start = np.ones((len(STATES), len(STATES))), np.ones(len(STATES))
     for r in moves.groupBy("before", "state", (F.col("pos") == 0).alias("head")).count().collect():
@@ -136,15 +145,29 @@ def viterbi(seen: np.ndarray, model: dict[str, np.ndarray], before: int | None,
     return path[::-1]
 
 
+def in_pieces(lines: DataFrame) -> DataFrame:
+    """lines with `piece`: the number of a line in its transcript, over PIECE; sums run over texts, in blocks of them."""
+    rows = lines.groupBy("conv", "pos").agg((F.max("sub") + 1).cast("long").alias("n")).withColumn("block", F.floor(F.col("pos") / PIECE))
+    blocks = rows.groupBy("conv", "block").agg(F.sum("n").alias("n"))
+    earlier = lambda *part, by: F.coalesce(F.sum("n").over(W.partitionBy(*part).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("base", earlier("conv", "block", by="pos"))
+    blocks = blocks.withColumn("block_base", earlier("conv", by="block")).drop("n")
+    base = rows.join(blocks, ["conv", "block"]).select("conv", "pos", (F.col("base") + F.col("block_base")).alias("base"))
+    return lines.join(base, ["conv", "pos"]).withColumn("piece", F.floor((F.col("base") + F.col("sub")) / PIECE).cast("long")).drop("base")
+
+
+ORDER = ["pos", "sub", "line"]
+
+
 def decode(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """lines with `state`."""
-    pieces = lines.withColumn("piece", F.coalesce(F.floor(F.col("pos") / PIECE).cast("long"), F.lit(-1)))
+    """lines with `piece`, `state` and `earlier`, the state of the line before (null at the start)."""
+    pieces = in_pieces(lines)
     shared = lines.sparkSession.sparkContext.broadcast(model)
     several = pieces.groupBy("conv").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("lo < hi").select("conv")
     long_ = pieces.join(several, "conv", "left_semi")
 
     def measure(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["pos", "sub"], kind="stable")
+        part = part.sort_values(ORDER, kind="stable")
         seen, model_ = part["seen"].to_numpy(), shared.value
         return pd.DataFrame({"conv": [key[0]], "piece": [key[1]], "best": [between(seen, model_).ravel()], "head": [onward(seen, model_)]})
 
@@ -166,24 +189,27 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     rows = pieces.join(fixed, ["conv", "piece"], "left")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["pos", "sub"], kind="stable")
-        before, last = part["before"].iloc[0], part["last"].iloc[0]
-        state = viterbi(part["seen"].to_numpy(), shared.value, None if pd.isna(before) else int(before), None if pd.isna(last) else int(last))
-        return part.assign(state=state).drop(columns=["before", "last"])
+        part = part.sort_values(ORDER, kind="stable")
+        before, last = (None if pd.isna(x) else int(x) for x in (part["before"].iloc[0], part["last"].iloc[0]))
+        state = viterbi(part["seen"].to_numpy(), shared.value, before, last)
+        return part.assign(state=state, earlier=pd.array([before, *state[:-1]], "Int32")).drop(columns=["before", "last"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", state int"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", state int, earlier int"
     return rows.select(*pieces.columns, "before", "last").groupBy("conv", "piece").applyInPandas(run, schema)
 
 
 def turns(decoded: DataFrame) -> DataFrame:
     """conv, turn (from 0), role, text of each turn; markers are cut from their lines."""
-    first = F.col("state") % 2 == 0
     role = F.get(F.array(*map(F.lit, ROLES)), F.floor(F.col("state") / 2).cast("int"))
-    rows = decoded.withColumns({"role": role, "begins": first | (marker(F.col("line")) > 0), "content": without_marker(F.col("line"))})
-    order = W.partitionBy("conv").orderBy("pos", "sub")
-    rows = rows.withColumn("new", (F.col("begins") | ~F.col("role").eqNullSafe(F.lag("role").over(order))).cast("int"))
-    rows = rows.withColumn("turn", F.sum("new").over(order) - 1)
-    lines = F.array_sort(F.collect_list(F.struct("pos", "sub", "content")))
+    changes = F.col("earlier").isNull() | (F.floor(F.col("state") / 2) != F.floor(F.col("earlier") / 2))
+    new = (F.col("state") % 2 == 0) | (marker(F.col("line")) > 0) | changes
+    rows = decoded.select("conv", "piece", "pos", "sub", "line", role.alias("role"), new.cast("int").alias("new"), without_marker(F.col("line")).alias("content"))
+    within = F.sum("new").over(W.partitionBy("conv", "piece").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0))
+    begun = rows.groupBy("conv", "piece").agg(F.sum("new").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("conv").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("within", within).join(begun.select("conv", "piece", before.alias("before")), ["conv", "piece"])
+    rows = rows.withColumn("turn", F.col("before") + F.col("within") - 1)
+    lines = F.array_sort(F.collect_list(F.struct("pos", "sub", "line", "content")))
     text = F.trim(F.array_join(F.filter(F.transform(lines, lambda x: x["content"]), lambda x: x != ""), "\n"))
     return rows.groupBy("conv", "turn", "role").agg(text.alias("text"), F.min("pos").alias("pos"))
 
@@ -214,9 +240,8 @@ def recover(transcripts: DataFrame, labelled: DataFrame, key: str = "conv_id", p
     A row holds consecutive lines of a transcript; rows of one transcript follow each other by position.
     """
     lines = lines_of(labelled, key, position, text, "role")
-    order = W.partitionBy("conv", "pos", "role").orderBy("sub")
-    model = fit(lines.withColumn("first", F.row_number().over(order) == 1))
-    return turns(decode(lines_of(transcripts, key, position, text), model))
+    model = fit(lines.withColumn("first", F.col("sub") == 0))  # a text's first line stays even if it is blank
+    return turns(materialize(decode(lines_of(transcripts, key, position, text), model), "decoded"))
 
 
 def op7_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,4 +249,4 @@ def op7_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_transcripts(table(spark, sf_dir, "conversations"))
     learnable = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), F.lit(3)) != 1
     found = render(recover(raw, raw.where(learnable)))
-    return found.select(F.col("conv").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", F.col("pos").alias("first_source_turn"), "text", "rendered")
+    return found.select(F.col("conv").try_cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", F.col("pos").alias("first_source_turn"), "text", "rendered")
