@@ -375,6 +375,53 @@ def test_pages(spark):
     assert pages.extract(table.limit(0)).count() == 0
 
 
+def test_what_markup_leaves_open(spark):
+    line = "Follow us wherever you are and tell your friends about everything that you have read here today."
+    html = [
+        "<body><article class='story related'><p>All of it.</p><math><mi>x</mi> = 2</math><svg><text>label</text></svg></article></body>",
+        "<body><main><article><p>One.</p></article><p>Between.</p><article><p>Two.</p></article></main><div class='user-feedback'><p>me too</p></div></body>",
+        f"<body><article><p>Own.</p><p class='share'>Her share of the estate was small, and she said so.</p><p class='share'>{line}</p></article></body>",
+        f"<body><article><p>Other.</p><p class='share'>{line}</p><div class='comments'><p>first!</p></div></article></body>",
+        "<body><article><p>" + "long " * 20000 + "</p></article></body>",
+        None,
+    ]
+    rows = [(i, "http://h.example/p" if i else None, h, "x", "y") for i, h in enumerate(html)] + [(2, "http://h.example/p", html[2], "x", "y"), (None, None, html[1], "x", "y")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host string, stream string")
+    got = sorted(((-1 if r.page_id is None else r.page_id), r.text) for r in pages.extract(table).collect())
+    twice = (2, "Own.\n\nHer share of the estate was small, and she said so.")
+    assert got == [
+        (-1, "One.\n\nBetween.\n\nTwo."), (0, "All of it.\n\nx = 2label"), (1, "One.\n\nBetween.\n\nTwo."), twice, twice, (3, "Other."),
+        (4, ("long " * 20000).strip()), (5, ""),
+    ]
+
+
+def test_unique_runs_by_force(spark):
+    """Pages without a main zone keep what no other page of the host has."""
+    rng = np.random.default_rng(13)
+    common = [words(rng, 14) for _ in range(3)]
+    own = [[words(rng, 12), *(common[j] for j in range(3) if (i + j) % 3)] for i in range(9)]
+    host = [i % 2 for i in range(9)]
+    table = spark.createDataFrame([(i, f"http://h{host[i]}.example/", "".join(f"<p>{t}</p>" for t in b)) for i, b in enumerate(own)], "page_id long, url string, html string")
+    held = {}
+    for i, b in enumerate(own):
+        raw = ("\n".join(b) + "\n").encode()
+        for s in range(len(raw) - 49):
+            held.setdefault((host[i], raw[s : s + 50]), set()).add(i)
+    for r in pages.extract(table).collect():
+        raw = ("\n".join(own[r.page_id]) + "\n").encode()
+        gone = np.zeros(len(raw), bool)
+        for s in range(len(raw) - 49):
+            if len(held[host[r.page_id], raw[s : s + 50]]) > 1:
+                gone[s : s + 50] = True
+        at, want = 0, []
+        for t in own[r.page_id]:
+            n = len(t.encode())
+            runs = "".join(" " if g else chr(c) for c, g in zip(raw[at : at + n], gone[at : at + n]))
+            want += [" ".join(runs.split())] if runs.strip() else []
+            at += n + 1
+        assert r.text == "\n\n".join(want)
+
+
 def test_transcripts(spark):
     data = []
     for c in range(60):
