@@ -9,7 +9,6 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from tracewell.llm import repeats, toxicity
 from tracewell.operators import kernels
 from tracewell.plans import registry
 
@@ -175,45 +174,6 @@ def test_blocks_and_bins_cover_all_events(spark, tmp_path):
     assert {(r.user_id, r.event_type, r.bin): r.n for r in got} == bins and sum(r.n for r in got) == len(rows)
 
 
-def test_copies_are_texts_not_keys(spark):
-    rng = np.random.default_rng(7)
-    say = lambda n: " ".join(f"x{i}" for i in rng.integers(0, 10**6, n))
-    first, passage = say(30), say(20)
-    docs = [(1, first), (None, first), (None, say(30)), (None, f"{say(10)} {passage}"), (5, first), (5, f"{say(9)} {passage} {say(9)}"), (5, first)]
-    docs += [(6, f"{passage} {say(5)}"), (None, "short"), (7, say(25))]
-    order = lambda k: (1 << 63) - 1 if k is None else k
-    least = {}
-    for k, text in docs:
-        for s in range(len(text) - 49):
-            least[text[s : s + 50]] = min(order(k), least.get(text[s : s + 50], 1 << 64))
-    want = []
-    for k, text in docs:
-        gone = np.zeros(len(text), bool)
-        for s in range(len(text) - 49):
-            if least[text[s : s + 50]] < order(k):
-                gone[s : s + 50] = True
-        want.append((str(k), "".join(c for c, g in zip(text, gone) if not g)))
-    got = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert sorted((str(r.doc_id), bytes(r.kept).decode()) for r in got) == sorted(want)
-
-
-def test_toxicity_learns_from_the_end_of_long_texts(spark):
-    rng = np.random.default_rng(14)
-    say = lambda n: [f"{a}{b}{c}" for a, b, c in zip(rng.choice(list("bcdfg"), n), rng.choice(["ola", "emi", "uta"], n), rng.choice(["ren", "sto", "vil"], n))]
-    data, labels = [], []
-    for i in range(150):
-        w = say(1600)
-        if i % 3 == 0:
-            w[1500:1500] = ["grumbol", "fizzard"]
-        data.append((i, ". ".join(" ".join(w[j : j + 9]) for j in range(0, len(w), 9))))
-        labels.append((i, 1, int(i % 3 == 0)))
-    assert min(t.find("grumbol") for _, t in data if "grumbol" in t) > 10_000
-    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
-    field = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    got = {r.doc_id: r.score for r in toxicity.score(docs, field).collect()}
-    assert all((got[i] >= 0.7) == toxic for i, _, toxic in labels)
-
-
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_streams_write_their_result_to_files(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()

@@ -5,71 +5,69 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def match_times(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """Index pairs of the best increasing chain of eligible pairs: count first, then total lag, then the earliest.
+    """Index pairs of a best matching of ascending times: most pairs at most `tolerance` apart, then the least total lag.
 
-    Eligible pairs are within the tolerance, both ends included. A tree over b's places holds the best chain that ends at
-    or before a place, so the cost is one tree step for each eligible pair.
+    A best matching need not cross, so it is an alignment: cell (i, j) of a table holds the best of the first i times of
+    a and the first j of b. Only a band of the table counts: a time of a is weighed against the times of b in its reach,
+    and before and after its band a row repeats its ends. Among equals a pair that can be left out is left out.
     """
-    n = len(b)
-    best: list[tuple[int, float, int]] = [(0, 0.0, -1)] * (n + 1)  # (-count, cost, node): smaller is better
-    nodes: list[tuple[int, int, int]] = []  # i, j, node before
-
-    def upto(j: int) -> tuple[int, float, int]:
-        found = (0, 0.0, -1)
-        while j > 0:
-            found = min(found, best[j], key=rank)
-            j -= j & -j
-        return found
-
-    def rank(x: tuple[int, float, int]) -> tuple[int, float, int]:
-        return x
-
-    def put(j: int, value: tuple[int, float, int]) -> None:
-        while j <= n:
-            if rank(value) < rank(best[j]):
-                best[j] = value
-            j += j & -j
-
-    lo = np.searchsorted(b, a - tolerance, side="left")
-    hi = np.searchsorted(b, a + tolerance, side="right")
-    for i in range(len(a)):
-        new = []
-        for j in range(int(lo[i]), int(hi[i])):
-            count, cost, before = upto(j)
-            nodes.append((i, j, before))
-            new.append((j + 1, (count - 1, cost + abs(float(b[j] - a[i])), len(nodes) - 1)))
-        for place, value in new:  # after all questions of row i, so that it is used once
-            put(place, value)
-    at, out = upto(n)[2], []
-    while at >= 0:
-        i, j, at = nodes[at]
-        out.append((i, j))
-    return out[::-1]
+    first, last = np.searchsorted(b, a - tolerance, "left"), np.searchsorted(b, a + tolerance, "right")
+    # A pair is worth more than all lags together; so one number orders (pairs, lag), and sums stay exact enough.
+    worth = 1.0 + tolerance * 2 * (1 + min(len(a), len(b)))
+    rows: list[tuple[int, np.ndarray]] = [(0, np.zeros(1))]  # (j of its first cell, cells): before it 0 pairs more
+    for t, lo, hi in zip(a, first, last, strict=True):
+        base, cells = rows[-1]
+        above = cells[np.clip(np.arange(lo, hi + 1) - base, 0, len(cells) - 1)]
+        new = above.copy()
+        new[1:] = np.maximum(above[1:], above[:-1] + worth - np.abs(b[lo:hi] - t))
+        start = min(base, int(lo))
+        whole = cells[np.clip(np.arange(start, max(base + len(cells) - 1, int(hi)) + 1) - base, 0, len(cells) - 1)].copy()
+        whole[lo - start : hi + 1 - start] = new
+        whole = np.maximum.accumulate(whole)
+        keep = max(0, int(lo) - start)  # later times reach no further back
+        rows.append((start + keep, whole[keep:]))
+    pairs, j = [], len(b)
+    for i in range(len(a), 0, -1):
+        value = lambda row, j: rows[row][1][np.clip(j - rows[row][0], 0, len(rows[row][1]) - 1)]
+        if value(i, j) == value(i - 1, j):
+            continue
+        while j > first[i - 1] + 1 and value(i, j - 1) == value(i, j):
+            j -= 1
+        j -= 1
+        pairs.append((i - 1, j))
+    return pairs[::-1]
 
 
 def optimal_match(a: DataFrame, b: DataFrame, stratum: list[str], time: str, key: str, tolerance: float) -> DataFrame:
     """stratum, a_key, b_key, lag (b - a): the best one-to-one matching within each stratum.
 
-    Strata (a recording's channel and family) are matched apart; a task holds one stratum's times.
+    The times of both sides are cut where none follows within the tolerance: no pair crosses such a gap, so what lies
+    between two is matched apart, and a task holds one such run of times, not a stratum.
+
+    Defined cases: a row with a null stratum or time has no pair; a side without rows gives no pairs.
     """
     fields = {f.name: f.dataType.simpleString() for f in a.schema}
-    schema = ", ".join([*(f"{c} {fields[c]}" for c in stratum), f"a_key {fields[key]}", f"b_key {fields[key]}", "lag double"])
-
-    # The sides may come from one table: without names of its own, the right one loses columns to pruning.
-    b, names = b.toDF(*(f"b_{c}" for c in b.columns)), b.columns
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in stratum), f"a_key {fields[key]}", f"b_key {fields[key]}", "lag double"])
+    side = lambda df, n: df.select(*stratum, F.col(time).cast("double").alias("_t"), F.col(key).alias("_key"), F.lit(n).alias("_side")).dropna(subset=[*stratum, "_t"])
+    order = W.partitionBy(*stratum).orderBy("_t", "_side", "_key")
+    both = side(a, 0).unionByName(side(b, 1))
+    gap = F.coalesce(F.col("_t") - F.lag("_t").over(order) > tolerance, F.lit(True))
+    runs = both.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(order))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.set_axis(names, axis=1)
-        x, y = (d.sort_values([time, key], kind="stable").reset_index(drop=True) for d in (left, right))
-        pairs = match_times(x[time].to_numpy(float), y[time].to_numpy(float), tolerance) if len(x) and len(y) else []
-        i, j = (np.array([p[n] for p in pairs], int) for n in (0, 1))
-        x, y = x.iloc[i].reset_index(drop=True), y.iloc[j].reset_index(drop=True)
-        return pd.DataFrame({**{c: x[c] for c in stratum}, "a_key": x[key], "b_key": y[key], "lag": y[time].astype(float) - x[time].astype(float)})
-
-    return a.groupBy(*stratum).cogroup(b.groupBy(*(f"b_{c}" for c in stratum))).applyInPandas(run, schema)
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_t", "_key"], kind="stable")
+        x, y = part[part["_side"] == 0], part[part["_side"] == 1]
+        pairs = np.array(match_times(x["_t"].to_numpy(float), y["_t"].to_numpy(float), tolerance), int).reshape(-1, 2)
+        x, y = x.iloc[pairs[:, 0]].reset_index(drop=True), y.iloc[pairs[:, 1]].reset_index(drop=True)
+        return pd.DataFrame({**{c: x[c] for c in stratum}, "a_key": x["_key"], "b_key": y["_key"], "lag": y["_t"] - x["_t"]})
+
+    several = runs.groupBy(*stratum, "_run").agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi")).where("_lo < _hi")
+    return runs.join(several.drop("_lo", "_hi"), [*stratum, "_run"], "left_semi").groupBy(*stratum, "_run").applyInPandas(run, schema)
 
 
 def suppress(index: np.ndarray, score: np.ndarray, separation: float) -> np.ndarray:

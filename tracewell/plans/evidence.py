@@ -9,6 +9,11 @@ from tracewell.plans.sql import both, query
 from tracewell.session import table
 
 TEXTS = {
+    "q_domain_completion": """
+WITH k AS (SELECT DISTINCT o_orderstatus FROM orders), p AS (SELECT DISTINCT o_orderpriority FROM orders),
+n AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority)
+SELECT k.o_orderstatus, p.o_orderpriority, coalesce(n.n, 0) AS n, CASE WHEN n.n IS NULL THEN 'MODEL_OR_EVENT_RESULT_MISSING' END AS reason
+FROM k CROSS JOIN p LEFT JOIN n ON n.o_orderstatus = k.o_orderstatus AND n.o_orderpriority = p.o_orderpriority""",
     # Totals with unknown sums kept unknown, and a sum of nothing made 0 where the catalogue says so.
     "q_catalog_totals": """
 SELECT count(*) AS recordings, @count_if(o_orderstatus = 'F') AS qualified,
@@ -37,11 +42,6 @@ SELECT a.doc_id, k.n AS peers FROM a JOIN k ON a.quality IS NOT DISTINCT FROM k.
 SELECT coalesce(d.doc_id, l.doc_id) AS doc_id,
        CASE WHEN d.doc_id IS NULL THEN 'UNEXPECTED' WHEN l.doc_id IS NULL THEN 'MISSING' ELSE 'BOTH' END AS member
 FROM documents d FULL OUTER JOIN (SELECT doc_id + 100 AS doc_id FROM labels) l ON d.doc_id = l.doc_id""",
-    "q_domain_completion": """
-WITH k AS (SELECT DISTINCT o_orderstatus FROM orders), p AS (SELECT DISTINCT o_orderpriority FROM orders),
-n AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 480000 AND o_custkey < 100 GROUP BY o_orderstatus, o_orderpriority)
-SELECT k.o_orderstatus, p.o_orderpriority, coalesce(n.n, 0) AS n, CASE WHEN n.n IS NULL THEN 'MODEL_OR_EVENT_RESULT_MISSING' END AS reason
-FROM k CROSS JOIN p LEFT JOIN n ON n.o_orderstatus = k.o_orderstatus AND n.o_orderpriority = p.o_orderpriority""",
     "q_reason_array": """
 SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n,
        concat_ws('|', max(CASE WHEN l_quantity > 45 THEN 'HIGH_AMPLITUDE' END), max(CASE WHEN l_discount > 0.08 THEN 'LINE_DOMINATED' END),
@@ -67,13 +67,6 @@ UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents UNION SEL
     "q_coalesce_files": """
 SELECT @sha(text) AS digest, min(source) AS source, count(DISTINCT source) AS sources, count(DISTINCT n_chars) AS sizes,
        CASE WHEN count(DISTINCT n_chars) > 1 THEN 'CONFLICT' ELSE 'OK' END AS state, min(doc_id) AS file_id FROM documents GROUP BY @sha(text)""",
-    "q_lineage_closure": """
-WITH RECURSIVE closure AS (
-  SELECT doc_id AS child, @idiv(doc_id / 3.0) AS ancestor, 1 AS depth FROM documents WHERE doc_id > 0 AND doc_id < 400
-  UNION ALL SELECT c.child, @idiv(c.ancestor / 3.0), c.depth + 1 FROM closure c WHERE c.ancestor > 0)
-SELECT child, max(depth) AS depth, count(*) AS ancestors, min(ancestor) AS root FROM closure GROUP BY child""",
-    "q_lineage_edges": """
-SELECT d.doc_id AS child, min(b.item_id) AS parent, 'reads' AS relation FROM documents d JOIN benchmark b ON @sha(substr(d.text, 1, 40)) = @sha(substr(b.text, 1, 40)) GROUP BY d.doc_id""",
     "q_pk_audit": """
 SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
     "q_fk_audit": """
@@ -87,10 +80,11 @@ FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_
 SELECT conv_id, turn FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) AS w
 WHERE before IS NOT NULL AND turn <> before + 1""",
     # One digest per row in a fixed text form; the table's digest sorts them, so layout plays no part.
+    # Sums of the rows' hashes, in four parts: any changed, lost or repeated row changes them, in whatever order rows come.
     "q_logical_digest": """
-SELECT b AS bucket, count(*) AS n, min(h) AS low, max(h) AS high FROM (
-  SELECT substr(@sha(concat_ws('|', @text(o_orderkey), @text(o_custkey), o_orderstatus, o_orderpriority, @text(@us(o_orderdate)))), 1, 2) AS b,
-         @sha(concat_ws('|', @text(o_orderkey), @text(o_custkey), o_orderstatus, o_orderpriority, @text(@us(o_orderdate)))) AS h FROM orders) AS r GROUP BY b""",
+WITH r AS (SELECT @sha(concat_ws('|', @text(o_orderkey), @text(o_custkey), o_orderstatus, o_orderpriority, @text(@us(o_orderdate)))) AS h FROM orders)
+SELECT substr(h, 1, 2) AS bucket, count(*) AS n, @text(sum(@hex(substr(h, 1, 15)))) AS a, @text(sum(@hex(substr(h, 16, 15)))) AS b,
+       @text(sum(@hex(substr(h, 31, 15)))) AS c, @text(sum(@hex(substr(h, 46, 15)))) AS d FROM r GROUP BY substr(h, 1, 2)""",
     "q_recording_id": "SELECT doc_id, substr(@sha(concat_ws(':', source, lang, @text(doc_id))), 1, 24) AS recording_id FROM documents",
     "q_path_confined": """
 SELECT page_id, url, CASE WHEN url LIKE '%..%' OR url LIKE '/%' OR lower(url) LIKE '%con.%' THEN 'ESCAPES' ELSE 'CONFINED' END AS state FROM pages""",
@@ -112,13 +106,8 @@ SELECT c_mktsegment AS acquisition, count(*) AS people, @count_if(n IS NULL) AS
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS b FROM orders GROUP BY o_custkey) AS o ON c_custkey = o_custkey GROUP BY c_mktsegment""",
     "q_seed_arithmetic": "SELECT event_id, 9009 + user_id * 1000003 + event_id * 17 AS seed FROM events",
 }
-#: The whole job of queries whose text above, which stays their registered SQL, holds a cut.
-WHOLE = {
-    "q_domain_completion": """
-WITH k AS (SELECT DISTINCT o_orderstatus FROM orders), p AS (SELECT DISTINCT o_orderpriority FROM orders),
-n AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority)
-SELECT k.o_orderstatus, p.o_orderpriority, coalesce(n.n, 0) AS n, CASE WHEN n.n IS NULL THEN 'MODEL_OR_EVENT_RESULT_MISSING' END AS reason
-FROM k CROSS JOIN p LEFT JOIN n ON n.o_orderstatus = k.o_orderstatus AND n.o_orderpriority = p.o_orderpriority""",
+#: Texts for Spark alone; the checking engine has its own below.
+BY_DIALECT = {
     # A key has at most 40 digits in base 3, so 40 steps reach the root from any; 0 is the root and has no ancestors.
     "q_lineage_closure": """
 WITH a AS (SELECT doc_id AS child, aggregate(sequence(1, 40), array(doc_id), (a, i) -> CASE WHEN element_at(a, -1) > 0 THEN concat(a, array(element_at(a, -1) div 3L)) ELSE a END) AS way FROM documents WHERE doc_id > 0)
@@ -153,4 +142,13 @@ def q_lineage_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES, ORACLES = both(TEXTS)
-QUERIES |= {k: query(v) for k, v in WHOLE.items()} | {"q_lineage_edges": q_lineage_edges}
+QUERIES |= {k: query(v) for k, v in BY_DIALECT.items()} | {"q_lineage_edges": q_lineage_edges}
+ORACLES |= {
+    "q_lineage_edges": """
+SELECT d.doc_id AS child, min(b.item_id) AS parent, 'reads' AS relation FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text) GROUP BY d.doc_id""",
+    "q_lineage_closure": """
+WITH RECURSIVE closure AS (
+  SELECT doc_id AS child, doc_id // 3 AS ancestor, 1 AS depth FROM documents WHERE doc_id > 0
+  UNION ALL SELECT c.child, c.ancestor // 3, c.depth + 1 FROM closure c WHERE c.ancestor > 0)
+SELECT child, max(depth) AS depth, count(*) AS ancestors, min(ancestor) AS root FROM closure GROUP BY child""",
+}

@@ -155,7 +155,10 @@ def q_optimal_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_pooled_f1(spark: SparkSession, sf: str) -> DataFrame:
-    """Clicks, views and their one-to-one matches of each user, summed by variant; its SQL pairs counts without times."""
+    """Clicks, views and their one-to-one matches of each user, summed by variant.
+
+    Its SQL counts matches by walking both lists of times from the left, which finds as many pairs as any matching has.
+    """
     variant = (F.col("user_id") % 10).alias("variant")
     kinds = [F.when(F.col("event_type") == kind, 1).otherwise(0).alias(name) for kind, name in (("click", "na"), ("view", "nb"))]
     sides = table(spark, sf, "events").select(variant, *kinds, F.lit(0).alias("matched"))
@@ -184,6 +187,16 @@ def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
 NAMES = "q_filter_zero_phase q_periodogram q_savgol q_resample q_view_features q_phase_surrogate q_landmarks q_bootstrap_ci q_timing_null q_ami q_nms_peaks q_optimal_match q_pooled_f1 q_shard_plan q_tokenize"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 ORACLES = {
+    "q_pooled_f1": """
+WITH RECURSIVE t AS (SELECT user_id, event_type, list(epoch_us(ts) ORDER BY ts) AS ts FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id, event_type),
+u AS (SELECT a.user_id, a.ts AS a, b.ts AS b FROM t a JOIN t b ON b.user_id = a.user_id AND a.event_type = 'click' AND b.event_type = 'view'),
+w AS (SELECT user_id, a, b, 1 AS i, 1 AS j, 0 AS m FROM u
+  UNION ALL SELECT user_id, a, b, CASE WHEN abs(a[i] - b[j]) <= 7200000000 OR a[i] < b[j] THEN i + 1 ELSE i END, CASE WHEN abs(a[i] - b[j]) <= 7200000000 OR a[i] >= b[j] THEN j + 1 ELSE j END,
+         CASE WHEN abs(a[i] - b[j]) <= 7200000000 THEN m + 1 ELSE m END FROM w WHERE i <= len(a) AND j <= len(b)),
+p AS (SELECT user_id, max(m) AS m FROM w GROUP BY user_id),
+c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS na, count(*) FILTER (WHERE event_type = 'view') AS nb FROM events GROUP BY user_id)
+SELECT c.user_id % 10 AS variant, sum(na) AS na, sum(nb) AS nb, coalesce(sum(p.m), 0) AS matched, round(2 * CAST(coalesce(sum(p.m), 0) AS double) / nullif(sum(na) + sum(nb), 0), 9) AS f1
+FROM c LEFT JOIN p ON p.user_id = c.user_id GROUP BY c.user_id % 10""",
     "q_nms_peaks": "WITH RECURSIVE m AS ("
     + sequences.ORACLES["q_local_maxima"]
     + """), r AS (SELECT user_id, k, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, k) AS n FROM m),

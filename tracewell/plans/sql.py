@@ -23,6 +23,7 @@ MACROS = {
     "float": ("CAST(%s AS double)", "CAST(%s AS double)"),
     "long": ("CAST(%s AS bigint)", "CAST(%s AS bigint)"),
     "json": ("CAST(get_json_object(%s) AS bigint)", "CAST(json_extract_string(%s) AS bigint)"),
+    "hex": ("CAST(conv(%s, 16, 10) AS decimal(38, 0))", "CAST(CAST('0x' || %s AS bigint) AS decimal(38, 0))"),
     "count_if": ("count_if(%s)", "count_if(%s)"),
 }
 

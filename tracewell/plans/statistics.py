@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from tracewell.plans.sql import MACROS, both, query
+from tracewell.plans.sql import MACROS, both
 
 MACROS["dot"] = ("aggregate(zip_with(%s, (p, q) -> CAST(p AS double) * q), CAST(0 AS double), (s, v) -> s + v)", "list_inner_product(%s)")
+MACROS["item"] = ("get(%s)", "list_extract(%s + 1)")
+MACROS["items"] = ("size(%s)", "len(%s)")
+MACROS["gather"] = ("transform(array_sort(collect_list(struct(%s))), s -> s.m)", "list(m ORDER BY i)")
+MACROS["largest"] = ("array_max(transform(%s, v -> abs(v)))", "list_max(list_transform(%s, lambda v: abs(v)))")
+MACROS["minus"] = ("zip_with(%s, (p, q) -> p - q)", "list_transform(list_zip(%s), lambda z: z[1] - z[2])")
+MACROS["scaled"] = ("transform(x, v -> v / nullif(most, 0))%s", "list_transform(x, lambda v: v / nullif(most, 0))%s")
 MACROS["vec"] = ("transform(%s, v -> CAST(v AS double))", "CAST(%s AS double[])")
 
 #: Vectors as blocks of 28 patches.
@@ -21,8 +27,11 @@ CONTINGENCY = "t AS (SELECT event_type AS a, user_id % 4 AS b, @float(count(*))
 TEXTS = {
     "q_pairwise_cosine": f"WITH {P} SELECT block, i, j, round(d, 6) AS distance FROM pairs",
     "q_adjacent_cosine": f"WITH {P} SELECT block, i, round(d, 6) AS distance FROM pairs WHERE j = i + 1",
+    # Differences are scaled by the largest one, so that no square overflows or vanishes.
     "q_rms_distance": f"""
-WITH {V} SELECT a.block, a.k, round(sqrt((@dot(a.x, a.x) - 2 * @dot(a.x, b.x) + @dot(b.x, b.x)) / 64), 6) AS rms FROM v a JOIN v b ON a.block = b.block AND b.k = a.k + 1""",
+WITH {V}, d AS (SELECT a.block, a.k, @minus(a.x, b.x) AS x FROM v a JOIN v b ON a.block = b.block AND b.k = a.k + 1),
+m AS (SELECT block, k, x, @largest(x) AS most FROM d), s AS (SELECT block, k, most, @scaled() AS x FROM m)
+SELECT block, k, CASE WHEN most = 0 THEN 0.0 ELSE round(most * sqrt(@dot(x, x) / @items(x)), 6) END AS rms FROM s""",
     "q_spearman_geometry": f"""
 WITH {P}, {RANKS % "pairs"}
 SELECT block, count(*) AS n, CASE WHEN count(*) >= 28 AND min(d) < max(d) AND min(e) < max(e) THEN round(corr(@float(rd), @float(re)), 6) END AS rho,
@@ -31,29 +40,11 @@ SELECT block, count(*) AS n, CASE WHEN count(*) >= 28 AND min(d) < max(d) AND mi
 WITH {P}, adjacent AS (SELECT * FROM pairs WHERE j = i + 1), {RANKS % "adjacent"}
 SELECT block, count(*) AS n, CASE WHEN count(*) >= 7 AND min(d) < max(d) AND min(e) < max(e) THEN round(corr(@float(rd), @float(re)), 6) END AS rho,
        CASE WHEN count(*) < 7 THEN 'INSUFFICIENT_SUPPORT' WHEN min(d) = max(d) OR min(e) = max(e) THEN 'CONSTANT_DISTANCE_VECTOR' END AS reason FROM r GROUP BY block""",
-    # All nonzero shifts of one profile against the other: the join is by shifted place, so each shift stays linear.
-    "q_cyclic_shift_null": f"""
-WITH {E}, p AS (SELECT user_id, k - 1 AS k, value AS a, @float(user_id * 7 % 13 + k % 5) AS b FROM e WHERE k <= 27),
-s AS (SELECT p.user_id, p.k, p.a, shift FROM (SELECT *, @numbers(27) AS shift FROM p) AS p),
-c AS (SELECT s.user_id, s.shift, corr(s.a, q.b) AS rho FROM s JOIN p q ON q.user_id = s.user_id AND q.k = (s.k + s.shift) % 27 GROUP BY s.user_id, s.shift),
-o AS (SELECT user_id, max(CASE WHEN shift = 0 THEN rho END) AS observed FROM c GROUP BY user_id)
-SELECT c.user_id, round(max(o.observed), 6) AS observed, @count_if(shift > 0 AND rho >= observed - 1e-12) AS above, round(@float(1 + @count_if(shift > 0 AND rho >= observed - 1e-12)) / 27, 6) AS p_value FROM c JOIN o ON o.user_id = c.user_id GROUP BY c.user_id""",
-    # Every sign assignment of each group's effects; ties count.
-    "q_signflip": """
-WITH x AS (SELECT user_id % 25 AS g, row_number() OVER (PARTITION BY user_id % 25 ORDER BY user_id) - 1 AS k, avg(value) - 50 AS effect FROM events GROUP BY user_id),
-f AS (SELECT * FROM x WHERE k < 6), s AS (SELECT f.*, assignment FROM (SELECT *, @numbers(64) AS assignment FROM f) AS f),
-t AS (SELECT g, assignment, sum(effect * CASE WHEN @idiv(assignment / power(2, k)) % 2 = 1 THEN -1 ELSE 1 END) AS total, sum(effect) AS observed, count(*) AS n FROM s GROUP BY g, assignment)
-SELECT g, max(n) AS people, CASE WHEN max(n) >= 2 THEN round(@float(@count_if(abs(total) >= abs(observed) - 1e-12)) / count(*), 9) END AS p_value,
-       CASE WHEN max(n) >= 2 THEN round(least(1.0, 4 * @float(@count_if(abs(total) >= abs(observed) - 1e-12)) / count(*)), 9) END AS p_bonferroni FROM t GROUP BY g""",
     "q_permutation_test": """
 WITH m AS (SELECT user_id % 3 AS i, event_type, avg(value) AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id % 3, event_type),
 d AS (SELECT a.i, b.i AS j, abs(a.v - b.v) AS d FROM m a CROSS JOIN m b WHERE a.event_type = 'click' AND b.event_type = 'view'),
 z AS (SELECT x.j AS a, y.j AS b, w.j AS c, x.d + y.d + w.d AS total FROM d x JOIN d y ON x.i = 0 AND y.i = 1 AND y.j <> x.j JOIN d w ON w.i = 2 AND w.j <> x.j AND w.j <> y.j)
 SELECT count(*) AS permutations, round(@float(@count_if(total <= o + 1e-12)) / count(*), 9) AS p_value FROM (SELECT z.*, (SELECT sum(d) FROM d WHERE i = j) AS o FROM z) AS q""",
-    "q_order_stats": f"""
-WITH {E}, s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM e WHERE k <= 60)
-SELECT user_id, max(CASE WHEN r = 3 AND n = 60 THEN value END) AS low, max(CASE WHEN r = 30 AND n = 60 THEN value END) AS middle, max(CASE WHEN r = 58 AND n = 60 THEN value END) AS high,
-       CASE WHEN max(n) < 60 THEN 'NOT_ESTIMABLE' END AS reason FROM s GROUP BY user_id""",
     "q_occupancy": """
 WITH c AS (SELECT user_id, event_type, @float(count(*)) AS n FROM events GROUP BY user_id, event_type), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c)
 SELECT user_id, count(*) AS occupied, round(exp(-sum(p * ln(p))), 9) AS effective, round(max(p), 9) AS largest FROM p GROUP BY user_id""",
@@ -64,15 +55,14 @@ SELECT round((cells - a.s * b.s / (total * (total - 1) / 2)) / ((a.s + b.s) / 2
     "q_mse_ratio": """
 WITH m AS (SELECT event_type, avg(value) AS center FROM events GROUP BY event_type), g AS (SELECT avg(value) AS center FROM events)
 SELECT e.event_type, round(avg(power(value - m.center, 2)) / nullif(avg(power(value - g.center, 2)), 0), 9) AS ratio FROM events e JOIN m ON m.event_type = e.event_type CROSS JOIN g GROUP BY e.event_type""",
-    "q_pooled_f1": """
-WITH c AS (SELECT user_id, @count_if(event_type = 'click') AS na, @count_if(event_type = 'view') AS nb, least(@count_if(event_type = 'click'), @count_if(event_type = 'view')) AS matched FROM events GROUP BY user_id)
-SELECT user_id % 10 AS variant, sum(na) AS na, sum(nb) AS nb, sum(matched) AS matched, round(2 * @float(sum(matched)) / nullif(sum(na) + sum(nb), 0), 9) AS f1 FROM c GROUP BY user_id % 10""",
+    # A label's centroid is the mean of its vectors, component by component.
     "q_nearest_centroid": f"""
-WITH {V}, c AS (SELECT label AS code, min(vec_id) AS vec_id FROM v GROUP BY label), d AS (SELECT v.vec_id, c.code, round(@dot(v.x, v.x) - 2 * @dot(v.x, w.x) + @dot(w.x, w.x), 9) AS far FROM v CROSS JOIN c JOIN v w ON w.vec_id = c.vec_id),
+WITH {V}, c AS (SELECT label, i, avg(@item(x, i)) AS m FROM (SELECT label, x, @numbers(@items(x)) AS i FROM v) AS e GROUP BY label, i),
+k AS (SELECT label AS code, @gather(i, m) AS x FROM c GROUP BY label), d AS (SELECT v.vec_id, k.code, round(@dot(v.x, v.x) - 2 * @dot(v.x, k.x) + @dot(k.x, k.x), 9) AS far FROM v CROSS JOIN k),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY far, code) AS r FROM d) SELECT vec_id, code FROM r WHERE r = 1""",
 }
-#: The whole job of queries whose text above, which stays their registered SQL, caps rows: blocks that cover all of them.
-WHOLE = {
+#: Queries over blocks that together cover all rows.
+BLOCKS = {
     # A block's shifts are as many as its events; a block whose profiles have no correlation has no p value.
     "q_cyclic_shift_null": """
 WITH e AS (SELECT user_id, value, @float(@json(props, '$.k')) AS other, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events),
@@ -95,5 +85,4 @@ s AS (SELECT user_id, block, value, row_number() OVER (PARTITION BY user_id, blo
 SELECT user_id, block, max(n) AS n, max(CASE WHEN r = 3 AND n = 60 THEN value END) AS low, max(CASE WHEN r = 30 AND n = 60 THEN value END) AS middle, max(CASE WHEN r = 58 AND n = 60 THEN value END) AS high,
        CASE WHEN max(n) < 60 THEN 'NOT_ESTIMABLE' END AS reason FROM s GROUP BY user_id, block""",
 }
-QUERIES, ORACLES = both(TEXTS)
-QUERIES |= {k: query(v) for k, v in WHOLE.items()}
+QUERIES, ORACLES = both(TEXTS | BLOCKS)
