@@ -123,20 +123,10 @@ def prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     own = sets.join(open_, "node").select("node", "class", F.explode(F.arrays_zip("elements", "weights")).alias("s"))
     own = own.select("node", "class", F.col("s.elements").alias("shingle"), F.col("s.weights").alias("weight"))
     common = own.groupBy("shingle").agg(F.count("*").alias("holders"))
-    ranked = own.join(common, "shingle").groupBy("node", "class").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle", "weight"))).alias("by_rarity"))
-    total = F.aggregate("by_rarity", F.lit(0).cast("long"), lambda n, s: n + s["weight"])
-    # Weight before each shingle; it is kept while that is not over 1 - threshold of all.
-    running = F.aggregate(
-        "by_rarity",
-        F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<shingle: bigint, before: bigint>>").alias("kept")),
-        lambda run, s: F.struct(
-            (run["n"] + s["weight"]).alias("n"),
-            F.when(run["n"] <= (1 - threshold) * F.col("total") + 1e-9, F.array_append(run["kept"], F.struct(s["shingle"].alias("shingle"), run["n"].alias("before")))).otherwise(run["kept"]).alias("kept"),
-        ),
-    )
-    kept = ranked.withColumn("total", total).select("node", "class", "total", running["kept"].alias("kept"))
-    prefix = kept.select("node", "class", "total", F.explode("kept").alias("s"))
-    prefix = prefix.select("node", "class", F.col("s.shingle").alias("shingle"), (F.col("s.before") / F.col("total")).alias("before"))
+    by_node = W.partitionBy("node")
+    rarer = F.sum("weight").over(by_node.orderBy("holders", "shingle").rowsBetween(W.unboundedPreceding, -1))
+    ranked = own.join(common, "shingle").withColumn("before", F.coalesce(rarer, F.lit(0)) / F.sum("weight").over(by_node))
+    prefix = ranked.where(F.col("before") <= 1 - threshold + 1e-9).select("node", "class", "shingle", "before")
     prefix = materialize(prefix, "prefix")
     several = prefix.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("shingle")
     order = W.partitionBy("shingle", "class").orderBy("before", "node")
