@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.plans import catalog, evidence, sequences, signals, statistics
+from tracewell.plans import catalog, evidence, qualification, sequences, signals, statistics
 from tracewell.streaming import windows
 
-MODULES = (catalog, evidence, sequences, statistics, signals, windows)
+MODULES = (catalog, evidence, sequences, statistics, qualification, signals, windows)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}

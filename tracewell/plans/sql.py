@@ -25,6 +25,14 @@ MACROS = {
     "json": ("CAST(get_json_object(%s) AS bigint)", "CAST(json_extract_string(%s) AS bigint)"),
     "hex": ("CAST(conv(%s, 16, 10) AS decimal(38, 0))", "CAST(CAST('0x' || %s AS bigint) AS decimal(38, 0))"),
     "count_if": ("count_if(%s)", "count_if(%s)"),
+    "dot": ("aggregate(zip_with(%s, (p, q) -> CAST(p AS double) * q), CAST(0 AS double), (s, v) -> s + v)", "list_inner_product(%s)"),
+    "item": ("get(%s)", "list_extract(%s + 1)"),
+    "items": ("size(%s)", "len(%s)"),
+    "gather": ("transform(array_sort(collect_list(struct(%s))), s -> s.m)", "list(m ORDER BY i)"),
+    "largest": ("array_max(transform(%s, v -> abs(v)))", "list_max(list_transform(%s, lambda v: abs(v)))"),
+    "minus": ("zip_with(%s, (p, q) -> p - q)", "list_transform(list_zip(%s), lambda z: z[1] - z[2])"),
+    "scaled": ("transform(x, v -> v / nullif(most, 0))%s", "list_transform(x, lambda v: v / nullif(most, 0))%s"),
+    "vec": ("transform(%s, v -> CAST(v AS double))", "CAST(%s AS double[])"),
 }
 
 
