@@ -180,3 +180,23 @@ def test_streams_write_their_result_to_files(spark):
     for name in ("q_stream_session", "q_stream_tumbling"):
         got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert sum(r.n for r in got.collect()) == n and got.inputFiles()
+
+
+def test_a_stream_that_is_restarted_goes_on_where_it_was(spark, tmp_path):
+    """Peaks at the seams of two runs are found once, from the state in the checkpoint."""
+    from pyspark.sql import functions as F
+
+    from tracewell.streaming.windows import append_to, peaks
+
+    rows = sorted((r[:2] + r[2:] for r in events(400, 5, 11)), key=lambda r: (r[1], r[0]))
+    source, folder = f"{tmp_path}/source", f"{tmp_path}/out"
+    for part in (rows[:150], rows[150:290], rows[290:]):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(EVENTS).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+        append_to(peaks(stream), folder)
+    want = set()
+    for user in {r[2] for r in rows}:
+        own = [(r[0], r[4]) for r in rows if r[2] == user]
+        want |= {(user, own[i][0]) for i in range(1, len(own) - 1) if own[i][1] > max(own[i - 1][1], own[i + 1][1])}
+    got = [(r.user_id, r.event_id) for r in spark.read.parquet(f"{folder}/rows").collect()]
+    assert sorted(got) == sorted(want)

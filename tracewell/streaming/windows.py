@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,11 @@ def stream_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def folder_of(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracewell-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tracewell-")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -48,8 +54,46 @@ def q_stream_session(spark: SparkSession, sf: str) -> DataFrame:
     return finish(found).select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
 
 
-QUERIES = {"q_stream_tumbling": q_stream_tumbling, "q_stream_session": q_stream_session}
+def peaks(stream: DataFrame) -> DataFrame:
+    """user_id, event_id, value of events whose value is above the one before and the one after, as a stream.
+
+    The state of a user is the last two events, so a peak at the seam of two batches is found, and memory is two events a
+    user. Events of a user must come in time order across batches; within a batch they are sorted.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(batches)).sort_values(["us", "event_id"], kind="stable")
+        last = state.get if state.exists else (None, None, None)  # value before, event, value
+        out = []
+        for event, value in zip(part["event_id"].tolist(), part["value"].tolist(), strict=True):
+            before, held, top = last
+            if before is not None and top > before and top > value:
+                out.append((key[0], held, top))
+            last = (top, event, value)
+        state.update(last)
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "value"])
+
+    rows = stream.where("value IS NOT NULL").select("user_id", "event_id", "value", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, value double", "before double, event_id long, value double", "append", "NoTimeout")
+
+
+def append_to(stream: DataFrame, folder: str) -> None:
+    """Run a stream over what there is since its last run, into Parquet; the folder's checkpoint lets it go on where it was."""
+    to = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    to.trigger(availableNow=True).start().awaitTermination()
+
+
+def q_stream_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    folder = folder_of(spark)
+    append_to(peaks(stream_of(spark, sf)), folder)
+    return spark.read.schema("user_id long, event_id long, value double").parquet(f"{folder}/rows")
+
+
+QUERIES = {"q_stream_peaks": q_stream_peaks, "q_stream_tumbling": q_stream_tumbling, "q_stream_session": q_stream_session}
 ORACLES = {
+    "q_stream_peaks": """
+WITH d AS (SELECT user_id, event_id, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id, value FROM d WHERE value > a AND value > b""",
     "q_stream_tumbling": """
 SELECT (epoch_us(ts) // 86400000000) * 86400000000 AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
     "q_stream_session": """
