@@ -63,6 +63,11 @@ def test_fingerprints(spark, docs, rows, nothing):
     two = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nX")], "x string, y string")
     two = two.select(fingerprints.tree(F.col("x")).alias("tree_a"), fingerprints.tree(F.col("y")).alias("tree_b"))
     assert [tuple(e) for e in fingerprints.locate_edits(two).first().edits] == [(1, 1)]
+    for text in ("", "a b c", "one two three four\n\nfive \x01six\n seven  eight\n\n\n", "\n", " "):
+        row = spark.createDataFrame([(text,)], "t string").select(fingerprints.tree(F.col("t")).alias("tree"), fingerprints.root(fingerprints.tree(F.col("t"))).alias("root")).first()
+        sha = lambda nodes: hashlib.sha256("".join(nodes).encode()).hexdigest()
+        assert [[sha(p.phrases) for p in s.paragraphs] for s in row.tree.sections] == [[p.node for p in s.paragraphs] for s in row.tree.sections]
+        assert [sha(p.node for p in s.paragraphs) for s in row.tree.sections] == [s.node for s in row.tree.sections] and row.root == sha(s.node for s in row.tree.sections)
     loose = spark.createDataFrame([(None, "a"), (None, "b"), (4, "c"), (4, "c")], "doc_id long, text string")
     assert sorted(r.next_text for r in fingerprints.with_next(loose).collect()) == ["a", "b", "c", "c"]
 

@@ -1,13 +1,13 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs, in DataFrame functions only.
 
-A text is cut into sections after blank lines and into paragraphs after line ends; the cuts keep every character. A
-paragraph's node is the SHA-256 of its text, a section's that of its paragraphs' nodes, the root's that of the sections'
-nodes. Roots are equal if and only if texts are (up to SHA-256 collisions), and where two trees differ the differing
-branches locate the edit. Below the paragraphs the tree keeps short digests of phrases, cut by content, so that two
-trees also tell how much of their text they share.
-
-Defined cases: a null text counts as the empty text; likeness is 1 for equal roots, else the share of phrase digests in
-both trees among those in either; repeated keys are ordered by text; null keys come last; an empty table gives no rows;
+A text is cut into sections after blank lines, into paragraphs after line ends, and into phrases after words chosen by
+their hash; the cuts keep every character. A phrase's node, a leaf, is the MD5 of its text; a paragraph's node is the
+SHA-256 of its phrases' nodes, a section's that of its paragraphs' nodes, the root's that of the sections' nodes. Roots are
+equal if and only if texts are (up to collisions), where two trees differ the differing branches locate the edit, and as
+phrases are cut by content, the leaves that two trees share tell how much of their text they share.
+
+Defined cases: a null text counts as the empty text; likeness is 1 for equal roots, else the share of leaves in both trees
+among those in either; repeated keys are ordered by text; null keys come last; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -32,20 +32,23 @@ def sections(text: Column) -> Column:
     return F.transform(parts, lambda s: F.split(F.replace(s, F.lit("\n"), F.lit("\n" + CUT)), CUT))
 
 
-def phrases(text: Column) -> Column:
-    """array<string>: runs of words that end at words chosen by their hash."""
-    words = F.split(F.replace(text, F.lit(CUT), F.lit(" ")), "[ \n]")
-    ended = F.transform(words, lambda w: F.when(F.substring(F.md5(w), 1, 1) < PHRASE_END, F.concat(w, F.lit(CUT))).otherwise(w))
-    return F.filter(F.split(F.array_join(ended, " "), CUT + " ?"), lambda p: p != "")
+def phrases(paragraph: Column) -> Column:
+    """array<string>: runs of words that end at words chosen by their hash; joined they give the paragraph back."""
+    ended = F.transform(F.split(paragraph, " "), lambda w: F.when(F.substring(F.md5(w), 1, 1) < PHRASE_END, F.concat(w, F.lit(CUT))).otherwise(w))
+    return F.filter(F.split(F.array_join(ended, " "), CUT), lambda p: p != "")
 
 
 def tree(text: Column) -> Column:
-    """struct<root, sections: array<struct<node, paragraphs: array<string>>>, leaves: array<string>>."""
-    text = F.coalesce(text, F.lit(""))
-    nodes = F.transform(sections(text), lambda s: F.transform(s, lambda p: F.sha2(p, 256)))
-    branches = F.transform(nodes, lambda s: F.struct(F.sha2(F.array_join(s, ""), 256).alias("node"), s.alias("paragraphs")))
-    leaves = F.array_distinct(F.transform(phrases(text), lambda p: F.substring(F.md5(p), 1, 10)))
-    return F.struct(branches.alias("sections"), leaves.alias("leaves"))
+    """struct<sections: array<struct<node, paragraphs: array<struct<node, phrases: array<string>>>>>, leaves: array<string>>."""
+    over = lambda nodes: F.sha2(F.array_join(nodes, ""), 256)
+    leaves = F.transform(sections(F.coalesce(text, F.lit(""))), lambda s: F.transform(s, lambda p: F.transform(phrases(p), lambda q: F.md5(q))))
+
+    def grow(nodes: Column) -> Column:
+        paragraphs = F.transform(nodes, lambda s: F.transform(s, lambda p: F.struct(over(p).alias("node"), p.alias("phrases"))))
+        branches = F.transform(paragraphs, lambda s: F.struct(over(F.transform(s, lambda p: p["node"])).alias("node"), s.alias("paragraphs")))
+        return F.struct(branches.alias("sections"), F.array_distinct(F.flatten(F.flatten(nodes))).alias("leaves"))
+
+    return F.get(F.transform(F.array(leaves), grow), F.lit(0))  # bound once: used twice, it would be made twice
 
 
 def root(tree_column: Column) -> Column:
@@ -53,7 +56,7 @@ def root(tree_column: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, root_a: Column, root_b: Column) -> Column:
-    """1 for equal roots; else shared phrase digests over all phrase digests."""
+    """1 for equal roots; else shared leaves over all leaves."""
     both = F.size(F.array_intersect(a["leaves"], b["leaves"]))
     either = F.size(a["leaves"]) + F.size(b["leaves"]) - both
     return F.when(root_a == root_b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(both, either), F.lit(0.0))).cast("double")
@@ -74,7 +77,7 @@ def locate_edits(pairs: DataFrame, a: str = "tree_a", b: str = "tree_b") -> Data
     differing = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~at(a, i)["node"].eqNullSafe(at(b, i)["node"]))
 
     def inside(i: Column) -> Column:
-        x, y = (F.coalesce(at(t, i)["paragraphs"], F.array().cast("array<string>")) for t in (a, b))
+        x, y = (F.coalesce(F.transform(at(t, i)["paragraphs"], lambda p: p["node"]), F.array().cast("array<string>")) for t in (a, b))
         last = F.greatest(F.size(x), F.size(y)) - 1
         changed = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda j: ~F.get(x, j).eqNullSafe(F.get(y, j)))
         return F.transform(changed, lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
@@ -132,12 +135,15 @@ n AS (SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_te
       WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, substr(text, 1, n_chars - n_chars // 2) || substr(next_text, 1, n_chars // 2) AS edited FROM n),
 v AS (SELECT doc_id, n_chars, 1 AS k, text AS t FROM e UNION ALL SELECT doc_id, n_chars, 2, edited FROM e UNION ALL SELECT doc_id, n_chars, 3, next_text FROM e),
-f AS (SELECT doc_id, n_chars, k, t,
-        sha256(array_to_string(list_transform(string_split(replace(replace(t, chr(1), chr(1) || chr(2)), chr(10) || chr(10), chr(10) || chr(10) || chr(1)), chr(1)),
-          lambda s: sha256(array_to_string(list_transform(string_split(replace(s, chr(10), chr(10) || chr(1)), chr(1)), lambda p: sha256(p)), ''))), '')) AS root,
-        list_distinct(list_transform(list_filter(regexp_split_to_array(array_to_string(list_transform(regexp_split_to_array(replace(t, chr(1), ' '), '[ \n]'),
-          lambda w: CASE WHEN substr(md5(w), 1, 1) < '3' THEN w || chr(1) ELSE w END), ' '), chr(1) || ' ?'), lambda p: p <> ''), lambda p: substr(md5(p), 1, 10))) AS leaves
+p AS (SELECT doc_id, n_chars, k, t,
+        list_transform(string_split(replace(replace(t, chr(1), chr(1) || chr(2)), chr(10) || chr(10), chr(10) || chr(10) || chr(1)), chr(1)),
+          lambda s: list_transform(string_split(replace(s, chr(10), chr(10) || chr(1)), chr(1)),
+            lambda p: list_transform(list_filter(string_split(array_to_string(list_transform(string_split(p, ' '),
+              lambda w: CASE WHEN substr(md5(w), 1, 1) < '3' THEN w || chr(1) ELSE w END), ' '), chr(1)), lambda q: q <> ''), lambda q: md5(q)))) AS nodes
       FROM v),
+f AS (SELECT doc_id, n_chars, k, t,
+        sha256(array_to_string(list_transform(nodes, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), ''))), '')) AS root,
+        list_distinct(flatten(flatten(nodes))) AS leaves FROM p),
 g AS (SELECT a.doc_id, a.n_chars, sha256(b.t) AS edited_sha256, a.root AS fingerprint, b.root AS edited_fingerprint, c.root AS next_root,
              a.leaves AS la, len(list_intersect(a.leaves, b.leaves)) AS ib, len(list_intersect(a.leaves, c.leaves)) AS ic, len(b.leaves) AS lb, len(c.leaves) AS lc
       FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.k = 1 AND b.k = 2 JOIN f c ON a.doc_id = c.doc_id AND c.k = 3)
