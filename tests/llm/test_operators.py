@@ -327,7 +327,10 @@ def test_toxicity(spark, nothing):
     span = got[0].toxic_tokens[0]
     assert data[0][1][span.offset : span.offset + span.length].startswith(("grum", "fizz"))
     assert got[900].score == got[901].score < 0.5
-    assert toxicity.fit(nothing, lab.limit(0)) is None
+    again = docs.unionByName(docs.limit(50)).unionByName(docs.limit(50))  # repeated keys neither multiply nor crash
+    twice = {r.doc_id: r.score for r in toxicity.score(again, toxicity.fit(again, lab.unionByName(lab.limit(20)))).collect()}
+    assert np.mean([(twice[i] >= 0.7) == y for i, y in held]) > 0.95
+    assert toxicity.fit(nothing, lab.limit(0)) is None and toxicity.score(nothing.select("doc_id", "text"), toxicity.fit(docs, lab)).count() == 0
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 

@@ -11,7 +11,7 @@ Scoring reads every whole text: chains are sentences, forward-backward runs over
 document's score comes from the sum and the maximum of its tokens' marginals. Labels, language, source and key are never
 inputs of a score.
 
-Defined cases: a null or empty text has no tokens and gets the score of a text without toxic tokens; without labelled
+Defined cases: of rows that repeat a labelled key the least text is learnt from, as toxic if any of its labels says so; a null or empty text has no tokens and gets the score of a text without toxic tokens; without labelled
 documents of both classes the score is 0; repeated rows are scored alike; an empty table gives no rows; other columns of
 the documents are kept, except that the names of the results replace them.
 """
@@ -295,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | Non
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learnable())
     each = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     few = docs.sparkSession.createDataFrame([r for e in each for r in e.collect()], known.schema)  # at most 2 x `sample` rows
-    texts = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id"), "labelled")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")  # a row for each key
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
@@ -339,6 +340,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select(
-        "doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-        F.size("toxic_tokens").alias("n_toxic_tokens"),
+        "doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "toxic_tokens",
     )
