@@ -9,8 +9,8 @@ exact probability Jaccard is at least the threshold, and classes are the connect
 
 Within a bucket every member is held against a pivot, the member with the most bucket mates. Members of buckets that
 then still span several classes are joined on the rarest shingles, by a rule that loses no pair that can be linked: in
-rounds, in which each node meets one, then two, then four more members of each other class that shares a shingle, those
-first that can be nearest; classes that a round links meet no more. So the pairs of a large bucket are never all made,
+rounds, in which each node meets one, then some more members of each other class that shares a shingle, those first that
+can be nearest; classes that a round links meet no more. So the pairs of a large bucket are never all made,
 pairs inside a class are not made at all, and no partner, candidate or bucket is capped.
 
 A node is a distinct text, named by its MD5; so copies are one node however many there are.
@@ -114,11 +114,12 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """node, shingle, before, nth: the rarest shingles of nodes. open_: node, class.
+    """node, shingle, before, rarer, nth: the rarest shingles of nodes. open_: node, class.
 
     With weights scaled to 1, the probability Jaccard is at most the weight of the common shingles. So if it reaches the
     threshold, the rarest common shingle is, on either side, among the rarest ones whose weight exceeds 1 - threshold: no
-    pair that can be linked is lost. before: the weight of the rarer ones; nth: place by it among a class's holders.
+    pair that can be linked is lost. Those that one class alone holds are left out. before: the weight of the rarer ones;
+    rarer: those of them that are here too; nth: place by `before` among a class's holders.
     """
     own = sets.join(open_, "node").select("node", "class", F.explode(F.arrays_zip("elements", "weights")).alias("s"))
     own = own.select("node", "class", F.col("s.elements").alias("shingle"), F.col("s.weights").alias("weight"))
@@ -130,28 +131,30 @@ def prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     prefix = materialize(prefix, "prefix")
     several = prefix.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("shingle")
     order = W.partitionBy("shingle", "class").orderBy("before", "node")
-    return prefix.join(several, "shingle", "left_semi").select("node", "shingle", "before", (F.row_number().over(order) - 1).alias("nth"))
+    prefix = prefix.join(several, "shingle", "left_semi").withColumn("nth", F.row_number().over(order) - 1)
+    rarer = F.collect_list("shingle").over(by_node.orderBy("before").rowsBetween(W.unboundedPreceding, -1))
+    return prefix.select("node", "shingle", "before", rarer.alias("rarer"), "nth")
 
 
 def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold: float) -> list[DataFrame]:
     """Links (a, b) between classes of open nodes that share a prefix shingle, as tables. done: pairs that were verified.
 
-    A round takes, of each class at each shingle, the next holders by the weight before it, twice as many as the round
-    before, and makes pairs of them with the nodes of other classes. Where the shingle is the rarest common one, the
-    weights x and y before it are not common, so the similarity is at most (1 - x)(1 - y) / (1 - xy): pairs for which that
-    is too small aren't made.
+    A round takes, of each class at each shingle, the next holders by the weight before it, and makes pairs of them with
+    the nodes of other classes, each pair at its rarest common shingle. There the weights x and y before it are not
+    common, so the similarity is at most (1 - x)(1 - y) / (1 - xy): pairs for which that is too small aren't made. A round
+    takes at least twice as many holders as the round before, and more if that made few pairs beside the nodes.
     """
     rows, found = materialize(prefixes(open_, sets, threshold), "prefixes"), []
-    near = f"(1 - a_before) * (1 - b_before) >= {threshold} * (1 - a_before * b_before) - 1e-9"
-    lo, classes = 0, open_
+    near = f"(1 - a_before) * (1 - b_before) >= {threshold} * (1 - a_before * b_before) - 1e-9 AND NOT arrays_overlap(a_rarer, b_rarer)"
+    lo, wide, classes, nodes = 0, 1, open_, open_.count()
     while True:
         classed = rows.join(classes, "node")
         several = classed.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.max("nth").alias("last")).where("least < most")
         live = materialize(classed.join(several.select("shingle", "last"), "shingle"), "live")
         if not live.where(F.col("last") >= lo).limit(1).count():
             return found
-        side = lambda n: live.select("shingle", F.col("node").alias(n), F.col("class").alias(f"{n}_class"), F.col("before").alias(f"{n}_before"), F.col("nth").alias(f"{n}_nth"))
-        heads = side("b").where(F.col("b_nth").between(lo, 2 * lo))
+        side = lambda n: live.select("shingle", F.col("node").alias(n), F.col("class").alias(f"{n}_class"), F.col("before").alias(f"{n}_before"), F.col("rarer").alias(f"{n}_rarer"), F.col("nth").alias(f"{n}_nth"))
+        heads = side("b").where(F.col("b_nth").between(lo, lo + wide - 1))
         pairs = side("a").join(heads, "shingle").where(f"a_class != b_class AND {near}")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_class", "b_class").alias("one"), F.greatest("a_class", "b_class").alias("other")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
@@ -162,7 +165,7 @@ def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold:
             merged = components(links.select(F.col("one").alias("a"), F.col("other").alias("b")))
             classes = classes.join(merged.withColumnRenamed("node", "class"), "class", "left")
             classes = materialize(classes.select("node", F.coalesce("component", "class").alias("class")), "classes")
-        lo = 2 * lo + 1
+        lo, wide = lo + wide, wide * max(2, 8 * nodes // max(1, pairs.count()))
 
 
 def sign_documents(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
