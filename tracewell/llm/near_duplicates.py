@@ -146,6 +146,7 @@ def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold:
     """
     rows, found = materialize(prefixes(open_, sets, threshold), "prefixes"), []
     near = f"(1 - a_before) * (1 - b_before) >= {threshold} * (1 - a_before * b_before) - 1e-9 AND NOT arrays_overlap(a_rarer, b_rarer)"
+    once = "(a_nth > b_nth OR a_nth = b_nth AND a < b)"  # else it was made when a was among the holders taken
     lo, wide, classes, nodes = 0, 1, open_, open_.count()
     while True:
         classed = rows.join(classes, "node")
@@ -155,7 +156,7 @@ def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold:
             return found
         side = lambda n: live.select("shingle", F.col("node").alias(n), F.col("class").alias(f"{n}_class"), F.col("before").alias(f"{n}_before"), F.col("rarer").alias(f"{n}_rarer"), F.col("nth").alias(f"{n}_nth"))
         heads = side("b").where(F.col("b_nth").between(lo, lo + wide - 1))
-        pairs = side("a").join(heads, "shingle").where(f"a_class != b_class AND {near}")
+        pairs = side("a").join(heads, "shingle").where(f"a_class != b_class AND {once} AND {near}")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_class", "b_class").alias("one"), F.greatest("a_class", "b_class").alias("other")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         linked = verify(pairs.select("a", "b"), sets, threshold).where("linked").select("a", "b")
