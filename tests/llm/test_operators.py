@@ -385,6 +385,37 @@ def test_neighbours(spark):
     assert neighbours.search(table.limit(0), F.col("key") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_awkward_rows(spark):
+    data = [(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (None, [9.0, 9.0], 1), (20, [0.5, 0.5], 1), (20, [0.5, 0.5], 1), (7, [-1.0, 0.0], 1), (8, [0.0, -0.0], 1)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>, entry int").withColumn("list", F.lit(1))
+    for part in (table, table.repartition(3), table.orderBy(F.desc("vec_id"))):
+        got = sorted(tuple(r) for r in neighbours.search(part, F.col("key") % 20 == 0).collect())
+        assert got == [(0, 1, 20, 0.5), (0, 2, 7, 0.0), (20, 1, 0, 0.5), (20, 2, 7, -0.5)]  # of key 0 the least vector counts
+
+
+@pytest.mark.parametrize("spread, most", [(0.15, 0.1), (10.0, 0.75)])
+def test_recall_and_reads_follow_the_data(spread, most):
+    """Clustered vectors are found in a few lists; vectors without structure ask for many, and recall is kept."""
+    rng = np.random.default_rng(21)
+    x = np.repeat(rng.normal(size=(400, 32)), 25, 0) + spread * rng.normal(size=(10_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = neighbours.Index.fit(x[:8000], 1.0, len(x) // 50)
+    lists, keep = index.lists_of(x)
+    held = [set() for _ in range(len(index.centroids))]
+    for i, c in zip(*np.nonzero(keep)):
+        held[lists[i, c]].add(i)
+    hits = reads = 0
+    asked = range(0, 10_000, 100)
+    rows, probed = index.probes(neighbours.flat(x[asked], 1.0))
+    for n, q in enumerate(asked):
+        score = x @ x[q]
+        score[q] = -np.inf
+        read = set().union(*(held[c] for c in probed[rows == n]))
+        hits += len(set(np.argsort(-score)[:20].tolist()) & read)
+        reads += sum(len(held[c]) for c in probed[rows == n])
+    assert hits / (20 * len(asked)) >= 0.9 and reads / len(asked) <= most * sum(map(len, held)), (hits, reads)
+
+
 def test_pages(spark):
     shared = "All rights reserved by the owners of this site, whatever they may be called this year."
     html = [

@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Largest inner product becomes nearest point by one more coordinate, sqrt(largest squared norm - own squared norm).
-Centroids are fitted by k-means on a bounded sample (at most `sample` vectors, by hash of the key). Every vector goes to
-its nearest centroid's list and, at the boundary, to each of the next few whose distance is within a ratio of the
-nearest. Lists are cut into blocks of bounded size. A query walks a graph over the centroids held in memory, keeps the
-lists whose centroid's distance is within a ratio of the nearest, at least `least` and at most `probes` of them, and is
-held against all blocks of these lists, block of queries by block of vectors.
+Centroids are fitted by k-means on a bounded sample (at most `SAMPLE` vectors, by hash of the key), one for each `LIST`
+vectors of the table, so lists keep their length as the table grows, up to `CENTROIDS` of them. Every vector goes to its
+nearest centroid's list and, at the boundary, to each of the next few whose distance is within a ratio of the nearest.
+Lists are cut into blocks of bounded size. A query walks a graph over the centroids held in memory, keeps every list whose
+centroid's distance is within a ratio of the nearest, and is held against all blocks of these lists, block of queries by
+block of vectors. That ratio comes from the sample too: it is the one within which `TARGET` of the true neighbours of some
+sampled vectors lie. So clustered vectors are found in a few lists, and vectors without structure, whose neighbours are
+scattered over many, in many: recall is kept, and the work is what the data ask for.
 
 Equal vectors are one entry with the k + 1 smallest of their keys: no result holds more of them, whatever their number.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; repeated keys are one row; a query with fewer candidates than k gets all found; an empty table gives no rows;
-other columns are ignored.
+part, nor do rows with a null key; of rows with equal keys the one with the least vector (by components) counts; a query
+with fewer candidates than k gets all found; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,77 +31,135 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import materialize, partitions
 from tracewell.session import table
 
-#: Vectors that the fit reads at most, centroids at most, and sampled vectors to a centroid.
-SAMPLE, CENTROIDS, PER_CENTROID = 40_000, 2048, 40
+#: Vectors that the fit reads at most, vectors of the table to a centroid, and centroids at most.
+SAMPLE, LIST, CENTROIDS = 40_000, 50, 65_536
 #: Lists that hold a vector at most, and how much farther than the nearest such a list's centroid may be.
 REPLICAS, REPLICA_RATIO = 4, 1.15
-#: Lists that a query reads, and how much farther than the nearest their centroids may be.
-LEAST, PROBES, PROBE_RATIO = 32, 128, 1.35
+#: Share of the sample's true neighbours that the lists within the ratio must hold, and vectors that are asked for it.
+TARGET, ASKED = 0.95, 256
 BLOCK = 2048
 
 
+def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 5) -> np.ndarray:
+    """k centroids; where k is large, of the clusters of a coarse clustering, so that work stays below n k."""
+    if k > 1024:
+        coarse = k_means(x, round(k**0.5), rng)
+        own = nearest(x, coarse)
+        parts = [np.flatnonzero(own == c) for c in range(len(coarse))]
+        shares = [max(1, round(k * len(p) / len(x))) for p in parts]
+        return np.concatenate([k_means(x[p], min(n, len(p)), rng) for p, n in zip(parts, shares, strict=True) if len(p)])
+    centroids = x[rng.permutation(len(x))[:k]].copy()
+    for _ in range(rounds):
+        own = nearest(x, centroids)
+        n = np.bincount(own, minlength=k)
+        total = np.zeros_like(centroids)
+        np.add.at(total, own, x)
+        some = n > 0
+        centroids[some] = total[some] / n[some, None]
+        centroids[~some] = x[rng.integers(0, len(x), int((~some).sum()))]
+    return centroids
+
+
+def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.concatenate([distances(x[i : i + 4096], centroids).argmin(1) for i in range(0, len(x), 4096)])
+
+
 @dataclass
 class Index:
-    """Centroids, their graph and the largest squared norm."""
+    """Centroids, their graph, the largest squared norm, and the ratio of distances within which lists are read."""
 
     centroids: np.ndarray
     graph: np.ndarray
     entry: np.ndarray
     norm: float
+    ratio: float = 1.0
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, norm: float, most: int = CENTROIDS, per: int = PER_CENTROID, degree: int = 24, rounds: int = 5) -> Index:
+    def fit(cls, vectors: np.ndarray, norm: float, count: int, neighbours: int = 20, target: float = TARGET, degree: int = 24) -> Index:
         x = lift(vectors, norm)
         rng = np.random.default_rng(11)
-        k = max(1, min(most, len(x) // per))
-        centroids = x[rng.permutation(len(x))[:k]].copy()
-        for _ in range(rounds):
-            own = np.concatenate([distances(x[i : i + 4096], centroids).argmin(1) for i in range(0, len(x), 4096)])
-            n = np.bincount(own, minlength=k)
-            total = np.zeros_like(centroids)
-            np.add.at(total, own, x)
-            some = n > 0
-            centroids[some] = total[some] / n[some, None]
-            centroids[~some] = x[rng.integers(0, len(x), int((~some).sum()))]
-        near = np.argsort(distances(centroids, centroids), axis=1, kind="stable")[:, 1 : degree + 1]
+        centroids = k_means(x, max(1, min(count, len(x) // 2, CENTROIDS)), rng)
+        k = len(centroids)
+        near = np.concatenate([np.argsort(distances(centroids[i : i + 512], centroids), axis=1, kind="stable")[:, 1 : degree + 1] for i in range(0, k, 512)])
         if near.shape[1]:  # long links too, so that no part is cut off
             near = np.hstack([near, rng.integers(0, k, (k, 4))])
-        entry = rng.permutation(k)[: max(1, min(k, 32))]
-        return cls(centroids, near, entry, norm)
-
-    def walk(self, queries: np.ndarray, found: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, squared distances) nearest to each lifted query, by best-first search of the graph, nearest first."""
+        index = cls(centroids, near, rng.permutation(k)[: max(1, min(k, 32))], norm)
+        index.ratio = index.calibrate(vectors[rng.permutation(len(x))], neighbours, target)
+        return index
+
+    def calibrate(self, vectors: np.ndarray, neighbours: int, target: float) -> float:
+        """The ratio within which `target` of the neighbours, among the vectors, of the first ones have a list."""
+        asked = flat(vectors[:ASKED], self.norm)
+        near = distances(asked, lift(vectors, self.norm))
+        near[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+        n = min(neighbours, len(vectors) - 1)
+        if n < 1:
+            return 1.0
+        found = np.argpartition(near, n - 1, 1)[:, :n]
+        lists, keep = self.lists_of(vectors[found.ravel()])
+        far = np.sqrt(np.maximum(distances(asked, self.centroids), 0))
+        each = np.take_along_axis(np.repeat(far, n, 0), lists, 1)
+        needed = np.where(keep, each, np.inf).min(1) / np.maximum(np.repeat(far.min(1), n), 1e-12)
+        return float(np.quantile(needed, target))
+
+    def lists_of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, which of them hold it) for each vector."""
+        x = lift(vectors, self.norm)
+        n = min(REPLICAS, len(self.centroids))
+        if len(self.centroids) <= 4096:
+            lists, far = [], []
+            for i in range(0, len(x), 4096):
+                d = distances(x[i : i + 4096], self.centroids)
+                lists.append(np.argpartition(d, n - 1, 1)[:, :n])
+                far.append(np.take_along_axis(d, lists[-1], 1))
+            lists, far = np.concatenate(lists), np.maximum(np.concatenate(far), 0)
+        else:
+            walked = [self.walk(x[i : i + 512], n, 64) for i in range(0, len(x), 512)]
+            lists, far = np.concatenate([w[0] for w in walked]), np.maximum(np.concatenate([w[1] for w in walked]), 0)
+        return lists, far <= REPLICA_RATIO**2 * far.min(1)[:, None] + 1e-12
+
+    def probes(self, queries: np.ndarray, found: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of all lists within the ratio of each lifted query's nearest, by walks that widen as far as needed."""
+        rows, out = np.arange(len(queries)), []
+        while len(rows):
+            lists, far = self.walk(queries[rows], found)
+            near = far <= self.ratio**2 * np.maximum(far[:, :1], 0) + 1e-12
+            open_ = near[:, -1] & (found < len(self.centroids))
+            r, c = np.nonzero(near & ~open_[:, None])
+            out.append((rows[r], lists[r, c]))
+            rows, found = rows[open_], min(2 * found, len(self.centroids))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def walk(self, queries: np.ndarray, found: int, breadth: int = 0, beam: int = 16) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, squared distances) nearest to each lifted query, by search of the graph from the nearest ones, nearest first."""
         rows, k = len(queries), len(self.centroids)
-        breadth = min(k, found + found // 2)
-        pool = np.full((rows, breadth), -1, np.int64)
-        far = np.full((rows, breadth), np.inf)
-        seen = np.zeros((rows, k), bool)
-        done = np.zeros((rows, breadth), bool)
+        found = min(found, k)
+        breadth = min(k, max(breadth, found + found // 2))
+        pool, far = np.full((rows, breadth), -1, np.int64), np.full((rows, breadth), np.inf)
+        seen, done = np.zeros((rows, k), bool), np.zeros((rows, breadth), bool)
         new = np.broadcast_to(self.entry, (rows, len(self.entry)))
         live = np.arange(rows)
         norms = (self.centroids**2).sum(1)
         while len(live):
+            new = np.sort(new, 1)
             fresh = ~seen[live[:, None], new]
+            fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
             seen[live[:, None], new] = True
-            d = norms[new] - 2 * np.einsum("rd,rnd->rn", queries[live], self.centroids[new])
-            d = np.where(fresh, d, np.inf)
-            first = np.ones_like(fresh)
-            order = np.argsort(new, 1, kind="stable")
-            ranked = np.take_along_axis(new, order, 1)
-            first[np.arange(len(live))[:, None], order] = np.hstack([np.ones((len(live), 1), bool), ranked[:, 1:] != ranked[:, :-1]])
-            d = np.where(first, d, np.inf)
+            d = np.full(new.shape, np.inf)
+            r, c = np.nonzero(fresh)
+            d[r, c] = norms[new[r, c]] - 2 * np.einsum("nd,nd->n", queries[live[r]], self.centroids[new[r, c]])
             all_d, all_c = np.hstack([far[live], d]), np.hstack([pool[live], new])
             all_done = np.hstack([done[live], np.zeros_like(fresh)])
             best = np.argsort(all_d, 1, kind="stable")[:, :breadth]
             far[live], pool[live] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_c, best, 1)
             done[live] = np.take_along_axis(all_done, best, 1) | ~np.isfinite(far[live])
-            ahead = np.argmin(done[live], 1)
-            more = ~done[live, ahead]
-            live, ahead = live[more], ahead[more]
-            done[live, ahead] = True
-            new = self.graph[pool[live, ahead]]
-            if not new.shape[1]:
+            live = live[~done[live].all(1)]
+            if not len(live) or not self.graph.shape[1]:
                 break
+            ahead = np.argsort(done[live], 1, kind="stable")[:, :beam]  # the nearest that weren't looked at; done ones do no harm
+            np.put_along_axis(view := done[live], ahead, True, 1)
+            done[live] = view
+            new = self.graph[pool[live[:, None], ahead]].reshape(len(live), -1)
         return pool[:, :found], far[:, :found] + (queries**2).sum(1)[:, None]
 
 
@@ -130,9 +191,9 @@ def usable(vector: Column) -> Column:
 def prepare(rows: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
     """(entries: entry, vector, keys; members: entry, key). An entry is a distinct vector, named by its smallest key."""
     good = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where(usable(F.col("vector")) & F.col("key").isNotNull())
-    good = good.dropDuplicates(["key"]).withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0)))  # -0.0 is 0.0
+    good = good.withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0)))  # -0.0 is 0.0
     width = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    good = good.where(F.size("vector") == (width["n"] if width else 0))
+    good = good.where(F.size("vector") == (width["n"] if width else 0)).groupBy("key").agg(F.min("vector").alias("vector"))
     hashed = materialize(good.withColumn("h", F.md5(F.to_json("vector"))), "vectors")
     nth = W.partitionBy("h").orderBy("key")
     few = hashed.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1)
@@ -149,8 +210,8 @@ def search(
     key: str = "vec_id",
     vector: str = "embedding",
     sample: int = SAMPLE,
-    least: int = LEAST,
-    probes: int = PROBES,
+    list_size: int = LIST,
+    target: float = TARGET,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product found for each row that is_query marks.
 
@@ -158,12 +219,14 @@ def search(
     """
     spark = rows.sparkSession
     entries, members = prepare(rows, key, vector, k)
-    norm = entries.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)).alias("m")).first()["m"]
+    size = entries.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)).alias("m"), F.count("*").alias("n")).first()
+    norm = size["m"]
     schema = "query_id long, rank int, vec_id long, score double"
     if norm is None:
         return spark.createDataFrame([], schema)
     taken = entries.select("vector").orderBy(F.xxhash64("entry"), "entry").limit(sample).toPandas()["vector"]
-    index = spark.sparkContext.broadcast(Index.fit(np.stack(taken.to_numpy()).astype(np.float64), norm))  # at most `CENTROIDS` rows
+    fitted = Index.fit(np.stack(taken.to_numpy()).astype(np.float64), norm, size["n"] // list_size, k, target)
+    index = spark.sparkContext.broadcast(fitted)  # at most `CENTROIDS` centroids, and half as many as `sample`
     asked = materialize(members.where(is_query), "asked")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +234,7 @@ def search(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d = distances(lift(matrix(batch.column("vector")), at.norm), at.centroids)
-            n = min(REPLICAS, d.shape[1])
-            near = np.argpartition(d, n - 1, 1)[:, :n]
-            far = np.maximum(np.take_along_axis(d, near, 1), 0)
-            keep = far <= REPLICA_RATIO**2 * far.min(1)[:, None] + 1e-12
+            near, keep = at.lists_of(matrix(batch.column("vector")))
             r, c = np.nonzero(keep)
             yield pa.record_batch([batch.column("entry").take(pa.array(r)), batch.column("vector").take(pa.array(r)), batch.column("keys").take(pa.array(r)), pa.array(near[r, c].astype(np.int32))], names=["entry", "vector", "keys", "list"])
 
@@ -184,10 +243,8 @@ def search(
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                found, far = at.walk(flat(matrix(batch.column("vector")), at.norm), min(probes, len(at.centroids)))
-                keep = (far <= PROBE_RATIO**2 * np.maximum(far[:, :1], 0) + 1e-12) | (np.arange(found.shape[1]) < least)[None, :]
-                r, c = np.nonzero(keep & (found >= 0) & np.isfinite(far))
-                yield pa.record_batch([batch.column("entry").take(pa.array(r)), batch.column("vector").take(pa.array(r)), pa.array(found[r, c].astype(np.int32))], names=["query", "vector", "list"])
+                r, lists = at.probes(flat(matrix(batch.column("vector")), at.norm))
+                yield pa.record_batch([batch.column("entry").take(pa.array(r)), batch.column("vector").take(pa.array(r)), pa.array(lists.astype(np.int32))], names=["query", "vector", "list"])
 
     postings = materialize(entries.mapInArrow(deal, "entry long, vector array<double>, keys array<long>, list int"), "postings")
     queries = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "vector")
