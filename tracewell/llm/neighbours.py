@@ -6,9 +6,10 @@ vectors of the table, so lists keep their length as the table grows, up to `CENT
 nearest centroid's list and, at the boundary, to each of the next few whose distance is within a ratio of the nearest.
 Lists are cut into blocks of bounded size. A query walks a graph over the centroids held in memory, keeps every list whose
 centroid's distance is within a ratio of the nearest, and is held against all blocks of these lists, block of queries by
-block of vectors. That ratio comes from the sample too: it is the one within which `TARGET` of the true neighbours of some
-sampled vectors lie. So clustered vectors are found in a few lists, and vectors without structure, whose neighbours are
-scattered over many, in many: recall is kept, and the work is what the data ask for.
+block of vectors. That ratio, a number of lists, and the number of replicas come from the sample too: within them lie
+`TARGET` of the true neighbours of some sampled vectors, at the least reading. So clustered vectors are found in a few
+lists, and vectors without structure, whose neighbours are scattered over many, in many: recall is kept, and the work is
+what the data ask for.
 
 Equal vectors are one entry with the k + 1 smallest of their keys: no result holds more of them, whatever their number.
 
@@ -33,10 +34,10 @@ from tracewell.session import table
 
 #: Vectors that the fit reads at most, vectors of the table to a centroid, and centroids at most.
 SAMPLE, LIST, CENTROIDS = 40_000, 50, 65_536
-#: Lists that hold a vector at most, and how much farther than the nearest such a list's centroid may be.
-REPLICAS, REPLICA_RATIO = 4, 1.15
+#: Lists that may hold a vector at most (one of these is chosen), and how much farther than the nearest their centroids may be.
+REPLICAS, REPLICA_RATIO = (2, 4), 1.15
 #: Share of the sample's true neighbours that the lists within the ratio must hold, and vectors that are asked for it.
-TARGET, ASKED = 0.95, 256
+TARGET, ASKED = 0.93, 256
 BLOCK = 2048
 
 
@@ -66,13 +67,15 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Centroids, their graph, the largest squared norm, and the ratio of distances within which lists are read."""
+    """Centroids, their graph, the largest squared norm; lists that hold a vector; ratio of distances and number of lists to read."""
 
     centroids: np.ndarray
     graph: np.ndarray
     entry: np.ndarray
     norm: float
+    replicas: int = 1
     ratio: float = 1.0
+    most: int = 1
 
     @classmethod
     def fit(cls, vectors: np.ndarray, norm: float, count: int, neighbours: int = 20, target: float = TARGET, degree: int = 24) -> Index:
@@ -84,28 +87,37 @@ class Index:
         if near.shape[1]:  # long links too, so that no part is cut off
             near = np.hstack([near, rng.integers(0, k, (k, 4))])
         index = cls(centroids, near, rng.permutation(k)[: max(1, min(k, 32))], norm)
-        index.ratio = index.calibrate(vectors[rng.permutation(len(x))], neighbours, target)
+        vectors = vectors[rng.permutation(len(x))]
+        cost = {}
+        for index.replicas in REPLICAS:
+            cost[index.replicas] = index.calibrate(vectors, neighbours, target)
+        _, index.replicas, index.ratio, index.most = min((reads, r, ratio, most) for r, (reads, ratio, most) in cost.items())
         return index
 
-    def calibrate(self, vectors: np.ndarray, neighbours: int, target: float) -> float:
-        """The ratio within which `target` of the neighbours, among the vectors, of the first ones have a list."""
+    def calibrate(self, vectors: np.ndarray, neighbours: int, target: float) -> tuple[float, float, int]:
+        """(vectors and lists read, ratio, most lists) so that `target` of the neighbours, among the vectors, of the first ones are read."""
         asked = flat(vectors[:ASKED], self.norm)
         near = distances(asked, lift(vectors, self.norm))
         near[np.arange(len(asked)), np.arange(len(asked))] = np.inf
         n = min(neighbours, len(vectors) - 1)
         if n < 1:
-            return 1.0
+            return 0.0, 1.0, 1
         found = np.argpartition(near, n - 1, 1)[:, :n]
-        lists, keep = self.lists_of(vectors[found.ravel()])
+        lists, keep = self.lists_of(vectors)
         far = np.sqrt(np.maximum(distances(asked, self.centroids), 0))
-        each = np.take_along_axis(np.repeat(far, n, 0), lists, 1)
-        needed = np.where(keep, each, np.inf).min(1) / np.maximum(np.repeat(far.min(1), n), 1e-12)
-        return float(np.quantile(needed, target))
+        place = np.argsort(np.argsort(far, 1, kind="stable"), 1, kind="stable")
+        own, held = lists[found.ravel()], keep[found.ravel()]
+        ratio = np.where(held, np.take_along_axis(np.repeat(far, n, 0), own, 1), np.inf).min(1) / np.maximum(np.repeat(far.min(1), n), 1e-12)
+        rank = np.where(held, np.take_along_axis(np.repeat(place, n, 0), own, 1), len(self.centroids)).min(1)
+        # Each bound alone may lose half of what may be lost.
+        ratio, most = float(np.quantile(ratio, (1 + target) / 2)), int(np.quantile(rank, (1 + target) / 2)) + 1
+        read = (far <= ratio * far.min(1)[:, None]) & (place < most)
+        return float((read @ (np.bincount(lists[keep], minlength=len(self.centroids)) + 20)).mean()), ratio, most  # a list costs as much as 20 vectors
 
     def lists_of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lists, which of them hold it) for each vector."""
         x = lift(vectors, self.norm)
-        n = min(REPLICAS, len(self.centroids))
+        n = min(self.replicas, len(self.centroids))
         if len(self.centroids) <= 4096:
             lists, far = [], []
             for i in range(0, len(x), 4096):
@@ -119,12 +131,12 @@ class Index:
         return lists, far <= REPLICA_RATIO**2 * far.min(1)[:, None] + 1e-12
 
     def probes(self, queries: np.ndarray, found: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of all lists within the ratio of each lifted query's nearest, by walks that widen as far as needed."""
+        """(row, list) of the lists to read for each lifted query, by walks that widen as far as needed."""
         rows, out = np.arange(len(queries)), []
         while len(rows):
             lists, far = self.walk(queries[rows], found)
-            near = far <= self.ratio**2 * np.maximum(far[:, :1], 0) + 1e-12
-            open_ = near[:, -1] & (found < len(self.centroids))
+            near = (far <= self.ratio**2 * np.maximum(far[:, :1], 0) + 1e-12) & (np.arange(far.shape[1]) < self.most)
+            open_ = near[:, -1] & (found < min(self.most, len(self.centroids)))
             r, c = np.nonzero(near & ~open_[:, None])
             out.append((rows[r], lists[r, c]))
             rows, found = rows[open_], min(2 * found, len(self.centroids))
