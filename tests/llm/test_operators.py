@@ -560,3 +560,28 @@ def test_pipeline(spark, tmp_path, rows):
     assert hashlib.sha256(b"").hexdigest()  # texts that lose nothing stay as they are
     same = seen["suffix_array_dedup"].where("doc_id = 5").first().text
     assert same == dict((r[0], r[1]) for r in rows)[5]
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Null keys and texts, copies of them, repeated keys, clashing names; no stage drops what it has no reason to drop."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, text, "en", "a", 5), (None, text, "en", None, 5), (None, None, None, None, None), (4, None, "en", "a", 0), (4, "short", "en", "a", 5), (5, text + " more of it", "en", "b", 9), (5, "other words here", None, "b", None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, size int")
+    spark.createDataFrame([(4, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    seen = {}
+    for name in ("toxicity", "minhash_near_dedup", "suffix_array_dedup", "mix_sources"):
+        stages[name](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == corpus_pipeline.COLUMNS
+        seen[name] = sorted(((r.doc_id or 0, r.text) for r in docs.collect()), key=str)
+    assert len(seen["toxicity"]) == 7  # one labelled class alone: nothing is toxic
+    assert [k for k, t in seen["minhash_near_dedup"]] == sorted([4, 4, 5, 5], key=str)  # of the near copies the one with a key
+    assert {(4, None), (4, "short"), (5, "other words here"), (5, text + " more of it")} == set(seen["suffix_array_dedup"])
+    packed = stages["best_fit_packing"](spark, docs, str(tmp_path))
+    assert packed.count() == docs.count() and packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs.limit(0), str(tmp_path)).write.parquet(f"{tmp_path}/none-{name}")
+        assert spark.read.parquet(f"{tmp_path}/none-{name}").count() == 0

@@ -40,7 +40,7 @@ BITS = 18
 #: Documents of each class that a fit reads at most, and chains of them that the field is fitted on at most.
 SAMPLE, CHAINS = 2000, 8000
 #: Word types a worker remembers at most; it starts afresh beyond.
-REMEMBER = 120_000
+REMEMBER = 80_000
 THRESHOLD = 0.7
 
 
@@ -159,14 +159,22 @@ class Tagger:
         return np.split(out, ends[:-1])
 
 
-def count_affixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each affix: the clean and the toxic documents that hold it."""
+def count_affixes(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """For each affix: the clean and the toxic documents that hold it; counts so far go out when there are `most`."""
     counts = (Counter(), Counter())
+
+    def rows() -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        return pa.record_batch([pa.array(names, pa.string()), *(pa.array([c[a] for a in names], pa.int64()) for c in counts)], names=["affix", "c0", "c1"])
+
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             counts[toxic].update({a for w in {t.lower() for t in TOKEN.findall(text) if t not in ENDS} for a in affixes(w)})
-    names = list(counts[0].keys() | counts[1].keys())
-    yield pa.record_batch([pa.array(names, pa.string()), *(pa.array([c[a] for a in names], pa.int64()) for c in counts)], names=["affix", "c0", "c1"])
+            if len(counts[0]) + len(counts[1]) > most:
+                yield rows()
+                for c in counts:
+                    c.clear()
+    yield rows()
 
 
 def toxic_affixes(texts: DataFrame, n0: int, n1: int, least_gain: float = 9.0, least: float = 2.0) -> frozenset[str]:
@@ -203,7 +211,7 @@ def draw_chains(texts: DataFrame, marks: frozenset[str], length: int = 16, most:
                         kept[any(tags)].append((rank, part, tags))
                         place += 1
                 for own in kept:
-                    if len(own) > 2 * most:
+                    if len(own) > most + most // 2:
                         own.sort()
                         del own[most:]
                 if len(known) > REMEMBER:
