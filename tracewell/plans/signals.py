@@ -37,12 +37,17 @@ def per_recording(spark: SparkSession, sf: str, function, schema: str) -> DataFr
 
 
 def q_filter_zero_phase(spark: SparkSession, sf: str) -> DataFrame:
-    def work(x: np.ndarray):
-        y = kernels.zero_phase(kernels.butterworth_sos(4, 1.0, 40.0, RATE), x)
-        y = kernels.zero_phase(kernels.notch_sos(60.0, 30.0, RATE), y)
-        return [(k, round(float(v), 6)) for k, v in enumerate(y)]
-
-    return per_recording(spark, sf, work, "k int, filtered double")
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = [np.asarray(v, float) for v in batch["x"]]
+            y = kernels.zero_phase_each(kernels.butterworth_sos(4, 1.0, 40.0, RATE), x)
+            y = kernels.zero_phase_each(kernels.notch_sos(60.0, 30.0, RATE), y)
+            n = [len(v) for v in y]
+            yield pd.DataFrame({"user_id": np.repeat(batch["user_id"].to_numpy(), n), "k": np.concatenate([np.arange(v) for v in n]), "filtered": np.round(np.concatenate(y), 6)})
+
+    return samples(spark, sf).where(F.size("x") > 0).mapInPandas(run, "user_id long, k int, filtered double")
 
 
 def q_periodogram(spark: SparkSession, sf: str) -> DataFrame:
