@@ -9,8 +9,8 @@ exact probability Jaccard is at least the threshold, and classes are the connect
 
 Within a bucket every member is held against a pivot, the member with the most bucket mates. Members of buckets that
 then still span several classes are joined on the rarest shingles, by a rule that loses no pair that can be linked: in
-rounds, in which each node meets one, then some more members of each other class that shares a shingle, those first that
-can be nearest; classes that a round links meet no more. So the pairs of a large bucket are never all made,
+rounds, in which a shingle's holders meet one, then some more of its other holders, those first that can be nearest; classes
+that a round links meet no more. So the pairs of a large bucket are never all made,
 pairs inside a class are not made at all, and no partner, candidate or bucket is capped.
 
 A node is a distinct text, named by its MD5; so copies are one node however many there are.
@@ -35,6 +35,8 @@ from tracewell.llm.graph import components
 from tracewell.session import table
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 8
+#: Cells of a set's shape, by the high bits of its shingles (a cell counts to 32,767: enough for 16 million words).
+SHAPE_BITS = 9
 _M = 0xFFFFFFFFFFFFFFFF
 
 
@@ -114,12 +116,12 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """node, shingle, before, rarer, nth: the rarest shingles of nodes. open_: node, class.
+    """node, shingle, before, rarer, nth, shape, distinct, total: the rarest shingles of nodes. open_: node, class.
 
     With weights scaled to 1, the probability Jaccard is at most the weight of the common shingles. So if it reaches the
     threshold, the rarest common shingle is, on either side, among the rarest ones whose weight exceeds 1 - threshold: no
     pair that can be linked is lost. Those that one class alone holds are left out. before: the weight of the rarer ones;
-    rarer: those of them that are here too; nth: place by `before` among a class's holders.
+    rarer: those of them that are here too; nth: place by `before` among the shingle's holders.
     """
     own = sets.join(open_, "node").select("node", "class", F.explode(F.arrays_zip("elements", "weights")).alias("s"))
     own = own.select("node", "class", F.col("s.elements").alias("shingle"), F.col("s.weights").alias("weight"))
@@ -130,22 +132,28 @@ def prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     prefix = ranked.where(F.col("before") <= 1 - threshold + 1e-9).select("node", "class", "shingle", "before")
     prefix = materialize(prefix, "prefix")
     several = prefix.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("shingle")
-    order = W.partitionBy("shingle", "class").orderBy("before", "node")
+    order = W.partitionBy("shingle").orderBy("before", "node")
     prefix = prefix.join(several, "shingle", "left_semi").withColumn("nth", F.row_number().over(order) - 1)
     rarer = F.collect_list("shingle").over(by_node.orderBy("before").rowsBetween(W.unboundedPreceding, -1))
-    return prefix.select("node", "shingle", "before", rarer.alias("rarer"), "nth")
+    total = F.aggregate("weights", F.lit(0).cast("long"), lambda n, w: n + w)
+    whole = sets.select("node", "shape", F.size("elements").alias("distinct"), total.alias("total"))
+    return prefix.select("node", "shingle", "before", rarer.alias("rarer"), "nth").join(whole, "node")
 
 
 def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold: float) -> list[DataFrame]:
     """Links (a, b) between classes of open nodes that share a prefix shingle, as tables. done: pairs that were verified.
 
-    A round takes, of each class at each shingle, the next holders by the weight before it, and makes pairs of them with
-    the nodes of other classes, each pair at its rarest common shingle. There the weights x and y before it are not
-    common, so the similarity is at most (1 - x)(1 - y) / (1 - xy): pairs for which that is too small aren't made. A round
-    takes at least twice as many holders as the round before, and more if that made few pairs beside the nodes.
+    A round takes, at each shingle, the next holders by the weight before it, and makes pairs of them with the later
+    holders of other classes, each pair at its rarest common shingle. There the weights x and y before it are not
+    common, so the similarity is at most (1 - x)(1 - y) / (1 - xy). Two sets can't have more elements in common than the
+    sum over cells of the smaller of their shapes; what is left of either is not common, and weighs at least 1 an element,
+    which bounds x and y too. Pairs for which the similarity is too small aren't made. A round takes at least twice as many holders as the round before, and more if that made few pairs beside the nodes.
     """
     rows, found = materialize(prefixes(open_, sets, threshold), "prefixes"), []
-    near = f"(1 - a_before) * (1 - b_before) >= {threshold} * (1 - a_before * b_before) - 1e-9 AND NOT arrays_overlap(a_rarer, b_rarer)"
+    below = lambda x, y: f"(1 - {x}) * (1 - {y}) >= {threshold} * (1 - {x} * {y}) - 1e-9"
+    x, y = (f"greatest({n}_before, ({n}_distinct - o) / {n}_total)" for n in "ab")
+    both = "aggregate(zip_with(a_shape, b_shape, (p, q) -> least(p, q)), 0, (s, v) -> s + v)"
+    near = f"{below('a_before', 'b_before')} AND NOT arrays_overlap(a_rarer, b_rarer) AND exists(array({both}), o -> {below(x, y)})"
     once = "(a_nth > b_nth OR a_nth = b_nth AND a < b)"  # else it was made when a was among the holders taken
     lo, wide, classes, nodes = 0, 1, open_, open_.count()
     while True:
@@ -154,7 +162,7 @@ def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold:
         live = materialize(classed.join(several.select("shingle", "last"), "shingle"), "live")
         if not live.where(F.col("last") >= lo).limit(1).count():
             return found
-        side = lambda n: live.select("shingle", F.col("node").alias(n), F.col("class").alias(f"{n}_class"), F.col("before").alias(f"{n}_before"), F.col("rarer").alias(f"{n}_rarer"), F.col("nth").alias(f"{n}_nth"))
+        side = lambda n: live.select("shingle", F.col("node").alias(n), F.col("class").alias(f"{n}_class"), F.col("before").alias(f"{n}_before"), *(F.col(c).alias(f"{n}_{c}") for c in ("rarer", "nth", "shape", "distinct", "total")))
         heads = side("b").where(F.col("b_nth").between(lo, lo + wide - 1))
         pairs = side("a").join(heads, "shingle").where(f"a_class != b_class AND {once} AND {near}")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_class", "b_class").alias("one"), F.greatest("a_class", "b_class").alias("other")).distinct()
@@ -205,16 +213,19 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs (node, words) as node, elements (sorted as unsigned numbers), weights."""
+    """docs (node, words) as node, elements (sorted as unsigned numbers), weights, shape (how many elements a cell has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, element, weight = shingles(pa.concat_arrays([batch.column("words")]), k)
             offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (element.view(np.int64), weight.astype(np.int32))]
-            yield pa.record_batch([batch.column("node"), *lists], names=["node", "elements", "weights"])
+            cells = 1 << SHAPE_BITS
+            shape = np.bincount(owner * cells + (element >> np.uint64(64 - SHAPE_BITS)).astype(np.int64), minlength=batch.num_rows * cells)
+            lists.append(pa.FixedSizeListArray.from_arrays(pa.array(np.minimum(shape, 32767).astype(np.int16)), cells).cast(pa.list_(pa.int16())))
+            yield pa.record_batch([batch.column("node"), *lists], names=["node", "elements", "weights", "shape"])
 
-    return docs.select("node", "words").mapInArrow(run, "node binary, elements array<long>, weights array<int>")
+    return docs.select("node", "words").mapInArrow(run, "node binary, elements array<long>, weights array<int>, shape array<smallint>")
 
 
 def near_duplicates(
