@@ -124,3 +124,22 @@ def test_surrogates_crossings_and_agreement():
     assert [i for i, _, _ in found] == [2, 4, 6] and found[0][1] == 1.5 and abs(found[1][1] - 10 / 3) < 1e-9 and found[2][1] is None
     assert abs(kernels.adjusted_mutual_information(np.diag([5, 5, 5])) - 1) < 1e-9
     assert kernels.adjusted_mutual_information(np.array([[1]])) is None
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_landmarks_tokens_and_timing_null(spark):
+    rows = registry.QUERIES["q_landmarks"](spark, SF).collect()
+    assert {r.family for r in rows} == {"extremum", "inflection"} and any(r.accepted for r in rows)
+    assert all((r.reason is None) == r.accepted and r.support_start < r.idx <= r.support_stop for r in rows)
+    assert all(r.steepness >= 100 and (r.family == "inflection" or r.flank >= 2) for r in rows if r.accepted)
+    tokens = registry.QUERIES["q_tokenize"](spark, SF).toPandas()
+    even = tokens[tokens.vec_id % 2 == 0]
+    for code, part in even.groupby("code"):
+        limit = np.quantile(part.distance, 0.99)
+        own = tokens[tokens.code == code]
+        assert (own.outlier == (own.distance > limit + 1e-9)).mean() > 0.98
+    null = registry.QUERIES["q_timing_null"](spark, SF).toPandas()
+    again = registry.QUERIES["q_timing_null"](spark, SF).toPandas()
+    assert null.sort_values("user_id").values.tolist() == again.sort_values("user_id").values.tolist()
+    assert (null.low <= null.middle).all() and (null.middle <= null.high).all() and null.p_value.between(0.01, 1).all()
+    assert 0.2 < (null.p_value <= 0.5).mean() < 0.95  # clicks and views have no common times here

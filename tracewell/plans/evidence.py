@@ -48,9 +48,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n,
                  max(CASE WHEN l_tax = 0 THEN 'FLAT' END)) AS reasons
 FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey""",
     "q_reason_histogram": """
-SELECT reason, count(*) AS windows FROM (
-  SELECT 'HIGH_AMPLITUDE' AS reason FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT 'LINE_DOMINATED' FROM lineitem WHERE l_discount > 0.08
-  UNION ALL SELECT 'FLAT' FROM lineitem WHERE l_tax = 0) AS r GROUP BY reason""",
+SELECT reason, count(*) AS windows FROM (SELECT @given(CASE WHEN l_quantity > 45 THEN 'HIGH_AMPLITUDE' END, CASE WHEN l_discount > 0.08 THEN 'LINE_DOMINATED' END,
+  CASE WHEN l_tax = 0 THEN 'FLAT' END) AS reason FROM lineitem) AS r GROUP BY reason""",
     "q_status_projection": """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice >= 200000 THEN 'ELIGIBLE' WHEN o_orderstatus = 'F' THEN 'QUALIFIED_UNSELECTED' ELSE 'REJECTED' END AS status,
        CASE WHEN o_custkey % 2 = 0 THEN 'external-exposed' ELSE 'external-new' END AS split FROM orders""",
@@ -86,16 +85,21 @@ WITH r AS (SELECT @sha(concat_ws('|', @text(o_orderkey), @text(o_custkey), o_ord
 SELECT substr(h, 1, 2) AS bucket, count(*) AS n, @text(sum(@hex(substr(h, 1, 15)))) AS a, @text(sum(@hex(substr(h, 16, 15)))) AS b,
        @text(sum(@hex(substr(h, 31, 15)))) AS c, @text(sum(@hex(substr(h, 46, 15)))) AS d FROM r GROUP BY substr(h, 1, 2)""",
     "q_recording_id": "SELECT doc_id, substr(@sha(concat_ws(':', source, lang, @text(doc_id))), 1, 24) AS recording_id FROM documents",
+    # A path leaves its root by a step up, a start at the root, a drive, or a part that names a device, whatever its ending.
     "q_path_confined": """
-SELECT page_id, url, CASE WHEN url LIKE '%..%' OR url LIKE '/%' OR lower(url) LIKE '%con.%' THEN 'ESCAPES' ELSE 'CONFINED' END AS state FROM pages""",
+WITH p AS (SELECT page_id, url, replace(lower(url), @backslash(), '/') AS path FROM pages)
+SELECT page_id, url, CASE WHEN @matches(path, '(^|/)[.][.](/|$)') OR path LIKE '/%' OR @matches(path, '^[a-z]:/[^/]') THEN 'ESCAPES'
+       WHEN @matches(path, '(^|/)(con|prn|aux|nul|com[1-9]|lpt[1-9])([.][^/]*)?(/|$)') THEN 'RESERVED_NAME' ELSE 'CONFINED' END AS state FROM p""",
     "q_annex_parse": """
 SELECT doc_id, pointer, CASE WHEN length(digest) = 64 THEN 'SHA256' WHEN length(digest) = 32 THEN 'MD5' ELSE 'INVALID' END AS algorithm, digest
 FROM (SELECT doc_id, pointer, regexp_extract(pointer, 's[0-9]+--([0-9a-f]+)', 1) AS digest FROM (
   SELECT doc_id, concat('SHA256E-s', @text(n_chars), '--', CASE WHEN doc_id % 7 = 0 THEN md5(text) ELSE @sha(text) END, '.set') AS pointer FROM documents) AS p) AS q""",
     "q_tsv_clean": """
 SELECT conv_id, turn, regexp_replace(upper(trim(role)), '[^A-Z]', '', 'g') AS name, length(replace(text, chr(10), '')) AS clean_length FROM conversations""".replace(", 'g')", ")"),
+    # Values that JSON cannot hold (not a number, infinities) become null; what is finite stays.
     "q_json_fields": """
-SELECT event_id, @json(props, '$.k') AS k, CASE WHEN @json(props, '$.k') > 50 THEN NULL ELSE value END AS value FROM events""",
+SELECT event_id, @json(props, '$.k') AS k, CASE WHEN @finite(x) AND abs(x) < 1e300 THEN round(x, 9) END AS value
+FROM (SELECT event_id, props, CASE WHEN @json(props, '$.k') = 0 THEN @float('inf') WHEN @json(props, '$.k') = 1 THEN @float('nan') ELSE value / @json(props, '$.k') END AS x FROM events) AS e""",
     "q_manifest_verify": """
 WITH files AS (SELECT doc_id AS path, @sha(text) AS digest, n_chars AS bytes FROM documents),
 manifest AS (SELECT path, CASE WHEN path % 50 = 0 THEN 'changed' ELSE digest END AS digest, bytes FROM files WHERE path % 40 <> 1)

@@ -10,7 +10,6 @@ MACROS["canonical"] = (
 )
 MACROS["newline"] = ("char(10)%s", "chr(10)%s")
 MACROS["total"] = ("aggregate(%s, CAST(0 AS double), (s, v) -> s + v)", "list_sum(%s)")
-MACROS["finite"] = ("NOT isnan(%s)", "NOT isnan(%s)")
 
 E = "e AS (SELECT user_id, event_id, event_type, value, @us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 V = "v AS (SELECT vec_id, @idiv(vec_id / 28.0) AS block, label, @vec(embedding) AS x FROM embeddings)"

@@ -25,9 +25,13 @@ person AS (SELECT user_id, count(*) AS nights, avg(effect) AS effect FROM record
 SELECT user_id, nights, CASE WHEN nights = 2 THEN round(effect, 9) END AS effect, CASE WHEN nights < 2 THEN 'INCOMPLETE_NIGHTS' END AS reason FROM person""",
     "q_night_difference": """
 SELECT user_id, round(avg(CASE WHEN event_type = 'view' THEN value END) - avg(CASE WHEN event_type = 'click' THEN value END), 9) AS difference FROM events GROUP BY user_id""",
+    # Groups, recordings, and over them: people that have every kind of event, each with the same weight.
     "q_grouping_levels": """
-SELECT event_type, user_id, count(*) AS total, @count_if(value < 20) AS accepted, round(@count_if(value < 20) / @float(count(*)), 9) AS coverage
-FROM events GROUP BY GROUPING SETS ((event_type), (user_id))""",
+WITH g AS (SELECT event_type, user_id, count(*) AS total, @count_if(value < 20) AS accepted FROM events GROUP BY GROUPING SETS ((event_type), (user_id))),
+c AS (SELECT user_id, event_type, @count_if(value < 20) / @float(count(*)) AS coverage FROM events GROUP BY user_id, event_type),
+p AS (SELECT user_id, avg(coverage) AS coverage FROM c GROUP BY user_id HAVING count(*) = (SELECT count(DISTINCT event_type) FROM events))
+SELECT event_type, user_id, total, accepted, round(accepted / @float(total), 9) AS coverage FROM g
+UNION ALL SELECT 'complete people', CAST(NULL AS bigint), count(*), CAST(NULL AS bigint), round(avg(coverage), 9) FROM p""",
     "q_runs": f"""
 WITH {E}, r AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, event_type ORDER BY k) AS island FROM e)
 SELECT user_id, min(k) - 1 AS start_row, max(k) AS stop_row, count(*) AS n FROM r WHERE event_type = 'error' GROUP BY user_id, island""",
@@ -68,9 +72,11 @@ WITH {E} SELECT event_id, us - lag(us) OVER (PARTITION BY user_id, event_type OR
 lead(us) OVER (PARTITION BY user_id, event_type ORDER BY us, event_id) - us AS next_us FROM e""",
     "q_tumbling": """
 SELECT user_id, @idiv(@us(ts) / 21600000000.0) AS win, count(*) AS n, round(avg(value), 9) AS mean_value, round(max(value) - min(value), 9) AS range_value FROM events GROUP BY user_id, @idiv(@us(ts) / 21600000000.0)""",
+    # Windows of four hops; those that a recording doesn't cover whole, at its beginning and end, are dropped.
     "q_hopping": """
-SELECT user_id, w AS win, count(*) AS n, round(sum(value), 6) AS total FROM (
-  SELECT user_id, value, @idiv(@us(ts) / 5400000000.0) - i AS w FROM (SELECT *, @numbers(4) AS i FROM events) AS x) AS y GROUP BY user_id, w""",
+WITH h AS (SELECT user_id, value, @idiv(@us(ts) / 5400000000.0) AS hop FROM events), r AS (SELECT user_id, min(hop) AS first_hop, max(hop) AS last_hop FROM h GROUP BY user_id),
+w AS (SELECT user_id, value, hop - i AS w FROM (SELECT *, @numbers(4) AS i FROM h) AS x)
+SELECT w.user_id, w AS win, count(*) AS n, round(sum(value), 6) AS total FROM w JOIN r ON r.user_id = w.user_id WHERE w >= first_hop AND w + 3 <= last_hop GROUP BY w.user_id, w""",
     # Ownership by whole half-samples: a centre belongs to the chunk whose core holds it, each exactly once.
     "q_halo_chunks": f"""
 WITH {E}, c AS (SELECT user_id, k, @idiv((k - 1) / 10.0) AS core FROM e), h AS (SELECT user_id, k, core + i - 1 AS chunk, core FROM (SELECT *, @numbers(3) AS i FROM c) AS x),

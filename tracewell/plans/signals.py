@@ -6,12 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import kernels
-from tracewell.operators.matching import fill_shards, optimal_match, select_peaks
+from tracewell.operators.matching import fill_shards, match_times, optimal_match, select_peaks
 from tracewell.plans import sequences
 from tracewell.session import table
 
@@ -90,19 +90,43 @@ def q_phase_surrogate(spark: SparkSession, sf: str) -> DataFrame:
     return per_recording(spark, sf, work, "mean_change double, spectrum_kept boolean")
 
 
+SLOPE_GATE, FLANK_GATE, GUARD = 100.0, 2.0, 5
+
+
 def q_landmarks(spark: SparkSession, sf: str) -> DataFrame:
+    """Extrema (the slope changes sign) and inflections (the curvature does), each accepted or with the first gate it fails.
+
+    Gates: samples of one sign on both sides; the filter's reach at both ends; a slope (curvature) of at least SLOPE_GATE on
+    both flanks; for extrema, a rise and fall of at least FLANK_GATE within the support, which is how far the signs hold.
+    """
+
     def work(x: np.ndarray):
-        slope = kernels.savitzky_golay(x, 7, 3, 1, 1 / RATE)
-        guard = 5
         rows = []
-        for index, place, held in kernels.crossings(slope):
-            reason = None if held else "INSUFFICIENT_SIGN_SUPPORT"
-            if reason is None and not guard <= index - 1 <= len(x) - guard - 2:
-                reason = "SIGN_FLANK_FILTER_GUARD"
-            rows.append((index, place, "peak" if slope[max(0, index - 1)] > 0 else "trough", reason is None, reason))
+        for family, order in (("extremum", 1), ("inflection", 2)):
+            d = kernels.savitzky_golay(x, 7, 3, order, 1 / RATE)
+            sign = np.sign(d)
+            for index, place, held in kernels.crossings(d):
+                left = right = index
+                while left > 0 and sign[left - 1] == sign[index - 1]:
+                    left -= 1
+                while right + 1 < len(x) and sign[right + 1] == sign[min(index, len(x) - 1)]:
+                    right += 1
+                steep = min(np.abs(d[left:index]).max(initial=0), np.abs(d[index : right + 1]).max(initial=0))
+                flank = min(abs(x[index] - x[left]), abs(x[right] - x[index]))
+                gates = (
+                    (held, "INSUFFICIENT_SIGN_SUPPORT"),
+                    (GUARD <= index - 1 <= len(x) - GUARD - 2, "SIGN_FLANK_FILTER_GUARD"),
+                    (steep >= SLOPE_GATE, "LOW_SLOPE"),
+                    (family == "inflection" or flank >= FLANK_GATE, "LOW_FLANK"),
+                )
+                reason = next((why for ok, why in gates if not ok), None)
+                up = d[max(0, index - 1)] > 0
+                kind = ("peak" if up else "trough") if family == "extremum" else ("curvature_positive_to_negative" if up else "curvature_negative_to_positive")
+                rows.append((family, index, place, kind, left, right, round(float(steep), 6), round(float(flank), 6), reason is None, reason))
         return rows
 
-    return per_recording(spark, sf, work, "idx int, place double, polarity string, accepted boolean, reason string")
+    columns = "family string, idx int, place double, kind string, support_start int, support_stop int, steepness double, flank double, accepted boolean, reason string"
+    return per_recording(spark, sf, lambda x: work(x) if len(x) >= 7 else [], columns)
 
 
 def q_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,15 +140,23 @@ def q_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_timing_null(spark: SparkSession, sf: str) -> DataFrame:
-    """Events moved uniformly within their own bins, 99 draws: order statistics of the share that still lies near a bin's centre."""
+    """Clicks matched with views within two hours, against 99 draws in which each click moves uniformly within its own day.
 
-    def work(x: np.ndarray):
-        t = np.cumsum(np.maximum(x, 0.01))
-        rng = np.random.default_rng(len(t))
-        near = np.sort([(np.abs((np.floor(t / 60) * 60 + rng.uniform(0, 60, len(t))) % 60 - 30) < 5).mean() for _ in range(99)])
-        return [(round(float(near[4]), 6), round(float(near[49]), 6), round(float(near[94]), 6))]
+    Every draw is matched anew. For each recording: the matches found, order statistics of the draws, and the share of
+    draws (with the observed one) that match as many.
+    """
+    e = table(spark, sf, "events").where(F.col("event_type").isin("click", "view")).select("user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    day = 86_400.0
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.sort(part.loc[part["event_type"] == kind, "t"].to_numpy(float)) for kind in ("click", "view"))
+        observed = len(match_times(a, b, 7200.0))
+        rng = np.random.default_rng([12012, int(key[0])])
+        draws = sorted(len(match_times(np.sort(np.floor(a / day) * day + rng.uniform(0, day, len(a))), b, 7200.0)) for _ in range(99))
+        above = sum(n >= observed for n in draws)
+        return pd.DataFrame({"user_id": [key[0]], "matched": [observed], "low": [draws[4]], "middle": [draws[49]], "high": [draws[94]], "p_value": [(1 + above) / 100]})
 
-    return per_recording(spark, sf, work, "low double, middle double, high double")
+    return e.groupBy("user_id").applyInPandas(run, "user_id long, matched int, low int, middle int, high int, p_value double")
 
 
 def contingency(spark: SparkSession, sf: str) -> np.ndarray:
@@ -179,14 +211,20 @@ def q_shard_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    """Standardise, project and cluster on even keys; codes and outliers for all vectors."""
+    """Standardise, project and cluster on even keys; codes for all vectors, and those farther out than 99 % of a code's even ones."""
     v = table(spark, sf, "embeddings").where("embedding IS NOT NULL").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
     train = v.where("vec_id % 2 = 0")
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(train)
     pca = PCA(k=20, inputCol="scaled", outputCol="features").fit(scaler.transform(train))
     fitted = pca.transform(scaler.transform(v)).select("vec_id", "label", "features")
     model = KMeans(k=8, seed=17, maxIter=50, featuresCol="features", predictionCol="code").fit(fitted.where("vec_id % 2 = 0"))
-    return model.transform(fitted).select("vec_id", "label", "code")
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]  # eight centres of 20 numbers
+    own = F.get(F.array(*(F.array(*map(F.lit, c)) for c in centres)), F.col("code"))
+    far = F.sqrt(F.aggregate(F.zip_with(vector_to_array("features"), own, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, v: a + v))
+    coded = model.transform(fitted).withColumn("distance", far)
+    limits = coded.where("vec_id % 2 = 0").groupBy("code").agg(F.percentile("distance", 0.99).alias("limit"))
+    rows = coded.join(F.broadcast(limits), "code", "left")
+    return rows.select("vec_id", "label", "code", F.round("distance", 9).alias("distance"), (F.col("distance") > F.col("limit")).alias("outlier"))
 
 
 NAMES = "q_filter_zero_phase q_periodogram q_savgol q_resample q_view_features q_phase_surrogate q_landmarks q_bootstrap_ci q_timing_null q_ami q_nms_peaks q_optimal_match q_pooled_f1 q_shard_plan q_tokenize"

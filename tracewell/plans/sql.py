@@ -23,6 +23,10 @@ MACROS = {
     "float": ("CAST(%s AS double)", "CAST(%s AS double)"),
     "long": ("CAST(%s AS bigint)", "CAST(%s AS bigint)"),
     "json": ("CAST(get_json_object(%s) AS bigint)", "CAST(json_extract_string(%s) AS bigint)"),
+    "given": ("explode(array_compact(array(%s)))", "unnest(list_filter([%s], lambda r: r IS NOT NULL))"),
+    "matches": ("regexp_like(%s)", "regexp_matches(%s)"),
+    "finite": ("NOT isnan(%s)", "NOT isnan(%s)"),
+    "backslash": ("char(92)%s", "chr(92)%s"),
     "hex": ("CAST(conv(%s, 16, 10) AS decimal(38, 0))", "CAST(CAST('0x' || %s AS bigint) AS decimal(38, 0))"),
     "count_if": ("count_if(%s)", "count_if(%s)"),
     "dot": ("aggregate(zip_with(%s, (p, q) -> CAST(p AS double) * q), CAST(0 AS double), (s, v) -> s + v)", "list_inner_product(%s)"),
