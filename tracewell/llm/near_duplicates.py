@@ -147,7 +147,8 @@ def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold:
     holders of other classes, each pair at its rarest common shingle. There the weights x and y before it are not
     common, so the similarity is at most (1 - x)(1 - y) / (1 - xy). Two sets can't have more elements in common than the
     sum over cells of the smaller of their shapes; what is left of either is not common, and weighs at least 1 an element,
-    which bounds x and y too. Pairs for which the similarity is too small aren't made. A round takes at least twice as many holders as the round before, and more if that made few pairs beside the nodes.
+    which bounds x and y too. Pairs for which the similarity is too small aren't made. A round takes at least twice as many
+    holders as the round before, and more if that made few pairs beside the nodes.
     """
     rows, found = materialize(prefixes(open_, sets, threshold), "prefixes"), []
     below = lambda x, y: f"(1 - {x}) * (1 - {y}) >= {threshold} * (1 - {x} * {y}) - 1e-9"
