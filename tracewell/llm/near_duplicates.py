@@ -36,7 +36,7 @@ from tracewell.session import table
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 8
 #: Cells of a set's shape, by the high bits of its shingles (a cell counts to 32,767: enough for 16 million words).
-SHAPE_BITS = 9
+SHAPE_BITS = 7
 _M = 0xFFFFFFFFFFFFFFFF
 
 
