@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import fingerprints, mixing, near_duplicates, neighbours, packing, pages, repeats, token_store, toxicity, transcripts
+from tracewell.llm import decontamination, fingerprints, mixing, near_duplicates, neighbours, packing, pages, repeats, token_store, toxicity, transcripts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_host_suffix_extraction": pages.op8_host_suffix_extraction,
     "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
     "op10_token_store": token_store.op10_token_store,
+    "op11_benchmark_decontamination": decontamination.op11_benchmark_decontamination,
 }
 
 ORACLES = {
     "op1_fingerprints": fingerprints.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op9_suffix_array_dedup": repeats.ORACLE,
+    "op11_benchmark_decontamination": decontamination.ORACLE,
 }
