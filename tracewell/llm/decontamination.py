@@ -24,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches, materialize, scramble
+from tracewell.llm.common import bounded_batches, byte_slices, materialize, scramble
 from tracewell.session import table
 
 WINDOW = 10
@@ -157,17 +156,6 @@ def _spans(n: np.ndarray, text: np.ndarray, first: np.ndarray, after: np.ndarray
     return text, start - base[text], end - base[text]
 
 
-def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about size bytes of text, a row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(np.int64)))
 
@@ -178,7 +166,7 @@ def _pass(rows: DataFrame, block) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests: TestStrings = block.value
         for whole in batches:
-            for batch in _slices(whole, TEXT_BYTES):
+            for batch in byte_slices(whole, "text", TEXT_BYTES):
                 n, text, first, k = tests.find([t or "" for t in batch.column("text").to_pylist()])
                 known = [batch.column(c).to_pylist() for c in ("starts", "ends", "items")]
                 old = np.repeat(np.arange(batch.num_rows), list(map(len, known[0])))

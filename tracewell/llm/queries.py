@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import decontamination, fingerprints, mixing, near_duplicates, neighbours, packing, pages, repeats, token_store, toxicity, transcripts
+from tracewell.llm import alignment, decontamination, fingerprints, mixing, near_duplicates, neighbours, packing, pages, repeats, token_store, toxicity, transcripts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
     "op10_token_store": token_store.op10_token_store,
     "op11_benchmark_decontamination": decontamination.op11_benchmark_decontamination,
+    "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
 }
 
 ORACLES = {

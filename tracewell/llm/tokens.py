@@ -17,6 +17,7 @@ import numpy as np
 
 #: Most pieces that a worker remembers of each kind; it starts afresh beyond.
 REMEMBER = 400_000
+_CONTROL = re.compile(r"[\x1c-\x1f]")
 _WHOLE = re.compile(r"[\x1c-\x1f]|<\|")  # both vocabularies' special tokens begin with <|
 # Letters and numbers of Latin-1, and the contractions that both vocabularies keep apart.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -24,7 +25,7 @@ _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORD_PIECE = re.compile(rf"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 _BYTE_PIECE = re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _BYTE_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, str], "Encoder | PieceEncoder"] = {}
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,11 +49,13 @@ class Coded(dict):
 class Encoder:
     """Encodes lists of texts to arrays of uint32 ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: strings of special tokens inside texts are ordinary text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         self.by_word = self.library.normalizer is not None  # lower case, white space dropped
         letters, model = byte_letters(), self.library.model
         self.whole = lambda text: self.library.encode(text, add_special_tokens=False).ids
@@ -60,7 +63,7 @@ class Encoder:
         self.chunks = Coded(self.whole)
 
     def _coded(self, text: str) -> bytes:
-        if _WHOLE.search(text):
+        if (_CONTROL if self.library.encode_special_tokens else _WHOLE).search(text):
             return np.array(self.whole(text), "<u4").tobytes()
         if text.isascii() or _latin(text):
             cut = _WORD_PIECE.findall(text.lower()) if self.by_word else _BYTE_PIECE.findall(text)
@@ -74,6 +77,43 @@ class Encoder:
         return [np.frombuffer(self._coded(t), "<u4") for t in texts]
 
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id, of a byte-level vocabulary."""
+        back = {letter: byte for byte, letter in byte_letters().items()}
+        return [bytes(map(back.__getitem__, self.library.id_to_token(k))) for k in range(self.library.get_vocab_size())]
+
+
+class PieceEncoder:
+    """Ids of texts by a sentencepiece model that adds a space in front.
+
+    Where no piece of the vocabulary has a space after another character, nothing is merged over the beginning of a run of
+    spaces, so the ids of a text are those of its parts, cut there; parts are coded by the library once and remembered. With
+    any other vocabulary, texts are coded whole.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.library.id_to_piece(k) for k in range(self.library.vocab_size())]
+        self.apart = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
+        self.space = pieces.index("\u2581")
+        self.cut = re.compile("[ \u2581]+[^ \u2581]*").findall  # both are spaces to the model
+        self.parts = Coded(lambda part: self.library.encode(part[1:]) if len(part) > 1 else [self.space])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.apart:
+            return [np.array(self.library.encode(t), "<u4") for t in texts]
+        if len(self.parts) > REMEMBER:
+            self.parts.clear()
+        return [np.frombuffer(b"".join(map(self.parts.__getitem__, self.cut(" " + t))), "<u4") if t else np.zeros(0, "<u4") for t in texts]
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id: a piece's text, or the byte that it stands for."""
+        one = lambda k, piece: bytes([int(piece[3:-1], 16)]) if self.library.is_byte(k) else piece.replace("\u2581", " ").encode()
+        return [one(k, self.library.id_to_piece(k)) for k in range(self.library.vocab_size())]
+
+
 def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -83,9 +123,18 @@ def _latin(text: str) -> bool:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return _kept(("", path), lambda: Encoder(path))
+
+
+def plain_encoder(path: str) -> Encoder | PieceEncoder:
+    """The encoder of a vocabulary file, for which special tokens' strings are ordinary text."""
+    return _kept(("plain", path), lambda: PieceEncoder(path) if path.endswith(".model") else Encoder(path, plain=True))
+
+
+def _kept(name: tuple[str, str], make: Callable):
+    if name not in _encoders:
+        _encoders[name] = make()
+    return _encoders[name]
 
 
 def vocabulary(name: str) -> str:
