@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import alignment, decontamination
+from tracewell.llm import alignment, decontamination, phrases
 from tracewell.llm.tokens import plain_encoder, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, items string, starts int, chunk long"
@@ -142,3 +142,56 @@ def test_alignment(spark, monkeypatch):
         assert {(r.a, r.b): r.n for r in alignment.pair_counts(chunks).collect()} == dict(links)
     chunks = alignment.chunks_of(alignment.align(frame.where(F.lit(False)), pa_, pb_))
     assert alignment.score_links(chunks, alignment.pair_counts(chunks)).count() == 0
+
+
+def mined(docs, least, longest, best):
+    pieces = {}
+    for text, lang in docs:
+        text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", text):
+            pieces.setdefault(lang or "und", []).append(re.findall("[^ \t]+", piece))
+    out = []
+    for lang, own in pieces.items():
+        n = sum(map(len, own))
+        f = Counter(tuple(w[i : i + k]) for w in own for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+        frequent = {p for p, a in f.items() if len(p) > 1 and a >= least}
+        inside = {p[i:j] for p in frequent for i in range(len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) and f[p[i:j]] <= f[p]}
+        rows = []
+        for p in frequent - inside:
+            score, k = min((1000 * f[p] * n // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -f[p], " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, r, p.decode(), -a, x, y, n, -score) for r, (score, a, p, x, y) in enumerate(sorted(rows)[:best], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk, bits, split", [(1 << 21, 9, 1 << 22), (300, 2, 40)])
+def test_phrases(spark, monkeypatch, chunk, bits, split):
+    monkeypatch.setattr(phrases, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(phrases, "TILE_BITS", bits)
+    monkeypatch.setattr(phrases, "SPLIT_BYTES", split)
+    rng = np.random.default_rng(2)
+    every = [*BASE[:6], "New", "york", "stock", "é", "Ünder", "it's", "\x01", "日本"]
+    docs = []
+    for k in range(120):
+        w = some(rng, int(rng.integers(0, 40)), every)
+        at = int(rng.integers(0, len(w) + 1))
+        w[at:at] = [["ein", "ganz", "fester", "Satz", "hier", "drin"], ["new", "york", "city"], []][k % 3]
+        marks = some(rng, len(w), [*[" "] * 14, "\t", ", ", ".", "\n", "  ", "\r\n"])
+        docs.append(("".join(itertools.chain(*zip(w, marks))), ["en", "de", None][k % 3 if k % 7 else 0]))
+    docs += [(None, "en"), ("", None), ("...", "fr"), ("\t ", "de"), (" ".join(some(rng, 4000, every)), "en"), docs[0], docs[0]]
+    frame = spark.createDataFrame([(k, t, lang, "x", 1, 2) for k, (t, lang) in enumerate(docs)], SCHEMA).repartition(3)
+    for least, best in ((8, 2000), (5, 7)):
+        got = phrases.collocations(frame, least=least, best=best)
+        assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+        want = mined(docs, least, 5, best)
+        assert sorted(map(tuple, got.collect())) == want and any(len(r[2].split()) == 5 for r in want)
+    assert phrases.collocations(frame.where(F.lit(False))).count() == 0 == phrases.collocations(frame, least=10**6).count()
+
+
+def test_tiles_count_exactly():
+    rng = np.random.default_rng(6)
+    x, y = (np.minimum(rng.geometric(0.2, 20_000), 300).astype(np.int64) for _ in range(2))
+    codes = np.append(x << 32 | y, rng.integers(0, 2**31, 50) << 32 | 2**31 - 1)
+    code, n = phrases.count_tiles(codes, bits=2)
+    assert dict(zip(code.tolist(), n.tolist())) == Counter(codes.tolist()) and len(code) == len(set(code.tolist()))
+    assert (phrases.unpack(phrases.pack(np.array([-1, 5, 2**31 - 1]))) == [-1, 5, 2**31 - 1]).all() and len(phrases.unpack(phrases.pack(np.zeros(0, int)))) == 0

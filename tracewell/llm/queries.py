@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import alignment, decontamination, fingerprints, mixing, near_duplicates, neighbours, packing, pages, repeats, token_store, toxicity, transcripts
+from tracewell.llm import alignment, decontamination, fingerprints, mixing, near_duplicates, neighbours, packing, pages, phrases, repeats, token_store, toxicity, transcripts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_store": token_store.op10_token_store,
     "op11_benchmark_decontamination": decontamination.op11_benchmark_decontamination,
     "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
+    "op13_phrase_collocations": phrases.op13_phrase_collocations,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op4_mix_sources": mixing.ORACLE,
     "op9_suffix_array_dedup": repeats.ORACLE,
     "op11_benchmark_decontamination": decontamination.ORACLE,
+    "op13_phrase_collocations": phrases.ORACLE,
 }
