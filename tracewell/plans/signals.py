@@ -15,130 +15,6 @@ from tracewell.operators.matching import fill_shards, match_times, optimal_match
 from tracewell.plans import sequences
 from tracewell.session import table
 
-RATE = 250.0
-
-
-def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per recording (user_id): its values in time order, as samples of one channel."""
-    e = table(spark, sf, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "value")
-    ordered = F.array_sort(F.collect_list(F.struct("us", "event_id", "value")))
-    return e.groupBy("user_id").agg(F.transform(ordered, lambda s: s["value"]).alias("x"))
-
-
-def per_recording(spark: SparkSession, sf: str, function, schema: str) -> DataFrame:
-    """function(samples) -> rows, for every recording, in Arrow batches."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(u, *r) for u, x in zip(batch["user_id"], batch["x"], strict=True) for r in function(np.asarray(x, float))]
-            yield pd.DataFrame(rows, columns=["user_id", *(f.split()[0] for f in schema.split(", "))])
-
-    return samples(spark, sf).mapInPandas(run, f"user_id long, {schema}")
-
-
-def q_filter_zero_phase(spark: SparkSession, sf: str) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = [np.asarray(v, float) for v in batch["x"]]
-            y = kernels.zero_phase_each(kernels.butterworth_sos(4, 1.0, 40.0, RATE), x)
-            y = kernels.zero_phase_each(kernels.notch_sos(60.0, 30.0, RATE), y)
-            n = [len(v) for v in y]
-            yield pd.DataFrame({"user_id": np.repeat(batch["user_id"].to_numpy(), n), "k": np.concatenate([np.arange(v) for v in n]), "filtered": np.round(np.concatenate(y), 6)})
-
-    return samples(spark, sf).where(F.size("x") > 0).mapInPandas(run, "user_id long, k int, filtered double")
-
-
-def q_periodogram(spark: SparkSession, sf: str) -> DataFrame:
-    def work(x: np.ndarray):
-        f, p = kernels.periodogram(x, RATE, max(len(x), int(4 * RATE)))
-        cells = [(lo, float(np.log10(p[(f >= lo) & (f < lo + 2)].sum() * (f[1] - f[0]) + 1e-12))) for lo in range(1, 39, 2)]
-        return [(lo, round(v, 6)) for lo, v in cells]
-
-    return per_recording(spark, sf, work, "band int, log_power double")
-
-
-def q_savgol(spark: SparkSession, sf: str) -> DataFrame:
-    def work(x: np.ndarray):
-        first, second = (kernels.savitzky_golay(x, 7, 3, d, 1 / RATE) for d in (1, 2))
-        return [(k, round(float(a), 6), round(float(b), 3)) for k, (a, b) in enumerate(zip(first, second, strict=True))]
-
-    return per_recording(spark, sf, work, "k int, slope double, curvature double")
-
-
-def q_resample(spark: SparkSession, sf: str) -> DataFrame:
-    return per_recording(spark, sf, lambda x: [(k, round(float(v), 6)) for k, v in enumerate(kernels.resample(x, 4, 5))], "k int, value double")
-
-
-def q_view_features(spark: SparkSession, sf: str) -> DataFrame:
-    def work(x: np.ndarray):
-        m = kernels.morphology(x[None], RATE)[0]
-        grid = x[: len(x) // 4 * 4].reshape(4, -1)
-        return [tuple(round(float(v), 6) for v in (*m, *kernels.coordination(grid)))]
-
-    names = "log_rms log_mobility complexity lag_correlation correlation_median correlation_iqr correlation_size lead_share effective_rank"
-    return per_recording(spark, sf, work, ", ".join(f"{n} double" for n in names.split()))
-
-
-def q_phase_surrogate(spark: SparkSession, sf: str) -> DataFrame:
-    def work(x: np.ndarray):
-        y = kernels.phase_surrogate(x[None], 610 + len(x))[0]
-        drift = np.abs(np.abs(np.fft.rfft(x)) - np.abs(np.fft.rfft(y))).max()
-        return [(round(float(y.mean() - x.mean()), 6), bool(drift < 1e-6 * max(1, np.abs(x).max()) * len(x)))]
-
-    return per_recording(spark, sf, work, "mean_change double, spectrum_kept boolean")
-
-
-SLOPE_GATE, FLANK_GATE, GUARD = 100.0, 2.0, 5
-
-
-def q_landmarks(spark: SparkSession, sf: str) -> DataFrame:
-    """Extrema (the slope changes sign) and inflections (the curvature does), each accepted or with the first gate it fails.
-
-    Gates: samples of one sign on both sides; the filter's reach at both ends; a slope (curvature) of at least SLOPE_GATE on
-    both flanks; for extrema, a rise and fall of at least FLANK_GATE within the support, which is how far the signs hold.
-    """
-
-    def work(x: np.ndarray):
-        rows = []
-        for family, order in (("extremum", 1), ("inflection", 2)):
-            d = kernels.savitzky_golay(x, 7, 3, order, 1 / RATE)
-            sign = np.sign(d)
-            for index, place, held in kernels.crossings(d):
-                left = right = index
-                while left > 0 and sign[left - 1] == sign[index - 1]:
-                    left -= 1
-                while right + 1 < len(x) and sign[right + 1] == sign[min(index, len(x) - 1)]:
-                    right += 1
-                steep = min(np.abs(d[left:index]).max(initial=0), np.abs(d[index : right + 1]).max(initial=0))
-                flank = min(abs(x[index] - x[left]), abs(x[right] - x[index]))
-                gates = (
-                    (held, "INSUFFICIENT_SIGN_SUPPORT"),
-                    (GUARD <= index - 1 <= len(x) - GUARD - 2, "SIGN_FLANK_FILTER_GUARD"),
-                    (steep >= SLOPE_GATE, "LOW_SLOPE"),
-                    (family == "inflection" or flank >= FLANK_GATE, "LOW_FLANK"),
-                )
-                reason = next((why for ok, why in gates if not ok), None)
-                up = d[max(0, index - 1)] > 0
-                kind = ("peak" if up else "trough") if family == "extremum" else ("curvature_positive_to_negative" if up else "curvature_negative_to_positive")
-                rows.append((family, index, place, kind, left, right, round(float(steep), 6), round(float(flank), 6), reason is None, reason))
-        return rows
-
-    columns = "family string, idx int, place double, kind string, support_start int, support_stop int, steepness double, flank double, accepted boolean, reason string"
-    return per_recording(spark, sf, lambda x: work(x) if len(x) >= 7 else [], columns)
-
-
-def q_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    def work(x: np.ndarray):
-        if len(x) <= 1:
-            return [(len(x), None, None)]
-        draws = np.median(np.random.default_rng(17).choice(x, (1000, len(x))), 1)
-        return [(len(x), *(round(float(v), 6) for v in np.quantile(draws, [0.025, 0.975])))]
-
-    return per_recording(spark, sf, work, "n int, low double, high double")
-
-
 def q_timing_null(spark: SparkSession, sf: str) -> DataFrame:
     """Clicks matched with views within two hours, against 99 draws in which each click moves uniformly within its own day.
 
@@ -227,7 +103,7 @@ def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", "label", "code", F.round("distance", 9).alias("distance"), (F.col("distance") > F.col("limit")).alias("outlier"))
 
 
-NAMES = "q_filter_zero_phase q_periodogram q_savgol q_resample q_view_features q_phase_surrogate q_landmarks q_bootstrap_ci q_timing_null q_ami q_nms_peaks q_optimal_match q_pooled_f1 q_shard_plan q_tokenize"
+NAMES = "q_timing_null q_ami q_nms_peaks q_optimal_match q_pooled_f1 q_shard_plan q_tokenize"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 ORACLES = {
     "q_pooled_f1": """
