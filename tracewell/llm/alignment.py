@@ -43,16 +43,15 @@ class Side:
 
     def __init__(self, path: str, space: bool):
         self.encoder, self.space = plain_encoder(path), space
-        self.bytes = self.encoder.token_bytes()
-        self.length = np.array(list(map(len, self.bytes)), np.int64)
+        self.length = np.array(list(map(len, self.encoder.token_bytes())), np.int64)
         if not self.length.all():
             raise ValueError(f"{path} has an id without bytes")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.encoder.encode([" " + t for t in texts] if self.space else texts)
-
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """(ids of each text, whether their bytes are those of a space and the text)."""
+        given = [" " + t for t in texts] if self.space else texts
+        ids = self.encoder.encode(given)
+        return ids, list(map(self.encoder.keeps, given, ids))
 
 
 def covering(start: np.ndarray, doc: np.ndarray, other_start: np.ndarray, other_doc: np.ndarray) -> np.ndarray:
@@ -99,10 +98,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
         for whole in batches:
             for batch in byte_slices(whole, "text", TEXT_BYTES):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                ids = [side.encode(texts) for side in sides]
+                ids, kept = zip(*(side.encode(texts) for side in sides), strict=True)
                 for k, t in enumerate(texts):
-                    plain = b" " + t.encode()
-                    if not t or any(side.joined(own[k]) != plain for side, own in zip(sides, ids, strict=True)):
+                    if not (t and kept[0][k] and kept[1][k]):
                         ids[0][k] = ids[1][k] = nothing
                 n = [np.array(list(map(len, own)), np.int64) for own in ids]
                 doc = [np.repeat(np.arange(len(texts)), m) for m in n]
@@ -117,32 +115,38 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ALIGNED)
 
 
-class _Decimals:
-    """Ids as text, each with the mark that follows it."""
-
-    MARKS = (",", "|", ";", "")
+class Decimals:
+    """Ids as text, each with the mark that follows it: `,` `|` `;` or nothing."""
 
     def __init__(self):
-        self.table: list[bytes] = []
+        self.table = np.zeros((0, 12), np.uint8)
 
-    def join(self, codes: np.ndarray) -> bytes:
-        for k in range(len(self.table) // 4, int(codes.max(initial=-1)) // 4 + 1):
-            self.table += [f"{k}{mark}".encode() for mark in self.MARKS]
-        return b"".join(map(self.table.__getitem__, codes.tolist()))
+    def join(self, ids: np.ndarray, marks: np.ndarray, edges: np.ndarray) -> list[bytes]:
+        """The texts of ids[edges[k] : edges[k + 1]]."""
+        most = int(ids.max(initial=-1)) + 1
+        if len(self.table) < 4 * most:
+            self.table = np.array([f"{k}{mark}" for k in range(most) for mark in (",", "|", ";", "")], "S12").view(np.uint8).reshape(-1, 12)
+        width = len(str(most)) + 1
+        letters = self.table[:, :width][ids * 4 + marks]
+        ends = np.append(0, np.cumsum((letters != 0).sum(1)))[edges].tolist()
+        plain = letters[letters != 0].tobytes()
+        return [plain[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def group_texts(a: list[np.ndarray], b: list[np.ndarray], a_stops: list[np.ndarray], b_stops: list[np.ndarray], decimals: _Decimals) -> Iterator[bytes]:
+def group_texts(a: pa.Array, b: pa.Array, a_stops: pa.Array, b_stops: pa.Array, decimals: Decimals) -> list[bytes]:
     """`a1,a2|b1;a3|b2,b3` of each document."""
-    for x, y, p, q in zip(a, b, a_stops, b_stops, strict=True):
-        codes = np.zeros(len(x) + len(y), np.int64)
-        mark_a, mark_b = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-        mark_a[p - 1], mark_b[q - 1] = 1, 2
-        mark_b[-1:] = 3
-        before_b = np.repeat(np.append(0, q[:-1]) if len(q) else q, np.diff(p, prepend=0))  # tokens of b in earlier groups
-        after_a = np.repeat(p, np.diff(q, prepend=0))
-        codes[np.arange(len(x)) + before_b] = x.astype(np.int64) * 4 + mark_a
-        codes[np.arange(len(y)) + after_a] = y.astype(np.int64) * 4 + mark_b
-        yield decimals.join(codes)
+    edges = [x.offsets.to_numpy().astype(np.int64) - x.offsets[0].as_py() for x in (a, b, a_stops)]
+    x, y, p, q = (v.flatten().to_numpy().astype(np.int64) for v in (a, b, a_stops, b_stops))
+    many = np.diff(edges[2])  # groups of each document
+    p, q = p + np.repeat(edges[0][:-1], many), q + np.repeat(edges[1][:-1], many)
+    mark_a, mark_b = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    mark_a[p - 1], mark_b[q - 1] = 1, 2
+    mark_b[edges[1][1:][many > 0] - 1] = 3
+    at_a = np.arange(len(x)) + np.repeat(np.append(0, q[:-1])[: len(q)], np.diff(p, prepend=0))  # after b's tokens of earlier groups
+    at_b = np.arange(len(y)) + np.repeat(p, np.diff(q, prepend=0))
+    ids, marks = np.zeros(len(x) + len(y), np.int64), np.zeros(len(x) + len(y), np.int64)
+    ids[at_a], ids[at_b], marks[at_a], marks[at_b] = x, y, mark_a, mark_b
+    return decimals.join(ids, marks, edges[0] + edges[1])
 
 
 def _rows(column: pa.Array) -> list[np.ndarray]:
@@ -152,13 +156,15 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    decimals, kept, links, number = _Decimals(), [], [], TaskContext.get().partitionId() << 32
+    decimals, kept, links, number = Decimals(), [], [], TaskContext.get().partitionId() << 32
     held = 0
 
     def flush() -> pa.RecordBatch:
         owner = np.repeat(np.arange(len(kept)), list(map(len, links)))
-        codes, at, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *links]), return_inverse=True, return_counts=True)
-        both, times = np.unique(owner * max(1, len(codes)) + at, return_counts=True)
+        at, codes = pd.factorize(np.concatenate([np.zeros(0, np.int64), *links]))
+        counts = np.bincount(at, minlength=len(codes))
+        place, both = pd.factorize(owner * max(1, len(codes)) + at)  # by first appearance, so still by owner
+        times = np.bincount(place, minlength=len(both))
         owner, at = np.divmod(both, max(1, len(codes)))
         columns = [codes, counts, *([r[c] for r in kept] for c in range(6)), np.bincount(owner, minlength=len(kept)), at, times]
         names = [f.split()[0] for f in CHUNKS.split(", ")]
@@ -167,8 +173,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array([number]), *(pa.array([c], pa.list_(kind[k])) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     for batch in batches:
-        a, b, p, q = (_rows(batch.column(c)) for c in ("a", "b", "a_stops", "b_stops"))
-        texts = group_texts(a, b, p, q, decimals)
+        columns = [batch.column(c) for c in ("a", "b", "a_stops", "b_stops")]
+        texts = group_texts(*columns, decimals)
+        a, b, p, q = map(_rows, columns)
         for k, x, y, i, j, many, text in zip(batch.column("doc_id").to_pylist(), a, b, p, q, batch.column("n_overlaps").to_pylist(), texts, strict=True):
             kept.append((k, len(x), len(y), len(i), many, hashlib.sha256(text).hexdigest() if text else ""))
             links.append(x[i - 1].astype(np.int64) << 32 | y[j - 1].astype(np.int64))

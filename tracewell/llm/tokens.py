@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -42,7 +43,7 @@ class Coded(dict):
         self.code = code
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = np.array(self.code(piece), "<u4").tobytes()
+        self[piece] = ids = array("I", self.code(piece)).tobytes()
         return ids
 
 
@@ -56,6 +57,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = plain
+        self.lengths = None
         self.by_word = self.library.normalizer is not None  # lower case, white space dropped
         letters, model = byte_letters(), self.library.model
         self.whole = lambda text: self.library.encode(text, add_special_tokens=False).ids
@@ -82,6 +84,12 @@ class Encoder:
         back = {letter: byte for byte, letter in byte_letters().items()}
         return [bytes(map(back.__getitem__, self.library.id_to_token(k))) for k in range(self.library.get_vocab_size())]
 
+    def keeps(self, text: str, ids: np.ndarray) -> bool:
+        """Whether the tokens' bytes are the text: a byte-level vocabulary only joins bytes, so none is lost if lengths agree."""
+        if self.lengths is None:
+            self.lengths = np.array(list(map(len, self.token_bytes())))
+        return int(self.lengths[ids].sum()) == len(text.encode())
+
 
 class PieceEncoder:
     """Ids of texts by a sentencepiece model that adds a space in front.
@@ -99,14 +107,34 @@ class PieceEncoder:
         self.apart = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
         self.space = pieces.index("\u2581")
         self.cut = re.compile("[ \u2581]+[^ \u2581]*").findall  # both are spaces to the model
-        self.parts = Coded(lambda part: self.library.encode(part[1:]) if len(part) > 1 else [self.space])
+        self.parts: dict[str, bytes] = {}
+        self.bytes = self.token_bytes()
+        self.odd: set[str] = set()  # remembered parts that aren't kept byte for byte
+
+    def _learn(self, parts: set[str]) -> None:
+        """Code parts in one call."""
+        parts = sorted(parts)
+        for part, ids in zip(parts, self.library.encode([p[1:] for p in parts], num_threads=1), strict=True):
+            ids = ids or [self.space]  # the model has no id for the space in front of nothing
+            self.parts[part] = array("I", ids).tobytes()
+            if b"".join(map(self.bytes.__getitem__, ids)) != part.encode():
+                self.odd.add(part)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.apart:
             return [np.array(self.library.encode(t), "<u4") for t in texts]
         if len(self.parts) > REMEMBER:
             self.parts.clear()
-        return [np.frombuffer(b"".join(map(self.parts.__getitem__, self.cut(" " + t))), "<u4") if t else np.zeros(0, "<u4") for t in texts]
+            self.odd.clear()
+        cuts = [self.cut(" " + t) if t else [] for t in texts]
+        self._learn(set().union(*cuts).difference(self.parts))
+        return [np.frombuffer(b"".join(map(self.parts.__getitem__, cut)), "<u4") for cut in cuts]
+
+    def keeps(self, text: str, ids: np.ndarray) -> bool:
+        """Whether the tokens' bytes are a space and the text. To be asked right after `encode`."""
+        if self.apart and (not self.odd or self.odd.isdisjoint(self.cut(" " + text))):
+            return True
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())) == b" " + text.encode()
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id: a piece's text, or the byte that it stands for."""
