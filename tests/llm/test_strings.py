@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import alignment, decontamination, phrases
+from tracewell.llm import alignment, common, decontamination, phrases
 from tracewell.llm.tokens import plain_encoder, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, items string, starts int, chunk long"
@@ -165,11 +165,12 @@ def mined(docs, least, longest, best):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk, bits, split", [(1 << 21, 9, 1 << 22), (300, 2, 40)])
+@pytest.mark.parametrize("chunk, bits, split", [(1 << 21, 9, 1 << 22), (300, 2, 40)])
 def test_phrases(spark, monkeypatch, chunk, bits, split):
     monkeypatch.setattr(phrases, "CHUNK_WORDS", chunk)
     monkeypatch.setattr(phrases, "TILE_BITS", bits)
     monkeypatch.setattr(phrases, "SPLIT_BYTES", split)
+    monkeypatch.setattr(common, "SMALL", split - 40)  # in the second case all go by joins
     rng = np.random.default_rng(2)
     every = [*BASE[:6], "New", "york", "stock", "é", "Ünder", "it's", "\x01", "日本"]
     docs = []

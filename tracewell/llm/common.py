@@ -45,6 +45,15 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+#: Rows up to which a narrow table is broadcast; a shuffle joins more.
+SMALL = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast where its rows are few; it should be cheap to count."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def byte_slices(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `size` bytes of a text column, a row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))

@@ -8,8 +8,9 @@ same counting of neighbours gives phrases of three words, then four, then five:
 first and its last k words, both of which must be frequent.
 
 Texts stay in chunks, a row each. A chunk counts its own words and pairs first, so none has more rows in a shuffle than there
-are chunks; a chunk then gets back the ranks of its own words or pairs. A bit array of the frequent pairs, of one size
-whatever the corpus, spares the way back for most pairs that are not frequent; the join decides.
+are chunks. What is frequent goes to all tasks as long as it is at most `common.SMALL` rows; beyond, a chunk gets back the ranks of
+its own words or pairs by a join, and a bit array of the frequent pairs, of one size whatever the corpus, spares that way
+for most pairs that are not frequent.
 
 Defined cases: a null text is empty; a null language is `und`; rows count as often as they stand there, keys play no part;
 an empty table gives no rows; other columns are ignored. Phrases, counts and scores are exact; the score's products are
@@ -29,12 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches, materialize, scramble
+from tracewell.llm import common
+from tracewell.llm.common import bounded_batches, materialize, scramble, small
 from tracewell.session import table
 
 LEAST, LONGEST, BEST = 100, 5, 2000
 #: Words of a chunk, about; bytes of a text that are split at once; low bits of ranks in a tile; bits of the array of frequent pairs.
-CHUNK_WORDS, SPLIT_BYTES, TILE_BITS, FILTER_BITS = 1 << 21, 4 << 20, 9, 26
+CHUNK_WORDS, SPLIT_BYTES, TILE_BITS, FILTER_BITS = 3 << 19, 4 << 20, 9, 26
+#: Places of a sequence that are worked on at once.
+PLACES = 1 << 18
 #: Pairs from which a tile is counted densely, as a share of its cells.
 DENSE = 1 / 4
 _BREAK = 0xFF  # no byte of UTF-8
@@ -107,17 +111,19 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def neighbours(seq: np.ndarray) -> np.ndarray:
     """rank << 32 | next rank at each place; -1 where either is a break."""
-    if len(seq) < 2:
-        return np.zeros(0, np.int64)
-    x, y = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)
-    return np.where((x >= 0) & (y >= 0), x << 32 | y, -1)
+    out = np.full(max(0, len(seq) - 1), -1, np.int64)
+    for at in range(0, len(out), PLACES):
+        x, y = seq[at : at + PLACES], seq[at + 1 : at + 1 + PLACES]
+        x = x[: len(y)]
+        both = (x >= 0) & (y >= 0)
+        out[at : at + len(y)][both] = x[both].astype(np.int64) << 32 | y[both]
+    return out
 
 
 def count_tiles(codes: np.ndarray, bits: int = TILE_BITS, dense: float = DENSE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes and their counts: dense tiles by direct address, the others as sorted coordinates."""
     low = np.int64((1 << bits) - 1)
-    x, y = codes >> 32, codes & 0xFFFFFFFF
-    tile = (x >> bits) << 32 | y >> bits
+    tile = (codes >> 32 + bits) << 32 | (codes & 0xFFFFFFFF) >> bits
     order = np.argsort(tile, kind="stable")
     edges = np.flatnonzero(np.diff(tile[order], prepend=-1, append=-1))
     sizes = np.diff(edges)
@@ -125,7 +131,7 @@ def count_tiles(codes: np.ndarray, bits: int = TILE_BITS, dense: float = DENSE)
     for k in np.flatnonzero(sizes >= dense * 4**bits):
         rows = order[edges[k] : edges[k + 1]]
         rest[rows] = False
-        cells = np.bincount((x[rows] & low) << bits | y[rows] & low, minlength=1)
+        cells = np.bincount(((codes[rows] >> 32) & low) << bits | codes[rows] & low, minlength=1)
         held = np.flatnonzero(cells)
         base = tile[rows[0]]
         first = ((base >> 32) << bits) + (held >> bits)
@@ -139,7 +145,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column("seq").to_pylist():
             codes = neighbours(unpack(data))
-            code, n = count_tiles(codes[codes >= 0])
+            codes = codes[codes >= 0]
+            code, n = count_tiles(codes)
+            del codes
             for at in range(0, len(code), 1 << 18):
                 yield pa.record_batch([pa.array(code[at : at + (1 << 18)]), pa.array(n[at : at + (1 << 18)].astype(np.int64))], names=["code", "n"])
 
@@ -177,6 +185,29 @@ def bit_array(frequent: DataFrame) -> np.ndarray:
     return out
 
 
+def ranks_of(codes: np.ndarray, names: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The ranks of codes, -1 for those that aren't among the ascending names."""
+    new = np.full(len(codes), -1, np.int32)
+    for lo in range(0, len(codes) if len(names) else 0, PLACES):
+        part = codes[lo : lo + PLACES]
+        at = np.minimum(np.searchsorted(names, part), len(names) - 1)
+        new[lo : lo + PLACES] = np.where(names[at] == part, ranks[at], -1)
+    return new
+
+
+def rewrite_all(seqs: DataFrame, top: DataFrame) -> DataFrame:
+    """chunk, seq in ranks of the next level, where all frequent pairs are few: every task has them."""
+    rows = top.select("code", "rank").toPandas().sort_values("code")
+    table_ = seqs.sparkSession.sparkContext.broadcast((rows["code"].to_numpy(np.int64), rows["rank"].to_numpy(np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [pack(runs(ranks_of(neighbours(unpack(data)), *table_.value))) for data in batch.column("seq").to_pylist()]
+            yield pa.record_batch([batch.column("chunk"), pa.array(out, pa.binary())], names=["chunk", "seq"])
+
+    return materialize(seqs.select("chunk", "seq").mapInArrow(run, "chunk long, seq binary"), "ranks")
+
+
 def rewrite(seqs: DataFrame, told: DataFrame, words: bool) -> DataFrame:
     """chunk, seq in ranks of the next level. told: chunk, places (or codes) and ranks of what is frequent."""
 
@@ -191,16 +222,12 @@ def rewrite(seqs: DataFrame, told: DataFrame, words: bool) -> DataFrame:
                     of[names] = ranks
                     new = of[seq]
                 else:
-                    codes = neighbours(seq)
                     order = np.argsort(names)
-                    at = np.minimum(np.searchsorted(names, codes, sorter=order), len(names) - 1)
-                    at = order[at]
-                    new = np.where(names[at] == codes, ranks[at], -1)
+                    new = ranks_of(neighbours(seq), names[order], ranks[order])
                 out.append(pack(runs(new)))
             yield pa.record_batch([batch.column("chunk"), pa.array(out, pa.binary())], names=["chunk", "seq"])
 
-    told = told.groupBy("chunk").agg(F.collect_list(F.struct("name", "rank")).alias("told"))
-    told = told.select("chunk", F.col("told.name").alias("names"), F.col("told.rank").alias("ranks"))
+    told = told.groupBy("chunk").agg(F.collect_list("name").alias("names"), F.collect_list("rank").alias("ranks"))
     return materialize(seqs.select("chunk", "seq").join(told, "chunk").mapInArrow(run, "chunk long, seq binary"), "ranks")
 
 
@@ -208,10 +235,12 @@ def _asked(bits) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("seq").to_pylist(), strict=True):
-                codes = neighbours(unpack(data))
-                codes = codes[codes >= 0]
-                slot = _slot(codes)
-                codes = np.unique(codes[bits.value[slot >> 6] >> (slot & 63) & 1 == 1])
+                codes, held = neighbours(unpack(data)), [np.zeros(0, np.int64)]
+                for at in range(0, len(codes), PLACES):
+                    part = codes[at : at + PLACES]
+                    slot = _slot(part)
+                    held.append(np.unique(part[(bits.value[slot >> 6] >> (slot & 63) & 1 == 1) & (part >= 0)]))
+                codes = np.unique(np.concatenate(held))
                 for at in range(0, len(codes), 1 << 18):
                     part = codes[at : at + (1 << 18)]
                     yield pa.record_batch([pa.array(np.full(len(part), chunk, np.int64)), pa.array(part)], names=["chunk", "code"])
@@ -232,7 +261,7 @@ def levels(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     none = F.array().cast("array<long>")
     found = [top.select("rank", "lang", "phrase", F.col("phrase").alias("last"), "n", F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right"), none.alias("pre"), none.alias("suf"))]
     own = chunks.select("chunk", F.posexplode(F.arrays_zip("langs", "words")).alias("name", "w")).select("chunk", "name", F.col("w.langs").alias("lang"), F.col("w.words").alias("phrase"))
-    seqs = rewrite(chunks, own.join(top, ["lang", "phrase"]).select("chunk", "name", "rank"), words=True)
+    seqs = rewrite(chunks, own.join(small(top.select("lang", "phrase", "rank")), ["lang", "phrase"]).select("chunk", "name", "rank"), words=True)
     for size in range(2, longest + 1):
         pairs = seqs.mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         top = ranked(pairs, ["code"])
@@ -247,7 +276,9 @@ def levels(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
             F.concat("pre", F.array("left_n")).alias("pre"), F.concat(F.array("right_n"), "suf").alias("suf"),
         )
         found.append(materialize(named, "phrases"))
-        if size < longest:
+        if size < longest and top.count() <= common.SMALL:
+            seqs = rewrite_all(seqs, top)
+        elif size < longest:
             bits = spark.sparkContext.broadcast(bit_array(top))
             asked = seqs.mapInArrow(_asked(bits), "chunk long, code long")
             seqs = rewrite(seqs, asked.join(top.select("code", "rank"), "code").withColumnRenamed("code", "name"), words=False)
