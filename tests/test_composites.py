@@ -153,6 +153,11 @@ def test_controls_and_features(spark):
     tone = np.sin(2 * np.pi * 10 * np.arange(200) / 100)[None]
     assert kernels.token_features(tone, "spectrum").argmax() == 9
     rows = registry.QUERIES["q_control_variants"](spark, SF).collect()
+    every = {(r.user_id, r.block) for r in rows}
+    assert {r.reason for r in rows if r.variant is None} == {"INCOMPLETE_BLOCK"} and every == {(r.user_id, r.block) for r in registry.QUERIES["q_token_features"](spark, SF).collect()}
+    events = pq.read_table(f"{SF}/events.parquet").to_pandas()
+    assert sum(40 if r.variant == "primary" else 0 for r in rows) + sum(n % 40 for n in events.groupby("user_id").size()) == len(events)
+    rows = [r for r in rows if r.variant]
     assert {r.variant for r in rows} == set(kernels.CONTROLS) and all(abs(r.likeness - 1) < 1e-6 for r in rows if r.variant in ("primary", "gain_half", "offset"))
 
 
@@ -205,3 +210,11 @@ def test_arrays_that_cannot_be_read_say_why(spark, tmp_path):
         f.write(b"no archive")
     got = {r.key: (r["values"], r.reason) for r in ledger.read_arrays(spark, f"{tmp_path}/a", "npz").collect()}
     assert got == {1: ([0, 1, 2], None), 2: (None, "UNREADABLE_ARRAY"), 3: (None, "UNREADABLE_ARRAY")}
+
+
+def test_csv_gives_back_any_text(spark, tmp_path):
+    texts = ["a\nb", "\r\n", "\\n", "\\N", "\\s\n\\", "", None, '"q", x', "  spaced  ", "\\\\n", ",", "é\u2028z", "\t"]
+    rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "id long, text string, `other text` string")
+    ledger.write_csv(rows, f"{tmp_path}/csv")
+    got = {r.id: (r.text, r["other text"]) for r in ledger.read_csv(spark, f"{tmp_path}/csv", rows.schema).collect()}
+    assert got == {i: (t, t) for i, t in enumerate(texts)}

@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.operators import kernels
+from tracewell.operators.chunks import bounded_batches
 from tracewell.operators.matching import optimal_match, select_peaks
 from tracewell.plans import sequences
+from tracewell.plans.recordings import samples
 from tracewell.session import table
 from tracewell.sources import ledger
 from tracewell.streaming.windows import folder_of
@@ -158,44 +160,59 @@ def q_prepared_comparisons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocks_of(spark: SparkSession, sf: str) -> DataFrame:
-    """user_id, block, x: whole blocks of BLOCK consecutive samples of a recording."""
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").where("value IS NOT NULL").withColumn("k", F.row_number().over(order) - 1)
-    rows = e.groupBy("user_id", F.floor(F.col("k") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("s"))
-    return rows.where(F.size("s") == BLOCK).select("user_id", "block", F.transform("s", lambda s: s["value"]).alias("x"))
+    """user_id, block, x, reason: every block of BLOCK places of a recording. A null sample keeps its place.
+
+    reason: MISSING_SAMPLE (the block has a null), INCOMPLETE_BLOCK (the recording ends in it), null if it can be used.
+    """
+    bounded_batches(spark)
+    rows = samples(spark, sf).groupBy("user_id", F.floor(F.col("k") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("s"))
+    x = F.transform("s", lambda s: s["value"])
+    reason = F.when(F.exists(x, lambda v: v.isNull() | F.isnan(v)), "MISSING_SAMPLE").when(F.size("s") < BLOCK, "INCOMPLETE_BLOCK")
+    return rows.select("user_id", "block", x.alias("x"), reason.alias("reason"))
 
 
 def q_control_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Every block (four channels) under every control: root mean square, likeness to the original, changed and valid samples."""
+    """Every block (four channels) under every control: root mean square, likeness to the original, changed and valid samples.
+
+    A block that can't be used has one row with its reason.
+    """
+    names = ["user_id", "block", "variant", "rms", "likeness", "changed", "valid", "reason"]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for user, block, x in zip(batch["user_id"], batch["block"], batch["x"], strict=True):
+            for user, block, x, reason in zip(batch["user_id"], batch["block"], batch["x"], batch["reason"], strict=True):
+                if reason is not None:
+                    rows.append((user, block, None, None, None, None, None, reason))
+                    continue
                 own = np.asarray(x, float).reshape(4, -1)
                 for name in kernels.CONTROLS:
                     y, valid = kernels.control(own, name, int(user) * 1009 + int(block))
                     a, b = own[valid] - own[valid].mean(), y[valid] - y[valid].mean()
                     like = float((a * b).sum() / max(np.sqrt((a * a).sum() * (b * b).sum()), 1e-12))
-                    rows.append((user, block, name, round(float(np.sqrt((y[valid] ** 2).mean())), 6), round(like, 6), int((y != own)[valid].sum()), int(valid.sum())))
-            yield pd.DataFrame(rows, columns=["user_id", "block", "variant", "rms", "likeness", "changed", "valid"])
+                    rows.append((user, block, name, round(float(np.sqrt((y[valid] ** 2).mean())), 6), round(like, 6), int((y != own)[valid].sum()), int(valid.sum()), None))
+            yield pd.DataFrame(rows, columns=names).astype({"rms": float, "likeness": float, "changed": "Int64", "valid": "Int64"})
 
-    return blocks_of(spark, sf).mapInPandas(run, "user_id long, block long, variant string, rms double, likeness double, changed long, valid long")
+    return blocks_of(spark, sf).mapInPandas(run, "user_id long, block long, variant string, rms double, likeness double, changed long, valid long, reason string")
 
 
 def q_token_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Every block: its features by waveform, spectrum, and time and frequency, as one row each."""
+    """Every block: its features by waveform, spectrum, and time and frequency, as one row each, or one row with the reason why not."""
+    names = ["user_id", "block", "method", "width", "features", "reason"]
 
     def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack([np.asarray(v, float) for v in batch["x"]])
-            for method in kernels.FEATURES:
-                f = np.round(kernels.token_features(x, method, 20.0), 6)
-                yield pd.DataFrame({"user_id": batch["user_id"], "block": batch["block"], "method": method, "width": f.shape[1], "features": list(f)})
+            bad = batch[batch["reason"].notna()]
+            if len(bad):
+                yield bad.assign(method=None, width=None, features=None)[names].astype({"width": "Int32"})
+            good = batch[batch["reason"].isna()]
+            if len(good):
+                x = np.stack([np.asarray(v, float) for v in good["x"]])
+                for method in kernels.FEATURES:
+                    f = np.round(kernels.token_features(x, method, 20.0), 6)
+                    yield pd.DataFrame({"user_id": good["user_id"], "block": good["block"], "method": method, "width": f.shape[1], "features": list(f), "reason": None})
 
-    return blocks_of(spark, sf).mapInPandas(run, "user_id long, block long, method string, width int, features array<double>")
+    return blocks_of(spark, sf).mapInPandas(run, "user_id long, block long, method string, width int, features array<double>, reason string")
 
 
 def q_filter_support(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,7 +265,6 @@ def q_ledger_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as gzip CSV (texts hold quotes, commas and line ends) and back: rows, and what differs in either direction."""
     rows = table(spark, sf, "conversations")
-    rows = rows.withColumn("text", F.regexp_replace("text", "[\\r\\n]+", "\\\\n"))  # a record is a line
     folder = folder_of(spark)
     ledger.write_csv(rows, folder)
     found = ledger.read_csv(spark, folder, rows.schema)
@@ -266,7 +282,7 @@ def q_array_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     for kind in ("frames", "npz"):
         folder = folder_of(spark)
         path = f"{folder}-written"
-        ledger.write_arrays(arrays, folder if "://" in folder else f"file://{folder}", kind).write.parquet(path)
+        ledger.write_arrays(arrays, folder, kind).write.parquet(path)
         back = ledger.read_arrays(spark, folder, kind).join(spark.read.parquet(path).select("key", F.col("crc32").alias("written")), "key", "full")
         total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
         out.append(back.select("key", F.lit(kind).alias("kind"), F.size("values").alias("n"), F.round(total, 3).alias("total"), F.col("crc32").eqNullSafe(F.col("written")).alias("same"), "reason"))

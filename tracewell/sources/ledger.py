@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tracewell.sources import files
+
 HEADER = "type string, events long, digest string"
 
 
@@ -51,19 +53,36 @@ def read_ledger(spark: SparkSession, folder: str, schema: StructType) -> tuple[D
     return events.select("part", F.from_json("value", schema).alias("e")).select("part", "e.*"), audit
 
 
+#: A record is a line, so line ends inside a text are written as a backslash and a letter, and so is a backslash.
+ESCAPES = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"))
+CSV = {"header": True, "nullValue": "\\N", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(rows: DataFrame, folder: str) -> None:
-    rows.write.option("compression", "gzip").option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').csv(folder)
+    """Gzip CSV, a record a line; `read_csv` gives back any text, null and empty ones too."""
+    for name, kind in rows.dtypes:
+        if kind == "string":
+            for plain, written in ESCAPES:
+                rows = rows.withColumn(name, F.replace(F.col(f"`{name}`"), F.lit(plain), F.lit(written)))
+    rows.write.options(**CSV).option("compression", "gzip").csv(folder)
 
 
 def read_csv(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').csv(folder)
+    rows = spark.read.schema(schema).options(**CSV).csv(folder)
+    for name, kind in rows.dtypes:
+        if kind == "string":
+            for plain, written in reversed(ESCAPES):  # the backslash last: no other escape holds its letter
+                rows = rows.withColumn(name, F.replace(F.col(f"`{name}`"), F.lit(written), F.lit(plain)))
+    return rows
 
 
 def write_arrays(arrays: DataFrame, folder: str, kind: str, key: str = "key", values: str = "values") -> DataFrame:
     """A file for each row: raw little-endian float32 ("frames") or a NumPy archive ("npz"); returns key, path, crc32.
 
-    A task writes under a name of its attempt and renames at the end, so a repeated task leaves one whole file.
+    A task writes under a name of its attempt and renames at the end, so a repeated task leaves one whole file. The folder is
+    where Spark itself resolves it, so executors write to the store that readers meet.
     """
+    folder = files.qualified(arrays.sparkSession, folder)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
