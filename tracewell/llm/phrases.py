@@ -8,7 +8,7 @@ same counting of neighbours gives phrases of three words, then four, then five:
 first and its last k words, both of which must be frequent.
 
 Texts stay in chunks, a row each. A chunk counts its own words and pairs first, so none has more rows in a shuffle than there
-are chunks. What is frequent goes to all tasks as long as it is at most `common.SMALL` rows; beyond, a chunk gets back the ranks of
+are chunks. What is frequent goes to all tasks as long as it is few (FEW_WORDS words, `common.SMALL` pairs); beyond, a chunk gets back the ranks of
 its own words or pairs by a join, and a bit array of the frequent pairs, of one size whatever the corpus, spares that way
 for most pairs that are not frequent.
 
@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm import common
-from tracewell.llm.common import bounded_batches, materialize, scramble, small
+from tracewell.llm.common import bounded_batches, materialize, scramble
 from tracewell.session import table
 
 LEAST, LONGEST, BEST = 100, 5, 2000
@@ -39,6 +39,8 @@ LEAST, LONGEST, BEST = 100, 5, 2000
 CHUNK_WORDS, SPLIT_BYTES, TILE_BITS, FILTER_BITS = 3 << 19, 4 << 20, 9, 26
 #: Places of a sequence that are worked on at once.
 PLACES = 1 << 18
+#: Frequent words that every task may hold; a join takes the way of more.
+FEW_WORDS = 1 << 17
 #: Pairs from which a tile is counted densely, as a share of its cells.
 DENSE = 1 / 4
 _BREAK = 0xFF  # no byte of UTF-8
@@ -195,6 +197,23 @@ def ranks_of(codes: np.ndarray, names: np.ndarray, ranks: np.ndarray) -> np.ndar
     return new
 
 
+def rewrite_words(chunks: DataFrame, top: DataFrame) -> DataFrame:
+    """chunk, seq in ranks of words, where all frequent words are few: every task has them."""
+    rows = top.select("lang", "phrase", "rank").toPandas()
+    known = chunks.sparkSession.sparkContext.broadcast(dict(zip(zip(rows["lang"], rows["phrase"], strict=True), rows["rank"].tolist(), strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, get = [], known.value.get
+            for k, data in enumerate(batch.column("seq").to_pylist()):
+                langs, words = (batch.column(c).slice(k, 1).flatten().to_pylist() for c in ("langs", "words"))
+                of = np.fromiter((get(w, -1) for w in zip(langs, words, strict=True)), np.int32, len(words))
+                out.append(pack(runs(np.append(of, np.int32(-1))[unpack(data)])))  # the last place is that of a break
+            yield pa.record_batch([batch.column("chunk"), pa.array(out, pa.binary())], names=["chunk", "seq"])
+
+    return materialize(chunks.select("chunk", "seq", "langs", "words").mapInArrow(run, "chunk long, seq binary"), "ranks")
+
+
 def rewrite_all(seqs: DataFrame, top: DataFrame) -> DataFrame:
     """chunk, seq in ranks of the next level, where all frequent pairs are few: every task has them."""
     rows = top.select("code", "rank").toPandas().sort_values("code")
@@ -248,6 +267,12 @@ def _asked(bits) -> object:
     return run
 
 
+def _own_ranks(chunks: DataFrame, top: DataFrame) -> DataFrame:
+    """chunk, name (a word's number in its chunk), rank of the frequent words of chunks."""
+    own = chunks.select("chunk", F.posexplode(F.arrays_zip("langs", "words")).alias("name", "w")).select("chunk", "name", F.col("w.langs").alias("lang"), F.col("w.words").alias("phrase"))
+    return own.join(top.select("lang", "phrase", "rank"), ["lang", "phrase"]).select("chunk", "name", "rank")
+
+
 def levels(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
     """(tables of frequent phrases of 1, 2, ... words; lang, n). A phrase: rank, lang, phrase, last (word), n, left and right
     (ranks of its first and last words, one fewer), pre and suf (counts of its first 1, 2, ... words and of the rest)."""
@@ -260,8 +285,10 @@ def levels(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     top = ranked(counts.where(F.col("n") >= least), ["lang", "phrase"])
     none = F.array().cast("array<long>")
     found = [top.select("rank", "lang", "phrase", F.col("phrase").alias("last"), "n", F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right"), none.alias("pre"), none.alias("suf"))]
-    own = chunks.select("chunk", F.posexplode(F.arrays_zip("langs", "words")).alias("name", "w")).select("chunk", "name", F.col("w.langs").alias("lang"), F.col("w.words").alias("phrase"))
-    seqs = rewrite(chunks, own.join(small(top.select("lang", "phrase", "rank")), ["lang", "phrase"]).select("chunk", "name", "rank"), words=True)
+    if top.count() <= min(FEW_WORDS, common.SMALL):
+        seqs = rewrite_words(chunks, top)
+    else:
+        seqs = rewrite(chunks, _own_ranks(chunks, top), words=True)
     for size in range(2, longest + 1):
         pairs = seqs.mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         top = ranked(pairs, ["code"])
