@@ -197,3 +197,15 @@ def test_tiles_count_exactly():
     code, n = phrases.count_tiles(codes, bits=2)
     assert dict(zip(code.tolist(), n.tolist())) == Counter(codes.tolist()) and len(code) == len(set(code.tolist()))
     assert (phrases.unpack(phrases.pack(np.array([-1, 5, 2**31 - 1]))) == [-1, 5, 2**31 - 1]).all() and len(phrases.unpack(phrases.pack(np.zeros(0, int)))) == 0
+
+
+def test_clashing_names_and_null_keys(spark):
+    from tracewell.llm import near_duplicates, repeats, toxicity
+
+    text = " ".join(some(np.random.default_rng(1), 80))
+    docs = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (None, "x y", "c")], "doc_id long, text string, kept_digest string")
+    kept = near_duplicates.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.kept_digest for r in kept.collect()) == ["a", "c"]
+    with pytest.raises(ValueError):
+        repeats.repeated_spans(docs.withColumnRenamed("kept_digest", "tag"), carry=("tag",))
+    assert [r[0] for r in docs.where("doc_id IS NULL").select(F.coalesce(~toxicity.learnable(), F.lit(False))).collect()] == [False]

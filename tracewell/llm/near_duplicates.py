@@ -254,9 +254,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """docs without near duplicates: of each class the row with the smallest key stays, a null key only if all are null."""
     kept = classes_of(docs, key, text).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("kept"))
     kept = kept.select(F.col("kept.digest").alias("kept_digest"), F.col("kept.doc_id").alias("kept_key"))
-    rows = docs.withColumn("kept_digest", digest_of(F.col(text)))
-    same = (rows["kept_digest"] == kept["kept_digest"]) & rows[key].cast("long").eqNullSafe(kept["kept_key"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["kept_digest"]).drop("kept_digest")
+    name = "kept_digest"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, digest_of(F.col(text)))
+    same = (rows[name] == kept["kept_digest"]) & rows[key].cast("long").eqNullSafe(kept["kept_key"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, count: int = BANDS, rows: int = ROWS) -> DataFrame:

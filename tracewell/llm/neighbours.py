@@ -2,7 +2,10 @@
 
 Largest inner product becomes nearest point by one more coordinate, sqrt(largest squared norm - own squared norm).
 Centroids are fitted by k-means on a bounded sample (at most `SAMPLE` vectors, by hash of the key), one for each `LIST`
-vectors of the table, so lists keep their length as the table grows, up to `CENTROIDS` of them. Every vector goes to its
+vectors of the table and at most one for each two of the sample: lists keep their length until the table has `LIST` / 2
+times as many vectors as the sample (a million, as it stands), and grow with the table from there; a larger sample moves
+that point. Up to 4,096 centroids a vector's lists are exact, beyond they come from a walk of the graph, as a query's do.
+Every vector goes to its
 nearest centroid's list and, at the boundary, to each of the next few whose distance is within a ratio of the nearest.
 Lists are cut into blocks of bounded size. A query walks a graph over the centroids held in memory, keeps every list whose
 centroid's distance is within a ratio of the nearest, and is held against all blocks of these lists, block of queries by

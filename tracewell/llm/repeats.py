@@ -344,9 +344,12 @@ _dealt = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("payload", pa
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), group: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(parts, notes): the documents dealt into parts, and each part's copies and removed spans (see `cut`).
 
-    carry: further columns of docs that the parts keep. With a group, strings only match within one value of that column,
+    carry: further columns of docs that the parts keep; names of the parts' own columns are refused. With a group, strings only match within one value of that column,
     and a string in documents of different keys is removed from all of them.
     """
+    clash = set(carry) & {"doc_id", "key", "tag", "body", "group", "part", "n_bytes", "spans", "kept"}
+    if clash:
+        raise ValueError(f"carried columns must have other names than {', '.join(sorted(clash))}")
     spark = docs.sparkSession
     bounded_batches(spark)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")

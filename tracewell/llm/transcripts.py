@@ -101,11 +101,12 @@ def fit(lines: DataFrame) -> dict[str, np.ndarray]:
     order = W.partitionBy("conv", F.floor(F.col("pos") / PIECE)).orderBy("pos", "sub", "seen")
     moves = known.withColumn("before", F.lag("state").over(order))
     move, start = np.ones((len(STATES), len(STATES))), np.ones(len(STATES))
-    for r in moves.groupBy("before", "state", (F.col("pos") == 0).alias("head")).count().collect():
-        if r["before"] is not None:
-            move[r["before"], r["state"]] += r["count"]
-        elif r["head"]:
-            start[r["state"]] += r["count"]
+    for r in moves.where("before IS NOT NULL").groupBy("before", "state").count().collect():
+        move[r["before"], r["state"]] += r["count"]
+    # A transcript begins where its first line stands, whatever its positions count from.
+    heads = moves.where("before IS NULL").groupBy("conv").agg(F.min(F.struct("pos", "sub", "seen", "state")).alias("first"))
+    for r in heads.groupBy("first.state").count().collect():
+        start[r["state"]] += r["count"]
     shown = factors(np.arange(SEEN))
     score = np.zeros((len(STATES), SEEN))
     for f in shown:
