@@ -91,24 +91,3 @@ def select_peaks(scores: DataFrame, stratum: list[str], index: str, score: str,
         return part.iloc[suppress(part[index].to_numpy(float), part[score].to_numpy(float), separation)]
 
     return scores.groupBy(*stratum).applyInPandas(run, scores.schema)
-
-
-def fill_shards(files: DataFrame, stratum: list[str], order: str, size: str, capacity: int) -> DataFrame:
-    """files with `shard` and `filled`: in order, a file opens a new shard where it would overfill the current one.
-
-    The fill is sequential within a stratum; a stratum is meant to be a bounded block of names.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        shards, fills, shard, filled = [], [], 0, 0
-        for n in part[size].tolist():
-            if filled and filled + n > capacity:
-                shard, filled = shard + 1, 0
-            filled += n
-            shards.append(shard)
-            fills.append(filled)
-        return part.assign(shard=shards, filled=fills)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema) + ", shard long, filled long"
-    return files.groupBy(*stratum).applyInPandas(run, schema)

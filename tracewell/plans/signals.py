@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import kernels
-from tracewell.operators.matching import fill_shards, match_times, optimal_match, select_peaks
+from tracewell.operators.matching import match_times, optimal_match, select_peaks
+from tracewell.operators.shards import fill_shards
 from tracewell.plans import sequences
 from tracewell.session import table
 
@@ -81,9 +82,9 @@ def q_pooled_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_shard_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of a source, in blocks of 4096 names, into shards of at most 20,000 units."""
-    files = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / 4096).alias("block"), "doc_id", (F.col("n_chars") + 512).alias("size"))
-    return fill_shards(files, ["source", "block"], "doc_id", "size", 20_000).drop("size")
+    """Files of each source, in order, into shards of at most 20,000 units; a file has a header of 512."""
+    files = table(spark, sf, "documents").select("source", "doc_id", (F.col("n_chars") + 512).alias("size"))
+    return fill_shards(files, ["source"], "doc_id", "size", 20_000).drop("size")
 
 
 def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,9 +125,9 @@ g AS (SELECT user_id, n, k, score, [k] AS kept, true AS ok FROM r WHERE n = 1
          len(list_filter(g.kept, lambda x: abs(x - r.k) < 4)) = 0 FROM g JOIN r ON r.user_id = g.user_id AND r.n = g.n + 1)
 SELECT user_id, k, score FROM g WHERE ok""",
     "q_shard_plan": """
-WITH RECURSIVE o AS (SELECT source, doc_id // 4096 AS block, doc_id, n_chars + 512 AS size, row_number() OVER (PARTITION BY source, doc_id // 4096 ORDER BY doc_id) AS k FROM documents),
-f AS (SELECT source, block, doc_id, k, size AS filled, 0 AS shard FROM o WHERE k = 1
-  UNION ALL SELECT o.source, o.block, o.doc_id, o.k, CASE WHEN f.filled + o.size > 20000 THEN o.size ELSE f.filled + o.size END, CASE WHEN f.filled + o.size > 20000 THEN f.shard + 1 ELSE f.shard END
-  FROM f JOIN o ON o.source = f.source AND o.block = f.block AND o.k = f.k + 1)
-SELECT source, block, doc_id, shard, filled FROM f""",
+WITH RECURSIVE o AS (SELECT source, doc_id, n_chars + 512 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT source, doc_id, k, size AS filled, 0 AS shard FROM o WHERE k = 1
+  UNION ALL SELECT o.source, o.doc_id, o.k, CASE WHEN f.filled + o.size > 20000 THEN o.size ELSE f.filled + o.size END, CASE WHEN f.filled + o.size > 20000 THEN f.shard + 1 ELSE f.shard END
+  FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.k = f.k + 1)
+SELECT source, doc_id, CAST(shard AS bigint) AS shard, CAST(filled AS bigint) AS filled FROM f""",
 }
