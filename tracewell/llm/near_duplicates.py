@@ -116,7 +116,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """node, shingle, before, nth, shape, distinct, total: the rarest shingles of nodes. open_: node, class.
+    """node, shingle, before, rarer, nth, shape, distinct, total: the rarest shingles of nodes. open_: node, class.
 
     With weights scaled to 1, the probability Jaccard is at most the weight of the common shingles. So if it reaches the
     threshold, the rarest common shingle is, on either side, among the rarest ones whose weight exceeds 1 - threshold: no
@@ -134,16 +134,17 @@ def prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     several = prefix.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("shingle")
     order = W.partitionBy("shingle").orderBy("before", "node")
     prefix = prefix.join(several, "shingle", "left_semi").withColumn("nth", F.row_number().over(order) - 1)
+    rarer = F.collect_list("shingle").over(by_node.orderBy("before").rowsBetween(W.unboundedPreceding, -1))
     total = F.aggregate("weights", F.lit(0).cast("long"), lambda n, w: n + w)
     whole = sets.select("node", "shape", F.size("elements").alias("distinct"), total.alias("total"))
-    return prefix.select("node", "shingle", "before", "nth").join(whole, "node")
+    return prefix.select("node", "shingle", "before", rarer.alias("rarer"), "nth").join(whole, "node")
 
 
 def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold: float) -> list[DataFrame]:
     """Links (a, b) between classes of open nodes that share a prefix shingle, as tables. done: pairs that were verified.
 
     A round takes, at each shingle, the next holders by the weight before it, and makes pairs of them with the later
-    holders of other classes. At a pair's rarest common shingle, the weights x and y before it are not
+    holders of other classes, each pair at its rarest common shingle. There the weights x and y before it are not
     common, so the similarity is at most (1 - x)(1 - y) / (1 - xy). Two sets can't have more elements in common than the
     sum over cells of the smaller of their shapes; what is left of either is not common, and weighs at least 1 an element,
     which bounds x and y too. Pairs for which the similarity is too small aren't made. A round takes at least twice as many
@@ -153,7 +154,7 @@ def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold:
     below = lambda x, y: f"(1 - {x}) * (1 - {y}) >= {threshold} * (1 - {x} * {y}) - 1e-9"
     x, y = (f"greatest({n}_before, ({n}_distinct - o) / {n}_total)" for n in "ab")
     both = "aggregate(zip_with(a_shape, b_shape, (p, q) -> least(p, q)), 0, (s, v) -> s + v)"
-    near = f"{below('a_before', 'b_before')} AND exists(array({both}), o -> {below(x, y)})"
+    near = f"{below('a_before', 'b_before')} AND NOT arrays_overlap(a_rarer, b_rarer) AND exists(array({both}), o -> {below(x, y)})"
     once = "(a_nth > b_nth OR a_nth = b_nth AND a < b)"  # else it was made when a was among the holders taken
     lo, wide, classes, nodes = 0, 1, open_, open_.count()
     while True:
@@ -162,7 +163,7 @@ def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold:
         live = materialize(classed.join(several.select("shingle", "last"), "shingle"), "live")
         if not live.where(F.col("last") >= lo).limit(1).count():
             return found
-        side = lambda n: live.select("shingle", F.col("node").alias(n), F.col("class").alias(f"{n}_class"), F.col("before").alias(f"{n}_before"), *(F.col(c).alias(f"{n}_{c}") for c in ("nth", "shape", "distinct", "total")))
+        side = lambda n: live.select("shingle", F.col("node").alias(n), F.col("class").alias(f"{n}_class"), F.col("before").alias(f"{n}_before"), *(F.col(c).alias(f"{n}_{c}") for c in ("rarer", "nth", "shape", "distinct", "total")))
         heads = side("b").where(F.col("b_nth").between(lo, lo + wide - 1))
         pairs = side("a").join(heads, "shingle").where(f"a_class != b_class AND {once} AND {near}")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_class", "b_class").alias("one"), F.greatest("a_class", "b_class").alias("other")).distinct()
@@ -209,7 +210,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 linked.append(probability_jaccard((ea.view(np.uint64), wa), (eb.view(np.uint64), wb)) >= threshold)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     sets = sets.join(small(asked), "node", "left_semi")
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a binary, b binary, linked boolean")
 
