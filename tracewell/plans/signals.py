@@ -10,30 +10,47 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import kernels
-from tracewell.operators.matching import match_times, optimal_match, select_peaks
+from tracewell.operators import kernels, relocation
+from tracewell.operators.matching import optimal_match, select_peaks
 from tracewell.operators.shards import fill_shards
 from tracewell.plans import sequences
 from tracewell.session import table
 
+DAY, REACH = 86_400_000_000, 7_200_000_000
+
+
+def timing_null(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clicks with their feasible pieces, their 99 draws, views) in microseconds.
+
+    A click may move within its own day where the recording is supported: from its first to its last event, less the spans
+    that error events mark as bad, as many minutes as their value says.
+    """
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    spans = e.groupBy("user_id").agg(F.min("t").alias("lo"), (F.max("t") + 1).alias("hi"))
+    bad = e.where("event_type = 'error'").withColumn("to", F.col("t") + F.floor(F.col("value") * 60).cast("long") * 1_000_000)
+    support = relocation.without(spans, relocation.joined(bad, "user_id", "t", "to"), "user_id")
+    clicks = relocation.feasible(e.where("event_type = 'click'").select("user_id", "event_id", "t"), support, "user_id", "t", DAY)
+    return clicks, relocation.draws(clicks, "event_id", 12012), e.where("event_type = 'view'").select("user_id", "t")
+
+
 def q_timing_null(spark: SparkSession, sf: str) -> DataFrame:
-    """Clicks matched with views within two hours, against 99 draws in which each click moves uniformly within its own day.
+    """Clicks matched with views within two hours, against 99 draws in which each click moves within what is feasible for it.
 
-    Every draw is matched anew. For each recording: the matches found, order statistics of the draws, and the share of
-    draws (with the observed one) that match as many.
+    Every draw is matched anew. For each recording with clicks: those that can't move, the matches of those that can, order
+    statistics of the draws, and the share of draws (with the observed one) that match as many.
     """
-    e = table(spark, sf, "events").where(F.col("event_type").isin("click", "view")).select("user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    day = 86_400.0
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.sort(part.loc[part["event_type"] == kind, "t"].to_numpy(float)) for kind in ("click", "view"))
-        observed = len(match_times(a, b, 7200.0))
-        rng = np.random.default_rng([12012, int(key[0])])
-        draws = sorted(len(match_times(np.sort(np.floor(a / day) * day + rng.uniform(0, day, len(a))), b, 7200.0)) for _ in range(99))
-        above = sum(n >= observed for n in draws)
-        return pd.DataFrame({"user_id": [key[0]], "matched": [observed], "low": [draws[4]], "middle": [draws[49]], "high": [draws[94]], "p_value": [(1 + above) / 100]})
-
-    return e.groupBy("user_id").applyInPandas(run, "user_id long, matched int, low int, middle int, high int, p_value double")
+    clicks, drawn, views = timing_null(spark, sf)
+    observed = clicks.where("room > 0").select("user_id", F.lit(-1).alias("draw"), F.col("t").alias("moved"))
+    every = relocation.matched_draws(observed.unionByName(drawn.select("user_id", "draw", "moved")), views, "user_id", REACH, DAY)
+    users = clicks.groupBy("user_id").agg(F.count("*").alias("clicks"), F.sum((F.col("room") == 0).cast("long")).alias("fixed"))
+    wanted = users.where("clicks > fixed").select("user_id", F.explode(F.sequence(F.lit(-1), F.lit(relocation.DRAWS - 1))).alias("draw"))
+    every = wanted.join(every, ["user_id", "draw"], "left").fillna(0, ["matched"])  # a draw without pairs counts as 0
+    null = relocation.order_statistics(every.where("draw >= 0"), "user_id", "matched")
+    found = every.where("draw < 0").select("user_id", "matched")
+    rows = users.join(found, "user_id", "left").join(null, "user_id", "left")
+    above = F.size(F.filter("_v", lambda v: v >= F.col("matched")))
+    reason = F.when(F.col("clicks") == F.col("fixed"), relocation.NO_PLACE).otherwise(F.col("reason"))
+    return rows.select("user_id", "clicks", "fixed", "matched", "low", "middle", "high", F.when(F.col("clicks") > F.col("fixed"), (1 + above) / 100.0).alias("p_value"), reason.alias("reason"))
 
 
 def contingency(spark: SparkSession, sf: str) -> np.ndarray:
