@@ -83,14 +83,40 @@ def append_to(stream: DataFrame, folder: str) -> None:
     to.trigger(availableNow=True).start().awaitTermination()
 
 
+def closed_windows(stream: DataFrame, folder: str, delay: str = "1 day", width: str = "1 day") -> dict[str, int]:
+    """Append the windows that the watermark has closed since the last run to a folder's rows, and forget them.
+
+    A window is written once, when the watermark passes its end; its state goes then, so state holds the windows of the delay
+    alone. A row that comes after its window was closed is late: it changes nothing and is counted. Returns batches, late
+    rows, and the most windows that were in state.
+    """
+    windows = stream.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    rows = windows.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "total")
+    run = rows.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    state = [s for p in run.recentProgress for s in p["stateOperators"]]
+    return {"batches": len(run.recentProgress), "late": sum(s["numRowsDroppedByWatermark"] for s in state), "held": max((s["numRowsTotal"] for s in state), default=0)}
+
+
+def q_stream_closed(spark: SparkSession, sf: str) -> DataFrame:
+    """Days that ended at least a day before the last event, from a stream whose result only grows."""
+    folder = folder_of(spark)
+    closed_windows(stream_of(spark, sf), folder)
+    return spark.read.schema("start_us long, event_type string, n long, total double").parquet(f"{folder}/rows")
+
+
 def q_stream_peaks(spark: SparkSession, sf: str) -> DataFrame:
     folder = folder_of(spark)
     append_to(peaks(stream_of(spark, sf)), folder)
     return spark.read.schema("user_id long, event_id long, value double").parquet(f"{folder}/rows")
 
 
-QUERIES = {"q_stream_peaks": q_stream_peaks, "q_stream_tumbling": q_stream_tumbling, "q_stream_session": q_stream_session}
+QUERIES = {"q_stream_closed": q_stream_closed, "q_stream_peaks": q_stream_peaks, "q_stream_tumbling": q_stream_tumbling, "q_stream_session": q_stream_session}
 ORACLES = {
+    "q_stream_closed": """
+WITH m AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 AS mark FROM events)
+SELECT (epoch_us(ts) // 86400000000) * 86400000000 AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+WHERE (epoch_us(ts) // 86400000000 + 1) * 86400000000 <= (SELECT mark FROM m) GROUP BY 1, 2""",
     "q_stream_peaks": """
 WITH d AS (SELECT user_id, event_id, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, event_id, value FROM d WHERE value > a AND value > b""",
