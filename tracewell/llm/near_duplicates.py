@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches, materialize, scramble, small
+from tracewell.llm.common import bounded_batches, materialize, release_memory, scramble, small
 from tracewell.llm.graph import components
 from tracewell.session import table
 
@@ -182,9 +182,10 @@ def sign_documents(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
     """docs (doc_id, digest, words) with `bands` in place of words; without words there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 words = pa.concat_arrays([batch.column("words")])
                 owner, element, weight = shingles(words, k)
                 sign = signatures(owner, element, weight, batch.num_rows, count * rows)
@@ -203,6 +204,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     one = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"e{c}"), F.col("weights").alias(f"w{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             linked = []
             for row in zip(*(batch.column(c) for c in ("ea", "wa", "eb", "wb")), strict=True):
@@ -210,8 +212,6 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 linked.append(probability_jaccard((ea.view(np.uint64), wa), (eb.view(np.uint64), wb)) >= threshold)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    sets = sets.join(small(asked), "node", "left_semi")
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
@@ -219,6 +219,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """docs (node, words) as node, elements (sorted as unsigned numbers), weights, shape (how many elements a cell has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             owner, element, weight = shingles(pa.concat_arrays([batch.column("words")]), k)
             offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
