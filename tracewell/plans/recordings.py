@@ -6,6 +6,8 @@ runs that are too short for a kernel have rows that say so.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +51,10 @@ def filter_sections() -> list[np.ndarray]:
     return [kernels.butterworth_sos(4, 1.0, 40.0, RATE), kernels.notch_sos(60.0, 30.0, RATE)]
 
 
+@cache
 def filter_reach() -> int:
     """Samples over which the filters' responses die away, one after the other."""
-    return sum(kernels.filter_support(s, RATE, least=1e-12) for s in filter_sections())
+    return sum(kernels.filter_support(s, RATE, longest=20.0, least=1e-12) for s in filter_sections())
 
 
 def zero_phase(signals: list[np.ndarray]) -> list[list[np.ndarray]]:
