@@ -416,6 +416,28 @@ def test_recall_and_reads_follow_the_data(spread, most):
     assert hits / (20 * len(asked)) >= 0.9 and reads / len(asked) <= most * sum(map(len, held)), (hits, reads)
 
 
+@pytest.mark.parametrize("kind", ["queries of their own", "norms", "opposite"])
+def test_recall_of_queries_unlike_the_rows(spark, kind):
+    """The queries, one row of twenty, decide how much is read, and no sample of the rows speaks for them."""
+    rng = np.random.default_rng(33)
+    centres = rng.normal(size=(100, 32))
+    x = centres[rng.integers(0, 100, 4000)] + 0.15 * rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = np.arange(0, 4000, 20)
+    if kind == "norms":
+        x = rng.normal(size=x.shape) * np.exp(rng.normal(size=(4000, 1)))
+    else:
+        x[q] = rng.normal(size=(len(q), 32)) if kind == "queries of their own" else -x[q]
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(table, F.col("key") % 20 == 0).toPandas()
+    hit = 0
+    for a, own in got.groupby("query_id"):
+        s = x @ x[a]
+        s[a] = -np.inf
+        hit += len(set(np.lexsort((np.arange(4000), -s))[:20]) & set(own.vec_id))
+    assert hit / (20 * len(q)) >= 0.93
+
+
 def test_pages(spark):
     shared = "All rights reserved by the owners of this site, whatever they may be called this year."
     html = [

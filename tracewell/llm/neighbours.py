@@ -9,10 +9,12 @@ Every vector goes to its
 nearest centroid's list and, at the boundary, to each of the next few whose distance is within a ratio of the nearest.
 Lists are cut into blocks of bounded size. A query walks a graph over the centroids held in memory, keeps every list whose
 centroid's distance is within a ratio of the nearest, and is held against all blocks of these lists, block of queries by
-block of vectors. That ratio, a number of lists, and the number of replicas come from the sample too: within them lie
-`TARGET` of the true neighbours of some sampled vectors, at the least reading. So clustered vectors are found in a few
-lists, and vectors without structure, whose neighbours are scattered over many, in many: recall is kept, and the work is
-what the data ask for.
+block of vectors. A query's best among a few of the sample's vectors are candidates from the start, and the last of them
+is a bound: blocks report only what reaches it. That ratio, a number of lists, and the number of replicas come from up to `ASKED` of the queries
+themselves, by hash of the key, whose true neighbours one pass over the whole table finds: within them lie `TARGET` of
+these neighbours, as the walk itself reads them, at the least reading. So queries unlike the indexed vectors get the lists
+that they need; clustered vectors are found in a few lists, and vectors without structure, whose neighbours are scattered
+over many, in many: recall is kept, and the work is what the data ask for.
 
 Equal vectors are one entry with the k + 1 smallest of their keys: no result holds more of them, whatever their number.
 
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,8 +42,10 @@ from tracewell.session import table
 SAMPLE, LIST, CENTROIDS = 40_000, 50, 65_536
 #: Lists that may hold a vector at most (one of these is chosen), and how much farther than the nearest their centroids may be.
 REPLICAS, REPLICA_RATIO = (2, 4), 1.15
-#: Share of the sample's true neighbours that the lists within the ratio must hold, and vectors that are asked for it.
-TARGET, ASKED = 0.93, 256
+#: Share of the true neighbours that the lists read must hold, and queries that are asked for it.
+TARGET, ASKED = 0.95, 256
+#: Vectors of the sample that every query is held against first, and bytes of them, at most.
+SEEDS, SEED_BYTES = 16_384, 16 << 20
 BLOCK = 2048
 
 
@@ -81,41 +86,54 @@ class Index:
     most: int = 1
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, norm: float, count: int, neighbours: int = 20, target: float = TARGET, degree: int = 24) -> Index:
+    def fit(cls, vectors: np.ndarray, norm: float, count: int, neighbours: int = 20, target: float = TARGET, degree: int = 24, truth: Truth | None = None) -> Index:
+        """An index of a sample of vectors; without the truth on some queries, the first of the sample are asked about the others."""
         x = lift(vectors, norm)
         rng = np.random.default_rng(11)
         centroids = k_means(x, max(1, min(count, len(x) // 2, CENTROIDS)), rng)
         k = len(centroids)
-        near = np.concatenate([np.argsort(distances(centroids[i : i + 512], centroids), axis=1, kind="stable")[:, 1 : degree + 1] for i in range(0, k, 512)])
+        near = np.concatenate([closest(distances(centroids[i : i + 512], centroids), degree + 1)[:, 1:] for i in range(0, k, 512)])
         if near.shape[1]:  # long links too, so that no part is cut off
             near = np.hstack([near, rng.integers(0, k, (k, 4))])
         index = cls(centroids, near, rng.permutation(k)[: max(1, min(k, 32))], norm)
-        vectors = vectors[rng.permutation(len(x))]
+        if truth is None:
+            truth = Truth.among(vectors[rng.permutation(len(x))], norm, neighbours)
+        if not len(truth.owner):
+            return index
         cost = {}
         for index.replicas in REPLICAS:
-            cost[index.replicas] = index.calibrate(vectors, neighbours, target)
+            cost[index.replicas] = index.calibrate(vectors, truth, target)
         _, index.replicas, index.ratio, index.most = min((reads, r, ratio, most) for r, (reads, ratio, most) in cost.items())
         return index
 
-    def calibrate(self, vectors: np.ndarray, neighbours: int, target: float) -> tuple[float, float, int]:
-        """(vectors and lists read, ratio, most lists) so that `target` of the neighbours, among the vectors, of the first ones are read."""
-        asked = flat(vectors[:ASKED], self.norm)
-        near = distances(asked, lift(vectors, self.norm))
-        near[np.arange(len(asked)), np.arange(len(asked))] = np.inf
-        n = min(neighbours, len(vectors) - 1)
-        if n < 1:
-            return 0.0, 1.0, 1
-        found = np.argpartition(near, n - 1, 1)[:, :n]
-        lists, keep = self.lists_of(vectors)
+    def calibrate(self, vectors: np.ndarray, truth: Truth, target: float) -> tuple[float, float, int]:
+        """(vectors and lists read, ratio, most lists) so that `target` of the true neighbours are read, as `probes` reads."""
+        k, owner, asked = len(self.centroids), truth.owner, flat(truth.asked, self.norm)
         far = np.sqrt(np.maximum(distances(asked, self.centroids), 0))
         place = np.argsort(np.argsort(far, 1, kind="stable"), 1, kind="stable")
-        own, held = lists[found.ravel()], keep[found.ravel()]
-        ratio = np.where(held, np.take_along_axis(np.repeat(far, n, 0), own, 1), np.inf).min(1) / np.maximum(np.repeat(far.min(1), n), 1e-12)
-        rank = np.where(held, np.take_along_axis(np.repeat(place, n, 0), own, 1), len(self.centroids)).min(1)
-        # Each bound alone may lose half of what may be lost.
-        ratio, most = float(np.quantile(ratio, (1 + target) / 2)), int(np.quantile(rank, (1 + target) / 2)) + 1
-        read = (far <= ratio * far.min(1)[:, None]) & (place < most)
-        return float((read @ (np.bincount(lists[keep], minlength=len(self.centroids)) + 20)).mean()), ratio, most  # a list costs as much as 20 vectors
+        own, held = self.lists_of(truth.near)
+        first = far.min(1)[owner]
+        # A list as near as the nearest has the ratio 1, also where that is 0.
+        ratios = np.where(held, np.where(far[owner[:, None], own] > first[:, None], far[owner[:, None], own] / np.maximum(first[:, None], 1e-300), 1.0), np.inf).min(1)
+        ranks = np.where(held, place[owner[:, None], own], k).min(1)
+        filled = np.zeros(k)
+        for i in range(0, len(vectors), 4096):
+            lists, keep = self.lists_of(vectors[i : i + 4096])
+            filled += np.bincount(lists[keep], minlength=k)
+        most_read = None
+        for lost in ((1 - target) / 2, (1 - target) / 4, (1 - target) / 16, 0.0):  # each bound alone may lose half of what may be lost
+            self.ratio, self.most = float(upper_quantile(ratios, truth.weight, 1 - lost)), int(upper_quantile(ranks, truth.weight, 1 - lost)) + 1
+            read = np.zeros((len(asked), k), bool)
+            for i in range(0, len(asked), step := self.step()):
+                rows, lists = self.probes(asked[i : i + step])
+                read[i + rows, lists] = True
+            found = (read[owner[:, None], own] & held).any(1)
+            most_read = float((read @ (filled + 20)).mean()), self.ratio, self.most  # a list costs as much as 20 vectors
+            if found @ truth.weight >= target * truth.weight.sum():
+                return most_read
+        # The walk or the numbers' precision loses more than that: every list is read.
+        self.ratio, self.most = np.inf, k
+        return float((filled + 20).sum()), self.ratio, self.most
 
     def lists_of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lists, which of them hold it) for each vector."""
@@ -133,9 +151,15 @@ class Index:
             lists, far = np.concatenate([w[0] for w in walked]), np.maximum(np.concatenate([w[1] for w in walked]), 0)
         return lists, far <= REPLICA_RATIO**2 * far.min(1)[:, None] + 1e-12
 
+    def step(self) -> int:
+        """Queries that a walk takes at once: it may keep a place for each centroid."""
+        return max(16, min(512, (1 << 21) // len(self.centroids)))
+
     def probes(self, queries: np.ndarray, found: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists to read for each lifted query, by walks that widen as far as needed."""
         rows, out = np.arange(len(queries)), []
+        if self.most >= len(self.centroids) and not np.isfinite(self.ratio):
+            return np.repeat(rows, len(self.centroids)), np.tile(np.arange(len(self.centroids)), len(rows))
         while len(rows):
             lists, far = self.walk(queries[rows], found)
             near = (far <= self.ratio**2 * np.maximum(far[:, :1], 0) + 1e-12) & (np.arange(far.shape[1]) < self.most)
@@ -178,6 +202,39 @@ class Index:
         return pool[:, :found], far[:, :found] + (queries**2).sum(1)[:, None]
 
 
+@dataclass
+class Truth:
+    """Queries and their true neighbours: vector near[i] belongs to query owner[i] and counts as weight[i] of its results."""
+
+    asked: np.ndarray
+    owner: np.ndarray
+    near: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def among(cls, vectors: np.ndarray, norm: float, neighbours: int) -> Truth:
+        """The first vectors as queries, the others as candidates."""
+        asked, n = vectors[:ASKED], min(neighbours, len(vectors) - 1)
+        score = asked @ vectors.T
+        score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        near = np.argpartition(-score, n - 1, 1)[:, :n] if n > 0 else np.zeros((len(asked), 0), np.int64)
+        return cls(asked, np.repeat(np.arange(len(asked)), near.shape[1]), vectors[near.ravel()], np.ones(near.size))
+
+
+def closest(d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n least of each row, the least first."""
+    n = min(n, d.shape[1])
+    some = np.argpartition(d, n - 1, 1)[:, :n]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
+
+
+def upper_quantile(values: np.ndarray, weight: np.ndarray, share: float) -> float:
+    """The least value that `share` of the weight doesn't exceed."""
+    order = np.argsort(values, kind="stable")
+    sums = np.cumsum(weight[order])
+    return values[order][min(len(order) - 1, int(np.searchsorted(sums, share * sums[-1] - 1e-9)))]
+
+
 def lift(vectors: np.ndarray, norm: float) -> np.ndarray:
     """Vectors with the coordinate that makes all their norms equal."""
     return np.hstack([vectors, np.sqrt(np.maximum(0, norm - (vectors**2).sum(1)))[:, None]])
@@ -193,8 +250,8 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None, :]
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(pc.list_flatten(column), np.float64).reshape(len(column), -1)
 
 
 def usable(vector: Column) -> Column:
@@ -218,6 +275,39 @@ def prepare(rows: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame,
     return entries.drop("h"), members
 
 
+def true_neighbours(entries: DataFrame, queries: DataFrame, k: int) -> Truth:
+    """The truth on up to `ASKED` of the queries, by hash of the entry: every task keeps the k + 1 best of its entries for each."""
+    some = queries.orderBy(F.xxhash64("entry"), "entry").limit(ASKED).toArrow()
+    if not some.num_rows:
+        return Truth(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0))
+    names, asked = some.column("entry").to_numpy(), matrix(some.column("vector"))
+    shared = entries.sparkSession.sparkContext.broadcast((names, asked))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        score = np.zeros((len(q), 0))
+        entry, copies = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                e, n = (batch.column(c).to_numpy()[None, :].repeat(len(q), 0) for c in ("entry", "copies"))
+                n = n - (e == own[:, None])  # a query isn't its own candidate
+                score, entry, copies = np.hstack([score, np.where(n > 0, q @ matrix(batch.column("vector")).T, -np.inf)]), np.hstack([entry, e]), np.hstack([copies, n])
+                top = closest(-score, k + 1)
+                score, entry, copies = (np.take_along_axis(v, top, 1) for v in (score, entry, copies))
+        r, c = np.nonzero(copies > 0)
+        yield pa.record_batch([pa.array(r), pa.array(entry[r, c]), pa.array(score[r, c]), pa.array(copies[r, c])], names=["owner", "entry", "score", "copies"])
+
+    found = entries.select("entry", "vector", F.size("keys").cast("long").alias("copies")).mapInArrow(best, "owner long, entry long, score double, copies long")
+    order = W.partitionBy("owner").orderBy(F.desc("score"), "entry")
+    before = F.coalesce(F.sum("copies").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = found.withColumn("weight", F.least(F.col("copies"), k - before)).where("weight > 0")
+    near = materialize(counted.select("owner", "entry", "weight"), "truth").join(entries.select("entry", "vector"), "entry").toArrow()
+    if not near.num_rows:
+        return Truth(asked, np.zeros(0, np.int64), asked[:0], np.zeros(0))
+    return Truth(asked, near.column("owner").to_numpy(), matrix(near.column("vector")), near.column("weight").to_numpy().astype(np.float64))
+
+
 def search(
     rows: DataFrame,
     is_query: Column,
@@ -239,10 +329,19 @@ def search(
     schema = "query_id long, rank int, vec_id long, score double"
     if norm is None:
         return spark.createDataFrame([], schema)
-    taken = entries.select("vector").orderBy(F.xxhash64("entry"), "entry").limit(sample).toPandas()["vector"]
-    fitted = Index.fit(np.stack(taken.to_numpy()).astype(np.float64), norm, size["n"] // list_size, k, target)
-    index = spark.sparkContext.broadcast(fitted)  # at most `CENTROIDS` centroids, and half as many as `sample`
     asked = materialize(members.where(is_query), "asked")
+    queries = materialize(entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "vector"), "queries")
+    share = F.pmod(F.xxhash64("entry"), F.lit(1 << 30)) < F.lit(-(-(sample << 30) // size["n"]))  # all, if no more than `sample`
+    drawn = entries.where(share).toArrow()
+    if not drawn.num_rows:  # the hash may pass over a few vectors, not over many
+        drawn = entries.limit(1).toArrow()
+    taken = matrix(drawn.column("vector"))
+    few = min(SEEDS, max(1, SEED_BYTES // (8 * taken.shape[1])))
+    seeds = spark.sparkContext.broadcast((taken[:few].copy(), drawn.column("keys").slice(0, few).to_pylist()))
+    del drawn
+    fitted = Index.fit(taken, norm, size["n"] // list_size, k, target, truth=true_neighbours(entries, queries, k))
+    del taken
+    index = spark.sparkContext.broadcast(fitted)  # at most `CENTROIDS` centroids, and half as many as `sample`
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = index.value
@@ -253,17 +352,33 @@ def search(
             r, c = np.nonzero(keep)
             yield pa.record_batch([batch.column("entry").take(pa.array(r)), batch.column("vector").take(pa.array(r)), batch.column("keys").take(pa.array(r)), pa.array(near[r, c].astype(np.int32))], names=["entry", "vector", "keys", "list"])
 
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, keys = seeds.value
+        many = np.array([len(v) for v in keys])
+        every = np.array([v for vs in keys for v in vs], np.int64)
+        starts = np.cumsum(many) - many
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                q = matrix(batch.column("vector"))
+                top = closest(-(q @ x.T), k + 1)
+                score = (q[:, None, :] * x[top]).sum(2)
+                # Of k + 1 vectors one may be the query's own; the bound is less by what sums of unlike order may differ.
+                bound = score.min(1) - 1e-10 * np.sqrt(norm * (q**2).sum(1)) if top.shape[1] == k + 1 else np.full(len(q), -np.inf)
+                near = [[{"vec_id": v, "score": s} for c, s in zip(row, scores, strict=True) for v in every[starts[c] : starts[c] + many[c]].tolist()] for row, scores in zip(top.tolist(), score.tolist(), strict=True)]
+                yield pa.record_batch([batch.column("entry"), batch.column("vector"), pa.array(bound), pa.array(near, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))], names=["query", "vector", "bound", "near"])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = index.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, at.step()):
+                batch = whole.slice(lo, at.step())
                 r, lists = at.probes(flat(matrix(batch.column("vector")), at.norm))
-                yield pa.record_batch([batch.column("entry").take(pa.array(r)), batch.column("vector").take(pa.array(r)), pa.array(lists.astype(np.int32))], names=["query", "vector", "list"])
+                yield pa.record_batch([*(batch.column(c).take(pa.array(r)) for c in ("query", "vector", "bound")), pa.array(lists.astype(np.int32))], names=["query", "vector", "bound", "list"])
 
     postings = materialize(entries.mapInArrow(deal, "entry long, vector array<double>, keys array<long>, list int"), "postings")
-    queries = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "vector")
-    routed = materialize(queries.mapInArrow(route, "query long, vector array<double>, list int"), "routed")
+    seeded = materialize(queries.mapInArrow(seed, "query long, vector array<double>, bound double, near array<struct<vec_id: long, score: double>>"), "seeded")
+    routed = materialize(seeded.select("query", "vector", "bound").mapInArrow(route, "query long, vector array<double>, bound double, list int"), "routed")
     # Blocks: a list of n vectors and m queries makes ceil(n / BLOCK) x ceil(m / BLOCK) cells of bounded size.
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     grid = materialize(blocks(postings, "rows").join(blocks(routed, "columns"), "list"), "grid")
@@ -281,13 +396,14 @@ def search(
         many = np.array([len(v) for v in keys])
         every = np.array([v for vs in keys for v in vs], np.int64)
         starts = np.cumsum(many) - many
-        query = asked_.column("query").to_numpy()
+        query, bound = asked_.column("query").to_numpy(), asked_.column("bound").to_numpy()
         parts: list[list[np.ndarray]] = [[], [], []]
         for lo in range(0, len(q), 256):
             score = q[lo : lo + 256] @ x.T
             n = min(k + 1, score.shape[1])
             cut = np.partition(score, score.shape[1] - n, 1)[:, score.shape[1] - n]
-            r, c = np.nonzero(score >= cut[:, None] - 1e-9 * np.abs(cut[:, None]))  # ties at the end stay
+            cut = np.maximum(cut - 1e-9 * np.abs(cut), bound[lo : lo + 256])
+            r, c = np.nonzero(score >= cut[:, None])  # ties at the end stay
             exact = (q[lo + r] * x[c]).sum(1)
             rep = many[c]
             at = np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep) + np.repeat(starts[c], rep)
@@ -301,8 +417,9 @@ def search(
         return pa.table([pa.array(np.concatenate(p)) for p in parts], schema=out_schema)
 
     left = left.select("entry", "vector", "keys", "list", "row", "column")
-    right = right.select(F.col("query"), F.col("vector"), *(F.col(c).alias(f"{c}_") for c in cell))
+    right = right.select("query", "vector", "bound", *(F.col(c).alias(f"{c}_") for c in cell))
     found = left.groupBy(*cell).cogroup(right.groupBy(*(f"{c}_" for c in cell))).applyInArrow(hold, "query long, vec_id long, score double")
+    found = found.unionByName(seeded.select("query", F.explode("near").alias("n")).select("query", "n.vec_id", "n.score"))
     found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score"))  # replicas find a vector more than once
     best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
