@@ -453,6 +453,20 @@ def test_pages(spark):
     assert pages.extract(table.limit(0)).count() == 0
 
 
+def test_every_page_goes_through_the_suffix_sort(spark):
+    """Articles that markup marks are sorted too: their repeats within the host are told, and stay."""
+    rng = np.random.default_rng(3)
+    shared, own = words(rng, 20), [words(rng, 30) for _ in range(4)]
+    html = [f"<nav>menu</nav><article><p>{own[0]}</p><p>{shared}</p></article>", f"<article><p>{shared}</p><p>{own[1]}</p></article>", f"<article><p>{own[2]}</p></article>", f"<article><p>{shared}</p></article>", f"<div><p>{shared}</p><p>{own[3]}</p></div>"]
+    table = spark.createDataFrame([(i, f"http://{'b' if i == 3 else 'a'}.example/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_repeated) for r in pages.extract(table).collect()}
+    n = len(shared.encode())
+    assert got[2] == (own[2], 0) and got[3] == (shared, 0)  # nothing of the host repeats it
+    assert got[0][0] == f"{own[0]}\n\n{shared}" and got[1][0] == f"{shared}\n\n{own[1]}"
+    assert n <= got[0][1] <= n + 2 and n <= got[1][1] <= n + 2
+    assert got[4] == (f"{shared}\n\n{own[3]}", 0)  # an article elsewhere is no boilerplate here
+
+
 def test_what_markup_leaves_open(spark):
     line = "Follow us wherever you are and tell your friends about everything that you have read here today."
     html = [

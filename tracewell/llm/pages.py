@@ -1,4 +1,4 @@
-"""Main text of web pages: markup zones, and a host-wide suffix sort for what markup doesn't decide.
+"""Main text of web pages: a host-wide suffix sort of all pages, and markup zones that say what its repeats are.
 
 A page is cut into blocks. Each block has a zone: out (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments, by element, role, style or whole class names), main (inside an article or main element, or else one named as such), doubt (inside
@@ -6,10 +6,14 @@ main, under a class such as "share" that names furniture or just the subject), o
 ancestor that only its names put out is the article, unless the page has one elsewhere: then it is a teaser. An inline
 element that goes out interrupts its block without ending it. A header outside the article is furniture with its heading. Article text repeats across pages
 for good reasons (copies, quotations, licence lines), and menus and adverts may differ on every page, so what markup says
-for certain stands. The rest is decided by the suffix array: per host, the token streams of all pages' other blocks are
-concatenated and suffix-sorted (see `repeats`), and strings of at least `LENGTH` bytes that occur in distinct pages are
-boilerplate. A block in doubt goes if most of it is covered; a page without a main zone keeps its open blocks where they
-are not covered: unique runs. Where no page of the table has such blocks, there is nothing to sort.
+for certain stands.
+
+Every page goes through the suffix array: per host, the token streams of all pages are concatenated and suffix-sorted (see
+`repeats`), and strings of at least `LENGTH` bytes that occur in distinct pages are repeats. A page has two streams, its main
+blocks and all others, which are sorted apart: what is an article on one page is no boilerplate of another. Then the zones
+say what repeats are: in a main block they are copies and stay, beside its unique runs (`n_repeated` tells how much they
+are); in the others they are boilerplate. A block in doubt goes if most of it is covered; a page without a main zone keeps
+its open blocks where they are not covered: unique runs.
 
 Defined cases: a null page counts as empty; an empty text results where nothing is left; a null url is a host of its own;
 repeated rows are extracted each, and count as one page; null page_ids count as one page; malformed markup is read to its
@@ -225,7 +229,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
 
 
 def parse(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """page_id, url, host, main (null where something is to decide), undecided (its blocks then), stream (text outside main)."""
+    """page_id, url, host, main (null where the repeats are to decide), undecided (its blocks then), stream (text outside main)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,6 +263,9 @@ def decide(undecided: Column, spans: Column) -> Column:
     def keep(blocks_: pd.Series, spans_: pd.Series) -> pd.Series:
         out = []
         for own, found in zip(blocks_, spans_, strict=True):
+            if own is None:
+                out.append(None)
+                continue
             has_main, at, kept = any(b["zone"] == MAIN for b in own), 0, []
             for b in own:
                 if b["zone"] == MAIN:
@@ -287,17 +294,24 @@ def decide(undecided: Column, spans: Column) -> Column:
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """page_id, url, text of every page."""
+    """page_id, url, text, n_repeated (bytes that other pages of the host repeat, of the blocks that aren't out) of every page."""
     parsed = materialize(parse(pages, key, url, page), "pages")
-    decided = parsed.where("undecided IS NULL").select("page_id", "url", F.col("main").alias("text"))
-    if not parsed.where("undecided IS NOT NULL").limit(1).count():
-        return decided
-    streams = parsed.select("page_id", "host", "stream", "url", "undecided")
-    spans = repeats.shared_spans(streams, key="page_id", text="stream", group="host", length=LENGTH, carry=("url", "undecided"))
-    rest = spans.where("undecided IS NOT NULL").select("page_id", "url", decide(F.col("undecided"), F.col("spans")).alias("text"))
-    return decided.unionByName(rest)
+    article = F.coalesce("main", F.array_join(F.transform(F.filter("undecided", lambda b: b["zone"] == MAIN), lambda b: b["text"]), "\n\n"))
+    none = F.lit(None).cast(parsed.schema["undecided"].dataType)
+    sides = F.array(  # a page's text is told by the stream of its main blocks, or by the other, which then carries all blocks
+        F.struct(F.lit("article").alias("side"), article.alias("stream"), none.alias("undecided"), F.col("undecided").isNull().alias("tells")),
+        F.struct(F.lit("other").alias("side"), F.col("stream"), F.col("undecided"), F.col("undecided").isNotNull().alias("tells")),
+    )
+    streams = parsed.select("page_id", "url", "host", F.explode(sides).alias("s")).select("page_id", F.concat_ws(" ", "host", "s.side").alias("sorted_with"), "url", "s.stream", "s.undecided", "s.tells")
+    spans = repeats.shared_spans(streams, key="page_id", text="stream", group="sorted_with", length=LENGTH, carry=("url", "undecided", "tells"), whole=True)
+    told = spans.where("tells").withColumn("decided", decide(F.col("undecided"), F.col("spans")))
+    asked = F.aggregate(F.filter("undecided", lambda b: b["zone"] != MAIN), F.lit(0), lambda n, b: n + F.octet_length(b["text"]) + 1)  # they begin the stream
+    within = F.coalesce(asked, F.col("n_bytes")).cast("long")
+    n_repeated = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.greatest(F.lit(0), F.least(s["stop"], within) - s["start"]))
+    text = F.when(F.col("undecided").isNull(), F.col("kept").cast("string")).otherwise(F.col("decided"))
+    return told.select("page_id", "url", text.alias("text"), n_repeated.alias("n_repeated"))
 
 
 def op8_host_suffix_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")

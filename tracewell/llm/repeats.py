@@ -488,8 +488,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return parts, copy_notes.unionByName(spans)
 
 
-def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, spans array<struct<start, stop>> (removed byte runs), kept binary, and the carried columns."""
+def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH, whole: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans array<struct<start, stop>> (removed byte runs), kept binary (if whole: the whole text, with them), and the carried columns."""
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", span_type), ("kept", pa.binary())])
     carried = [f for f in parts.schema if f.name not in ("part", "doc_id", "key", "tag", "body", "group")]
@@ -515,7 +515,7 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH) -> DataFrame:
         for doc, k, t, text in zip(*columns, strict=True):
             runs = own.get(place[k, t], []) if (k, t) in place else [[0, len(text)]]
             kept, at = [], 0
-            for lo, hi in runs:
+            for lo, hi in () if whole else runs:
                 kept.append(text[at:lo])
                 at = hi
             out.append((doc, len(text), [{"start": lo, "stop": hi} for lo, hi in runs], b"".join([*kept, text[at:]])))
@@ -529,9 +529,9 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH) -> DataFrame:
     return parts.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(apply, out_type)
 
 
-def shared_spans(docs: DataFrame, key: str, text: str, group: str, length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, n_bytes, spans, kept and the carried columns: spans that documents of different keys in one group share."""
-    return cut(*repeated_spans(docs, key, text, length, carry, group), length).withColumnRenamed("doc_id", key)
+def shared_spans(docs: DataFrame, key: str, text: str, group: str, length: int = LENGTH, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """key, n_bytes, spans, kept (see `cut`) and the carried columns: spans that documents of different keys in one group share."""
+    return cut(*repeated_spans(docs, key, text, length, carry, group), length, whole).withColumnRenamed("doc_id", key)
 
 
 def decode(kept: Column) -> Column:
