@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches, materialize, release_memory, scramble, small
+from tracewell.llm.common import bounded_batches, materialize, releasing, scramble, small
 from tracewell.llm.graph import components
 from tracewell.session import table
 
@@ -182,7 +182,6 @@ def sign_documents(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
     """docs (doc_id, digest, words) with `bands` in place of words; without words there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for whole in batches:
             for at in range(0, whole.num_rows, 250):
                 batch = whole.slice(at, 250)
@@ -196,7 +195,7 @@ def sign_documents(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))
                 yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), lists], names=["doc_id", "digest", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return docs.mapInArrow(releasing(run), "doc_id long, digest binary, bands array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -204,7 +203,6 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     one = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"e{c}"), F.col("weights").alias(f"w{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             linked = []
             for row in zip(*(batch.column(c) for c in ("ea", "wa", "eb", "wb")), strict=True):
@@ -212,14 +210,13 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 linked.append(probability_jaccard((ea.view(np.uint64), wa), (eb.view(np.uint64), wb)) >= threshold)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a binary, b binary, linked boolean")
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(releasing(run), "a binary, b binary, linked boolean")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """docs (node, words) as node, elements (sorted as unsigned numbers), weights, shape (how many elements a cell has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             owner, element, weight = shingles(pa.concat_arrays([batch.column("words")]), k)
             offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
@@ -229,7 +226,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             lists.append(pa.FixedSizeListArray.from_arrays(pa.array(shape.astype(np.int32)), cells).cast(pa.list_(pa.int32())))
             yield pa.record_batch([batch.column("node"), *lists], names=["node", "elements", "weights", "shape"])
 
-    return docs.select("node", "words").mapInArrow(run, "node binary, elements array<long>, weights array<int>, shape array<int>")
+    return docs.select("node", "words").mapInArrow(releasing(run), "node binary, elements array<long>, weights array<int>, shape array<int>")
 
 
 def near_duplicates(

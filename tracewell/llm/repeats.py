@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches, materialize, partitions, scramble
+from tracewell.llm.common import bounded_batches, materialize, partitions, releasing_group, releasing_pair, scramble
 from tracewell.session import table
 
 LENGTH, ANCHOR = 50, 16
@@ -481,10 +481,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     dealt_schema = "bucket int, part int, payload binary"
     by_part = lambda df: df.groupBy("part")
-    hashes = by_part(parts).cogroup(by_part(copy_notes)).applyInArrow(deal_anchors, dealt_schema)
-    marks = hashes.groupBy("bucket").applyInArrow(mark_repeated, NOTE)
-    contexts = by_part(parts).cogroup(by_part(copy_notes.unionByName(marks))).applyInArrow(deal_contexts, dealt_schema)
-    spans = contexts.groupBy("bucket").applyInArrow(sort_bucket, NOTE)
+    hashes = by_part(parts).cogroup(by_part(copy_notes)).applyInArrow(releasing_pair(deal_anchors), dealt_schema)
+    marks = hashes.groupBy("bucket").applyInArrow(releasing_group(mark_repeated), NOTE)
+    contexts = by_part(parts).cogroup(by_part(copy_notes.unionByName(marks))).applyInArrow(releasing_pair(deal_contexts), dealt_schema)
+    spans = contexts.groupBy("bucket").applyInArrow(releasing_group(sort_bucket), NOTE)
     return parts, copy_notes.unionByName(spans)
 
 
@@ -526,7 +526,7 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH, whole: bool =
 
     out_type = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
     out_type = ", ".join([out_type, *(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)])
-    return parts.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(apply, out_type)
+    return parts.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(releasing_pair(apply), out_type)
 
 
 def shared_spans(docs: DataFrame, key: str, text: str, group: str, length: int = LENGTH, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches, materialize
+from tracewell.llm.common import bounded_batches, materialize, releasing
 from tracewell.session import table
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
@@ -179,7 +179,7 @@ def count_affixes(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Ite
 
 def toxic_affixes(texts: DataFrame, n0: int, n1: int, least_gain: float = 9.0, least: float = 2.0) -> frozenset[str]:
     """Affixes that toxic documents hold far more often than clean ones: by log odds, and by log likelihood ratio."""
-    counts = texts.select("text", "toxic").mapInArrow(count_affixes, "affix string, c0 long, c1 long")
+    counts = texts.select("text", "toxic").mapInArrow(releasing(count_affixes), "affix string, c0 long, c1 long")
     counts = counts.groupBy("affix").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c1 > 0")
     c0, c1, share = F.col("c0"), F.col("c1"), n1 / (n0 + n1)
     odds = F.log((c1 + 0.5) / (n1 + 1) / ((c0 + 0.5) / (n0 + 1)))
@@ -220,7 +220,7 @@ def draw_chains(texts: DataFrame, marks: frozenset[str], length: int = 16, most:
         columns = zip(*rows, strict=True) if rows else [[]] * 4
         yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    drawn = materialize(texts.mapInArrow(run, "tagged int, rank long, words array<string>, tags array<int>"), "chains")
+    drawn = materialize(texts.mapInArrow(releasing(run), "tagged int, rank long, words array<string>, tags array<int>"), "chains")
     pick = lambda kind, k: drawn.where(F.col("tagged") == kind).orderBy("rank", "words").limit(k).collect()
     used = pick(1, most // 2)
     used += pick(0, max(most // 4, min(most - len(used), 2 * len(used))))
@@ -273,7 +273,7 @@ def fit_curve(field: Field, texts: DataFrame) -> np.ndarray:
                 x = summary(tagger.marginals(batch.column("text").to_pylist()))
                 yield pa.record_batch([pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column("toxic")], names=["total", "most", "toxic"])
 
-    found = sorted(texts.select("text", "toxic").mapInArrow(run, "total double, most double, toxic int").collect())
+    found = sorted(texts.select("text", "toxic").mapInArrow(releasing(run), "total double, most double, toxic int").collect())
     x, y = (np.array([[1.0, r["total"], r["most"]] for r in found]), np.array([r["toxic"] for r in found], float))
     return logistic(x, y)
 
@@ -341,7 +341,7 @@ def score(docs: DataFrame, field: Field | None, text: str = "text", spans: bool
                 yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(scores), pa.array(tokens, span_type)], names=[*kept, "score", "toxic_tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept).mapInArrow(run, f"{schema}, {RESULTS}")
+    return docs.select(*kept).mapInArrow(releasing(run), f"{schema}, {RESULTS}")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
