@@ -336,7 +336,7 @@ def search(
     if not drawn.num_rows:  # the hash may pass over a few vectors, not over many
         drawn = entries.limit(1).toArrow()
     taken = matrix(drawn.column("vector"))
-    few = min(SEEDS, max(1, SEED_BYTES // (8 * taken.shape[1])))
+    few = max(1, min(SEEDS, size["n"] // 8, SEED_BYTES // (8 * taken.shape[1])))  # the lists, not these, find the neighbours
     seeds = spark.sparkContext.broadcast((taken[:few].copy(), drawn.column("keys").slice(0, few).to_pylist()))
     del drawn
     fitted = Index.fit(taken, norm, size["n"] // list_size, k, target, truth=true_neighbours(entries, queries, k))
