@@ -3,8 +3,10 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
+from tracewell.llm import pages, repeats
 from tracewell.llm.pages import blocks
 
 
@@ -88,3 +90,34 @@ def test_badly_nested_pages_take_linear_time(markup):
     began = time.process_time()
     blocks(first + head * (500_000 // len(head)) + tail * (500_000 // len(tail)))
     assert time.process_time() - began < 10
+
+
+def test_parts_hold_packed_text():
+    """What parts exchange is small, and comes back as it was."""
+    rng = np.random.default_rng(9)
+    own = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    several = rng.random(len(own)) < 0.1
+    packed = repeats.pack_hashes(own, several)
+    got, bits = repeats.unpack_hashes(packed)
+    assert len(packed) < 4 * len(own) and (got == (own >> np.uint64(32)).astype(np.uint32)).all() and (bits == several).all()
+    for n in (0, 1, 2):
+        got, bits = repeats.unpack_hashes(repeats.pack_hashes(own[:n], several[:n]))
+        assert (len(got), len(bits)) == (n, n)
+    for text in (b"", b"a", "é".encode() * 999):
+        assert repeats.unpack(repeats.pack(text)) == text
+    for kind in ("<i4", "<i8", "u1", "<u8"):
+        x = rng.integers(0, 100, 7).astype(kind)
+        assert (repeats.of_planes(b"x" + repeats.planes(x), kind, 7, 1) == x).all()
+
+
+def test_pages_are_read_once(spark, monkeypatch):
+    """No table of parsed pages is written, and the sort's three uses of the parts read one exchange."""
+    written, materialize = [], repeats.materialize
+    monkeypatch.setattr(repeats, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    monkeypatch.setattr(pages, "materialize", lambda df, name: written.append(name) or materialize(df, name), raising=False)
+    rows = [(i, f"http://h{i % 2}/{i}", f"<nav>menu of the whole site, with so many words that it counts as one</nav><article>text {i} of its own</article>") for i in range(20)]
+    found = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == {i: f"text {i} of its own" for i in range(20)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert written == [] and final.count("MapInArrow") == 1 and final.count("ReusedExchange") >= 2

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import repeats
-from tracewell.llm.common import bounded_batches, materialize
+from tracewell.llm.common import bounded_batches, releasing
 from tracewell.session import table
 
 LENGTH = 50
@@ -228,29 +228,36 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return [(z if z == NONE else (z or MAIN) if k >= least > 0 else OPEN, t) for z, k, t in found]
 
 
+def _read(page: str | None) -> tuple[str, list[dict[str, str]] | None, str]:
+    """(text of the article, the blocks that aren't out where the repeats are to decide, text of all other blocks) of a page."""
+    cut = blocks(page or "")
+    asked = [t for z, t in cut if z in (DOUBT, OPEN)]
+    decided = not asked or not any(z == DOUBT for z, _ in cut) and any(z == MAIN for z, _ in cut)
+    undecided = None if decided else [{"zone": z, "text": t} for z, t in cut if z != NONE]
+    return "\n\n".join(t for z, t in cut if z == MAIN), undecided, "\n".join([*asked, "", *(t for z, t in cut if z == NONE)])
+
+
 def parse(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """page_id, url, host, main (null where the repeats are to decide), undecided (its blocks then), stream (text outside main)."""
+    """page_id, url, host, and of a page's two streams, a row each: side, stream (packed), undecided, tells.
+
+    A page's text is told by the stream of its main blocks, or by the other, which then carries all blocks (`undecided`).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            main, undecided, stream = [], [], []
-            for p in batch.column("html").to_pylist():
-                cut = blocks(p or "")
-                asked = [t for z, t in cut if z in (DOUBT, OPEN)]
-                decided = not asked or not any(z == DOUBT for z, _ in cut) and any(z == MAIN for z, _ in cut)
-                main.append("\n\n".join(t for z, t in cut if z == MAIN) if decided else None)
-                undecided.append(None if decided else [{"zone": z, "text": t} for z, t in cut if z != NONE])
-                stream.append("\n".join([*asked, "", *(t for z, t in cut if z == NONE)]))
-            yield pa.record_batch(
-                [batch.column("page_id"), batch.column("url"), pa.array(main, pa.string()), pa.array(undecided, _blocks), pa.array(stream, pa.string())],
-                names=["page_id", "url", "main", "undecided", "stream"],
-            )
+            read = list(map(_read, batch.column("html").to_pylist()))
+            for side, at in (("article", 0), ("other", 2)):
+                stream = pa.array([repeats.pack(r[at].encode()) for r in read], pa.binary())
+                undecided = pa.array([r[1] if at else None for r in read], _blocks)
+                tells = pa.array([(r[1] is None) == (at == 0) for r in read], pa.bool_())
+                columns = [batch.column("page_id"), batch.column("url"), pa.array([side] * len(read), pa.string()), stream, undecided, tells]
+                yield pa.record_batch(columns, names=["page_id", "url", "side", "stream", "undecided", "tells"])
 
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).alias("html"))
-    parsed = rows.mapInArrow(run, "page_id long, url string, main string, undecided array<struct<zone: string, text: string>>, stream string")
+    schema = "page_id long, url string, side string, stream binary, undecided array<struct<zone: string, text: string>>, tells boolean"
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:\w+:)?//(?:[^/@]*@)?([^/:?#]*)", 1))
-    return parsed.withColumn("host", host)
+    return rows.mapInArrow(releasing(run), schema).withColumn("host", host)
 
 
 _blocks = pa.list_(pa.struct([("zone", pa.string()), ("text", pa.string())]))
@@ -295,15 +302,10 @@ def decide(undecided: Column, spans: Column) -> Column:
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_repeated (bytes that other pages of the host repeat, of the blocks that aren't out) of every page."""
-    parsed = materialize(parse(pages, key, url, page), "pages")
-    article = F.coalesce("main", F.array_join(F.transform(F.filter("undecided", lambda b: b["zone"] == MAIN), lambda b: b["text"]), "\n\n"))
-    none = F.lit(None).cast(parsed.schema["undecided"].dataType)
-    sides = F.array(  # a page's text is told by the stream of its main blocks, or by the other, which then carries all blocks
-        F.struct(F.lit("article").alias("side"), article.alias("stream"), none.alias("undecided"), F.col("undecided").isNull().alias("tells")),
-        F.struct(F.lit("other").alias("side"), F.col("stream"), F.col("undecided"), F.col("undecided").isNotNull().alias("tells")),
-    )
-    streams = parsed.select("page_id", "url", "host", F.explode(sides).alias("s")).select("page_id", F.concat_ws(" ", "host", "s.side").alias("sorted_with"), "url", "s.stream", "s.undecided", "s.tells")
-    spans = repeats.shared_spans(streams, key="page_id", text="stream", group="sorted_with", length=LENGTH, carry=("url", "undecided", "tells"), whole=True)
+    # Pages are read once, into the parts that are sorted, so their text is nowhere twice; parts are sized by the markup.
+    streams = parse(pages, key, url, page).withColumn("sorted_with", F.concat_ws(" ", "host", "side"))
+    size = pages.agg(F.sum(F.octet_length(page))).first()[0] or 0
+    spans = repeats.shared_spans(streams, key="page_id", text="stream", group="sorted_with", length=LENGTH, carry=("url", "undecided", "tells"), whole=True, packed_bytes=size)
     told = spans.where("tells").withColumn("decided", decide(F.col("undecided"), F.col("spans")))
     asked = F.aggregate(F.filter("undecided", lambda b: b["zone"] != MAIN), F.lit(0), lambda n, b: n + F.octet_length(b["text"]) + 1)  # they begin the stream
     within = F.coalesce(asked, F.col("n_bytes")).cast("long")

@@ -52,6 +52,38 @@ def loads(buffer: bytes, kind: str, n: int) -> np.ndarray:
     return np.ndarray((n,), kind, buffer, 0, (1,))
 
 
+def pack(raw: bytes) -> bytes:
+    """Compressed bytes, with their number in front: parts exchange more than Spark's own codec would make small."""
+    return struct.pack("<q", len(raw)) + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def unpack(packed: bytes | pa.Buffer) -> bytes:
+    (n,) = struct.unpack_from("<q", packed)
+    return pa.decompress(memoryview(packed)[8:], n, "zstd", asbytes=True) if n else b""
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers, their lowest bytes first, then the next ones: small or near numbers leave runs of equal bytes."""
+    return x.view("u1").reshape(len(x), x.itemsize).T.tobytes()
+
+
+def of_planes(raw: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, "u1", n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
+def pack_hashes(own: np.ndarray, several: np.ndarray) -> bytes:
+    """The upper halves of ascending hashes, as differences, and a bit for each."""
+    step = np.diff((own >> np.uint64(32)).astype("<u4"), prepend=np.uint32(0))
+    return pack(struct.pack("<q", len(own)) + planes(step) + np.packbits(several).tobytes())
+
+
+def unpack_hashes(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = unpack(packed)
+    (n,) = struct.unpack_from("<q", raw)
+    return np.cumsum(of_planes(raw, "<u4", n, 8), dtype=np.uint32), np.unpackbits(np.frombuffer(raw, "u1", offset=8 + 4 * n), count=n).astype(bool)
+
+
 def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first window, windows, anchor hash) of each run of windows with one anchor, by text and place."""
     out: list[list[np.ndarray]] = [[], [], [], []]
@@ -312,11 +344,12 @@ def places_of(part: pa.Table, copies: set[tuple[int, int]]) -> tuple[list[int],
     return [rows[which] for which in order], {which: n for n, which in enumerate(order)}
 
 
-def distinct_documents(part: pa.Table, copies: set[tuple[int, int]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def distinct_documents(part: pa.Table, copies: set[tuple[int, int]], packed: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """key, text and group of these documents."""
     rows, _ = places_of(part, copies)
     body = part.column("body")
-    return part.column("key").to_numpy()[rows], [body[i].as_py() for i in rows], part.column("group").to_numpy()[rows].view(np.uint64)
+    read = unpack if packed else bytes
+    return part.column("key").to_numpy()[rows], [read(body[i].as_py()) for i in rows], part.column("group").to_numpy()[rows].view(np.uint64)
 
 
 def notes_of(side: pa.Table, kind: int) -> list[dict]:
@@ -341,18 +374,20 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 _dealt = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), group: str | None = None) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), group: str | None = None, packed_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(parts, notes): the documents dealt into parts, and each part's copies and removed spans (see `cut`).
 
     carry: further columns of docs that the parts keep; names of the parts' own columns are refused. With a group, strings only match within one value of that column,
-    and a string in documents of different keys is removed from all of them.
+    and a string in documents of different keys is removed from all of them. packed_bytes: texts come from `pack`, and parts are
+    sized by this many bytes in all; docs are then read once.
     """
+    packed = packed_bytes is not None
     clash = set(carry) & {"doc_id", "key", "tag", "body", "group", "part", "n_bytes", "spans", "kept"}
     if clash:
         raise ValueError(f"carried columns must have other names than {', '.join(sorted(clash))}")
     spark = docs.sparkSession
     bounded_batches(spark)
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    body = F.col(text) if packed else F.coalesce(F.col(text), F.lit("")).cast("binary")
     group_hash = F.lit(0).cast("long") if group is None else F.xxhash64(group)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), body.alias("body"), group_hash.alias("group"), *carry)
     ids = rows.select("key", F.xxhash64("body").alias("tag"), F.md5("body").alias("digest"), F.octet_length("body").alias("n"))
@@ -361,21 +396,21 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         kind = f.dataType.typeName()
         if kind in ("string", "binary", "array"):
             weights.append(F.coalesce(F.octet_length(F.to_json(f.name) if kind == "array" else f.name), F.lit(0)))
-    size = rows.agg(*(F.sum(w) for w in weights)).first()
-    size = sum(x or 0 for x in size)
+    size = packed_bytes if packed else sum(x or 0 for x in rows.agg(*(F.sum(w) for w in weights)).first())
     parts_n = max(partitions(spark), -(-size // PART_BYTES))
     part_of = lambda: F.pmod(F.xxhash64("key", "tag"), F.lit(parts_n)).cast("int")
-    earliest = ids.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    if group is not None:
-        earliest = earliest.where("false")  # every copy testifies
-    earliest = materialize(earliest.drop("copies"), "earliest")  # so the join has exchanges of its own, and can split a hot digest
-    copies = materialize(ids.where(F.col("n") >= length).join(earliest, "digest").where("key > first").select("key", "tag").distinct(), "copies")
+    if group is None:
+        earliest = ids.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+        earliest = materialize(earliest.drop("copies"), "earliest")  # so the join has exchanges of its own, and can split a hot digest
+        copies = materialize(ids.where(F.col("n") >= length).join(earliest, "digest").where("key > first").select("key", "tag").distinct(), "copies")
+    else:
+        copies = spark.createDataFrame([], "key long, tag long")  # every copy testifies
     copy_notes = copies.select(part_of().alias("part"), F.lit(COPY).alias("kind"), "key", "tag", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("payload"))
     parts = rows.withColumn("tag", F.xxhash64("body")).select(part_of().alias("part"), "doc_id", "key", "tag", "body", "group", *carry)
 
     def hashes_of(part: pa.Table, side: pa.Table) -> tuple:
         """Of a part: keys, texts, and its anchors by bucket and hash: (owner, first, count, hash), distinct ones, cuts by bucket."""
-        keys, texts, groups = distinct_documents(part, copies_of(side))
+        keys, texts, groups = distinct_documents(part, copies_of(side), packed)
         owner, first, count, h = anchors(texts, length)
         h = h ^ groups[owner]
         bucket = (scramble(h) % np.uint64(parts_n)).astype(np.int64)
@@ -385,21 +420,20 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         return keys, texts, owner, first, count, h, heads, np.searchsorted(bucket[heads], np.arange(parts_n + 1))
 
     def deal_anchors(part: pa.Table, side: pa.Table) -> pa.Table:
-        """For each bucket: the part's distinct hashes, and a bit for those that several of its documents hold."""
+        """For each bucket: the part's distinct hashes (half of each: what only looks equal is sorted in vain), and a bit for those that several of its documents hold."""
         if not part.num_rows:
             return _rows([], _dealt)
         number = part.column("part")[0].as_py()
         _, _, owner, _, _, h, heads, cuts = hashes_of(part, side)
         several = np.maximum.reduceat(owner, heads) > np.minimum.reduceat(owner, heads) if len(heads) else np.zeros(0, bool)
         own = h[heads]
-        return _rows([(b, number, own[lo:hi].tobytes() + np.packbits(several[lo:hi]).tobytes()) for b, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if lo < hi], _dealt)
+        return _rows([(b, number, pack_hashes(own[lo:hi], several[lo:hi])) for b, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if lo < hi], _dealt)
 
     def mark_repeated(dealt: pa.Table) -> pa.Table:
         """For each part: a bit for each of its hashes that several documents hold."""
         rows_ = dealt.to_pylist()
-        sizes = [len(r["payload"]) * 8 // 65 for r in rows_]  # n hashes take 8 n bytes and ceil(n / 8) more
-        every = np.concatenate([np.frombuffer(r["payload"], np.uint64, n) for r, n in zip(rows_, sizes, strict=True)])
-        several = np.concatenate([np.unpackbits(np.frombuffer(r["payload"], np.uint8, offset=8 * n), count=n) for r, n in zip(rows_, sizes, strict=True)]).astype(bool)
+        hashes_, bits = zip(*(unpack_hashes(r["payload"]) for r in rows_), strict=True)
+        sizes, every, several = list(map(len, hashes_)), np.concatenate(hashes_), np.concatenate(bits)
         order = np.argsort(every, kind="stable")
         equal = every[order[1:]] == every[order[:-1]]
         several[order[1:][equal]] = several[order[:-1][equal]] = True
@@ -433,9 +467,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             np.maximum.at(most, which, key)
             covered = key > least[which] if group is None else (least < most)[which]  # by this part's own documents
             kept = own[chosen]
-            columns = [h[kept], least, most, count[kept].astype("u1"), which.astype("<i4"), owner[own].astype("<i4"), first[own].astype("<i4"), np.packbits(covered)]
+            steps = np.diff(h[kept], prepend=np.uint64(0)), np.diff(which.astype("<i4"), prepend=np.int32(0))
+            columns = [steps[0], least, most - least, count[kept].astype("u1"), steps[1], owner[own].astype("<i4"), first[own].astype("<i4"), np.packbits(covered)]
             strings = strings_at(buffer, start[chosen], size[chosen])
-            out.append((r["bucket"], number, struct.pack("<qq", len(chosen), len(own)) + b"".join(x.tobytes() for x in (*columns, strings))))
+            out.append((r["bucket"], number, pack(struct.pack("<qq", len(chosen), len(own)) + b"".join(map(planes, (*columns, strings))))))
         return _rows(out, _dealt)
 
     def sort_bucket(dealt: pa.Table) -> pa.Table:
@@ -445,13 +480,16 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         members = []
         payloads = dealt.column("payload")
         for i in range(len(payloads)):
-            raw = payloads[i].as_buffer()
+            raw = unpack(payloads[i].as_buffer())
             n, m = struct.unpack_from("<qq", raw)
             at = 16
             for column, kind in zip(contexts, kinds, strict=False):
-                column.append(np.frombuffer(raw, kind, n, at))
+                column.append(of_planes(raw, kind, n, at))
                 at += column[-1].nbytes
-            member = np.frombuffer(raw, "<i4", 3 * m, at).reshape(3, m)
+            contexts[0][-1] = np.cumsum(contexts[0][-1], dtype=np.uint64)
+            contexts[2][-1] = contexts[1][-1] + contexts[2][-1]
+            member = np.stack([of_planes(raw, "<i4", m, at + 4 * m * k) for k in range(3)])
+            member[0] = np.cumsum(member[0], dtype=np.int32)
             at += member.nbytes
             covered = np.unpackbits(np.frombuffer(raw, np.uint8, -(-m // 8), at), count=m).astype(bool)
             contexts[4].append(np.frombuffer(raw, np.uint8, offset=at + -(-m // 8)))
@@ -476,7 +514,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             stops = np.concatenate([first[own] + lo[at] + n[at], first[whole] + count[which[whole]]]) + length - 1
             if len(starts):
                 spans = np.stack([np.concatenate([owner[own], owner[whole]]), starts, stops]).astype("<i4")
-                found.append((part, SPANS, 0, 0, 0, spans.tobytes()))
+                spans = spans[:, np.lexsort((spans[1], spans[0]))]
+                spans[2] -= spans[1]
+                found.append((part, SPANS, 0, 0, 0, pack(planes(np.diff(spans, axis=1, prepend=np.int32(0)).ravel()))))
         return _rows(found, _note_schema)
 
     dealt_schema = "bucket int, part int, payload binary"
@@ -488,7 +528,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return parts, copy_notes.unionByName(spans)
 
 
-def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH, whole: bool = False) -> DataFrame:
+def spans_of(packed: bytes) -> np.ndarray:
+    """[document, start, stop] of a note."""
+    raw = unpack(packed)
+    spans = np.cumsum(of_planes(raw, "<i4", len(raw) // 4).reshape(3, -1), axis=1, dtype=np.int64)
+    spans[2] += spans[1]
+    return spans
+
+
+def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH, whole: bool = False, packed: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans array<struct<start, stop>> (removed byte runs), kept binary (if whole: the whole text, with them), and the carried columns."""
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", span_type), ("kept", pa.binary())])
@@ -498,7 +546,7 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH, whole: bool =
         if not part.num_rows:
             return _rows([], schema)
         copies = copies_of(side)
-        found = [np.frombuffer(r["payload"], "<i4").reshape(3, -1).astype(np.int64) for r in notes_of(side, SPANS)]
+        found = [spans_of(r["payload"]) for r in notes_of(side, SPANS)]
         spans = np.hstack(found) if found else np.zeros((3, 0), np.int64)
         spans = spans[:, np.lexsort((spans[1], spans[0]))]
         own: dict[int, list[list[int]]] = {}
@@ -513,6 +561,7 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH, whole: bool =
         out = []
         columns = (part.column(c).to_pylist() for c in ("doc_id", "key", "tag", "body"))
         for doc, k, t, text in zip(*columns, strict=True):
+            text = unpack(text) if packed else text
             runs = own.get(place[k, t], []) if (k, t) in place else [[0, len(text)]]
             kept, at = [], 0
             for lo, hi in () if whole else runs:
@@ -529,9 +578,9 @@ def cut(parts: DataFrame, notes: DataFrame, length: int = LENGTH, whole: bool =
     return parts.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(releasing_pair(apply), out_type)
 
 
-def shared_spans(docs: DataFrame, key: str, text: str, group: str, length: int = LENGTH, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+def shared_spans(docs: DataFrame, key: str, text: str, group: str, length: int = LENGTH, carry: tuple[str, ...] = (), whole: bool = False, packed_bytes: int | None = None) -> DataFrame:
     """key, n_bytes, spans, kept (see `cut`) and the carried columns: spans that documents of different keys in one group share."""
-    return cut(*repeated_spans(docs, key, text, length, carry, group), length, whole).withColumnRenamed("doc_id", key)
+    return cut(*repeated_spans(docs, key, text, length, carry, group, packed_bytes), length, whole, packed_bytes is not None).withColumnRenamed("doc_id", key)
 
 
 def decode(kept: Column) -> Column:
