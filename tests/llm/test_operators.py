@@ -136,6 +136,38 @@ def test_a_large_group_of_edited_copies(spark):
     assert got == {i: find(i) for i in range(90)}
 
 
+def test_rounds_read_only_what_they_compare(spark, monkeypatch):
+    """Shingles whose holders were all taken aren't read again, and shapes are a byte a cell that bounds what sets share."""
+    rng = np.random.default_rng(12)
+    base, data = words(rng, 150).split(), []
+    for i in range(60):
+        w = list(base)
+        for at in rng.integers(0, 150, 1 + i % 6):
+            w[at] = f"x{rng.integers(1 << 40)}"
+        data.append((i, " ".join(w)))
+    live, materialize = [], near_duplicates.materialize
+
+    def kept(df, name):
+        out = materialize(df, name)
+        if name == "live":
+            live.append(out)
+        return out
+
+    monkeypatch.setattr(near_duplicates, "materialize", kept)
+    near_duplicates.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).count()
+    assert live and live[-1].count() > 0
+    for nth, rows in enumerate(live):  # a round takes one holder of each shingle at least
+        assert rows.groupBy("shingle").agg(F.max("nth").alias("last")).where(F.col("last") <= nth).count() == 0
+    long = [" ".join(f"w{i}" for i in range(lo, lo + 40_000)) for lo in (0, 10_000)]
+    docs = spark.createDataFrame([(bytes([k]), t) for k, t in enumerate([*long, "one two", ""])], "node binary, text string")
+    a, b, c, d = near_duplicates.shingle_sets(docs.withColumn("words", near_duplicates.word_hashes(F.col("text"))), 5).orderBy("node").collect()
+    assert dict(near_duplicates.shingle_sets(docs.withColumn("words", F.array().cast("array<long>")), 5).dtypes)["shape"] == "array<tinyint>"
+    common_ = len(set(a["elements"]) & set(b["elements"]))
+    assert a.unit > 1 and max(a["shape"]) <= 127 and common_ == 29_996
+    assert common_ <= sum(min(p * a.unit, q * b.unit) for p, q in zip(a["shape"], b["shape"])) < 1.1 * 39_996
+    assert (sum(c["shape"]), c.unit, sum(d["shape"]), d.unit) == (1, 1, 0, 1)
+
+
 def test_near_duplicates_by_awkward_keys(spark):
     """Keys say nothing about texts: equal keys may have unlike ones, and null keys any."""
     text = "one two three four five six seven eight nine ten"

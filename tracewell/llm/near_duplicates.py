@@ -116,14 +116,14 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """node, shingle, before, rarer, nth, shape, distinct, total: the rarest shingles of nodes. open_: node, class.
+    """node, shingle, before, rarer, nth, shape, unit, distinct, total: the rarest shingles of nodes. open_: node, class.
 
     With weights scaled to 1, the probability Jaccard is at most the weight of the common shingles. So if it reaches the
     threshold, the rarest common shingle is, on either side, among the rarest ones whose weight exceeds 1 - threshold: no
     pair that can be linked is lost. Those that one class alone holds are left out. before: the weight of the rarer ones;
     rarer: those of them that are here too; nth: place by `before` among the shingle's holders.
     """
-    own = sets.join(open_, "node").select("node", "class", F.explode(F.arrays_zip("elements", "weights")).alias("s"))
+    own = sets.join(small(open_), "node").select("node", "class", F.explode(F.arrays_zip("elements", "weights")).alias("s"))
     own = own.select("node", "class", F.col("s.elements").alias("shingle"), F.col("s.weights").alias("weight"))
     common = own.groupBy("shingle").agg(F.count("*").alias("holders"))
     by_node = W.partitionBy("node")
@@ -132,11 +132,12 @@ def prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     prefix = ranked.where(F.col("before") <= 1 - threshold + 1e-9).select("node", "class", "shingle", "before")
     prefix = materialize(prefix, "prefix")
     several = prefix.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("shingle")
+    several = small(materialize(several, "several"))
     order = W.partitionBy("shingle").orderBy("before", "node")
     prefix = prefix.join(several, "shingle", "left_semi").withColumn("nth", F.row_number().over(order) - 1)
     rarer = F.collect_list("shingle").over(by_node.orderBy("before").rowsBetween(W.unboundedPreceding, -1))
     total = F.aggregate("weights", F.lit(0).cast("long"), lambda n, w: n + w)
-    whole = sets.select("node", "shape", F.size("elements").alias("distinct"), total.alias("total"))
+    whole = sets.select("node", "shape", "unit", F.size("elements").alias("distinct"), total.alias("total"))
     return prefix.select("node", "shingle", "before", rarer.alias("rarer"), "nth").join(whole, "node")
 
 
@@ -148,27 +149,32 @@ def link_classes(open_: DataFrame, sets: DataFrame, done: DataFrame, threshold:
     common, so the similarity is at most (1 - x)(1 - y) / (1 - xy). Two sets can't have more elements in common than the
     sum over cells of the smaller of their shapes; what is left of either is not common, and weighs at least 1 an element,
     which bounds x and y too. Pairs for which the similarity is too small aren't made. A round takes at least twice as many
-    holders as the round before, and more if that made few pairs beside the nodes.
+    holders as the round before, and more if that made few pairs beside the nodes. Shingles whose holders were all taken,
+    or are of one class by now, aren't read by later rounds; classes and shingles go to the rows where they are few, and
+    only the sets that pairs name are dealt out to be verified, so a round ships what it compares.
     """
     rows, found = materialize(prefixes(open_, sets, threshold), "prefixes"), []
     below = lambda x, y: f"(1 - {x}) * (1 - {y}) >= {threshold} * (1 - {x} * {y}) - 1e-9"
     x, y = (f"greatest({n}_before, ({n}_distinct - o) / {n}_total)" for n in "ab")
-    both = "aggregate(zip_with(a_shape, b_shape, (p, q) -> least(p, q)), 0, (s, v) -> s + v)"
+    both = "aggregate(zip_with(a_shape, b_shape, (p, q) -> least(p * a_unit, q * b_unit)), 0, (s, v) -> s + v)"
     near = f"{below('a_before', 'b_before')} AND NOT arrays_overlap(a_rarer, b_rarer) AND exists(array({both}), o -> {below(x, y)})"
-    once = "(a_nth > b_nth OR a_nth = b_nth AND a < b)"  # else it was made when a was among the holders taken
+    once = "a_nth > b_nth"  # else it was made when a was among the holders taken
     lo, wide, classes, nodes = 0, 1, open_, open_.count()
     while True:
-        classed = rows.join(classes, "node")
-        several = classed.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.max("nth").alias("last")).where("least < most")
-        live = materialize(classed.join(several.select("shingle", "last"), "shingle"), "live")
-        if not live.where(F.col("last") >= lo).limit(1).count():
+        classed = rows.join(small(classes), "node")
+        several = classed.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.max("nth").alias("last"))
+        several = materialize(several.where(f"least < most AND last > {lo}").select("shingle"), "several")
+        if not several.limit(1).count():
             return found
-        side = lambda n: live.select("shingle", F.col("node").alias(n), F.col("class").alias(f"{n}_class"), F.col("before").alias(f"{n}_before"), *(F.col(c).alias(f"{n}_{c}") for c in ("rarer", "nth", "shape", "distinct", "total")))
+        live = materialize(classed.join(small(several), "shingle", "left_semi"), "live")
+        rows = live.drop("class")
+        side = lambda n: live.select("shingle", F.col("node").alias(n), F.col("class").alias(f"{n}_class"), F.col("before").alias(f"{n}_before"), *(F.col(c).alias(f"{n}_{c}") for c in ("rarer", "nth", "shape", "unit", "distinct", "total")))
         heads = side("b").where(F.col("b_nth").between(lo, lo + wide - 1))
-        pairs = side("a").join(heads, "shingle").where(f"a_class != b_class AND {once} AND {near}")
+        pairs = side("a").where(F.col("a_nth") > lo).join(heads, "shingle").where(f"a_class != b_class AND {once} AND {near}")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_class", "b_class").alias("one"), F.greatest("a_class", "b_class").alias("other")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        linked = verify(pairs.select("a", "b"), sets, threshold).where("linked").select("a", "b")
+        named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
+        linked = verify(pairs.select("a", "b"), sets.join(small(named), "node", "left_semi"), threshold).where("linked").select("a", "b")
         links = materialize(linked.join(pairs, ["a", "b"]).select("a", "b", "one", "other"), "links")
         if links.limit(1).count():
             found.append(links.select("a", "b"))
@@ -214,7 +220,10 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs (node, words) as node, elements (sorted as unsigned numbers), weights, shape (how many elements a cell has)."""
+    """docs (node, words) as node, elements (sorted as unsigned numbers), weights, shape, unit.
+
+    shape: how many elements a cell has, in units, rounded up; a unit is one element unless a cell has more than a byte holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,11 +231,13 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (element.view(np.int64), weight.astype(np.int32))]
             cells = 1 << SHAPE_BITS
-            shape = np.bincount(owner * cells + (element >> np.uint64(64 - SHAPE_BITS)).astype(np.int64), minlength=batch.num_rows * cells)
-            lists.append(pa.FixedSizeListArray.from_arrays(pa.array(shape.astype(np.int32)), cells).cast(pa.list_(pa.int32())))
-            yield pa.record_batch([batch.column("node"), *lists], names=["node", "elements", "weights", "shape"])
+            shape = np.bincount(owner * cells + (element >> np.uint64(64 - SHAPE_BITS)).astype(np.int64), minlength=batch.num_rows * cells).reshape(-1, cells)
+            unit = np.maximum(1, -(-shape.max(1, initial=0) // 127))
+            shape = -(-shape // unit[:, None])
+            lists.append(pa.FixedSizeListArray.from_arrays(pa.array(shape.ravel().astype(np.int8)), cells).cast(pa.list_(pa.int8())))
+            yield pa.record_batch([batch.column("node"), *lists, pa.array(unit.astype(np.int32))], names=["node", "elements", "weights", "shape", "unit"])
 
-    return docs.select("node", "words").mapInArrow(releasing(run), "node binary, elements array<long>, weights array<int>, shape array<int>")
+    return docs.select("node", "words").mapInArrow(releasing(run), "node binary, elements array<long>, weights array<int>, shape array<tinyint>, unit int")
 
 
 def near_duplicates(
@@ -271,8 +282,9 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     first = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first")
     texts = materialize(signed.groupBy("digest").agg(F.first("bands").alias("bands"), first), "texts")
     nodes = texts.select(F.col("digest").alias("node"), F.explode("bands").alias("bucket"))
-    bucket = W.partitionBy("bucket")  # a node has one row in a bucket, so a bucket of several rows has several nodes
-    held_in = materialize(nodes.withColumn("mates", F.count("*").over(bucket)).where("mates > 1"), "held")
+    # A node has one row in a bucket, so a bucket of several rows has several nodes. Most have one: their rows stay where they are.
+    shared = materialize(nodes.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1"), "shared")
+    held_in = materialize(nodes.join(small(shared), "bucket"), "held")
     # A node with many bucket mates is the likeliest to be near them all: it makes the best pivot.
     degrees = held_in.groupBy("node").agg((-F.sum("mates")).alias("degree"))
     members = materialize(held_in.select("bucket", "node").join(degrees, "node").select("bucket", "node", F.struct("degree", "node").alias("place")), "members")
