@@ -145,6 +145,19 @@ def test_alignment(spark, monkeypatch):
     assert alignment.score_links(chunks, alignment.pair_counts(chunks)).count() == 0
 
 
+def test_alignment_takes_one_worker_a_task(spark, monkeypatch):
+    """Tokens of a task's documents don't go from one Python worker to another, and the rows are those of the two steps."""
+    plans = []
+    monkeypatch.setattr(alignment, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or common.materialize(df, name))
+    frame = spark.createDataFrame([(k, t, "en", "x", 1, 2) for k, t in enumerate([*HOSTILE, None, ""])], SCHEMA).repartition(2)
+    a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    one = alignment.aligned_chunks(frame, a, b)
+    ((name, plan),) = plans
+    assert name == "chunks" and plan.count("MapInArrow") == 1
+    two = alignment.chunks_of(alignment.align(frame, a, b))
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
 def mined(docs, least, longest, best):
     pieces = {}
     for text, lang in docs:

@@ -16,7 +16,7 @@ equal keys are documents of their own; an empty table gives no rows; other colum
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches, byte_slices, materialize
+from tracewell.llm.common import bounded_batches, byte_slices, materialize, releasing
 from tracewell.llm.tokens import plain_encoder, vocabulary
 from tracewell.session import table
 
@@ -90,7 +90,16 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
 
     Side a codes a space and the text, side b the text, in front of which its tokenizer puts a space itself.
     """
+    return _texts(docs, key, text).mapInArrow(releasing(_aligner(path_a, path_b)), ALIGNED)
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def _aligner(path_a: str, path_b: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of doc_id, text to batches of ALIGNED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = (Side(path_a, True), Side(path_b, False))
@@ -112,7 +121,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
                 stops = [np.split(tokens + 1 - (np.cumsum(m) - m)[of[tokens]], cuts) for tokens, m, of in zip((i, j), n, doc, strict=True)]
                 yield pa.record_batch([batch.column("doc_id"), _ints(ids[0]), _ints(ids[1]), _ints(stops[0]), _ints(stops[1]), pa.array(many)], names=["doc_id", "a", "b", "a_stops", "b_stops", "n_overlaps"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ALIGNED)
+    return run
 
 
 class Decimals:
@@ -189,7 +198,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunks_of(aligned: DataFrame) -> DataFrame:
     """Aligned documents in chunks, a row each, as CHUNKS says: codes are a's id << 32 | b's."""
-    return materialize(aligned.mapInArrow(_chunks, CHUNKS), "chunks")
+    return materialize(aligned.mapInArrow(releasing(_chunks), CHUNKS), "chunks")
+
+
+def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """chunks_of(align(...)) by one Python worker a task: two would both hold memory, and tokens would go through the JVM."""
+    aligned = _aligner(path_a, path_b)
+    return materialize(_texts(docs, key, text).mapInArrow(releasing(lambda batches: _chunks(aligned(batches))), CHUNKS), "chunks")
 
 
 def pair_counts(chunks: DataFrame) -> DataFrame:
@@ -224,6 +239,5 @@ def score_links(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
-    chunks = chunks_of(aligned)
+    chunks = aligned_chunks(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     return score_links(chunks, pair_counts(chunks))
