@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,6 +287,21 @@ def test_packing(docs, rows, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packing_leaves_no_table_in_a_waiting_worker(spark, monkeypatch):
+    tasks = []
+    monkeypatch.setattr(packing, "releasing", lambda run: tasks.append(run) or run)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 100)
+    path = vocabulary("word_bpe_49k.json")
+    rows = [(k, None if k == 3 else f"word{k} и слово{k} " * 10) for k in range(7)]
+    packing.pieces(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    task = tasks[0](iter([pa.table({"doc_id": [k for k, _ in rows], "text": [t for _, t in rows]}).to_batches()[0]]))
+    first = next(task)
+    held = encoder(path)
+    assert first.num_rows == 1 and held.chunks  # a slice of a batch at a time
+    assert [*first["doc_id"].to_pylist(), *(k for b in task for k in b["doc_id"].to_pylist())] == list(range(7))
+    assert not held.pieces and not held.chunks
+
+
 def test_best_fit_over_counts_is_best_fit_over_pieces():
     rng = np.random.default_rng(2)
     for _ in range(30):

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches, materialize, partitions
-from tracewell.llm.tokens import encoder, vocabulary
+from tracewell.llm.common import bounded_batches, byte_slices, materialize, partitions, releasing
+from tracewell.llm.tokens import Encoder, encoder, vocabulary
 from tracewell.session import table
 
 END_ID = 1
+#: Bytes of texts coded at once.
+SLICE_BYTES = 1 << 20
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,21 +36,26 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = END_I
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            out = []
-            for at in range(0, len(keys), 256):
-                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-                for k, ids in zip(keys[at : at + 256], enc.encode(texts), strict=True):
-                    ids = np.append(ids, np.array([end_id], "<u4"))
-                    for p, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
-                        out.append((k, p, start, len(part), zlib.crc32(part.tobytes())))
-            columns = zip(*out, strict=True) if out else [[]] * len(schema)
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        try:
+            for batch in batches:
+                for few in byte_slices(batch, "text", SLICE_BYTES):
+                    yield cut_slice(enc, few)
+        finally:
+            enc.forget()  # more workers wait than work: an executor would hold a table for each
+
+    def cut_slice(enc: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        out = []
+        for k, ids in zip(keys, enc.encode(texts), strict=True):
+            ids = np.append(ids, np.array([end_id], "<u4"))
+            for p, start in enumerate(range(0, len(ids), capacity)):
+                part = ids[start : start + capacity]
+                out.append((k, p, start, len(part), zlib.crc32(part.tobytes())))
+        columns = zip(*out, strict=True)
+        return pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        releasing(cut), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

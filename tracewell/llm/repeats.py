@@ -497,6 +497,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         number = dealt.column("part").to_numpy()
         base = np.cumsum([len(x) for x in contexts[0]]) - [len(x) for x in contexts[0]]
         h, least, most, count, buffer = (np.concatenate(x) for x in contexts)
+        del contexts, column, raw  # what was unpacked is held once from here on
         count = count.astype(np.int64)
         context, lo, n = taken_spans(buffer, count, h, least, most, group is not None, length)
         order = np.argsort(context, kind="stable")

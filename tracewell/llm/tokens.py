@@ -78,6 +78,10 @@ class Encoder:
                 table.clear()
         return [np.frombuffer(self._coded(t), "<u4") for t in texts]
 
+    def forget(self) -> None:
+        """Drop all remembered pieces: a worker that waits for its next task need not hold the last one's."""
+        self.pieces.clear()
+        self.chunks.clear()
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id, of a byte-level vocabulary."""
