@@ -16,7 +16,7 @@ from tracewell.operators.shards import fill_shards
 from tracewell.plans import sequences
 from tracewell.session import table
 
-DAY, REACH = 86_400_000_000, 7_200_000_000
+DAY, REACH, SEED = 86_400_000_000, 7_200_000_000, 12012
 
 
 def timing_null(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -30,7 +30,7 @@ def timing_null(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     bad = e.where("event_type = 'error'").withColumn("to", F.col("t") + F.floor(F.col("value") * 60).cast("long") * 1_000_000)
     support = relocation.without(spans, relocation.joined(bad, "user_id", "t", "to"), "user_id")
     clicks = relocation.feasible(e.where("event_type = 'click'").select("user_id", "event_id", "t"), support, "user_id", "t", DAY)
-    return clicks, relocation.draws(clicks, "event_id", 12012), e.where("event_type = 'view'").select("user_id", "t")
+    return clicks, relocation.draws(clicks, "event_id", SEED), e.where("event_type = 'view'").select("user_id", "t")
 
 
 def q_timing_null(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,15 +39,11 @@ def q_timing_null(spark: SparkSession, sf: str) -> DataFrame:
     Every draw is matched anew. For each recording with clicks: those that can't move, the matches of those that can, order
     statistics of the draws, and the share of draws (with the observed one) that match as many.
     """
-    clicks, drawn, views = timing_null(spark, sf)
-    observed = clicks.where("room > 0").select("user_id", F.lit(-1).alias("draw"), F.col("t").alias("moved"))
-    every = relocation.matched_draws(observed.unionByName(drawn.select("user_id", "draw", "moved")), views, "user_id", REACH, DAY)
-    users = clicks.groupBy("user_id").agg(F.count("*").alias("clicks"), F.sum((F.col("room") == 0).cast("long")).alias("fixed"))
-    wanted = users.where("clicks > fixed").select("user_id", F.explode(F.sequence(F.lit(-1), F.lit(relocation.DRAWS - 1))).alias("draw"))
-    every = wanted.join(every, ["user_id", "draw"], "left").fillna(0, ["matched"])  # a draw without pairs counts as 0
-    null = relocation.order_statistics(every.where("draw >= 0"), "user_id", "matched")
-    found = every.where("draw < 0").select("user_id", "matched")
-    rows = users.join(found, "user_id", "left").join(null, "user_id", "left")
+    clicks, _, views = timing_null(spark, sf)
+    found = relocation.matched_null(clicks, views, "user_id", "event_id", "t", SEED, REACH, DAY)
+    every = F.when(F.col("events") > F.col("still"), F.col("matched"))
+    rows = found.select("user_id", F.col("events").alias("clicks"), F.col("still").alias("fixed"), F.get(every, F.lit(0)).alias("matched"), F.sort_array(F.slice(every, 2, relocation.DRAWS)).alias("_v"))
+    rows = rows.select("*", *relocation.statistics_of(F.col("_v")))
     above = F.size(F.filter("_v", lambda v: v >= F.col("matched")))
     reason = F.when(F.col("clicks") == F.col("fixed"), relocation.NO_PLACE).otherwise(F.col("reason"))
     return rows.select("user_id", "clicks", "fixed", "matched", "low", "middle", "high", F.when(F.col("clicks") > F.col("fixed"), (1 + above) / 100.0).alias("p_value"), reason.alias("reason"))
