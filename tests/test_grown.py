@@ -45,3 +45,43 @@ def test_a_click_is_shuffled_once_not_once_a_draw(spark, tmp_path):
     assert got == {u: n for u in range(4) if (n := sum(r[2] == u and r[3] == "click" for r in rows))}
     plan = plan_of(spark, tmp_path, "q_timing_null")
     assert "FlatMapGroups" not in plan and "explode(sequence(0, 98" not in plan.replace("Some(", "")
+
+
+def odd_events():
+    """Null values, events without k, constant and periodic blocks, NaN, a null user, users of one and of 28 events."""
+    rows = [list(r) for r in events(600, 6, 9)]
+    for i, r in enumerate(rows):
+        if r[2] == 0 and i % 3 == 0:
+            r[4] = None
+        if r[2] == 1 and i % 2:
+            r[5] = '{"j": 1}' if i % 4 == 1 else None
+        if r[2] == 2:
+            r[4] = 0.1
+        if r[2] == 3:
+            r[5] = '{"k": 7}'
+    at = rows[0][1]
+    for user, n in ((7, 1), (8, 28), (9, 54), (10, 27), (11, 12), (None, 30)):
+        for k in range(n):
+            value = float("nan") if user == 10 and k == 3 else 1e9 + (k % 9) * 0.01 if user == 9 else None if user == 11 else float(k % 3)
+            rows.append([10_000 + 100 * (user or 50) + k, at, user, "view", value, '{"k": %d}' % (k % 9 if user == 9 else k % 4)])
+    return [tuple(r) for r in rows]
+
+
+def test_shifts_agree_with_their_sql(spark, tmp_path):
+    from tracewell.plans import sql, statistics
+
+    rows = odd_events()
+    got = run(spark, tmp_path, "q_cyclic_shift_null", events=(rows, EVENTS))
+    want = sql.query(statistics.BLOCKS["q_cyclic_shift_null"])(spark, str(tmp_path))
+    assert registry.QUERIES["q_cyclic_shift_null"](spark, str(tmp_path)).dtypes == want.dtypes
+    key = lambda r: tuple(None if v is None else "NaN" if v != v else v for v in r)
+    want = sorted(map(key, want.collect()), key=lambda r: r[:2])
+    assert sorted(map(key, got), key=lambda r: r[:2]) == want
+    assert {r[0] for r in want} == {*range(12)} - {6} and sum(r[2] for r in want) == len(rows) - 30
+    assert any(r[3] is None for r in want) and any(r[3] == "NaN" for r in want) and any(r[0] == 9 and r[4] >= 2 for r in want)
+
+
+def test_an_event_is_shuffled_once_not_once_a_shift(spark, tmp_path):
+    run(spark, tmp_path, "q_cyclic_shift_null", events=(events(300, 4, 1), EVENTS))
+    plan = plan_of(spark, tmp_path, "q_cyclic_shift_null")
+    assert "Join" not in plan and "explode" not in plan

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
 from tracewell.plans.sql import both
+from tracewell.session import table
 
 #: Vectors as blocks of 28 patches.
 V = "v AS (SELECT vec_id, @idiv(vec_id / 28.0) AS block, vec_id % 28 AS k, label, @vec(embedding) AS x FROM embeddings WHERE embedding IS NOT NULL)"
@@ -77,3 +86,58 @@ SELECT user_id, block, max(n) AS n, max(CASE WHEN r = 3 AND n = 60 THEN value EN
        CASE WHEN max(n) < 60 THEN 'NOT_ESTIMABLE' END AS reason FROM s GROUP BY user_id, block""",
 }
 QUERIES, ORACLES = both(TEXTS | BLOCKS)
+SHIFTED = 27
+
+
+def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation [block] of the pairs of a and b [block, place] that are both known; a masked one where there is none."""
+    known = ~(np.ma.getmaskarray(a) | np.ma.getmaskarray(b))
+    count, first = known.sum(1), known.argmax(1)[:, None]
+    with np.errstate(all="ignore"):
+        each = []
+        for x in (a.data, b.data):
+            d = np.where(known, x - np.take_along_axis(x, first, 1), 0.0)  # equal values become zeros, whatever their size
+            each.append(np.where(known, d - (d.sum(1) / count)[:, None], 0.0))
+        spread = [np.sqrt((d * d).sum(1) / count) for d in each]
+        scale = spread[0] * spread[1]
+        return np.ma.array((each[0] * each[1]).sum(1) / count / scale, mask=(count == 0) | (scale == 0))
+
+
+def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their correlation and how many of the cyclic shifts have one that is no smaller (NaN: larger than any)."""
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        observed, above = np.ma.masked_all(len(n), float), np.zeros(len(n), np.int64)
+        ends = np.cumsum(n)
+        flat = [batch.column(c).flatten() for c in ("a", "b")]
+        flat = [(x.is_null().to_numpy(zero_copy_only=False), x.fill_null(0.0).to_numpy()) for x in flat]
+        for size in np.unique(n):  # at most as many as a block has places
+            rows = np.flatnonzero(n == size)
+            at = (ends[rows] - size)[:, None] + np.arange(size)
+            a, b = (np.ma.array(x[at], mask=null[at]) for null, x in flat)
+            own = correlations(a, b)
+            observed[rows] = own
+            for shift in range(1, size):
+                rho = correlations(a, np.ma.array(np.roll(b.data, -shift, 1), mask=np.roll(b.mask, -shift, 1)))
+                hit = np.isnan(rho.data) | (rho.data >= own.data - 1e-12)
+                above[rows] += hit & ~np.ma.getmaskarray(rho) & ~np.ma.getmaskarray(own)
+        columns = [batch.column("user_id"), batch.column("block"), batch.column("n"), pa.array(observed.data, pa.float64(), mask=np.ma.getmaskarray(observed)), pa.array(above)]
+        yield pa.record_batch(columns, names=["user_id", "block", "n", "observed", "above"])
+
+
+def q_cyclic_shift_null(spark: SparkSession, sf: str) -> DataFrame:
+    """What the SQL of this name says, with a block as a row: the shifts are made where the block has met, so an event is
+    shuffled once and not once a shift."""
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").where("user_id IS NOT NULL")
+    kind = e.schema["user_id"].dataType.simpleString()
+    e = e.select("user_id", "ts", "event_id", F.col("value").alias("a"), F.get_json_object("props", "$.k").cast("bigint").cast("double").alias("b"))
+    e = e.withColumn("r", F.row_number().over(order) - 1)
+    blocks = e.groupBy("user_id", F.floor(F.col("r") / SHIFTED).alias("block")).agg(F.array_sort(F.collect_list(F.struct("r", "a", "b"))).alias("s"))
+    blocks = blocks.select("user_id", "block", F.size("s").cast("long").alias("n"), F.transform("s", lambda s: s["a"]).alias("a"), F.transform("s", lambda s: s["b"]).alias("b"))
+    rows = blocks.mapInArrow(shifted, f"user_id {kind}, block long, n long, observed double, above long")
+    p_value = F.when(F.col("observed").isNotNull(), F.round((1 + F.col("above")).cast("double") / F.col("n"), 6))
+    return rows.select("user_id", "block", "n", F.round("observed", 6).alias("observed"), "above", p_value.alias("p_value"))
+
+
+QUERIES |= {"q_cyclic_shift_null": q_cyclic_shift_null}
