@@ -1,8 +1,12 @@
 """Queries whose work must grow with their input and no faster: equal results to the plain way, and what their plans hold."""
 
 import numpy as np
+import pytest
+
+from pyspark.sql import functions as F
 
 from tracewell.operators import relocation
+from tracewell.operators.matching import match_times, matched_sides, optimal_match, select_peaks, suppress
 from tracewell.plans import registry
 
 from test_whole import EVENTS, events, run
@@ -85,3 +89,58 @@ def test_an_event_is_shuffled_once_not_once_a_shift(spark, tmp_path):
     run(spark, tmp_path, "q_cyclic_shift_null", events=(events(300, 4, 1), EVENTS))
     plan = plan_of(spark, tmp_path, "q_cyclic_shift_null")
     assert "Join" not in plan and "explode" not in plan
+
+
+@pytest.fixture
+def short_batches(spark):
+    """Batches of three rows, so that runs go on over several."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_peaks_of_runs_are_those_of_whole_strata(spark, short_batches):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{s}", int(k), float(v), f"{s}/{k}") for s in range(5) for k, v in zip(np.sort(rng.choice(120, 40, False)), rng.integers(0, 9, 40), strict=True)]
+    rows += [("down", 2 * k, 50.0 - k, "d") for k in range(25)] + [("alone", 7, 1.0, "a"), (None, 3, 1.0, "n"), (None, 4, 2.0, "n"), ("s0", None, 99.0, "nowhere")]
+    df = spark.createDataFrame(rows, "s string, k long, score double, more string").repartition(3)
+    got = select_peaks(df, ["s"], "k", "score", 4.0)
+    assert got.schema == df.schema
+    want = set()
+    for s in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == s and r[1] is not None), key=lambda r: r[1])
+        want |= {own[i] for i in suppress(np.array([r[1] for r in own], float), np.array([r[2] for r in own]), 4.0)}
+    got = [tuple(r) for r in got.collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) < len(rows) - 20
+
+
+def test_sides_are_matched_over_batches_as_in_whole_strata(spark, short_batches):
+    rng = np.random.default_rng(4)
+    sides = [[(g, float(t), 100 * side + i) for g in range(4) for i, t in enumerate(rng.choice(300, n, False) / 3)] for side, n in enumerate((40, 30))]
+    sides[0] += [(9, 1.0, 900), (None, 1.0, 901), (1, None, 902)]
+    frames = [spark.createDataFrame(rows, "g int, t double, key long") for rows in sides]
+    pairs = optimal_match(*frames, ["g"], "t", "key", 1.5).collect()
+    time = {(s, r[0], r[2]): r[1] for s, rows in enumerate(sides) for r in rows}
+    for g in range(4):
+        a, b = (np.sort([r[1] for r in rows if r[0] == g and r[1] is not None]) for rows in sides)
+        best = match_times(a, b, 1.5)
+        own = [r for r in pairs if r.g == g]
+        assert len(own) == len(best) and abs(sum(abs(r.lag) for r in own) - sum(abs(a[i] - b[j]) for i, j in best)) < 1e-9
+        assert all(r.lag == time[1, g, r.b_key] - time[0, g, r.a_key] for r in own)
+    both = frames[0].withColumn("_side", F.lit(0)).unionByName(frames[1].withColumn("_side", F.lit(1))).withColumnsRenamed({"t": "_t", "key": "_key"})
+    every = matched_sides(both, ["g"], 1.5, every=True).collect()
+    assert sorted(r for r in every if r.lag is not None) == sorted(pairs)
+    alone = [(r.g, r.a_key, r.b_key) for r in every if r.lag is None]
+    paired = {(r.g, r.a_key) for r in pairs}, {(r.g, r.b_key) for r in pairs}
+    left = [[(r[0], r[2]) for r in rows if r[0] is not None and r[1] is not None and (r[0], r[2]) not in paired[s]] for s, rows in enumerate(sides)]
+    assert sorted(alone, key=str) == sorted([(g, k, None) for g, k in left[0]] + [(g, None, k) for g, k in left[1]], key=str)
+
+
+def test_peaks_are_found_once_and_not_in_a_group_a_recording(spark, tmp_path):
+    rows = odd_events()
+    got = {r.user_id: r for r in run(spark, tmp_path, "q_evaluate_arrays", events=(rows, EVENTS))}
+    assert got.keys() == {r[2] for r in rows} and sum(r.peaks_value for r in got.values()) > 20 and sum(r.matched for r in got.values()) > 5
+    assert (got[None].peaks_value, got[None].matched, got[None].f1, got[None].scored_value) == (0, 0, 1.0, 23)  # not a recording: counted only
+    assert got[7].scored_value == 0 and got[7].f1 == 1.0 and got[11].scored_value == 0
+    plan = plan_of(spark, tmp_path, "q_evaluate_arrays")
+    assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 2

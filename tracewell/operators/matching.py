@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,31 +45,73 @@ def match_times(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[in
     return pairs[::-1]
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order as batches that end where a run ends; a run begins where `_first` is set, so many go to one call."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+        cut = int(starts[-1]) if len(starts) else batch.num_rows
+        held.append(batch.slice(0, cut))
+        if len(starts):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = [batch.slice(cut)]
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def in_order(rows: DataFrame, stratum: list[str], order: list[str], gap: Column) -> DataFrame:
+    """rows with `_first`, set where a run begins: at a stratum's first row and where gap holds. A stratum is in one partition, in order."""
+    first = F.coalesce(gap, F.lit(True))
+    return rows.withColumn("_first", first).sortWithinPartitions(*stratum, *order)  # the window's own order
+
+
+def matched_sides(both: DataFrame, stratum: list[str], tolerance: float, every: bool = False) -> DataFrame:
+    """stratum, a_key, b_key, lag (b - a) for rows stratum, _t, _key, _side (0, 1): as `optimal_match`.
+
+    every: rows that have no partner come too, with the other key and the lag null.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in both.schema}
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in stratum), f"a_key {fields['_key']}", f"b_key {fields['_key']}", "lag double"])
+    order = ["_t", "_side", "_key"]
+    gap = F.col("_t") - F.lag("_t").over(W.partitionBy(*stratum).orderBy(*order)) > tolerance
+    runs = in_order(both.select(*stratum, *order).dropna(subset=[*stratum, "_t"]), stratum, order, gap)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_runs(batches):
+            t, side = batch.column("_t").to_numpy(), batch.column("_side").to_numpy()
+            run = np.cumsum(batch.column("_first").to_numpy(zero_copy_only=False)) - 1
+            own = [np.flatnonzero(side == s) for s in (0, 1)]
+            sizes = [np.bincount(run[i], minlength=batch.num_rows) for i in own]
+            ends = [np.cumsum(n) for n in sizes]
+            single = (sizes[0] == 1) & (sizes[1] == 1)  # neighbours that nothing cuts are a pair
+            found = [np.column_stack([own[s][ends[s][single] - 1] for s in (0, 1)])]
+            for r in np.flatnonzero((sizes[0] > 0) & (sizes[1] > 0) & ~single):
+                x, y = (own[s][ends[s][r] - sizes[s][r] : ends[s][r]] for s in (0, 1))
+                pairs = np.array(match_times(t[x], t[y], tolerance), int).reshape(-1, 2)
+                found.append(np.column_stack([x[pairs[:, 0]], y[pairs[:, 1]]]))
+            rows = np.concatenate(found)
+            if every:
+                for s, alone in enumerate((np.setdiff1d(own[0], rows[:, 0], True), np.setdiff1d(own[1], rows[:, 1], True))):
+                    rows = np.concatenate([rows, np.column_stack([alone if s == 0 else np.full(len(alone), -1), alone if s else np.full(len(alone), -1)])])
+            places = [pa.array(rows[:, s], pa.int64(), mask=rows[:, s] < 0) for s in (0, 1)]
+            lag = pa.array(t[rows[:, 1]] - t[rows[:, 0]], mask=(rows < 0).any(1))
+            owner = pa.array(rows.max(1))
+            columns = [*(batch.column(c).take(owner) for c in stratum), *(batch.column("_key").take(i) for i in places), lag]
+            yield pa.record_batch(columns, names=[*stratum, "a_key", "b_key", "lag"])
+
+    return runs.mapInArrow(match, schema)
+
+
 def optimal_match(a: DataFrame, b: DataFrame, stratum: list[str], time: str, key: str, tolerance: float) -> DataFrame:
     """stratum, a_key, b_key, lag (b - a): the best one-to-one matching within each stratum.
 
     The times of both sides are cut where none follows within the tolerance: no pair crosses such a gap, so what lies
-    between two is matched apart, and a task holds one such run of times, not a stratum.
+    between two is matched apart, and a task holds one such run of times and a batch, not a stratum.
 
     Defined cases: a row with a null stratum or time has no pair; a side without rows gives no pairs.
     """
-    fields = {f.name: f.dataType.simpleString() for f in a.schema}
-    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in stratum), f"a_key {fields[key]}", f"b_key {fields[key]}", "lag double"])
-    side = lambda df, n: df.select(*stratum, F.col(time).cast("double").alias("_t"), F.col(key).alias("_key"), F.lit(n).alias("_side")).dropna(subset=[*stratum, "_t"])
-    order = W.partitionBy(*stratum).orderBy("_t", "_side", "_key")
-    both = side(a, 0).unionByName(side(b, 1))
-    gap = F.coalesce(F.col("_t") - F.lag("_t").over(order) > tolerance, F.lit(True))
-    runs = both.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(order))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_t", "_key"], kind="stable")
-        x, y = part[part["_side"] == 0], part[part["_side"] == 1]
-        pairs = np.array(match_times(x["_t"].to_numpy(float), y["_t"].to_numpy(float), tolerance), int).reshape(-1, 2)
-        x, y = x.iloc[pairs[:, 0]].reset_index(drop=True), y.iloc[pairs[:, 1]].reset_index(drop=True)
-        return pd.DataFrame({**{c: x[c] for c in stratum}, "a_key": x["_key"], "b_key": y["_key"], "lag": y["_t"] - x["_t"]})
-
-    several = runs.groupBy(*stratum, "_run").agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi")).where("_lo < _hi")
-    return runs.join(several.drop("_lo", "_hi"), [*stratum, "_run"], "left_semi").groupBy(*stratum, "_run").applyInPandas(run, schema)
+    side = lambda df, n: df.select(*stratum, F.col(time).cast("double").alias("_t"), F.col(key).alias("_key"), F.lit(n).alias("_side"))
+    return matched_sides(side(a, 0).unionByName(side(b, 1)), stratum, tolerance)
 
 
 def suppress(index: np.ndarray, score: np.ndarray, separation: float) -> np.ndarray:
@@ -84,10 +128,26 @@ def suppress(index: np.ndarray, score: np.ndarray, separation: float) -> np.ndar
 
 
 def select_peaks(scores: DataFrame, stratum: list[str], index: str, score: str, separation: float) -> DataFrame:
-    """Rows of scores that greedy suppression keeps within each stratum."""
+    """Rows of scores that greedy suppression keeps within each stratum.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(index, kind="stable").reset_index(drop=True)
-        return part.iloc[suppress(part[index].to_numpy(float), part[score].to_numpy(float), separation)]
+    Places that far apart don't meet, so strata are cut into runs of nearer ones, of which a task holds one and a batch.
 
-    return scores.groupBy(*stratum).applyInPandas(run, scores.schema)
+    Defined cases: a row with a null index takes no part; a null score is the weakest.
+    """
+    at = F.col(index).cast("double")
+    rows = scores.withColumns({"_at": at, "_score": F.col(score).cast("double")}).where("_at IS NOT NULL")
+    gap = F.col("_at") - F.lag("_at").over(W.partitionBy(*stratum).orderBy("_at")) >= separation
+    names = scores.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_runs(batches):
+            at, score = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("_at", "_score"))
+            starts = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+            ends = np.append(starts[1:], batch.num_rows)
+            kept = [starts[ends - starts == 1]]
+            for lo, hi in zip(starts, ends, strict=True):
+                if hi - lo > 1:
+                    kept.append(lo + suppress(at[lo:hi], score[lo:hi], separation))
+            yield batch.take(pa.array(np.concatenate(kept))).select(names)
+
+    return in_order(rows, stratum, ["_at"], gap).mapInArrow(run, scores.schema)

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import kernels
 from tracewell.operators.chunks import bounded_batches
-from tracewell.operators.matching import optimal_match, select_peaks
-from tracewell.plans import sequences
+from tracewell.operators.matching import matched_sides, optimal_match, select_peaks
 from tracewell.plans.recordings import samples
 from tracewell.session import table
 from tracewell.sources import ledger
@@ -29,12 +28,58 @@ def seconds(column: str = "ts") -> Column:
     return F.unix_micros(F.col(column).cast("timestamp")) / 1e6
 
 
+#: The two views of a recording, columns of a row each.
+VIEWS = ("value", "props")
+
+
+def places(spark: SparkSession, sf: str) -> DataFrame:
+    """user_id, event_id, ts, k, value, props: recordings with both views of each event in time order."""
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("props"))
+    return e.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
+
+
+def stacked(rows: DataFrame, *names: str) -> DataFrame:
+    """user_id, view, k and names: a row for each view; of a name's columns `name_view` each takes its own."""
+    each = F.array(*(F.struct(F.lit(v).alias("view"), *(F.col(f"{n}_{v}").alias(n) for n in names)) for v in VIEWS))
+    return rows.select("user_id", "k", F.explode(each).alias("_v")).select("user_id", "_v.view", "k", *(f"_v.{n}" for n in names))
+
+
 def views(spark: SparkSession, sf: str) -> DataFrame:
     """user_id, view, k, x: two views of each recording's events in time order."""
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").withColumn("k", F.row_number().over(order).cast("long"))
-    both = F.array(F.struct(F.lit("value").alias("view"), F.col("value").alias("x")), F.struct(F.lit("props").alias("view"), F.get_json_object("props", "$.k").cast("double").alias("x")))
-    return e.select("user_id", "k", F.explode(both).alias("v")).select("user_id", "v.view", "k", "v.x")
+    return stacked(places(spark, sf).withColumnsRenamed({v: f"x_{v}" for v in VIEWS}), "x")
+
+
+def even(column: str | Column) -> Column:
+    """The column in even recordings, by which scales and thresholds are set; null in the others."""
+    return F.when(F.col("user_id") % 2 == 0, column if isinstance(column, Column) else F.col(column))
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """user_id, k, and for each view x_view and score_view; path: the sum of steps around a place, as q_transition_geometry has it.
+
+    Both views are columns of one row, so all that asks for scores reads one shuffle of the events.
+    """
+    e = places(spark, sf)
+    x = table(spark, sf, "events").select("user_id", "value", F.get_json_object("props", "$.k").cast("double").alias("props")).where("user_id % 2 = 0")
+    spread = x.agg(*((F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias(f"spread_{v}") for v in VIEWS))
+    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    sides, near = [by.rowsBetween(-REACH, -1), by.rowsBetween(0, REACH - 1)], by.rowsBetween(-2, 2)
+    e = e.withColumns({f"change_{v}": F.when((F.count(v).over(sides[0]) == REACH) & (F.count(v).over(sides[1]) == REACH), F.abs(F.avg(v).over(sides[1]) - F.avg(v).over(sides[0]))) for v in VIEWS})
+    e = e.withColumn("step", F.abs(F.col("value") - F.lag("value").over(by))).withColumn("inside", (F.col("k") > 3) & F.lead("k", 2).over(by).isNotNull())
+    e = e.withColumn("path", F.when(F.col("inside"), F.round(F.sum("step").over(near), 9)))
+    score = lambda v: (F.col(f"change_{v}") / F.nullif(F.col(f"spread_{v}"), F.lit(0.0))).alias(f"score_{v}")
+    return e.join(F.broadcast(spread)).select("user_id", "ts", "event_id", "k", "path", *(F.col(v).alias(f"x_{v}") for v in VIEWS), *map(score, VIEWS))
+
+
+def peaks_of(scores: DataFrame) -> DataFrame:
+    """user_id, view, k, path, score: of the places of `scored` rows that stand out, those that are far enough apart."""
+    least = scores.agg(*(F.percentile(even(f"score_{v}"), 0.8).alias(f"least_{v}") for v in VIEWS))
+    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    ahead = {f"{side}_{v}": F.coalesce(f(f"score_{v}").over(by), F.lit(-1.0)) for v in VIEWS for side, f in (("left", F.lag), ("right", F.lead))}
+    top = lambda v: F.expr(f"score_{v} >= least_{v} AND score_{v} > left_{v} AND score_{v} >= right_{v}")
+    tops = scores.withColumns(ahead).join(F.broadcast(least)).withColumns({f"top_{v}": top(v) for v in VIEWS}).where("top_value OR top_props")
+    tops = stacked(tops.withColumns({f"path_{v}": F.col("path") for v in VIEWS}), "path", "score", "top").where("top").drop("top")
+    return select_peaks(tops, ["user_id", "view"], "k", "score", SEPARATION)
 
 
 def boundary_peaks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -43,18 +88,8 @@ def boundary_peaks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     Scale and threshold of a view come from even recordings alone. A place without REACH valid samples on both sides has
     no score.
     """
-    x = views(spark, sf)
-    reference = x.where("user_id % 2 = 0").groupBy("view").agg((F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("spread"))
-    by = W.partitionBy("user_id", "view").orderBy("k")
-    sides = [by.rowsBetween(-REACH, -1), by.rowsBetween(0, REACH - 1)]
-    change = F.abs(F.avg("x").over(sides[1]) - F.avg("x").over(sides[0])) / F.nullif(F.col("spread"), F.lit(0.0))
-    whole = (F.count("x").over(sides[0]) == REACH) & (F.count("x").over(sides[1]) == REACH)
-    scores = x.join(F.broadcast(reference), "view").withColumn("score", F.when(whole, change))
-    least = scores.where("user_id % 2 = 0").groupBy("view").agg(F.percentile("score", 0.8).alias("least"))
-    ahead = [F.coalesce(f("score").over(by), F.lit(-1.0)) for f in (F.lag, F.lead)]
-    tops = scores.withColumns({"left": ahead[0], "right": ahead[1]}).join(F.broadcast(least), "view")
-    tops = tops.where("score >= least AND score > left AND score >= right").select("user_id", "view", "k", "score")
-    return scores, select_peaks(tops, ["user_id", "view"], "k", "score", SEPARATION)
+    rows = scored(spark, sf)
+    return stacked(rows, "x", "score"), peaks_of(rows).select("user_id", "view", "k", "score")
 
 
 def agreement(matched: Column, a: Column, b: Column) -> Column:
@@ -64,16 +99,15 @@ def agreement(matched: Column, a: Column, b: Column) -> Column:
 
 def q_evaluate_arrays(spark: SparkSession, sf: str) -> DataFrame:
     """Every recording: scored places and peaks of each view, the peaks' mean path length, and how the views' peaks match."""
-    scores, peaks = boundary_peaks(spark, sf)
-    of = lambda v: F.col("view") == v
-    counts = scores.groupBy("user_id").agg(*(F.count(F.when(of(v), F.col("score"))).alias(f"scored_{v}") for v in ("value", "props")))
-    found = peaks.groupBy("user_id").agg(*(F.count(F.when(of(v), 1)).alias(f"peaks_{v}") for v in ("value", "props")))
-    geometry = sequences.QUERIES["q_transition_geometry"](spark, sf).select("user_id", "k", "path_length")
-    paths = peaks.where(of("value")).join(geometry, ["user_id", "k"]).groupBy("user_id").agg(F.round(F.avg("path_length"), 6).alias("mean_path"))
-    sides = [peaks.where(of(v)).select("user_id", "k", F.col("k").cast("double").alias("t")) for v in ("value", "props")]
-    pairs = optimal_match(*sides, ["user_id"], "t", "k", TOLERANCE)
-    pairs = pairs.groupBy("user_id").agg(F.count("*").alias("matched"), F.round(F.percentile(F.abs("lag"), 0.5), 6).alias("median_error"))
-    rows = reduce(lambda x, y: x.join(y, "user_id", "left"), (found, paths, pairs), counts).fillna(0, ["peaks_value", "peaks_props", "matched"])
+    scores = scored(spark, sf)
+    counts = scores.groupBy("user_id").agg(*(F.count(f"score_{v}").alias(f"scored_{v}") for v in VIEWS))
+    side = F.when(F.col("view") == VIEWS[0], 0).otherwise(1)
+    peaks = peaks_of(scores).select("user_id", F.col("k").cast("double").alias("_t"), F.struct("k", "path").alias("_key"), side.alias("_side"))
+    found = matched_sides(peaks, ["user_id"], TOLERANCE, every=True).groupBy("user_id").agg(
+        F.count("a_key").alias("peaks_value"), F.count("b_key").alias("peaks_props"), F.round(F.avg("a_key.path"), 6).alias("mean_path"),
+        F.count("lag").alias("matched"), F.round(F.percentile(F.abs("lag"), 0.5), 6).alias("median_error"),
+    )
+    rows = counts.join(found, "user_id", "left").fillna(0, ["peaks_value", "peaks_props", "matched"])
     return rows.withColumn("f1", agreement(F.col("matched"), F.col("peaks_value"), F.col("peaks_props")))
 
 
