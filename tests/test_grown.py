@@ -144,3 +144,25 @@ def test_peaks_are_found_once_and_not_in_a_group_a_recording(spark, tmp_path):
     assert got[7].scored_value == 0 and got[7].f1 == 1.0 and got[11].scored_value == 0
     plan = plan_of(spark, tmp_path, "q_evaluate_arrays")
     assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_quantiles_are_exact_without_a_map_of_all_values(spark, monkeypatch):
+    from tracewell.operators import quantiles as q
+
+    rng = np.random.default_rng(2)
+    columns = [rng.normal(size=4001), rng.integers(0, 7, 4001).astype(float), np.where(rng.random(4001) < 0.3, None, rng.lognormal(3, 3, 4001)), np.full(4001, 2.5), np.full(4001, None), np.where(np.arange(4001) < 3, float("nan"), 1.0 * np.arange(4001))]
+    df = spark.createDataFrame([tuple(None if v is None else float(v) for v in r) for r in zip(*columns, strict=True)], ", ".join(f"c{i} double" for i in range(6))).repartition(5)
+    wanted = {f"q{i}_{int(1000 * p)}": (F.col(f"c{i}"), p) for i in range(6) for p in (0.0, 0.001, 0.25, 0.8, 0.9999, 1.0)}
+    for rows in (df, df.limit(3), df.limit(1), df.limit(0)):
+        rows = rows.localCheckpoint()
+        want = rows.agg(*(F.percentile(c, p).alias(n) for n, (c, p) in wanted.items())).first()
+        for few in (5000, 1000):
+            monkeypatch.setattr(q, "FEW", few)
+            got = q.quantiles(rows, wanted).first()
+            assert [str(v) for v in got] == [str(v) for v in want]
+
+
+def test_scores_are_not_gathered_to_set_their_threshold(spark, tmp_path):
+    run(spark, tmp_path, "q_evaluate_arrays", events=(events(300, 4, 1), EVENTS))
+    assert "percentile(score" not in (plan := plan_of(spark, tmp_path, "q_evaluate_arrays")) and "percentile(value" not in plan
+    assert "percentile_approx" in plan

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import kernels
 from tracewell.operators.chunks import bounded_batches
 from tracewell.operators.matching import matched_sides, optimal_match, select_peaks
+from tracewell.operators.quantiles import quantiles
 from tracewell.plans.recordings import samples
 from tracewell.session import table
 from tracewell.sources import ledger
@@ -49,11 +50,6 @@ def views(spark: SparkSession, sf: str) -> DataFrame:
     return stacked(places(spark, sf).withColumnsRenamed({v: f"x_{v}" for v in VIEWS}), "x")
 
 
-def even(column: str | Column) -> Column:
-    """The column in even recordings, by which scales and thresholds are set; null in the others."""
-    return F.when(F.col("user_id") % 2 == 0, column if isinstance(column, Column) else F.col(column))
-
-
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """user_id, k, and for each view x_view and score_view; path: the sum of steps around a place, as q_transition_geometry has it.
 
@@ -61,7 +57,8 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     """
     e = places(spark, sf)
     x = table(spark, sf, "events").select("user_id", "value", F.get_json_object("props", "$.k").cast("double").alias("props")).where("user_id % 2 = 0")
-    spread = x.agg(*((F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias(f"spread_{v}") for v in VIEWS))
+    spread = quantiles(x, {f"{end}_{v}": (F.col(v), share) for v in VIEWS for end, share in (("q1", 0.25), ("q3", 0.75))})
+    spread = spread.select(*((F.col(f"q3_{v}") - F.col(f"q1_{v}")).alias(f"spread_{v}") for v in VIEWS))
     by = W.partitionBy("user_id").orderBy("ts", "event_id")
     sides, near = [by.rowsBetween(-REACH, -1), by.rowsBetween(0, REACH - 1)], by.rowsBetween(-2, 2)
     e = e.withColumns({f"change_{v}": F.when((F.count(v).over(sides[0]) == REACH) & (F.count(v).over(sides[1]) == REACH), F.abs(F.avg(v).over(sides[1]) - F.avg(v).over(sides[0]))) for v in VIEWS})
@@ -73,7 +70,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def peaks_of(scores: DataFrame) -> DataFrame:
     """user_id, view, k, path, score: of the places of `scored` rows that stand out, those that are far enough apart."""
-    least = scores.agg(*(F.percentile(even(f"score_{v}"), 0.8).alias(f"least_{v}") for v in VIEWS))
+    least = quantiles(scores, {f"least_{v}": (F.when(F.col("user_id") % 2 == 0, F.col(f"score_{v}")), 0.8) for v in VIEWS})
     by = W.partitionBy("user_id").orderBy("ts", "event_id")
     ahead = {f"{side}_{v}": F.coalesce(f(f"score_{v}").over(by), F.lit(-1.0)) for v in VIEWS for side, f in (("left", F.lag), ("right", F.lead))}
     top = lambda v: F.expr(f"score_{v} >= least_{v} AND score_{v} > left_{v} AND score_{v} >= right_{v}")
