@@ -147,8 +147,8 @@ def matched_null(rows: DataFrame, fixed: DataFrame, stratum: str, key: str, time
     """stratum, events, still (events without room), matched: a row for each stratum of `feasible` rows. matched is an array:
     most pairs of the events that have room with fixed (stratum, t), where they are and then in each of the draws of `draws`.
 
-    Offsets are drawn where a run has met, so an event goes through the shuffle once and not once a draw; all draws of a run
-    are matched together.
+    Offsets are drawn where a run has met, so shuffles carry an event as one row and not as one for each draw; all draws of a
+    run are matched together.
     """
     kind = rows.schema[stratum].dataType.simpleString()
     runs = in_runs(rows.withColumns({"at": F.col(time), "_key": F.col(key)}), fixed, stratum, tolerance, width, "_key", "pieces", "room")
